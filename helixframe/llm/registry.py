@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import fingerprints, sharding
+from helixframe.llm import fingerprints, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding}
+    return {"op10_simhash": op10_simhash, "op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding}
 
 
 def oracle_sql() -> dict:
