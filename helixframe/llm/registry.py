@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import fingerprints, sharding, simhash
+from helixframe.llm import fingerprints, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_simhash": op10_simhash, "op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding}
+    return {"op1_quality": op1_quality, "op10_simhash": op10_simhash, "op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding}
 
 
 def oracle_sql() -> dict:
