@@ -13,8 +13,6 @@ with no labels, or labels of one kind only, every score is that kind's share
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.textnum import BASES, prefix, windows, word_hashes, word_spans
+
 THRESHOLD = 0.3
 #: Bound of the labelled sample; its statistics (40 numbers a row) fit the driver many times over.
 MAX_ROWS = 20_000
 
-_STOPS = re.compile(r"[.!?;:…]$")
 _KINDS = np.zeros((8, 256))
 for _b in range(256):
     _c = chr(_b)
@@ -40,49 +39,60 @@ for _b in range(256):
     _KINDS[5, _b] = _c in ".,;:!?'\"()-"
     _KINDS[6, _b] = 32 < _b < 127 and not _c.isalnum() and _c not in ".,;:!?'\"()-"
     _KINDS[7, _b] = _b >= 128
+#: Bytes of letters and digits.
+_WORDY = (_KINDS[0] + _KINDS[1] + _KINDS[2] + _KINDS[7]) > 0
+_ENDS = np.frombuffer(b".!?,;:", np.uint8)
 
 
-def _repeats(items: list) -> tuple[float, float]:
-    """Share of items that repeat an earlier one, and of the commonest item."""
-    if not items:
+def _repeats(hashes: np.ndarray) -> tuple[float, float]:
+    """Share of items that repeat another one, and of the commonest item."""
+    if not len(hashes):
         return 0.0, 0.0
-    counts = Counter(items)
-    return 1 - len(counts) / len(items), max(counts.values()) / len(items)
+    cuts = np.flatnonzero(np.diff(np.sort(hashes))) + 1
+    counts = np.diff(np.concatenate([[0], cuts, [len(hashes)]]))
+    return 1 - len(counts) / len(hashes), float(counts.max() / len(hashes))
 
 
 def statistics(text: str | None) -> list[float]:
     """The numbers that the classifier sees of a text."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    n = len(data)
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    n = len(raw)
     if not n:
         return [0.0] * len(NAMES)
-    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    data = np.frombuffer(raw, np.uint8)
+    counts = np.bincount(data, minlength=256)
     kinds = _KINDS @ counts / n
     share = counts[counts > 0] / n
     entropy = float(-(share * np.log2(share)).sum())
-    words = data.split()
-    m = max(len(words), 1)
-    lengths = np.array([len(w) for w in words] or [0])
-    alone = sum(1 for w in words if not any(48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127 for c in w[:64])) / m
-    shouted = sum(1 for w in words if len(w) > 1 and w.isupper()) / m
-    capital = sum(1 for w in words if w[:1].isupper()) / m
-    ended = sum(1 for w in words if w[-1:] in b".!?,;:") / m
-    twice = sum(1 for w in words if len(w) > 2 and w[-1:] == w[-2:-1] and not w[-1:].isalnum()) / m
+    starts, ends = word_spans(data)
+    m = max(len(starts), 1)
+    lengths = ends - starts if len(starts) else np.zeros(1, np.int64)
+    first, last = data[starts], data[ends - 1]
+    before = data[np.maximum(ends - 2, 0)]
+    letters = np.concatenate([[0], np.cumsum(_WORDY[data])])
+    uppers = np.concatenate([[0], np.cumsum(_KINDS[1][data])])
+    lowers = np.concatenate([[0], np.cumsum(_KINDS[0][data])])
+    alone = float((letters[ends] == letters[starts]).sum()) / m
+    shouted = float(((uppers[ends] - uppers[starts] > 1) & (lowers[ends] == lowers[starts])).sum()) / m
+    capital = float(_KINDS[1][first].sum()) / m
+    ended = float(np.isin(last, _ENDS).sum()) / m
+    twice = float(((last == before) & (ends - starts > 2) & ~_WORDY[last]).sum()) / m
+    words = word_hashes(data, starts, ends)
+    sums = prefix(words, BASES[0])
     word_repeats, word_top = _repeats(words)
-    pairs, pair_top = _repeats(list(zip(words, words[1:])))
-    fives, _ = _repeats([tuple(words[i : i + 5]) for i in range(len(words) - 4)])
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    line_repeats, line_top = _repeats(lines)
+    pairs, pair_top = _repeats(windows(sums, 2, BASES[0]))
+    fives, _ = _repeats(windows(sums, 5, BASES[0]))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    line_repeats = 1 - len(set(lines)) / max(len(lines), 1) if lines else 0.0
+    line_top = max(Counter(lines).values()) / len(lines) if lines else 0.0
     line_lengths = np.array([len(x) for x in lines] or [0])
     stopped = sum(1 for x in lines if x.rstrip()[-1:] in b".!?") / max(len(lines), 1)
-    runs = np.diff(np.frombuffer(data, np.uint8).astype(np.int16))
-    doubled = float((runs == 0).mean()) if len(runs) else 0.0
+    doubled = float((data[1:] == data[:-1]).mean()) if n > 1 else 0.0
     return [
-        float(np.log1p(n)), float(np.log1p(len(words))), float(np.log1p(len(lines))), *kinds.tolist(), entropy,
+        float(np.log1p(n)), float(np.log1p(len(starts))), float(np.log1p(len(lines))), *kinds.tolist(), entropy,
         float(lengths.mean()), float(lengths.std()), float(np.log1p(lengths.max())), float((lengths <= 3).mean()), float((lengths >= 12).mean()),
         alone, shouted, capital, ended, twice, word_repeats, word_top, pairs, pair_top, fives, line_repeats, line_top,
         float(np.log1p(line_lengths.mean())), float(np.log1p(line_lengths.max())), stopped, doubled,
-        len(zlib.compress(data[-65536:] if n > 65536 else data, 1)) / min(n, 65536),
     ]
 
 
@@ -90,7 +100,7 @@ NAMES = [
     "log_bytes", "log_words", "log_lines", "lower", "upper", "digit", "space", "newline", "punctuation", "symbol", "high", "entropy",
     "word_mean", "word_spread", "word_longest", "short_words", "long_words", "bare_symbols", "shouted", "capital", "ended", "doubled_end",
     "word_repeats", "word_top", "pair_repeats", "pair_top", "five_repeats", "line_repeats", "line_top", "line_mean", "line_longest",
-    "stopped_lines", "doubled_bytes", "packed",
+    "stopped_lines", "doubled_bytes",
 ]
 
 
