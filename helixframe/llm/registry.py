@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import fingerprints, quality, sharding, simhash
+from helixframe.llm import fingerprints, quality, sentencepiece_codec, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +24,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip", "parity")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op10_simhash": op10_simhash, "op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding}
+    return {
+        "op1_quality": op1_quality,
+        "op2_fingerprints": op2_fingerprints,
+        "op3_sharding": op3_sharding,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict:
