@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import fingerprints, quality, sentencepiece_codec, sharding, simhash
+from helixframe.llm import fingerprints, html_text, quality, sentencepiece_codec, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip", "parity")
@@ -38,6 +43,7 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_fingerprints": op2_fingerprints,
         "op3_sharding": op3_sharding,
+        "op6_html": op6_html,
         "op8_sentencepiece": op8_sentencepiece,
         "op10_simhash": op10_simhash,
     }
