@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import fingerprints, html_text, quality, sentencepiece_codec, sharding, simhash
+from helixframe.llm import fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip", "parity")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op6_html": op6_html,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
     }
 

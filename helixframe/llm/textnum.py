@@ -96,3 +96,24 @@ def leftmost_minima(values: np.ndarray, m: int) -> np.ndarray:
         right = low[rest:] < low[: len(low) - rest]
         at = np.where(right, at[rest:], at[: len(at) - rest])
     return at[:count]
+
+
+def chunks(texts, size: int = 1 << 20, lower: bool = False):
+    """(lo, hi, data, starts, ends): texts lo..hi joined by line feeds, about size bytes at a time.
+
+    texts is an Arrow array of strings; nulls are empty. starts and ends are
+    the bytes of each text in data.
+    """
+    values = [v or b"" for v in texts.cast("binary").to_pylist()]
+    lo = 0
+    while lo < len(values):
+        hi, total = lo, 0
+        while hi < len(values) and (hi == lo or total + len(values[hi]) < size):
+            total += len(values[hi]) + 1
+            hi += 1
+        part = values[lo:hi]
+        joined = b"\n".join(part)
+        lengths = np.array([len(v) for v in part], dtype=np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        yield lo, hi, np.frombuffer(joined.lower() if lower else joined, np.uint8), ends - lengths, ends
+        lo = hi
