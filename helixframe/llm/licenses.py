@@ -99,6 +99,8 @@ def align(template: np.ndarray, text: np.ndarray, first: int, band: int = BAND)
         score[i] = np.where(valid, np.maximum.accumulate(best + ramp) - ramp, far)
     c = int(np.argmax(score[m]))
     i, matched, end, start = m, 0, 0, 0
+    if score[m, c] <= far // 2:  # the band lies outside the text
+        return 0, 0, 0
     while i > 0:
         at = low + i + c
         same = 1 <= at <= len(text) and text[at - 1] == template[i - 1]
