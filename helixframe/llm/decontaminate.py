@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.fingerprints import SHINGLE, shingle_hashes, words_of
+from helixframe.llm.fingerprints import SHINGLE, let, shingle_hashes, words_of
 
 THRESHOLD = 0.8
 TOKEN = r"[\p{L}\p{N}]+"
@@ -37,18 +37,22 @@ def _words(text: Column) -> Column:
 
 def _shingles(words: Column, n: int = SHINGLE) -> Column:
     """Distinct shingles as strings."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return (
-        F.when(F.size(words) >= n, F.array_distinct(runs))
-        .when(F.size(words) > 0, F.array(F.array_join(words, " ")))
-        .otherwise(F.array().cast("array<string>"))
-    )
+
+    def of(w):
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return (
+            F.when(F.size(w) >= n, F.array_distinct(runs))
+            .when(F.size(w) > 0, F.array(F.array_join(w, " ")))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    return let(words, of)
 
 
 def item_signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(item_id, size_class, hash): the MinHash values of each item's size partition."""
     hashed = items.where("item_id is not null").select(
-        "item_id", F.array_sort(F.array_distinct(shingle_hashes(_words(F.col("text"))))).alias("h")
+        "item_id", F.sort_array(F.array_distinct(shingle_hashes(_words(F.col("text"))))).alias("h")
     ).where(F.size("h") > 0)
     q = F.size("h")
     # Sizes from 2**c to 2**(c+1) - 1 are one partition; the largest item in it decides.

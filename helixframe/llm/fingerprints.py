@@ -21,31 +21,34 @@ SHINGLE = 5
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once: a transform over one element binds it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words_of(text: Column, pattern: str = WORDS) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
 def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
     """Hash of each run of n words; of the whole sequence if it is shorter."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    # Chained on the words' hashes: no shingle string is built.
-    runs = F.transform(F.array(hashed), lambda h: F.transform(
-        F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)])))[0]
-    return (
-        F.when(F.size(words) >= n, runs)
-        .when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " "))))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
+
+    def of(h):
+        # Chained on the words' hashes: no shingle string is built.
+        runs = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+        whole = F.array(F.aggregate(h, F.lit(n).cast("long"), lambda a, x: F.xxhash64(a, x)))
+        return F.when(F.size(h) >= n, runs).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def sketch(text: Column, k: int = K, n: int = SHINGLE) -> Column:
-    words = F.transform(F.array(words_of(text)), lambda w: shingle_hashes(w, n))[0]
-    return F.slice(F.array_sort(F.array_distinct(words)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(shingle_hashes(words_of(text), n))), 1, k)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
     """Sketch of the union of two parts."""
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -54,7 +57,7 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
         both = F.array_intersect(F.array_intersect(u, a), b)
         return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(both) / F.size(u))
 
-    return F.transform(F.array(merged(a, b, k)), of)[0]
+    return let(merged(a, b, k), of)
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
@@ -81,9 +84,9 @@ def merge_sketches(df: DataFrame, key: str, column: str, k: int = K) -> DataFram
     first merged in 64 salted groups, so that no task holds a whole key.
     """
     salted = df.groupBy(key, F.pmod(F.xxhash64(column), F.lit(64)).alias("__salt")).agg(
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))), 1, k).alias(column)
+        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set(column)))), 1, k).alias(column)
     )
-    return salted.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k).alias(column))
+    return salted.groupBy(key).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k).alias(column))
 
 
 def neighbours(ids: DataFrame, key: str = "doc_id", buckets: int = 512) -> DataFrame:
