@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash
+from helixframe.llm import decontaminate, fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "n_matched", "n_shingles", "containment")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
@@ -53,6 +57,7 @@ def queries() -> dict:
         "op2_fingerprints": op2_fingerprints,
         "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
+        "op5_substrings": op5_substrings,
         "op6_html": op6_html,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_licenses": op9_licenses,

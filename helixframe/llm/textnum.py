@@ -117,3 +117,34 @@ def chunks(texts, size: int = 1 << 20, lower: bool = False):
         ends = np.cumsum(lengths + 1) - 1
         yield lo, hi, np.frombuffer(joined.lower() if lower else joined, np.uint8), ends - lengths, ends
         lo = hi
+
+
+def segments(units: np.ndarray, owner: np.ndarray, window: int, gram: int):
+    """(starts, counts, anchors): windows of one owner each, grouped by the gram that anchors them.
+
+    The anchor of a window is its leftmost smallest gram hash, so equal windows
+    have equal anchors wherever they stand. A group is a run of windows with one
+    anchor: it starts at units[start] and has count windows. About 2 of
+    window - gram + 2 units begin a group.
+    """
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(units) < window:
+        return nothing
+    grams = windows(prefix(units, BASES[1]), gram, BASES[1])
+    at = leftmost_minima(grams, window - gram + 1)
+    valid = np.flatnonzero(owner[: len(at)] == owner[window - 1 :])
+    if not len(valid):
+        return nothing
+    at = at[valid]
+    breaks = np.flatnonzero((np.diff(at) != 0) | (np.diff(valid) != 1)) + 1
+    first = np.concatenate([[0], breaks])
+    counts = np.diff(np.concatenate([first, [len(valid)]]))
+    return valid[first], counts, grams[at[first]]
+
+
+def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mask of the units within any of the spans."""
+    step = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    return np.cumsum(step[:-1]) > 0
