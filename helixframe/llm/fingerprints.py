@@ -89,42 +89,52 @@ def merge_sketches(df: DataFrame, key: str, column: str, k: int = K) -> DataFram
     return salted.groupBy(key).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k).alias(column))
 
 
-def neighbours(ids: DataFrame, key: str = "doc_id", buckets: int = 512) -> DataFrame:
-    """(key, next_key) in ascending order, the last followed by the first.
+def neighbours(ids: DataFrame, buckets: int = 512) -> DataFrame:
+    """ids with next_k and next_th: what follows each (k, th) in ascending order, the first after the last.
 
     Keys are cut into ranges at approximate quantiles (``buckets`` numbers), a
     window looks ahead within each range, and a table of one row a range joins
     the ranges' ends.
     """
-    cuts = ids.agg(F.percentile_approx(key, F.lit([i / buckets for i in range(1, buckets)]), F.lit(20 * buckets)).alias("__cuts"))
-    spread = ids.crossJoin(F.broadcast(cuts)).withColumn(
-        "__range", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<bigint>")), lambda c: c <= F.col(key)))
-    ).drop("__cuts")
-    ahead = spread.withColumn("__next", F.lead(key).over(Window.partitionBy("__range").orderBy(key)))
-    firsts = spread.groupBy("__range").agg(F.min(key).alias("__first"))
-    w = Window.orderBy("__range")
-    ends = firsts.select("__range", F.coalesce(F.lead("__first").over(w), F.min("__first").over(Window.partitionBy())).alias("__then"))
-    return ahead.join(F.broadcast(ends), "__range").select(*ids.columns, F.coalesce("__next", "__then").alias(f"next_{key}"))
+    cuts = ids.agg(F.percentile_approx("k", F.lit([i / buckets for i in range(1, buckets)]), F.lit(20 * buckets)).alias("cuts"))
+    below = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda c: c <= F.col("k")))
+    # One row of at most ``buckets`` numbers is joined to every row.
+    spread = ids.crossJoin(F.broadcast(cuts)).withColumn("range", below).drop("cuts")
+    me = F.struct("k", "th")
+    ahead = spread.withColumn("then", F.lead(me).over(Window.partitionBy("range").orderBy("k", "th")))
+    firsts = spread.groupBy("range").agg(F.min(me).alias("first"))
+    w = Window.orderBy("range")
+    ends = firsts.select("range", F.coalesce(F.lead("first").over(w), F.min("first").over(Window.partitionBy())).alias("after"))
+    then = F.coalesce("then", "after")
+    return ahead.join(F.broadcast(ends), "range").select(*ids.columns, then["k"].alias("next_k"), then["th"].alias("next_th"))
 
 
 def edited_fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likenesses.
 
     The edited text has its last half replaced by the start of the next
-    document's text. Documents without an id come after all others, in one
-    ring with them, ordered by nothing else; repeated ids follow one another.
+    document's text. Documents without an id come after all others. Repeated
+    ids follow one another by the texts' hashes; rows that repeat id and text
+    are one document in this order and each get its result.
     """
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = neighbours(docs.select("doc_id", F.floor(F.length("text") / 2).alias("half")))
-    # What the document before needs of each text, sent to it with the sketch.
-    wanted = order.select(F.col("next_doc_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), "half")
-    base = docs.withColumn("sketch", sketch(F.col("text"), k)).join(wanted, "doc_id")
-    heads = base.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(half as int))").alias("head"), F.col("sketch").alias("next_sketch"))
-    both = base.select("doc_id", "text", "sketch").join(heads, "doc_id")
-    n = F.length("text")
+    docs = documents.select(
+        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("th", F.xxhash64("text"))
+    ids = docs.groupBy("k", "th").agg(F.max(F.floor(F.length("text") / 2).cast("int")).alias("half"))
+    # What the document before needs of each text, to be sent to it with the sketch.
+    wanted = neighbours(ids).select(F.col("next_k").alias("k"), F.col("next_th").alias("th"), F.col("k").alias("prev_k"), F.col("th").alias("prev_th"), "half")
+    # Sketches are made after the texts' shuffle, on either side: they would be half as large again as the texts.
+    base = docs.join(wanted, ["k", "th"]).withColumn("copy", F.row_number().over(Window.partitionBy("k", "th").orderBy("k")))
+    base = base.withColumn("sketch", sketch(F.col("text"), k))
+    heads = base.where("copy = 1").select(
+        F.col("prev_k").alias("k"), F.col("prev_th").alias("th"), F.expr("substring(text, 1, half)").alias("head"), F.col("sketch").alias("next_sketch")
+    )
+    both = base.select("doc_id", "k", "th", "text", "sketch").join(heads, ["k", "th"])
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.col("head"))
-    out = both.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    out = out.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited"), k).alias("edited_sketch"))
+    out = both.withColumn("edited", edited).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        "sketch", "next_sketch", sketch(F.col("edited"), k).alias("edited_sketch"),
+    )
     return out.select(
         "doc_id",
         "n_chars",
