@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash, substring_dedup
+from helixframe.llm import decontaminate, fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip", "parity")
@@ -59,6 +63,7 @@ def queries() -> dict:
         "op4_decontaminate": op4_decontaminate,
         "op5_substrings": op5_substrings,
         "op6_html": op6_html,
+        "op7_suffixes": op7_suffixes,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
