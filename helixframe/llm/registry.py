@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from helixframe.llm import decontaminate, fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup
 
 
@@ -55,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -67,6 +72,7 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
+        "pipeline": pipeline,
     }
 
 

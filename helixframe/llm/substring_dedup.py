@@ -70,8 +70,11 @@ def _blocks(window: int, gram: int):
     return run
 
 
-def _removed(words: list[bytes], starts, ends, keep_text: bool):
+def _removed(text: str | None, starts, ends, keep_text: bool):
     """(n_words, n_removed, kept) once the words within the spans are gone."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    if not len(starts) and keep_text:
+        return len(words), 0, text
     if not len(starts):
         kept = words
     else:
@@ -109,8 +112,7 @@ def _factors(window: int, keep_text: bool):
                         a, z = (runs(p, at, at + window, base).view(np.int64).tolist() for p, base in zip(sums, BASES))
                         rows.append((True, int(bounds[d + 1] - bounds[d]), None, text, [{"s": i, "e": j} for i, j in spans], [{"pos": int(p - bounds[d]), "a": x, "b": y} for p, x, y in zip(at, a, z)]))
                     else:
-                        raw = (text or "").encode("utf-8", "surrogatepass").split()
-                        n, gone, kept = _removed(raw, [i for i, _ in spans], [j for _, j in spans], keep_text)
+                        n, gone, kept = _removed(text, [i for i, _ in spans], [j for _, j in spans], keep_text)
                         rows.append((False, n, gone, kept, None, None))
                 cols = list(zip(*rows))
                 part = b.slice(lo, hi - lo)
@@ -128,7 +130,7 @@ def _finished(window: int, keep_text: bool):
             for text, spans, at in zip(b.column("kept").to_pylist(), b.column("spans").to_pylist(), b.column("at").to_pylist()):
                 starts = [x["s"] for x in spans] + list(at or ())
                 ends = [x["e"] for x in spans] + [p + window for p in at or ()]
-                rows.append(_removed((text or "").encode("utf-8", "surrogatepass").split(), starts, ends, keep_text))
+                rows.append(_removed(text, starts, ends, keep_text))
             n, gone, kept = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["rest", "n_words", "n_removed", "kept"])
 
@@ -138,8 +140,9 @@ def _finished(window: int, keep_text: bool):
 def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
     """The columns of documents but text, with n_words, n_removed and kept.
 
-    kept is the remaining words joined by one space; its SHA-256 in lower-case
-    hex where keep_text is False.
+    kept is the text itself where nothing is removed, else the remaining words
+    joined by one space. Where keep_text is False it is the SHA-256 in lower-case
+    hex of the remaining words joined by one space.
     """
     rest = [c for c in documents.columns if c != "text"]
     docs = documents.select(
