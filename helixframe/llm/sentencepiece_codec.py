@@ -14,22 +14,27 @@ as the model says; repeated rows and other columns make no difference.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import DataFrame
 from tokenizers import decoders, models, normalizers, pre_tokenizers
 
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
+CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Kinds of pieces and models: fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Code points encoded by one call, which bounds memory for any batch.
-CALL = 1 << 19
+#: Bytes encoded by one call, which bounds memory for any batch.
+CALL = 1 << 17
+#: Threads of the library in each task.
+THREADS = "2"
 
 
 @dataclass
@@ -102,16 +107,23 @@ def _merges(model: Model, vocab: dict[str, int]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def build(model: Model) -> tokenizers.Tokenizer:
+def _cuttable(model: Model) -> bool:
+    """No piece goes on past a marker: text may be cut before runs of markers and gives the same ids."""
+    return model.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
+
+
+def _core(model: Model):
     vocab = {piece: i for i, (piece, _, _) in enumerate(model.pieces)}
-    unk = model.pieces[model.unk_id][0]
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback)
-    elif model.kind == BPE:
-        core = models.BPE(vocab, _merges(model, vocab), unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback)
-    else:
-        raise ValueError(f"models of kind {model.kind} are not supported")
-    tok = tokenizers.Tokenizer(core)
+        return models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback)
+    if model.kind == BPE:
+        return models.BPE(vocab, _merges(model, vocab), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+    raise ValueError(f"models of kind {model.kind} are not supported")
+
+
+def build(model: Model) -> tokenizers.Tokenizer:
+    """The model as one pipeline of the library."""
+    tok = tokenizers.Tokenizer(_core(model))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.collapse:
         steps += [normalizers.Strip(), normalizers.Replace(tokenizers.Regex(" {2,}"), " ")]
@@ -120,10 +132,8 @@ def build(model: Model) -> tokenizers.Tokenizer:
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     tok.normalizer = normalizers.Sequence(steps)
-    # Where no piece goes on past a marker, text may be cut before runs of markers: words repeat, so the
-    # library's cache serves most of them, and the result is the same.
-    if not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)):
-        tok.pre_tokenizer = pre_tokenizers.Split(tokenizers.Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+    if _cuttable(model):
+        tok.pre_tokenizer = pre_tokenizers.Split(tokenizers.Regex(CUT.pattern), "isolated")
     user = [p for p, _, kind in model.pieces if kind == USER_DEFINED]
     if user:
         tok.add_tokens([tokenizers.AddedToken(p, normalized=False) for p in user])
@@ -132,53 +142,85 @@ def build(model: Model) -> tokenizers.Tokenizer:
     return tok
 
 
-def load(path: str) -> tuple[Model, tokenizers.Tokenizer]:
+class Codec:
+    """Batches of texts to ids and back.
+
+    Where the model lets text be cut, texts are normalised and cut here, which
+    is faster than the library's own steps, and go to its model as words; for
+    other models whole texts go through the pipeline.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.tok = model, build(model)
+        self.cut = _cuttable(model) and not any(kind == USER_DEFINED for *_, kind in model.pieces)
+        self.pieces = tokenizers.Tokenizer(self.tok.model)
+        self.charsmap = normalizers.Precompiled(model.charsmap) if model.charsmap else None
+
+    def normalize(self, text: str) -> str:
+        if self.charsmap:
+            text = self.charsmap.normalize_str(text)
+        if self.model.collapse:
+            text = re.sub(" {2,}", " ", text.strip(" "))
+        return (MARK if self.model.add_prefix and text else "") + text.replace(" ", MARK)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.cut:
+            return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        cuts = [CUT.findall(self.normalize(t)) for t in texts]
+        return [e.ids for e in self.pieces.encode_batch_fast(cuts, is_pretokenized=True, add_special_tokens=False)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
+
+
+def load(path: str) -> Codec:
     with open(path, "rb") as f:
-        model = parse(f.read())
-    return model, build(model)
+        return Codec(parse(f.read()))
 
 
 _built: dict[bytes, tuple] = {}
 
 
 def _built_once(proto: bytes, verify: bool) -> tuple:
-    """The tokenizer and, if wanted, the reference, built once a worker."""
+    """The codec and, if wanted, the reference, built once a worker."""
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     if proto not in _built:
-        _built[proto] = (build(parse(proto)), None)
-    tok, reference = _built[proto]
+        _built[proto] = (Codec(parse(proto)), None)
+    codec, reference = _built[proto]
     if verify and reference is None:
         import sentencepiece
 
         reference = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        _built[proto] = (tok, reference)
-    return tok, reference
+        _built[proto] = (codec, reference)
+    return codec, reference
 
 
-def _calls(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > CALL:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+def _calls(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CALL bytes, one text at least."""
+    lo = total = 0
+    for hi, n in enumerate(sizes):
+        if hi > lo and total + n > CALL:
+            yield lo, hi
+            lo, total = hi, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def _codec(proto: bytes, verify: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, reference = _built_once(proto, verify)
+        codec, reference = _built_once(proto, verify)
         names = [*keep, "token_ids", "n_tokens", "decoded", "round_trip", "parity"]
         for batch in batches:
-            at = 0
-            for part in _calls([x.as_py() or "" for x in batch.column("text")]):
-                piece, at = batch.slice(at, len(part)), at + len(part)
-                ids = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-                back = tok.decode_batch(ids, skip_special_tokens=False)
+            sizes = [n or 0 for n in pc.binary_length(batch.column("text")).to_pylist()]
+            for lo, hi in _calls(sizes):
+                piece = batch.slice(lo, hi - lo)
+                part = [x or "" for x in piece.column("text").to_pylist()]
+                ids = codec.encode(part)
+                back = codec.decode(ids)
                 same = [x == y for x, y in zip(ids, reference.encode(part, num_threads=1))] if verify else [None] * len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(back),
+                    [*(piece.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(back, pa.string()),
                      pa.array([x == y for x, y in zip(back, part)]), pa.array(same, pa.bool_())], names)
 
     return run
