@@ -23,6 +23,11 @@ LIGHT = ("ND6",)
 HIGH_EXPRESSION = ("COX1", "COX2", "COX3", "CYTB")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once, where a lambda would evaluate it for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -52,12 +57,14 @@ def to_rna(seq: Column) -> Column:
 
 def chunked(seq: Column, partial: bool = False, drop_last: bool = False) -> Column:
     """Three-letter pieces; partial keeps an incomplete last piece, drop_last leaves the last three letters out."""
-    s = _text(seq)
-    n = F.length(s) - (3 if drop_last else 0)
-    last = n if partial else n - 2
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(3)), lambda i: F.substr(s, i, F.lit(3)))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def of(s):
+        n = F.length(s) - (3 if drop_last else 0)
+        last = n if partial else n - 2
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(3)), lambda i: F.substr(s, i, F.lit(3)))
+        return F.when(last >= 1, cut).otherwise(F.array().cast("array<string>"))
+
+    return let(_text(seq), of)
 
 
 def amino_acid(codon: Column, table: int = 2) -> Column:
@@ -92,15 +99,22 @@ def gene_index(gene: Column) -> Column:
 
 def diversity(codons: Column) -> Column:
     """Shannon entropy in bits of the codons, a partial last one included."""
-    n = F.size(codons)
-    parts = F.transform(F.array_distinct(codons), lambda c: F.size(F.filter(codons, lambda x: x == c)) / n)
-    return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+
+    def of(cs):
+        n = F.size(cs)
+        parts = F.transform(F.array_distinct(cs), lambda c: F.size(F.filter(cs, lambda x: x == c)) / n)
+        return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+
+    return let(codons, of)
 
 
 def _grams(codons: Column, n: int) -> Column:
-    last = F.size(codons) - n
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(codons, i + 1, n), ""))
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+    def of(cs):
+        last = F.size(cs) - n
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(cs, i + 1, n), ""))
+        return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(codons, of)
 
 
 def bleu(reference: Column, hypothesis: Column, order: int = 4) -> Column:
@@ -113,8 +127,10 @@ def bleu(reference: Column, hypothesis: Column, order: int = 4) -> Column:
                 lambda a, g: a + F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g))),
             )
 
-        pair = F.array(F.struct(_grams(reference, n).alias("r"), _grams(hypothesis, n).alias("h")))
-        share = F.transform(pair, lambda p: F.greatest(matched(p["r"], p["h"]) / F.greatest(F.size(p["h"]), F.lit(1)), F.lit(1e-8)))[0]
+        share = let(
+            F.struct(_grams(reference, n).alias("r"), _grams(hypothesis, n).alias("h")),
+            lambda p: F.greatest(matched(p["r"], p["h"]) / F.greatest(F.size(p["h"]), F.lit(1)), F.lit(1e-8)),
+        )
         logs.append(F.ln(share))
     mean = sum(logs[1:], logs[0]) / order
     r, h = F.size(reference), F.size(hypothesis)
@@ -140,7 +156,10 @@ def merged_tokens(protein: Column, codons: Column) -> Column:
     return F.when(F.length(protein) == F.size(codons), F.array_join(F.zip_with(residues, codons, lambda a, c: F.concat_ws("_", F.lower(a), F.lower(c))), " "))
 
 
-def kmers(s: Column, k: int = 3) -> Column:
-    n = F.length(s) - k + 1
-    all_ = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
-    return F.when(n >= 1, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
+def kmers(protein: Column, k: int = 3) -> Column:
+    def of(s):
+        n = F.length(s) - k + 1
+        all_ = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
+        return F.when(n >= 1, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
+
+    return let(_text(protein), of)

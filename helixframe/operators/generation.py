@@ -164,22 +164,23 @@ def homolog_copy(pairs: DataFrame, fallback: DataFrame) -> DataFrame:
     (gene_name, aa, codon). A stop is added only where the query had one.
     """
     per_gene = fallback.groupBy(F.col("gene_name").alias("gene")).agg(F.map_from_entries(F.collect_list(F.struct("aa", "codon"))).alias("__f"))
-    rows = with_alignment(pairs).join(per_gene, "gene", "left").withColumn("__c", C.chunked(F.col("t_sequence")))
+    rows = with_alignment(pairs).join(per_gene, "gene", "left")
     empty = F.create_map().cast("map<string,string>")
 
-    def place(i):
+    def place(i, codons):
         a = F.substr("q_protein", i + 1, F.lit(1))
         at = F.get("pos_map", i)
         equal = (at >= 0) & (F.substr("t_protein", at + 1, F.lit(1)) == a)
-        codon = F.when(equal, F.get("__c", at))
+        codon = F.when(equal, F.get(codons, at))
         return F.struct(F.coalesce(codon, F.try_element_at(F.coalesce("__f", empty), a), F.lit("NNN")).alias("c"), codon.isNotNull().alias("copied"))
 
     n = F.length("q_protein")
-    made = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), place)).otherwise(F.array().cast("array<struct<c:string,copied:boolean>>"))
+    placed = C.let(C.chunked(F.col("t_sequence")), lambda c: F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: place(i, c)))
+    made = F.when(n > 0, placed).otherwise(F.array().cast("array<struct<c:string,copied:boolean>>"))
     rows = rows.withColumn("__m", made)
     copied = F.size(F.filter("__m", lambda x: x["copied"]))
     stop = F.when(F.col("q_has_stop"), F.lit("TAA")).otherwise("")
-    return rows.withColumn("copied_sequence", F.concat(F.array_join(F.transform("__m", lambda x: x["c"]), ""), stop)).withColumn("copied_fraction", copied / F.greatest(n, F.lit(1))).drop("__f", "__c", "__m")
+    return rows.withColumn("copied_sequence", F.concat(F.array_join(F.transform("__m", lambda x: x["c"]), ""), stop)).withColumn("copied_fraction", copied / F.greatest(n, F.lit(1))).drop("__f", "__m")
 
 
 def decode_with(records: DataFrame, scorer, batch: int = 64) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STRATA = ((0.0, 0.6, "<60%"), (0.6, 0.8, "60-80%"), (0.8, 0.9, "80-90%"), (0.9, 0.95, "90-95%"), (0.95, 1.01, ">=95%"))
 
@@ -100,13 +101,13 @@ def signed_rank(pairs: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
                       F.when(F.col("identical"), 0.0).otherwise(effect).alias("effect"), F.when(F.col("identical"), F.lit(None)).otherwise(z).alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|N(0,1)| >= |z|); 1 where z is null."""
     return z.map(lambda x: 1.0 if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of chi squared: the regularised incomplete gamma by series or continued fraction."""
 

@@ -2,10 +2,325 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from helixframe.functions import codons as C
+from helixframe.operators import clustering, generation, similarity, statistics, usage
+from helixframe.plans.sql import SQL
+from helixframe.sources.corpus import derived_records
+from helixframe.streaming.windows import hourly
+
+SUBJECTS = ("mt_cai_lookup", "most_frequent_codon", "random_synonymous")
+
+
+def _r(c, digits: int = 9):
+    return F.round(c, digits)
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return derived_records(spark, sf).withColumn("protein", C.strip_stops(F.col("protein_sequence")))
+
+
+def _split(spark, sf, name):
+    return _records(spark, sf).where(F.col("split") == name)
+
+
+def records(spark, sf):
+    return _records(spark, sf).select("idx", "id", "gene_name", "species", "sequence", "protein_sequence", "split")
+
+
+def sequence_measures(spark, sf):
+    return _records(spark, sf).select(
+        "idx", _r(C.gc_content(F.col("sequence"))).alias("gc"), _r(C.gc_skew(F.col("sequence"))).alias("skew"), C.sequence_hash(F.col("sequence")).alias("hash"),
+        C.complies(F.col("protein_sequence")).alias("complies"), _r(C.diversity(C.chunked(F.col("sequence"), partial=True))).alias("diversity"),
+    )
+
+
+def codon_usage(spark, sf):
+    return usage.usage_frequency(_records(spark, sf)).select("codon", "n", _r("freq", 12).alias("freq"))
+
+
+def codon_counts(spark, sf):
+    return usage.codon_counts(_split(spark, sf, "train"))
+
+
+def _weights(spark, sf):
+    return usage.rscu_weights(_split(spark, sf, "train"), spark, C.HIGH_EXPRESSION)
+
+
+def rscu_weights(spark, sf):
+    return _weights(spark, sf).select("aa", "codon", "n", _r("weight").alias("weight"))
+
+
+def gene_tables(spark, sf):
+    return usage.top_codon(usage.codon_counts(_split(spark, sf, "train"), by=("gene_name",)), ("gene_name",))
+
+
+def standard_remap(spark, sf):
+    return usage.standard_remap(_split(spark, sf, "train"))
+
+
+def adaptation_index(spark, sf):
+    return usage.with_cai(_records(spark, sf).select("idx", "sequence"), _weights(spark, sf)).select("idx", _r("cai").alias("cai"))
+
+
+def transition_counts(spark, sf):
+    return usage.transition_counts(_split(spark, sf, "train"))
+
+
+def transition_probabilities(spark, sf):
+    return usage.transition_probabilities(usage.transition_counts(_split(spark, sf, "train")), spark).withColumn("p", _r("p"))
+
+
+def _transitions(spark, sf):
+    return [usage.transition_counts(_split(spark, sf, s)) for s in ("train", "test")]
+
+
+def transition_divergence(spark, sf):
+    return usage.transition_divergence(*_transitions(spark, sf), spark).select(_r("kl").alias("kl"))
+
+
+def transition_chi2(spark, sf):
+    return usage.transition_chi2(*_transitions(spark, sf)).select(_r("chi2", 6).alias("chi2"), "dof", "n", _r("cohens_w").alias("cohens_w"))
+
+
+def transition_test(spark, sf):
+    return transition_chi2(spark, sf).withColumn("p", statistics.chi2_sf("chi2", "dof"))
+
+
+def generated(spark, sf):
+    return generation.generate_all(_split(spark, sf, "test"), _split(spark, sf, "train"), spark)
+
+
+def _scores(spark, sf):
+    """One row per test record and method with every measure."""
+    test = _split(spark, sf, "test").select("idx", "gene_name", "species", "sequence")
+    rows = usage.with_cai(generated(spark, sf), _weights(spark, sf), "generated").join(test, "idx")
+    known = _split(spark, sf, "train").select(C.sequence_hash(F.col("sequence")).alias("h")).distinct()
+    rows = rows.withColumn("h", C.sequence_hash(F.col("generated"))).join(known.withColumn("seen", F.lit(True)), "h", "left")
+    cut = lambda c: C.chunked(F.col(c), partial=True)
+    gc, natural = C.gc_content(F.col("generated")), C.gc_content(F.col("sequence"))
+    return rows.select(
+        "idx", "method", "gene_name", "species", "cai", C.bleu(cut("sequence"), cut("generated")).alias("bleu"), C.diversity(cut("generated")).alias("diversity"),
+        gc.alias("gc"), F.abs(gc - natural).alias("gc_delta"), F.col("seen").isNull().alias("novel"),
+    )
+
+
+def sequence_scores(spark, sf):
+    measures = ("cai", "bleu", "diversity", "gc", "gc_delta")
+    return _scores(spark, sf).select("idx", "method", *[_r(m).alias(m) for m in measures], "novel")
+
+
+def method_summary(spark, sf):
+    mean = [_r(F.avg(m)).alias(m) for m in ("cai", "bleu", "diversity", "gc", "gc_delta")]
+    return _scores(spark, sf).groupBy("method").agg(F.count("*").alias("n"), *mean, _r(F.stddev_pop("gc")).alias("sd_gc"), _r(F.avg(F.col("novel").cast("double"))).alias("novelty"))
+
+
+def novel_sequences(spark, sf):
+    return similarity.novel(_split(spark, sf, "test"), _split(spark, sf, "train")).select("idx")
+
+
+def _sides(spark, sf):
+    keep = ["idx", "gene_name", "species", "protein"]
+    return _split(spark, sf, "test").select(keep), _split(spark, sf, "train").select(keep)
+
+
+def top_neighbours(spark, sf):
+    out = similarity.top_neighbours(*_sides(spark, sf))
+    return out.select("q_idx", "t_idx", "t_species", "edit_distance", _r("identity").alias("identity"), "rank")
+
+
+def capped_neighbours(spark, sf):
+    return similarity.top_neighbours(*_sides(spark, sf), k=3, max_identity=0.9).select("q_idx", "t_idx", "edit_distance", "rank")
+
+
+def max_identity(spark, sf):
+    return similarity.max_identity(*_sides(spark, sf)).withColumn("max_identity", _r("max_identity"))
+
+
+def nearest_identity(spark, sf):
+    return similarity.nearest_by_length_bound(*_sides(spark, sf)).withColumn("identity", _r("identity"))
+
+
+def threshold_pairs(spark, sf):
+    return similarity.threshold_pairs(*_sides(spark, sf), 0.7)
+
+
+def kmer_candidates(spark, sf):
+    return similarity.kmer_candidates(*_sides(spark, sf))
+
+
+def _best(spark, sf):
+    return similarity.max_identity(*_sides(spark, sf)).withColumnRenamed("max_identity", "identity")
+
+
+def identity_spread(spark, sf):
+    rows = _best(spark, sf).join(_split(spark, sf, "test").select("idx", "gene_name"), "idx")
+    out = statistics.spread(rows, ["gene_name"], "identity")
+    return out.select("gene_name", "n", *[_r(c).alias(c) for c in ("mean", "median", "p10", "p90", "p95", "min", "max", "sem")])
+
+
+def identity_histogram(spark, sf):
+    bin_ = F.least(F.floor((F.col("identity") - 0.3) / (0.7 / 49) + 1e-9) + 1, F.lit(49))
+    return _best(spark, sf).where("identity between 0.3 and 1.0").groupBy(bin_.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def stratified_scores(spark, sf):
+    long = _scores(spark, sf).join(_best(spark, sf), "idx").select("method", "identity", F.expr("stack(2, 'bleu', bleu, 'cai', cai) as (metric, value)"))
+    return statistics.stratified(long).withColumn("mean", _r("mean"))
+
+
+def _differences(spark, sf):
+    s = _scores(spark, sf).select("idx", "method", "species", "gene_name", "bleu")
+    base = s.where("method = 'codontransformer_remap'").select("idx", F.col("bleu").alias("b"))
+    return s.where(F.col("method").isin(*SUBJECTS)).join(base, "idx").withColumn("d", _r(F.col("bleu") - F.col("b")))
+
+
+def bootstrap_interval(spark, sf):
+    out = statistics.cluster_bootstrap(_differences(spark, sf), "species", "d", ["method"])
+    return out.select("method", _r("mean").alias("mean"), "n", "clusters", _r("lo").alias("lo"), _r("hi").alias("hi"), "significant")
+
+
+def signed_rank(spark, sf):
+    out = statistics.signed_rank(_differences(spark, sf), ["method"])
+    return out.select("method", "n", _r("statistic", 6).alias("statistic"), _r("effect").alias("effect"), _r("z").alias("z"))
+
+
+def significance(spark, sf):
+    tests = signed_rank(spark, sf).withColumn("p", statistics.normal_two_sided("z"))
+    return statistics.adjusted(tests.select("method", "p"))
+
+
+def rank_correlation(spark, sf):
+    rows = _scores(spark, sf).where("method <> 'natural_reference'").join(_best(spark, sf), "idx")
+    rows = rows.select("method", _r("identity").alias("identity"), _r("bleu").alias("bleu"))
+    return statistics.spearman(rows, ["method"], "identity", "bleu").select("method", _r("rho").alias("rho"), "n")
+
+
+def gene_rollup(spark, sf):
+    rows = _differences(spark, sf).where("method = 'most_frequent_codon'")
+    wins = F.avg((F.col("d") > 0).cast("int"))
+    agg = [F.count("*").alias("n"), _r(F.avg("d")).alias("mean"), _r(wins).alias("wins")]
+    pooled = rows.rollup("gene_name").agg(*agg).withColumn("gene_name", F.coalesce("gene_name", F.lit("pooled")))
+    rest = rows.where("gene_name <> 'ND6'").agg(*agg).select(F.lit("pooled without ND6").alias("gene_name"), "n", "mean", "wins")
+    return pooled.unionByName(rest)
+
+
+def gene_skew(spark, sf):
+    return _records(spark, sf).groupBy("gene_name", C.strand(F.col("gene_name")).alias("strand")).agg(F.count("*").alias("n"), _r(F.avg(C.gc_skew(F.col("sequence")))).alias("skew"))
+
+
+def skew_pivot(spark, sf):
+    rows = generated(spark, sf).join(_split(spark, sf, "test").select("idx", "gene_name"), "idx").where("gene_name in ('ND6', 'ND4', 'ATP8', 'ND5')")
+    rows = rows.withColumn("v", C.gc_skew(F.col("generated")))
+    return rows.groupBy("gene_name").pivot("method", ["natural_reference", "most_frequent_codon", "random_synonymous"]).agg(_r(F.avg("v")))
+
+
+def species_overlap(spark, sf):
+    test, train = (_split(spark, sf, s).select("species") for s in ("test", "train"))
+    parts = {"shared": test.intersect(train), "test_only": test.subtract(train), "train_only": train.subtract(test)}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()])
+
+
+def doubly_controlled(spark, sf):
+    rows = _best(spark, sf).join(_split(spark, sf, "test").select("idx", "species"), "idx").withColumn("bound", F.explode(F.array(*[F.lit(b).cast("decimal(2,1)") for b in ("0.7", "0.8", "0.9")])))
+    return rows.where(F.col("identity") <= F.col("bound").cast("double")).groupBy("bound").agg(F.count("*").alias("n"), F.countDistinct("species").alias("species")).where("n >= 5")
+
+
+def merged_tokens(spark, sf):
+    rows = _split(spark, sf, "test")
+    codons = C.chunked(F.col("sequence"))
+    return rows.select("idx", C.merged_tokens(F.col("protein"), F.slice(codons, 1, F.size(codons) - 1)).alias("tokens"))
+
+
+def holdout(spark, sf):
+    return clustering.hash_holdout(_records(spark, sf), "species").select("species", "idx")
+
+
+def split_sizes(spark, sf):
+    return clustering.split_report(_records(spark, sf), C.GENES, "split")
+
+
+def _gene_gc(spark, sf):
+    return _records(spark, sf).groupBy("gene_name", "split").agg(F.avg(C.gc_content(F.col("sequence"))).alias("gc"))
+
+
+def seed_summary(spark, sf):
+    out = statistics.seed_summary(_gene_gc(spark, sf), ["split"], "gc")
+    return out.select("split", "n", *[_r(c).alias(c) for c in ("mean", "sd", "min", "max")], "positive")
+
+
+def paired_seeds(spark, sf):
+    gc = _gene_gc(spark, sf)
+    out = statistics.paired_t(gc.where("split = 'test'"), gc.where("split = 'train'"), "gene_name", "gc")
+    return out.select("n", _r("mean").alias("mean"), _r("sd").alias("sd"), _r("sem").alias("sem"), _r("t", 6).alias("t"))
+
+
+def running_best(spark, sf):
+    """Monthly means as epochs: the best so far and how many epochs it has stood."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    epochs = orders.groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("epoch")).agg(F.avg("o_totalprice").alias("loss"))
+    # One row an epoch: a history fits one window.
+    w = Window.orderBy("epoch")
+    best = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = epochs.withColumn("before", best).withColumn("better", F.col("before").isNull() | (F.col("loss") < F.col("before")))
+    rows = rows.withColumn("island", F.sum(F.col("better").cast("int")).over(w))
+    stale = F.row_number().over(Window.partitionBy("island").orderBy("epoch")) - 1
+    return rows.select("epoch", _r("loss", 6).alias("loss"), "better", stale.cast("long").alias("stale"))
+
+
+def event_windows(spark, sf):
+    return hourly(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+def _clustered(spark, sf):
+    return clustering.cluster(_records(spark, sf).select("idx", "gene_name", "species", "protein"), 0.7)
+
+
+def protein_clusters(spark, sf):
+    return _clustered(spark, sf).select("idx", "gene_name", "cluster")
+
+
+def component_split(spark, sf):
+    comp = clustering.component_groups(_clustered(spark, sf))
+    members = comp.select(F.lit("all").alias("scope"), F.col("component").alias("grp"), "idx")
+    return members.join(clustering.assign_groups(members, {"train": 0.8, "val": 0.1, "test": 0.1}), ["scope", "grp"]).select("idx", "split")
+
+
+def controlled_split(spark, sf):
+    parts = clustering.gene_split(_clustered(spark, sf), {"train": 0.8, "val": 0.1, "test": 0.1})
+    return clustering.enforce(parts, 0.7).select("idx", "gene_name", "new_split")
+
+
+def homolog_copies(spark, sf):
+    test, train = _split(spark, sf, "test"), _split(spark, sf, "train")
+    top = similarity.top_neighbours(*_sides(spark, sf), k=1).select("q_idx", "t_idx")
+    q = test.select(F.col("idx").alias("q_idx"), F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"), F.col("protein_sequence").endswith("*").alias("q_has_stop"), F.col("sequence").alias("q_sequence"))
+    t = train.select(F.col("idx").alias("t_idx"), F.col("protein").alias("t_protein"), F.col("sequence").alias("t_sequence"))
+    out = generation.homolog_copy(top.join(q, "q_idx").join(t, "t_idx"), gene_tables(spark, sf))
+    n = F.greatest(F.length("q_protein"), F.lit(1))
+    return out.select(
+        "q_idx", "t_idx", "align_distance", _r(F.col("n_identical") / n).alias("identity_over_query"), _r("copied_fraction").alias("copied_fraction"), "copied_sequence",
+        _r(C.positional_identity(C.chunked(F.col("q_sequence")), C.chunked(F.col("copied_sequence")))).alias("codon_identity"),
+    )
+
+
+def augmented(spark, sf):
+    return generation.augment(_split(spark, sf, "train"), _weights(spark, sf))
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (
+        records, sequence_measures, codon_usage, codon_counts, rscu_weights, gene_tables, standard_remap, adaptation_index, transition_counts, transition_probabilities,
+        transition_divergence, transition_chi2, transition_test, generated, sequence_scores, method_summary, novel_sequences, top_neighbours, capped_neighbours, max_identity,
+        nearest_identity, threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, bootstrap_interval, signed_rank, significance,
+        rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, doubly_controlled, merged_tokens, holdout, split_sizes, seed_summary, paired_seeds,
+        running_best, event_windows, protein_clusters, component_split, controlled_split, homolog_copies, augmented,
+    )}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
