@@ -117,9 +117,9 @@ def edited_fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
     ids follow one another by the texts' hashes; rows that repeat id and text
     are one document in this order and each get its result.
     """
-    docs = documents.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("th", F.xxhash64("text"))
+    # The id travels as k alone, the largest number for none: both uses of the texts' shuffle then read the same columns, and it is made once.
+    none = F.lit((1 << 63) - 1)
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     ids = docs.groupBy("k", "th").agg(F.max(F.floor(F.length("text") / 2).cast("int")).alias("half"))
     # What the document before needs of each text, to be sent to it with the sketch.
     wanted = neighbours(ids).select(F.col("next_k").alias("k"), F.col("next_th").alias("th"), F.col("k").alias("prev_k"), F.col("th").alias("prev_th"), "half")
@@ -129,10 +129,10 @@ def edited_fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
     heads = base.where("copy = 1").select(
         F.col("prev_k").alias("k"), F.col("prev_th").alias("th"), F.expr("substring(text, 1, half)").alias("head"), F.col("sketch").alias("next_sketch")
     )
-    both = base.select("doc_id", "k", "th", "text", "sketch").join(heads, ["k", "th"])
+    both = base.select("k", "th", "text", "sketch").join(heads, ["k", "th"])
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.col("head"))
     out = both.withColumn("edited", edited).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        F.nullif("k", none).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         "sketch", "next_sketch", sketch(F.col("edited"), k).alias("edited_sketch"),
     )
     return out.select(
