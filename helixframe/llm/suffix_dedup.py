@@ -3,7 +3,7 @@
 A byte goes if a string of 100 bytes that covers it also starts earlier: in a
 document with a smaller id, or further ahead in the same one.
 
-1. Strings are anchored at their smallest 16-byte gram; only runs of strings
+1. Strings are anchored at their smallest 24-byte gram; only runs of strings
    whose anchor occurs twice or more can repeat. A run that equals an earlier
    run repeats as a whole.
 2. The other runs under shared anchors are dealt to shards by anchor. Of each
@@ -36,7 +36,7 @@ from helixframe.llm.textnum import BASES, byte_units, chunks, covered, prefix, r
 from helixframe.session import materialize
 
 LENGTH = 100
-GRAM = 16
+GRAM = 24
 LAST = (1 << 63) - 1
 #: Different runs of one anchor in a shard; more are dealt to several.
 RUNS = 4096
@@ -181,7 +181,8 @@ def repeated(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.n
 def _shards(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            rows.sort(key=lambda r: (r[2], r[3], r[4]))  # k, th, start: positions then follow the documents' order
+            # By k, th, start: positions then follow the documents' order. Rows that repeat id and text come once.
+            rows = list({(r[2], r[3], r[4]): r for r in sorted(rows, key=lambda r: (r[2], r[3], r[4]))}.values())
             parts = [r[5] for r in rows]
             bases, order, leaders = repeated(parts, length)
             of = np.searchsorted(bases, order, side="right") - 1
@@ -280,7 +281,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     )
     parsed = materialize(docs.join(found, ["k", "th"], "left").select("rest", "k", "th", "text", "found").mapInArrow(_factors(length, keep_text), schema), "parsed")
     pending = parsed.where("pending")
-    open_runs = pending.select("k", "th", F.explode("runs").alias("r")).select("k", "th", "r.*").dropDuplicates(["k", "th", "start"])
+    open_runs = pending.select("k", "th", F.explode("runs").alias("r")).select("k", "th", "r.*")
     dealt = open_runs.withColumn("shard", F.xxhash64("anchor", F.when(F.col("shards") > 1, F.pmod(F.xxhash64("k", "th", "start"), F.col("shards")))))
     solved = materialize(
         dealt.repartition("shard").sortWithinPartitions("shard").select("shard", "shards", "k", "th", "start", "bytes")
