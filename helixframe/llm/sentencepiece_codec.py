@@ -18,7 +18,9 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tokenizers
@@ -35,6 +37,8 @@ UNIGRAM, BPE = 1, 2
 CALL = 1 << 17
 #: Threads of the library in each task.
 THREADS = "2"
+#: Cuts whose ids a worker keeps, of up to 32 code points each: some 90 MB.
+REMEMBERED = 300_000
 
 
 @dataclass
@@ -146,14 +150,17 @@ class Codec:
     """Batches of texts to ids and back.
 
     Where the model lets text be cut, texts are normalised and cut here, which
-    is faster than the library's own steps, and go to its model as words; for
-    other models whole texts go through the pipeline.
+    is faster than the library's own steps. Different cuts go to the library in
+    batches; the first REMEMBERED of a worker are kept, as running text repeats
+    its words. For other models whole texts go through the pipeline.
     """
 
     def __init__(self, model: Model) -> None:
         self.model, self.tok = model, build(model)
         self.cut = _cuttable(model) and not any(kind == USER_DEFINED for *_, kind in model.pieces)
         self.pieces = tokenizers.Tokenizer(self.tok.model)
+        self.known: dict[str, list[int]] = {}
+        self.marked = np.array([p.startswith(MARK) for p, *_ in model.pieces])
         self.charsmap = normalizers.Precompiled(model.charsmap) if model.charsmap else None
 
     def normalize(self, text: str) -> str:
@@ -167,7 +174,27 @@ class Codec:
         if not self.cut:
             return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         cuts = [CUT.findall(self.normalize(t)) for t in texts]
-        return [e.ids for e in self.pieces.encode_batch_fast(cuts, is_pretokenized=True, add_special_tokens=False)]
+        known = self.known
+        new = list({c for part in cuts for c in part if c not in known})
+        found = self._ids(new)
+        ids = [[i for c in part for i in (known.get(c) or found[c])] for part in cuts]
+        if len(known) < REMEMBERED:
+            known.update(islice(((c, v) for c, v in found.items() if len(c) <= 32), REMEMBERED - len(known)))
+        return ids
+
+    def _ids(self, cuts: list[str]) -> dict[str, list[int]]:
+        """The ids of different cuts. Those of one marker and a word go as one sequence of words: a piece
+        that begins with the marker begins a cut."""
+        words = [c for c in cuts if len(c) > 1 and c[0] == MARK and c[1] != MARK]
+        out = {}
+        if words:
+            ids = self.pieces.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids
+            at = np.flatnonzero(self.marked[np.array(ids)]).tolist()
+            if len(at) == len(words) and at[0] == 0:
+                out = {c: ids[i:j] for c, i, j in zip(words, at, [*at[1:], len(ids)])}
+        rest = [c for c in cuts if c not in out]
+        out.update(zip(rest, (e.ids for e in self.pieces.encode_batch_fast(rest, add_special_tokens=False))))
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
