@@ -18,7 +18,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ UNIGRAM, BPE = 1, 2
 CALL = 1 << 17
 #: Threads of the library in each task.
 THREADS = "2"
-#: Cuts whose ids a worker keeps, of up to 32 code points each: some 90 MB.
+#: Cuts whose ids a worker remembers before it forgets all: some 100 MB for words.
 REMEMBERED = 300_000
 
 
@@ -151,8 +151,8 @@ class Codec:
 
     Where the model lets text be cut, texts are normalised and cut here, which
     is faster than the library's own steps. Different cuts go to the library in
-    batches; the first REMEMBERED of a worker are kept, as running text repeats
-    its words. For other models whole texts go through the pipeline.
+    batches and are remembered, as running text repeats its words. For other
+    models whole texts go through the pipeline.
     """
 
     def __init__(self, model: Model) -> None:
@@ -175,12 +175,10 @@ class Codec:
             return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         cuts = [CUT.findall(self.normalize(t)) for t in texts]
         known = self.known
-        new = list({c for part in cuts for c in part if c not in known})
-        found = self._ids(new)
-        ids = [[i for c in part for i in (known.get(c) or found[c])] for part in cuts]
-        if len(known) < REMEMBERED:
-            known.update(islice(((c, v) for c, v in found.items() if len(c) <= 32), REMEMBERED - len(known)))
-        return ids
+        if len(known) > REMEMBERED:
+            known.clear()
+        known.update(self._ids(list({c for part in cuts for c in part if c not in known})))
+        return [list(chain.from_iterable(map(known.__getitem__, part))) for part in cuts]
 
     def _ids(self, cuts: list[str]) -> dict[str, list[int]]:
         """The ids of different cuts. Those of one marker and a word go as one sequence of words: a piece
