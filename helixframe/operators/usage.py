@@ -72,7 +72,7 @@ def with_cai(records: DataFrame, weights: DataFrame, seq: str = "sequence", out:
 def transition_counts(records: DataFrame) -> DataFrame:
     """(from, to, n) of neighbouring full codons of known letters."""
     pairs = C.let(C.chunked(F.upper("sequence")), lambda c: F.arrays_zip(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))).alias("from"), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))).alias("to")))
-    rows = records.select(F.explode(pairs).alias("p")).select(F.col("p").getField("0").alias("from"), F.col("p").getField("1").alias("to"))
+    rows = records.select(F.explode(pairs).alias("p")).select(F.col("p")["from"].alias("from"), F.col("p")["to"].alias("to"))
     known = F.col("from").rlike("^[ACGT]{3}$") & F.col("to").rlike("^[ACGT]{3}$")
     return rows.where(known).groupBy("from", "to").agg(F.count("*").alias("n"))
 

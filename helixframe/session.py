@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,16 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
     )
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """The session, with this package on the path of local Python workers; clusters ship it with ``--py-files``."""
+    if spark.sparkContext.master.startswith("local["):
+        env = spark.sparkContext.environment
+        root = str(Path(__file__).resolve().parents[1])
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
