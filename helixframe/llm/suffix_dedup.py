@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.textnum import BASES, byte_units, chunks, covered, prefix, runs, segments
-from helixframe.session import materialize
+from helixframe.session import discard, materialize
 
 LENGTH = 100
 GRAM = 24
@@ -271,15 +271,19 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         near.join(contents.join(several, "anchor"), ["anchor", "content"])
         .withColumn("dup", me > F.col("first"))
         .where("dup or contents > 1")
-        .groupBy("k", "th")
-        .agg(F.collect_set(F.struct("start", "n", "dup", "anchor", F.ceil(F.col("contents") / RUNS).cast("int").alias("shards"))).alias("found"))
+        .select("k", "th", "start", "n", "dup", F.when(~F.col("dup"), F.col("anchor")).alias("anchor"), F.ceil(F.col("contents") / RUNS).cast("int").alias("shards"))
     )
+    # Written before the texts are shuffled: the look-ups' shuffles need not be on disk beside theirs.
+    judged = materialize(found, "judged")
+    discard(near)
+    found = judged.groupBy("k", "th").agg(F.collect_set(F.struct("start", "n", "dup", "anchor", "shards")).alias("found"))
     kinds = f"rest {docs.schema['rest'].dataType.simpleString()}"
     schema = (
         f"{kinds}, k long, th int, pending boolean, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>, "
         "runs array<struct<anchor:bigint,shards:int,start:int,n:int,bytes:binary>>"
     )
     parsed = materialize(docs.join(found, ["k", "th"], "left").select("rest", "k", "th", "text", "found").mapInArrow(_factors(length, keep_text), schema), "parsed")
+    discard(judged)
     pending = parsed.where("pending")
     open_runs = pending.select("k", "th", F.explode("runs").alias("r")).select("k", "th", "r.*")
     dealt = open_runs.withColumn("shard", F.xxhash64("anchor", F.when(F.col("shards") > 1, F.pmod(F.xxhash64("k", "th", "start"), F.col("shards")))))
