@@ -18,7 +18,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 CALL = 1 << 17
 #: Threads of the library in each task.
 THREADS = "2"
-#: Cuts whose ids a worker remembers before it forgets all: some 100 MB for words.
+#: Cuts whose ids a worker remembers before it forgets all: some 60 MB for words.
 REMEMBERED = 300_000
 
 
@@ -159,7 +158,10 @@ class Codec:
         self.model, self.tok = model, build(model)
         self.cut = _cuttable(model) and not any(kind == USER_DEFINED for *_, kind in model.pieces)
         self.pieces = tokenizers.Tokenizer(self.tok.model)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        #: A piece as it is read; ASCII bytes stand for themselves, other bytes get a mark: the library puts them together.
+        byte = lambda p: chr(int(p[3:5], 16)) if int(p[3:5], 16) < 128 else "\0"
+        self.surface = [byte(p) if kind == BYTE else "\0" if "\0" in p else p.replace(MARK, " ") for p, _, kind in model.pieces]
         self.marked = np.array([p.startswith(MARK) for p, *_ in model.pieces])
         self.charsmap = normalizers.Precompiled(model.charsmap) if model.charsmap else None
 
@@ -170,32 +172,41 @@ class Codec:
             text = re.sub(" {2,}", " ", text.strip(" "))
         return (MARK if self.model.add_prefix and text else "") + text.replace(" ", MARK)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cut:
-            return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         cuts = [CUT.findall(self.normalize(t)) for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         known.update(self._ids(list({c for part in cuts for c in part if c not in known})))
-        return [list(chain.from_iterable(map(known.__getitem__, part))) for part in cuts]
+        return [np.frombuffer(b"".join(map(known.__getitem__, part)), np.int32) for part in cuts]
 
-    def _ids(self, cuts: list[str]) -> dict[str, list[int]]:
-        """The ids of different cuts. Those of one marker and a word go as one sequence of words: a piece
-        that begins with the marker begins a cut."""
+    def _ids(self, cuts: list[str]) -> dict[str, bytes]:
+        """The ids of different cuts, as the bytes of an int32 array. Those of one marker and a word go as
+        one sequence of words: a piece that begins with the marker begins a cut."""
         words = [c for c in cuts if len(c) > 1 and c[0] == MARK and c[1] != MARK]
         out = {}
         if words:
-            ids = self.pieces.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids
-            at = np.flatnonzero(self.marked[np.array(ids)]).tolist()
+            ids = np.array(self.pieces.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+            at = np.flatnonzero(self.marked[ids]).tolist()
             if len(at) == len(words) and at[0] == 0:
-                out = {c: ids[i:j] for c, i, j in zip(words, at, [*at[1:], len(ids)])}
-        rest = [c for c in cuts if c not in out]
-        out.update(zip(rest, (e.ids for e in self.pieces.encode_batch_fast(rest, add_special_tokens=False))))
+                raw, ends = ids.tobytes(), [*at[1:], len(ids)]
+                out = {c: raw[4 * i : 4 * j] for c, i, j in zip(words, at, ends)}
+        rest = [c for c in cuts if c not in out] if len(out) < len(cuts) else []
+        out.update(zip(rest, (np.array(e.ids, np.int32).tobytes() for e in self.pieces.encode_batch_fast(rest, add_special_tokens=False))))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+        """Texts of ids. Pieces without bytes to be put together are joined here, others by the library."""
+        out = ["".join(map(self.surface.__getitem__, x)) for x in ids]
+        whole = [i for i, x in enumerate(out) if "\0" in x]
+        for i, text in zip(whole, self.tok.decode_batch([ids[i] for i in whole], skip_special_tokens=False)):
+            out[i] = text
+        if self.model.add_prefix:
+            done = set(whole)
+            out = [x if i in done else x.removeprefix(" ") for i, x in enumerate(out)]
+        return out
 
 
 def load(path: str) -> Codec:
@@ -241,11 +252,14 @@ def _codec(proto: bytes, verify: bool, keep: list[str]):
             for lo, hi in _calls(sizes):
                 piece = batch.slice(lo, hi - lo)
                 part = [x or "" for x in piece.column("text").to_pylist()]
-                ids = codec.encode(part)
+                arrays = codec.encode(part)
+                ids = [x.tolist() for x in arrays]
+                ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
                 back = codec.decode(ids)
                 same = [x == y for x, y in zip(ids, reference.encode(part, num_threads=1))] if verify else [None] * len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(back, pa.string()),
+                    [*(piece.column(c) for c in keep), lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(back, pa.string()),
                      pa.array([x == y for x, y in zip(back, part)]), pa.array(same, pa.bool_())], names)
 
     return run
