@@ -1,7 +1,8 @@
 """Five stages from raw documents to token ids.
 
-Rows without an id pass the stages that decide by id. The last stage returns
-token ids; all others the columns of documents.
+Near copies are decided by row; rows without an id pass the later stages that
+decide by id. The last stage returns token ids; all others the columns of
+documents.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, quality, sentencepiece_codec, simhash, substring_dedup
+from helixframe.llm import decontaminate, near_copies, quality, sentencepiece_codec, substring_dedup
 from helixframe.session import materialize
 
 #: SQL cannot express the classifier, the fingerprints or the tokenizer.
@@ -23,9 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies."""
-    near = simhash.near_duplicates(docs.where("doc_id is not null"))
-    return docs.join(near.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies: five-word shingles, Jaccard 0.8 or more, directly or by a chain."""
+    return near_copies.drop(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
