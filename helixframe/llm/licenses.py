@@ -125,14 +125,23 @@ def matches(index: Index, words: np.ndarray, hits: np.ndarray, grams: np.ndarray
             diagonals[t].add(at - place)
     found = []
     for t, firsts in diagonals.items():
-        last = None
+        starts: list[int] = []
         for first in sorted(firsts):
-            if last is not None and first - last <= BAND // 2:
-                continue
-            last = first
-            matched, start, end = align(index.words[t], words, first)
-            if matched >= coverage * len(index.words[t]):
-                found.append((t, matched, start, end))
+            if not starts or first - starts[-1] > BAND // 2:
+                starts.append(first)
+        # Another copy within the band hides behind the best one: blank what is found and look again.
+        left = words
+        while starts:
+            round_ = [(first, *align(index.words[t], left, first)) for first in starts]
+            round_ = [x for x in round_ if x[1] >= coverage * len(index.words[t])]
+            left = left.copy() if left is words else left
+            blank = np.zeros(len(words) + 1, dtype=bool)
+            for _, matched, start, end in sorted(round_, key=lambda x: (-x[1], x[2], x[3])):
+                if not blank[start:end].any():
+                    blank[start:end] = True
+                    found.append((t, matched, start, end))
+            left[blank[:-1]] = 0
+            starts = [x[0] for x in round_]
     kept: list[tuple[int, int, int, int]] = []
     taken = np.zeros(len(words) + 1, dtype=bool)
     for x in sorted(set(found), key=lambda x: (-x[1], x[2], index.names[x[0]])):
