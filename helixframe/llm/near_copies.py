@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.decontaminate import BROADCAST_ROWS, _sized
 from helixframe.llm.textnum import BASES, chunks, prefix, runs, windows, word_hashes, word_spans
 from helixframe.operators.graph import connected_components
 from helixframe.session import discard, materialize
@@ -189,7 +190,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bounded = pairs.join(a, "u").join(b, "v").select("u", "v", "up", "vp", (F.col("un") + F.col("vn")).cast("long").alias("total"))
     pairs = materialize(bounded.mapInArrow(_close, "u long, v long"), "near")
     used = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    rows = nodes.select("sig", "__row").join(used, "sig", "left_semi")
+    # Where few rows are wanted the texts stay where they are; else they are shuffled.
+    rows = _sized(nodes.select("sig", "__row").join(used, "sig", "left_semi"), BROADCAST_ROWS)
     sets = materialize(docs.select("__row", "text").join(rows, "__row").select("sig", "text").mapInArrow(_sets, "sig long, shingles array<long>"), "near")
     a, b = (sets.select(F.col("sig").alias(c), F.col("shingles").alias(c + "s")) for c in "uv")
     shared, total = F.size(F.array_intersect("us", "vs")), F.size("us") + F.size("vs")
@@ -220,5 +222,8 @@ def drop(documents: DataFrame) -> DataFrame:
     # Written first, so that a row keeps its number.
     docs = materialize(documents.withColumn("__row", F.monotonically_increasing_id()), "near")
     keys = docs.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__row").alias("row")).alias("key"))
-    low = components(docs).join(keys, "__row").groupBy("component").agg(F.min("key").alias("key"))
-    return docs.join(low.select(F.col("key.row").alias("__row")), "__row", "left_semi").select(documents.columns)
+    of = materialize(components(docs).join(keys, "__row"), "near")
+    low = of.groupBy("component").agg(F.min("key").alias("first"))
+    gone = materialize(of.join(low, "component").where("__row <> first.row").select("__row"), "near")
+    discard(of)
+    return docs.join(_sized(gone, BROADCAST_ROWS), "__row", "left_anti").select(documents.columns)
