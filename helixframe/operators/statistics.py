@@ -55,7 +55,7 @@ def _draw(seed: int, replicate: Column, position: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substr(F.md5(text), F.lit(1), F.lit(12)), 16, 10).cast("long"), n)
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, by: list[str], draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, by: list[str], draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Mean and its percentile interval when whole clusters are drawn with replacement.
 
     Clusters are summed first, so that a replicate is a join of as many draws as
