@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import uuid
@@ -38,16 +39,36 @@ def importable(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) is a folder under the warehouse used, which is shared by
-    contract wherever tables can be written.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where
+    driver and executors are one machine, may leave it unset: a folder under the
+    warehouse serves then.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return folder.rstrip("/")
 
 
+#: Folders written and not yet discarded, with their sessions; what is left is deleted when the driver's Python ends.
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for folder, spark in list(_written.items()):
+        try:
+            _delete(spark, folder)
+        except Exception:  # noqa: BLE001  the session has ended before: its folder is the cluster's to clear
+            pass
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -56,17 +77,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.option("compression", "zstd").parquet(path)
     # Lets Spark's cleaner drop the shuffle files of what is now written, which it does once the
     # driver has collected its garbage; until then they would fill the executors' disks.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized frame; call it once all that reads them is itself written."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames; call it once all that reads them is itself written."""
+    for df in frames:
+        if _written.pop(df._folder, None):
+            _delete(df.sparkSession, df._folder)
