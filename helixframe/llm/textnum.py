@@ -1,18 +1,25 @@
 """Byte and word runs of texts as numpy arrays of 64-bit hashes.
 
-Polynomial hashes modulo 2**64 with odd bases: any run's hash is a difference of
+Words are hashed eight bytes at a time through a mixing function, in two lanes
+that together make 128 bits. Runs of words or bytes are hashed by polynomials
+modulo 2**64 with odd bases over such numbers: any run's hash is a difference of
 prefix sums times an inverse power, so all windows of all texts of a batch are
-hashed by a few array operations. Bytes enter through a random table and results
-go through a finalizer.
+hashed by a few array operations. Runs have fewer than 1,024 units, below the
+length at which such polynomials have systematic collisions.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _MASK = (1 << 64) - 1
 _TABLE = np.random.default_rng(20240101).integers(0, _MASK, 256, dtype=np.uint64, endpoint=True)
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: Bytes beyond which a word is hashed on its own.
+LONG = 256
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -75,9 +82,23 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    base = BASES[0]
-    return runs(prefix(byte_units(data), base), starts, ends, base) + (ends - starts).astype(np.uint64) * np.uint64(BASES[1])
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64 bits of each word: eight bytes at a time are mixed into what the bytes before left."""
+    length = ends - starts
+    h = mix(length.astype(np.uint64) * np.uint64(BASES[lane]) + np.uint64(_SEEDS[lane]))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    loads = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    live, at = np.flatnonzero(length <= LONG), 0
+    while True:
+        left = length[live] - at
+        live, left = live[left > 0], left[left > 0]
+        if not len(live):
+            break
+        h[live] = mix((h[live] ^ (loads[starts[live] + at] & _LOW[np.minimum(left, 8)])) * np.uint64(BASES[1 - lane]))
+        at += 8
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), _SEEDS[lane])
+    return h
 
 
 def leftmost_minima(values: np.ndarray, m: int) -> np.ndarray:
@@ -119,27 +140,34 @@ def chunks(texts, size: int = 1 << 20, lower: bool = False):
         lo = hi
 
 
-def segments(units: np.ndarray, owner: np.ndarray, window: int, gram: int):
-    """(starts, counts, anchors): windows of one owner each, grouped by the gram that anchors them.
+def segments(sums: np.ndarray, owner: np.ndarray, window: int, gram: int):
+    """(starts, counts, anchors, loops): windows of one owner each, grouped by the gram that anchors them.
 
-    The anchor of a window is its leftmost smallest gram hash, so equal windows
-    have equal anchors wherever they stand. A group is a run of windows with one
-    anchor: it starts at units[start] and has count windows. About 2 of
-    window - gram + 2 units begin a group.
+    sums are prefix sums by BASES[1]. The anchor of a window is its smallest gram
+    hash, so equal windows have equal anchors wherever they stand. A group is a
+    run of windows with one anchor, cut after window - gram + 1 of them: it
+    starts at units[start] and has count windows. About 2 of window - gram + 2
+    units begin a group. loops marks groups in which the anchor's gram stands
+    more than once, whose windows may equal one another.
     """
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(units) < window:
-        return nothing
-    grams = windows(prefix(units, BASES[1]), gram, BASES[1])
+    nothing = np.zeros(0, np.int64)
+    units = len(sums) - 1
+    if units < window:
+        return nothing, nothing, np.zeros(0, np.uint64), np.zeros(0, bool)
+    grams = windows(sums, gram, BASES[1])
     at = leftmost_minima(grams, window - gram + 1)
     valid = np.flatnonzero(owner[: len(at)] == owner[window - 1 :])
     if not len(valid):
-        return nothing
+        return nothing, nothing, np.zeros(0, np.uint64), np.zeros(0, bool)
     at = at[valid]
-    breaks = np.flatnonzero((np.diff(at) != 0) | (np.diff(valid) != 1)) + 1
-    first = np.concatenate([[0], breaks])
+    value = grams[at]
+    new = np.ones(len(valid), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (np.diff(valid) != 1)
+    place = np.arange(len(valid))
+    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % (window - gram + 1) == 0
+    first = np.flatnonzero(new)
     counts = np.diff(np.concatenate([first, [len(valid)]]))
-    return valid[first], counts, grams[at[first]]
+    return valid[first], counts, value[first], at[first] != at[first + counts - 1]
 
 
 def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
