@@ -93,45 +93,85 @@ def strand(gene: Column) -> Column:
 
 
 def gene_index(gene: Column) -> Column:
-    """1-based index; 0 for unknown genes."""
-    return F.coalesce(F.array_position(F.array(*[F.lit(g) for g in GENES]), gene), F.lit(0)).cast("int")
+    """0-based index; unknown genes have that of the first."""
+    at = F.coalesce(F.array_position(F.array(*[F.lit(g) for g in GENES]), gene), F.lit(1))
+    return F.greatest(at - 1, F.lit(0)).cast("int")
 
 
-def diversity(codons: Column) -> Column:
-    """Shannon entropy in bits of the codons, a partial last one included."""
+def condition(gene: Column, mode: str) -> Column:
+    """The number that a generator is conditioned on: 'none', 'strand' (0 heavy, 1 light) or 'gene'."""
+    if mode == "strand":
+        return F.when(gene.isin(*LIGHT), 1).otherwise(0)
+    return gene_index(gene) if mode == "gene" else F.lit(0)
 
-    def of(cs):
-        n = F.size(cs)
-        parts = F.transform(F.array_distinct(cs), lambda c: F.size(F.filter(cs, lambda x: x == c)) / n)
-        return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
-    return let(codons, of)
+CONDITIONS = {"none": 0, "strand": 2, "gene": len(GENES)}
+
+
+def normalised_protein(text: Column) -> Column:
+    """A user's protein: trimmed, upper case, without trailing stops."""
+    return strip_stops(F.upper(F.trim(text)))
+
+
+def invalid_residues(protein: Column, alphabet: str = "ACDEFGHIKLMNPQRSTVWY*") -> Column:
+    """The different letters outside the alphabet, sorted."""
+    letters = F.filter(F.split(protein, ""), lambda a: a != "")
+    return F.array_sort(F.array_except(letters, F.array(*[F.lit(a) for a in alphabet])))
+
+
+def input_error(protein: Column, longest: int = 700) -> Column:
+    """Why a normalised protein cannot be generated for; null where it can."""
+    bad = invalid_residues(protein)
+    return (
+        F.when(F.length(_text(protein)) == 0, "empty protein")
+        .when(F.length(protein) > longest, F.concat(F.lit("longer than "), F.lit(longest)))
+        .when(F.size(bad) > 0, F.concat(F.lit("invalid residues: "), F.array_join(bad, ",")))
+    )
 
 
-def _grams(codons: Column, n: int) -> Column:
+def exact_under(codons: Column, protein: Column, table: int = 2) -> Column:
+    """Whether the codons translate to the protein, trailing stops aside."""
+    return strip_stops(translated(codons, table)) == strip_stops(protein)
+
+
+def _counted(hashes: Column) -> Column:
+    """Each element of a sorted array with its number among its equals, as one hash."""
+    return let(hashes, lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x))))
+
+
+def _gram_hashes(codons: Column, n: int) -> Column:
+    """Sorted 64-bit hashes of all runs of n codons."""
+
     def of(cs):
         last = F.size(cs) - n
-        grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(cs, i + 1, n), ""))
-        return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(cs, i + 1, n)))
+        return F.array_sort(F.when(last >= 0, grams).otherwise(F.array().cast("array<bigint>")))
 
     return let(codons, of)
 
 
+def diversity(codons: Column) -> Column:
+    """Shannon entropy in bits of the codons, a partial last one included."""
+
+    def of(s):
+        n = F.size(s)
+        first = F.transform(F.array_distinct(s), lambda c: F.array_position(s, c))
+        after = let(first, lambda f: F.zip_with(f, F.concat(F.slice(f, 2, F.greatest(F.size(f), F.lit(1))), F.array((n + 1).cast("long"))), lambda a, b: (b - a) / n))
+        return F.when(n > 0, F.aggregate(after, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+
+    return let(F.array_sort(codons), of)
+
+
 def bleu(reference: Column, hypothesis: Column, order: int = 4) -> Column:
-    """Codon BLEU of arrays of codons: clipped matches over the hypothesis' n-grams, floor 1e-8, brevity penalty."""
+    """Codon BLEU of arrays of codons: clipped matches over the hypothesis' n-grams, floor 1e-8, brevity penalty.
+
+    Clipped matches are the common part of two multisets: elements are numbered
+    among their equals, then it is the intersection of two sets.
+    """
     logs = []
     for n in range(1, order + 1):
-        def matched(r, h):
-            return F.aggregate(
-                F.array_distinct(h), F.lit(0),
-                lambda a, g: a + F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g))),
-            )
-
-        share = let(
-            F.struct(_grams(reference, n).alias("r"), _grams(hypothesis, n).alias("h")),
-            lambda p: F.greatest(matched(p["r"], p["h"]) / F.greatest(F.size(p["h"]), F.lit(1)), F.lit(1e-8)),
-        )
-        logs.append(F.ln(share))
+        shared = F.size(F.array_intersect(_counted(_gram_hashes(reference, n)), _counted(_gram_hashes(hypothesis, n))))
+        logs.append(F.ln(F.greatest(shared / F.greatest(F.size(hypothesis) - (n - 1), F.lit(1)), F.lit(1e-8))))
     mean = sum(logs[1:], logs[0]) / order
     r, h = F.size(reference), F.size(hypothesis)
     penalty = F.when(h >= r, 1.0).otherwise(F.exp(1 - r / F.greatest(h, F.lit(1))))
@@ -163,3 +203,46 @@ def kmers(protein: Column, k: int = 3) -> Column:
         return F.when(n >= 1, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
 
     return let(_text(protein), of)
+
+
+def padded(tokens: Column, width: int, value: int = 0) -> Column:
+    """An array cut or filled up to a fixed width."""
+    return F.slice(F.concat(tokens, F.array_repeat(F.lit(value), width)), 1, width)
+
+
+def merged_map(*maps: Column) -> Column:
+    """One map of several; of equal keys the last one's value stays."""
+    out = maps[0]
+    for later in maps[1:]:
+        def kept(m, later=later):
+            return F.map_filter(m, lambda k, _: ~F.map_contains_key(later, k))
+
+        out = F.map_concat(kept(out), later)
+    return out
+
+
+def without_field(items: Column, *fields: str) -> Column:
+    """An array of structs without some of their fields."""
+    return F.transform(items, lambda x: x.dropFields(*fields))
+
+
+def measured(sequence: Column, reference: Column, value) -> Column:
+    """value(reference, sequence) where there is a reference, else null."""
+    return F.when(reference.isNotNull() & (reference != ""), value(reference, sequence))
+
+
+# Keywords of the groups that published baselines are counted under.
+GROUPS = {
+    "freq": ("frequency", "cai", "codon usage", "preferred-codon", "most-preferred", "conventional codon"),
+    "algo": ("lineardesign", "brute-force", "random"),
+    "neural": ("codontransformer", "icor", "gemorna", "codongpt", "bert", "calm", "mistral", "esm2", "language model"),
+    "commercial": ("twist", "genewiz", "idt", "genscript", "gensmart"),
+    "wt": ("wild-type", "natural", "original"),
+}
+
+
+def categories(names: Column, homology: Column) -> Column:
+    """The keyword groups that an array of names falls into, in fixed order; 'homology' by its own flag."""
+    text = F.lower(F.concat_ws(" ; ", names))
+    hits = [F.when(F.greatest(*[F.instr(text, k) for k in keys]) > 0, F.lit(group)) for group, keys in GROUPS.items()]
+    return F.array_compact(F.array(*hits, F.when(homology, F.lit("homology"))))

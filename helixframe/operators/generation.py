@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions import codons as C
 from helixframe.operators import usage
+from helixframe.session import materialize
 
 METHODS = ("mt_cai_lookup", "random_synonymous", "most_frequent_codon", "codontransformer_remap")
 
@@ -51,9 +53,9 @@ def random_synonymous(records: DataFrame, spark: SparkSession, seed: int = 0, ou
 def generate_all(test: DataFrame, train: DataFrame, spark: SparkSession) -> DataFrame:
     """(idx, method, generated): the four baselines and the natural sequence."""
     lookups = {
-        "mt_cai_lookup": usage.top_codon(usage.codon_counts(train, C.HIGH_EXPRESSION)),
-        "most_frequent_codon": usage.top_codon(usage.codon_counts(train)),
-        "codontransformer_remap": usage.standard_remap(train),
+        "mt_cai_lookup": usage.lookup_table(train, spark, C.HIGH_EXPRESSION),
+        "most_frequent_codon": usage.lookup_table(train, spark),
+        "codontransformer_remap": usage.standard_remap(train, spark),
     }
     frames = [by_lookup(test, t).select("idx", F.lit(name).alias("method"), "generated") for name, t in lookups.items()]
     frames.append(random_synonymous(test, spark).select("idx", F.lit("random_synonymous").alias("method"), "generated"))
@@ -125,62 +127,103 @@ def align_map(query: str, target: str) -> tuple[int, list[int], int]:
     return int(same), places, int(d[n, m])
 
 
-def affine_score(query: str, target: str, match: float = 2, mismatch: float = -1, opening: float = -4, extending: float = -0.5) -> float:
-    """Best global alignment score with affine gaps; a gap of n costs opening + (n - 1) * extending."""
-    low = -1e18
-    m = len(target)
-    best, up = np.full(m + 1, low), np.full(m + 1, low)
-    best[0] = 0
-    for j in range(1, m + 1):
-        best[j] = opening + (j - 1) * extending
-    for i, x in enumerate(query, 1):
-        new, left = np.full(m + 1, low), low
-        up = np.maximum(best + opening, up + extending)
-        new[0] = opening + (i - 1) * extending
-        up[0] = new[0]
-        for j, y in enumerate(target, 1):
-            left = max(new[j - 1] + opening, left + extending)
-            new[j] = max(best[j - 1] + (match if x == y else mismatch), up[j], left)
-        best = new
-    return float(best[m])
-
-
-def with_alignment(pairs: DataFrame) -> DataFrame:
-    """Adds n_identical, pos_map and edit_distance to pairs (q_protein, t_protein)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+def affine_map(query: str, target: str, match: float = 2, mismatch: float = -1, opening: float = -4, extending: float = -0.5) -> tuple[int, list[int], float]:
+    """(identical residues, target position of each query residue or -1, score) of a global alignment with affine gaps.
+
+    A gap of n costs opening + (n - 1) * extending. Pairs are preferred over
+    gaps, then gaps in the target.
+    """
+    n, m = len(query), len(target)
+    q, t = np.frombuffer(query.encode("utf-32-le"), np.uint32), np.frombuffer(target.encode("utf-32-le"), np.uint32)
+    best = np.full((n + 1, m + 1), -np.inf)
+    up, left = best.copy(), best.copy()  # gaps in the target, gaps in the query
+    ramp = np.arange(m + 1) * extending
+    best[0, 0] = 0
+    best[0, 1:] = left[0, 1:] = opening + ramp[:-1]
+    for i in range(1, n + 1):
+        up[i] = np.maximum(best[i - 1] + opening, up[i - 1] + extending)
+        row = up[i].copy()
+        row[1:] = np.maximum(row[1:], best[i - 1, :-1] + np.where(t == q[i - 1], match, mismatch))
+        # A gap in the query that opens behind column k: no gap is opened behind another of its kind.
+        left[i, 1:] = np.maximum.accumulate(row[:-1] - ramp[:-1]) + opening + ramp[:-1]
+        best[i] = np.maximum(row, left[i])
+    i, j, state, same, places = n, m, "best", 0, [-1] * n
+    while i > 0 or j > 0:
+        if state == "best":
+            if i and j and best[i, j] == best[i - 1, j - 1] + (match if q[i - 1] == t[j - 1] else mismatch):
+                i, j = i - 1, j - 1
+                places[i] = j
+                same += int(q[i] == t[j])
+                continue
+            state = "up" if i and best[i, j] == up[i, j] else "left"
+        if state == "up":
+            state = "best" if up[i, j] == best[i - 1, j] + opening else "up"
+            i -= 1
+        else:
+            state = "best" if left[i, j] == best[i, j - 1] + opening else "left"
+            j -= 1
+    return same, places, float(best[n, m])
+
+
+def with_alignment(pairs: DataFrame, affine: bool = False) -> DataFrame:
+    """Adds n_identical, pos_map and, for unit costs, align_distance or, for affine gaps, align_score."""
+    last = T.StructField("align_score", T.DoubleType()) if affine else T.StructField("align_distance", T.IntegerType())
+    schema = T.StructType([*pairs.schema.fields, T.StructField("n_identical", T.IntegerType()), T.StructField("pos_map", T.ArrayType(T.IntegerType())), last])
+    align = affine_map if affine else align_map
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [align_map(a, b) for a, b in zip(pdf["q_protein"], pdf["t_protein"])]
-            yield pdf.assign(n_identical=[x[0] for x in out], pos_map=[x[1] for x in out], align_distance=[x[2] for x in out])
+            out = [align(a, b) for a, b in zip(pdf["q_protein"], pdf["t_protein"])]
+            yield pdf.assign(n_identical=[x[0] for x in out], pos_map=[x[1] for x in out], **{last.name: [x[2] for x in out]})
 
-    return pairs.mapInPandas(run, f"{schema}, n_identical int, pos_map array<int>, align_distance int")
+    # Alignments are much work for few rows: dealt to all cores.
+    return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
-def homolog_copy(pairs: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Adds copied_sequence and copied_fraction: the neighbour's codon where an aligned residue is equal, else its gene's commonest.
+def copied(rows: DataFrame, fallback: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Adds copied_sequence and copied_fraction: the neighbour's codon where an aligned residue is equal, else the gene's commonest.
 
-    pairs has gene, q_protein, t_protein, t_sequence and q_has_stop; fallback is
-    (gene_name, aa, codon). A stop is added only where the query had one.
+    rows has gene, pos_map and the protein and sequence of query (q_) and
+    neighbour (t_); fallback is (gene_name, aa, codon). A residue that the
+    fallback lacks gets the query's own codon, or, given a session, its first
+    synonym. Where the query has a stop, the neighbour's follows, or TAA.
     """
     per_gene = fallback.groupBy(F.col("gene_name").alias("gene")).agg(F.map_from_entries(F.collect_list(F.struct("aa", "codon"))).alias("__f"))
-    rows = with_alignment(pairs).join(per_gene, "gene", "left")
+    rows = rows.join(per_gene, "gene", "left").withColumns({"__q": C.chunked(F.upper("q_sequence")), "__t": C.chunked(F.upper("t_sequence"))})
     empty = F.create_map().cast("map<string,string>")
+    first = None
+    if spark is not None:
+        code = usage.genetic_code(spark).where("aa <> '*'").groupBy("aa").agg(F.min("codon").alias("codon"))
+        rows = rows.crossJoin(F.broadcast(_table_column(code).withColumnRenamed("__t", "__s")))  # one row
+        first = lambda a: F.try_element_at("__s", a)
 
-    def place(i, codons):
+    def place(i):
         a = F.substr("q_protein", i + 1, F.lit(1))
         at = F.get("pos_map", i)
         equal = (at >= 0) & (F.substr("t_protein", at + 1, F.lit(1)) == a)
-        codon = F.when(equal, F.get(codons, at))
-        return F.struct(F.coalesce(codon, F.try_element_at(F.coalesce("__f", empty), a), F.lit("NNN")).alias("c"), codon.isNotNull().alias("copied"))
-
-    n = F.length("q_protein")
-    placed = C.let(C.chunked(F.col("t_sequence")), lambda c: F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: place(i, c)))
-    made = F.when(n > 0, placed).otherwise(F.array().cast("array<struct<c:string,copied:boolean>>"))
-    rows = rows.withColumn("__m", made)
-    copied = F.size(F.filter("__m", lambda x: x["copied"]))
-    stop = F.when(F.col("q_has_stop"), F.lit("TAA")).otherwise("")
-    return rows.withColumn("copied_sequence", F.concat(F.array_join(F.transform("__m", lambda x: x["c"]), ""), stop)).withColumn("copied_fraction", copied / F.greatest(n, F.lit(1))).drop("__f", "__m")
+        codon = F.when(equal, F.get("__t", at))
+        return F.struct(F.coalesce(codon, F.try_element_at(F.coalesce("__f", empty), a), first(a) if first else F.get("__q", i), F.lit("TAA")).alias("c"), codon.isNotNull().alias("copied"))
+
+    n, m = F.length("q_protein"), F.length("t_protein")
+    placed = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), place)
+    rows = rows.withColumn("__m", F.when(n > 0, placed).otherwise(F.array().cast("array<struct<c:string,copied:boolean>>")))
+    own = F.try_element_at("__q", F.lit(-1)) if first else F.lit("TAA")
+    stop = F.when(F.size("__q") > n, F.coalesce(F.when(F.size("__t") > m, F.get("__t", m)), own)).otherwise("")
+    share = F.size(F.filter("__m", lambda x: x["copied"])) / F.greatest(n, F.lit(1))
+    made = F.concat(F.array_join(F.transform("__m", lambda x: x["c"]), ""), stop)
+    return rows.withColumns({"copied_sequence": made, "copied_fraction": share}).drop("__f", "__m", "__q", "__t", "__s")
+
+
+def homolog_copy(pairs: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Copies of the nearest neighbour by a unit-cost alignment."""
+    return copied(with_alignment(pairs), fallback)
+
+
+def best_aligned(pairs: DataFrame) -> DataFrame:
+    """Of each query's candidates (rank) the one with most identical residues under affine gaps; ties to the smaller rank."""
+    rows = materialize(with_alignment(pairs, affine=True), "aligned")
+    best = rows.groupBy("q_idx").agg(F.min(F.struct((-F.col("n_identical")).alias("m"), "rank")).alias("b")).select("q_idx", F.col("b.rank").alias("rank"))
+    return rows.join(materialize(best, "aligned"), ["q_idx", "rank"])
 
 
 def decode_with(records: DataFrame, scorer, batch: int = 64) -> DataFrame:

@@ -1,8 +1,11 @@
 """Joins of proteins by likeness within a gene.
 
-There are 13 genes, so a join on the gene alone would make 13 tasks. The pool
-is salted: each query goes to every salt of its gene and meets a part of the
-pool there; results per part are pre-aggregated (a grouped minimum) and merged.
+There are 13 genes, so a join on the gene alone would make 13 tasks. The pool of
+a gene is dealt to salts, as many as its size asks for; each query meets every
+salt of its gene. Equal proteins are compared once: queries collapse to their
+different proteins, and of equal pool rows only as many stay as a result can
+hold. One salt is compared first; what it finds bounds the distances in all
+others, where the banded distance gives up beyond the bound.
 """
 
 from __future__ import annotations
@@ -11,68 +14,171 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import codons as C
+from helixframe.session import materialize
 
-SALTS = 8
+#: Different pool proteins of a gene that one salt holds on average.
+SALT_ROWS = 2_000
+LEAST_SALTS = 8
 
 
-def _paired(queries: DataFrame, pool: DataFrame, salts: int, condition: Column | None = None) -> DataFrame:
-    q = queries.select(F.col("idx").alias("q_idx"), F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    t = pool.select(F.col("idx").alias("t_idx"), F.col("gene_name").alias("gene"), F.col("protein").alias("t_protein"), F.col("species").alias("t_species"))
-    t = t.withColumn("salt", F.pmod(F.xxhash64("t_idx"), F.lit(salts)).cast("int"))
-    pairs = q.join(t, ["gene", "salt"]).where(F.col("q_idx") != F.col("t_idx"))
-    return pairs.where(condition) if condition is not None else pairs
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
-def top_neighbours(queries: DataFrame, pool: DataFrame, k: int = 5, max_identity: float | None = None, salts: int = SALTS) -> DataFrame:
-    """The k pool rows of the same gene at least edit distance (ties: smaller idx), rank from 0."""
-    pairs = _paired(queries, pool, salts).withColumn("edit_distance", F.levenshtein("q_protein", "t_protein"))
-    longer = F.greatest(F.length("q_protein"), F.length("t_protein"), F.lit(1))
-    pairs = pairs.withColumn("identity", 1 - F.col("edit_distance") / longer)
-    if max_identity is not None:
-        pairs = pairs.where(F.col("identity") <= max_identity)
-    row = pairs.select("q_idx", "gene", "salt", "edit_distance", "t_idx", "t_species", "identity")
+def _spread(df: DataFrame) -> DataFrame:
+    """By gene and salt, to a number of tasks that adaptive execution keeps: rows are few where work is much."""
+    return df.repartition(_tasks(df), "gene", "salt")
+
+
+def _proteins(df: DataFrame, *more: Column | str) -> DataFrame:
+    return df.select("idx", F.col("gene_name").alias("gene"), "protein", *more)
+
+
+def _salted(pool: DataFrame) -> tuple[DataFrame, int]:
+    """The pool's rows (gene, t_protein, ...) with a salt by protein, and the number of salts."""
+    largest = pool.groupBy("gene").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = max(LEAST_SALTS, -(-largest // SALT_ROWS))
+    return pool.withColumn("salt", F.pmod(F.xxhash64("t_protein"), F.lit(salts)).cast("int")), salts
+
+
+def _all_salts(queries: DataFrame, salts: int, first: int = 0) -> DataFrame:
+    return queries.withColumn("salt", F.explode(F.sequence(F.lit(first), F.lit(salts - 1))))
+
+
+def _longer() -> Column:
+    return F.greatest(F.length("q_protein"), F.length("t_protein"), F.lit(1))
+
+
+def _gap() -> Column:
+    return F.abs(F.length("q_protein") - F.length("t_protein"))
+
+
+def _nearest(queries: DataFrame, pool: DataFrame, k: int, cap: float | None) -> DataFrame:
+    """(gene, q_protein, edit_distance, t_idx, ...): at least the k nearest pool rows of every different query protein.
+
+    Distances are ordered by (edit_distance, t_idx). Only pool rows of identity
+    cap or less count where a cap is given.
+    """
+    columns = ["gene", "q_protein", "edit_distance", "identity", *[c for c in pool.columns if c not in ("gene", "t_protein")]]
+    pool, salts = _salted(pool)
+    pool = materialize(pool, "pool")
     order = ["edit_distance", "t_idx"]
-    part = row.withColumn("r", F.row_number().over(Window.partitionBy("q_idx", "salt").orderBy(*order))).where(F.col("r") <= k).drop("r", "salt")
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("q_idx").orderBy(*order)) - 1).where(F.col("rank") < k)
+
+    def best(pairs: DataFrame, distance: Column) -> DataFrame:
+        rows = pairs.withColumn("edit_distance", distance).where("edit_distance >= 0").withColumn("identity", 1 - F.col("edit_distance") / _longer())
+        rows = rows.where(F.col("identity") <= cap) if cap is not None else rows
+        # Salt by salt first, then over the salts: no group is larger than a salt's.
+        part = rows.select(*columns, "salt").withColumn("r", F.row_number().over(Window.partitionBy("gene", "salt", "q_protein").orderBy(*order))).where(F.col("r") <= k)
+        return part.drop("r", "salt")
+
+    different = queries.select("gene", F.col("protein").alias("q_protein")).distinct()
+    head = best(_spread(different.withColumn("salt", F.lit(0))).join(_spread(pool.where("salt = 0")), ["gene", "salt"]), F.levenshtein("q_protein", "t_protein"))
+    head = materialize(head, "nearest")
+    full = head.groupBy("gene", "q_protein").agg(F.count("*").alias("n"), F.max("edit_distance").alias("d"))
+    # Nothing farther than the k-th of the first salt is wanted.
+    bounded = different.join(full, ["gene", "q_protein"], "left").select("gene", "q_protein", F.when(F.col("n") >= k, F.col("d")).alias("bound"))
+    limit = F.coalesce("bound", F.greatest(F.length("q_protein"), F.length("t_protein")))
+    pairs = _spread(_all_salts(bounded, salts, 1)).join(_spread(pool.where("salt > 0")), ["gene", "salt"]).where(_gap() <= limit)
+    tail = best(pairs, F.call_function("levenshtein", "q_protein", "t_protein", limit))
+    return head.unionByName(tail)
+
+
+def _few(pool: DataFrame, k: int, *more: str) -> DataFrame:
+    """Of equal proteins of a gene the k rows of the smallest idx: a result holds no more."""
+    w = Window.partitionBy("gene_name", "protein").orderBy("idx")
+    rows = pool.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    return rows.select(F.col("gene_name").alias("gene"), F.col("protein").alias("t_protein"), F.col("idx").alias("t_idx"), *[F.col(c).alias(f"t_{c}") for c in more])
+
+
+def top_neighbours(queries: DataFrame, pool: DataFrame, k: int = 5, max_identity: float | None = None) -> DataFrame:
+    """The k pool rows of the same gene at least edit distance (ties: smaller idx), rank from 0.
+
+    A query does not count as its own neighbour; queries without a neighbour do
+    not appear (`without_neighbours` counts them).
+    """
+    q = _proteins(queries)
+    # One more than k, since a query may be in the pool itself.
+    found = _nearest(q, _few(pool, k + 1, "species"), k + 1, max_identity)
+    w = Window.partitionBy("gene", "q_protein").orderBy("edit_distance", "t_idx")
+    found = materialize(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r"), "nearest")
+    rows = q.select(F.col("idx").alias("q_idx"), "gene", F.col("protein").alias("q_protein")).join(found, ["gene", "q_protein"]).where("q_idx <> t_idx")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_idx").orderBy("edit_distance", "t_idx")) - 1)
+    return ranked.where(F.col("rank") < k).drop("q_protein")
 
 
-def max_identity(queries: DataFrame, pool: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(idx, max_identity) of every query; 0.0 where its gene has no candidate."""
-    pairs = _paired(queries, pool, salts)
-    best = pairs.groupBy("q_idx").agg(F.max(C.identity(F.col("q_protein"), F.col("t_protein"))).alias("best"))
-    return queries.join(best, queries["idx"] == best["q_idx"], "left").select("idx", F.coalesce("best", F.lit(0.0)).alias("max_identity"))
+def without_neighbours(queries: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Queries that have no neighbour."""
+    return queries.join(neighbours.select(F.col("q_idx").alias("idx")).distinct(), "idx", "left_anti")
 
 
-def nearest_by_length_bound(queries: DataFrame, pool: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(q_idx, t_idx, identity) of the likest pool row; ties: smaller idx.
+def _likest(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(idx, gene, t_idx, identity): the likest pool row of the gene, ties to the smaller idx; null where there is none.
 
-    identity <= shorter / longer length. A first pass over the closest lengths
-    gives a bound; the second only compares lengths that could beat it.
+    Identity is at most shorter / longer length, and a pair is likelier than the
+    bound only within (1 - bound) * longer edits. A query may be in the pool: it
+    does not count for itself, so the two smallest idx of equal proteins stay.
     """
-    gap = F.abs(F.length("q_protein") - F.length("t_protein"))
-    first = _paired(queries, pool, salts, gap <= 2)
-    seed = first.groupBy("q_idx").agg(F.max(C.identity(F.col("q_protein"), F.col("t_protein"))).alias("bound"))
-    bounded = queries.join(seed, queries["idx"] == seed["q_idx"], "left").select("idx", "gene_name", "protein", F.coalesce("bound", F.lit(0.0)).alias("bound"))
-    pairs = _paired(bounded, pool, salts).join(bounded.select(F.col("idx").alias("q_idx"), "bound"), "q_idx")
-    shorter, longer = F.least(F.length("q_protein"), F.length("t_protein")), F.greatest(F.length("q_protein"), F.length("t_protein"), F.lit(1))
-    pairs = pairs.where(shorter / longer >= F.col("bound") - 1e-12)
-    best = pairs.groupBy("q_idx").agg(F.min(F.struct((-C.identity(F.col("q_protein"), F.col("t_protein"))).alias("m"), "t_idx")).alias("b"))
-    return best.select("q_idx", F.col("b.t_idx").alias("t_idx"), (-F.col("b.m")).alias("identity"))
-
-
-def threshold_pairs(left: DataFrame, right: DataFrame, threshold: float, salts: int = SALTS) -> DataFrame:
+    q = _proteins(queries)
+    pool, salts = _salted(_few(pool, 2))
+    pool = materialize(pool, "pool")
+    # A query whose protein another pool row has is done.
+    own = materialize(pool.groupBy("gene", "t_protein").agg(F.collect_set("t_idx").alias("of")).select("gene", F.col("t_protein").alias("protein"), "of"), "pool")
+    other = q.join(own, ["gene", "protein"], "left").select("idx", "gene", "protein", F.array_min(F.array_remove("of", F.col("idx"))).alias("twin"))
+    twins = other.where("twin is not null").select("idx", "gene", F.col("twin").alias("t_idx"), F.lit(1.0).alias("identity"))
+    rest = materialize(other.where("twin is null").select("idx", "gene", F.col("protein").alias("q_protein")), "queries")
+    different = rest.select("gene", "q_protein").distinct()
+
+    def best(pairs: DataFrame, distance: Column) -> DataFrame:
+        # Equal proteins have been dealt with: what is left is the query itself.
+        rows = pairs.where("q_protein <> t_protein").withColumn("d", distance).where("d >= 0").withColumn("m", F.col("d") / _longer() - 1)
+        return rows.groupBy("gene", "q_protein").agg(F.min(F.struct("m", "t_idx")).alias("b"))
+
+    head = best(_spread(different.withColumn("salt", F.lit(0))).join(_spread(pool.where("salt = 0")), ["gene", "salt"]), F.levenshtein("q_protein", "t_protein"))
+    head = materialize(head, "nearest")
+    bounded = different.join(head.select("gene", "q_protein", (-F.col("b.m")).alias("bound")), ["gene", "q_protein"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    shorter = F.least(F.length("q_protein"), F.length("t_protein"))
+    pairs = _spread(_all_salts(bounded, salts, 1)).join(_spread(pool.where("salt > 0")), ["gene", "salt"]).where(shorter / _longer() >= F.col("bound") - 1e-12)
+    limit = F.floor((1 - F.col("bound")) * _longer() + 1e-6).cast("int")
+    found = head.unionByName(best(pairs, F.call_function("levenshtein", "q_protein", "t_protein", limit))).groupBy("gene", "q_protein").agg(F.min("b").alias("b"))
+    rest = rest.join(found, ["gene", "q_protein"], "left").select("idx", "gene", F.col("b.t_idx").alias("t_idx"), (-F.col("b.m")).alias("identity"))
+    return twins.unionByName(rest)
+
+
+def max_identity(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(idx, max_identity) of every query; 0.0 where its gene has no candidate."""
+    return _likest(queries, pool).select("idx", F.coalesce("identity", F.lit(0.0)).alias("max_identity"))
+
+
+def nearest_by_length_bound(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(q_idx, t_idx, identity) of the likest pool row; ties: smaller idx. Queries without candidates do not appear."""
+    return _likest(queries, pool).where("t_idx is not null").select(F.col("idx").alias("q_idx"), "t_idx", "identity")
+
+
+def threshold_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs within int(len * (1 - threshold)) edits of the left protein: length filter, then banded distance."""
-    k = F.floor(F.length("q_protein") * (1 - threshold) + 1e-9).cast("int")
-    pairs = _paired(left, right, salts, F.abs(F.length("q_protein") - F.length("t_protein")) <= k)
+    pool = right.select(F.col("gene_name").alias("gene"), F.col("protein").alias("t_protein"), F.col("idx").alias("t_idx"))
+    pool, salts = _salted(pool)
+    q = left.select(F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"), F.col("idx").alias("q_idx"))
+    k = (F.length("q_protein") * F.lit(1.0 - threshold)).cast("int")
+    pairs = _spread(_all_salts(q, salts)).join(_spread(pool), ["gene", "salt"]).where((F.col("q_idx") != F.col("t_idx")) & (_gap() <= k))
     return pairs.withColumn("d", F.call_function("levenshtein", "q_protein", "t_protein", k)).where("d >= 0").select("q_idx", "t_idx", F.col("d").alias("edit_distance"))
 
 
 def kmer_candidates(queries: DataFrame, pool: DataFrame, k: int = 3, top: int = 8) -> DataFrame:
-    """(q_idx, t_idx, votes, rank): pool rows of the gene with the most common distinct k-mers; ties: smaller idx."""
+    """(q_idx, t_idx, votes, rank): pool rows of the gene with the most common distinct k-mers; ties: smaller idx.
+
+    A query that shares no k-mer gets the first rows of its gene, with no votes.
+    """
     grams = lambda df, name: df.select(F.col("idx").alias(name), F.col("gene_name").alias("gene"), F.explode(C.kmers(F.col("protein"), k)).alias("kmer"))
     votes = grams(queries, "q_idx").join(grams(pool, "t_idx"), ["gene", "kmer"]).where("q_idx <> t_idx").groupBy("q_idx", "t_idx").agg(F.count("*").alias("votes"))
     w = Window.partitionBy("q_idx").orderBy(F.desc("votes"), "t_idx")
-    return votes.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top)
+    found = materialize(votes.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top), "votes")
+    # One row more than top, since a query may be in the pool itself.
+    first = pool.select(F.col("gene_name").alias("gene"), F.col("idx").alias("t_idx")).withColumn("r", F.row_number().over(Window.partitionBy("gene").orderBy("t_idx"))).where(F.col("r") <= top + 1)
+    lone = queries.select(F.col("idx").alias("q_idx"), F.col("gene_name").alias("gene")).join(found.select("q_idx").distinct(), "q_idx", "left_anti")
+    rest = lone.join(first, "gene").where("q_idx <> t_idx").withColumn("rank", F.row_number().over(Window.partitionBy("q_idx").orderBy("r")) - 1).where(F.col("rank") < top)
+    return found.unionByName(rest.select("q_idx", "t_idx", F.lit(0).cast("long").alias("votes"), "rank"))
 
 
 def novel(candidates: DataFrame, known: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.operators.ranking import positions, tied_ranks
+
 STRATA = ((0.0, 0.6, "<60%"), (0.6, 0.8, "60-80%"), (0.8, 0.9, "80-90%"), (0.9, 0.95, "90-95%"), (0.95, 1.01, ">=95%"))
 
 
@@ -24,14 +26,27 @@ def stratum(x: Column) -> Column:
     return out
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, **points: float) -> DataFrame:
+    """Exact quantiles by group, between neighbours in proportion, as columns named by the keywords.
+
+    Values are numbered across tasks, so that no group is held in one buffer.
+    """
+    rows = positions(df.where(F.col(value).isNotNull()).select(*by, value), by, [value])
+    rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("__k")), by)
+    out = []
+    for name, q in points.items():
+        at = F.lit(q) * (F.col("__k") - 1)
+        part = at - F.floor(at)
+        weight = F.when(F.col("position") == F.floor(at), 1 - part).when(F.col("position") == F.floor(at) + 1, part)
+        out.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(name))
+    return rows.groupBy(*by).agg(*out)
+
+
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean, median, p10, p90, p95, min, max, sem of a column by group."""
+    """n, mean, median, p10, p90, p95, min, max, sem of a column by group; rows without a value do not count."""
     v = F.col(value)
-    pct = lambda q: F.percentile(v, F.lit(q))
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), pct(0.5).alias("median"), pct(0.1).alias("p10"), pct(0.9).alias("p90"), pct(0.95).alias("p95"),
-        F.min(v).alias("min"), F.max(v).alias("max"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"),
-    )
+    rest = df.where(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"))
+    return rest.join(quantiles(df, by, value, median=0.5, p10=0.1, p90=0.9, p95=0.95), by)
 
 
 def common_rows(metrics: DataFrame) -> DataFrame:
@@ -41,12 +56,22 @@ def common_rows(metrics: DataFrame) -> DataFrame:
     return metrics.join(per.join(F.broadcast(methods), "m").select("idx"), "idx", "left_semi")
 
 
-def stratified(metrics: DataFrame) -> DataFrame:
-    """(stratum, method, metric, n, mean): by stratum and, as 'overall', for all."""
-    long = metrics.withColumn("stratum", stratum(F.col("identity")))
+def stratified(metrics: DataFrame, least: int = 2) -> DataFrame:
+    """(stratum, method, metric, n, species, mean): by stratum and, as 'overall', for all.
+
+    A stratum needs at least so many rows and as many species.
+    """
+    long = metrics.where("value is not null").withColumn("stratum", stratum(F.col("identity")))
     sets = long.groupingSets([["method", "metric"], ["stratum", "method", "metric"]], "stratum", "method", "metric")
-    rows = sets.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.grouping("stratum").alias("g"))
-    return rows.where("g = 1 or stratum is not null").select(F.when(F.col("g") == 1, "overall").otherwise(F.col("stratum")).alias("stratum"), "method", "metric", "n", "mean")
+    rows = sets.agg(F.count("value").alias("n"), F.countDistinct("species").alias("species"), F.avg("value").alias("mean"), F.grouping("stratum").alias("g"))
+    kept = rows.where((F.col("g") == 1) | F.col("stratum").isNotNull() & (F.col("n") >= least) & (F.col("species") >= least))
+    return kept.select(F.when(F.col("g") == 1, "overall").otherwise(F.col("stratum")).alias("stratum"), "method", "metric", "n", "species", "mean")
+
+
+def by_stratum(metrics: DataFrame) -> DataFrame:
+    """The rows once for 'overall' and once for their stratum, for whatever is computed by stratum."""
+    names = F.array_compact(F.array(F.lit("overall"), stratum(F.col("identity"))))
+    return metrics.withColumn("stratum", F.explode(names))
 
 
 def _draw(seed: int, replicate: Column, position: Column, n: Column) -> Column:
@@ -79,22 +104,20 @@ def signed_rank(pairs: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
     Zero differences are dropped; identical vectors have statistic 0.
     """
     rows = pairs.where(F.col(diff).isNotNull())
-    kept = rows.where(f"{diff} <> 0").withColumn("a", F.abs(diff))
-    w = Window.partitionBy(*by).orderBy("a")
-    peers = Window.partitionBy(*by, "a")
-    ranked = kept.withColumn("t", F.count("*").over(peers)).withColumn("r", F.rank().over(w) + (F.col("t") - 1) / 2)
-    ranked = ranked.withColumn("o", F.row_number().over(Window.partitionBy(*by).orderBy("a", "idx")))
+    kept = rows.where(f"{diff} <> 0").select(*by, "idx", diff, F.abs(diff).alias("a"))
+    placed = tied_ranks(positions(kept, by, ["a", "idx"], "o").withColumn("o", F.col("o") + 1), by, "a", "r")
     up, down = F.col(diff) > 0, F.col(diff) < 0
     part = lambda c, what: F.sum(F.when(c, F.col(what)).otherwise(0))
-    stats = ranked.groupBy(*by).agg(
+    stats = placed.groupBy(*by).agg(
         F.count("*").alias("n"), part(up, "r").alias("w_plus"), part(down, "r").alias("w_minus"), part(up, "o").alias("o_plus"), part(down, "o").alias("o_minus"),
-        F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"),
+        F.sum(F.col("r_ties") * F.col("r_ties") - 1).cast("double").alias("ties"),
     )
     all_ = rows.groupBy(*by).agg(F.bool_and(F.abs(diff) <= 1e-8).alias("identical"))
     out = all_.join(stats, by, "left")
     effect = (F.col("o_plus") - F.col("o_minus")) / (F.col("o_plus") + F.col("o_minus"))
-    mean = F.col("n") * (F.col("n") + 1) / 4
-    var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
+    n = F.col("n").cast("double")
+    mean = n * (n + 1) / 4
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     statistic = F.least("w_plus", "w_minus")
     z = F.when(var > 0, (statistic - mean) / F.sqrt(var))
     return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "identical", F.when(F.col("identical"), 0.0).otherwise(statistic).alias("statistic"),
@@ -154,11 +177,9 @@ def adjusted(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Correlation of tie-averaged ranks by group."""
-    def rank(c):
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return rows.withColumn("rx", rank(x)).withColumn("ry", rank(y)).groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = tied_ranks(tied_ranks(rows, by, x, "rx"), by, y, "ry")
+    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def seed_summary(runs: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -172,3 +193,22 @@ def paired_t(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFrame:
     d = a.select(on, F.col(value).alias("x")).join(b.select(on, F.col(value).alias("y")), on).select((F.col("x") - F.col("y")).alias("d"))
     s = d.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")).withColumn("sem", F.col("sd") / F.sqrt("n"))
     return s.withColumn("t", F.when(F.col("sem") > 0, F.col("mean") / F.col("sem")))
+
+
+def checks(claims: DataFrame) -> DataFrame:
+    """(label, claimed, actual, tol) with passed: equal within the tolerance; what is missing fails."""
+    return claims.withColumn("passed", F.coalesce(F.abs(F.col("claimed") - F.col("actual")) <= F.col("tol"), F.lit(False)))
+
+
+def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two frames hold the same different rows, and how many each has alone."""
+    left, right = a.subtract(b).agg(F.count("*").alias("left_only")), b.subtract(a).agg(F.count("*").alias("right_only"))
+    return left.crossJoin(right).withColumn("same", (F.col("left_only") == 0) & (F.col("right_only") == 0))
+
+
+def best_epochs(history: DataFrame, by: list[str], epoch: str, loss: str, patience: int) -> DataFrame:
+    """The epoch of the smallest loss (the first of equals), how long it has stood, and whether patience ran out."""
+    best = F.min(F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch")))
+    out = history.groupBy(*by).agg(F.count("*").alias("epochs"), best.alias("b"), F.max(epoch).alias("last"))
+    stood = F.col("last") - F.col("b.epoch")
+    return out.select(*by, "epochs", F.col("b.epoch").alias("best_epoch"), F.col("b.loss").alias("best_loss"), stood.alias("stood"), ((stood >= patience) & (F.col("epochs") > patience)).alias("stopped"))

@@ -38,6 +38,33 @@ def top_codon(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return best.select(*by, "aa", F.col("best.codon").alias("codon"))
 
 
+def complete(table: DataFrame, spark: SparkSession) -> DataFrame:
+    """A look-up table (aa, codon) for all 20 residues: those that it lacks get their alphabetically first codon."""
+    first = genetic_code(spark).where("aa <> '*'").groupBy("aa").agg(F.min("codon").alias("first"))
+    return first.join(table, "aa", "left").select("aa", F.coalesce("codon", "first").alias("codon"))
+
+
+def lookup_table(records: DataFrame, spark: SparkSession, genes: tuple[str, ...] | None = None) -> DataFrame:
+    """(aa, codon) of all 20 residues: the commonest codon in the records of some genes."""
+    return complete(top_codon(codon_counts(records, genes)), spark)
+
+
+def copy_fallback(records: DataFrame, by: str = "gene_name") -> DataFrame:
+    """(by, aa, codon): the commonest codon at each residue of the protein column, whatever the codon codes for.
+
+    Where protein and codons differ in length the longer one's rest does not count.
+    """
+    pairs = C.let(F.struct(F.filter(F.split("protein", ""), lambda a: a != "").alias("p"), C.chunked(F.upper("sequence")).alias("c")),
+                  lambda x: F.slice(F.arrays_zip(x["p"].alias("aa"), x["c"].alias("codon")), 1, F.least(F.size(x["p"]), F.size(x["c"]))))
+    rows = records.select(by, F.explode(pairs).alias("x")).select(by, F.col("x.aa").alias("aa"), F.col("x.codon").alias("codon"))
+    return top_codon(rows.groupBy(by, "aa", "codon").agg(F.count("*").alias("n")), (by,))
+
+
+def constraint_table(spark: SparkSession) -> DataFrame:
+    """(aa, codon) of every codon that a residue allows; a stop allows the four stop codons."""
+    return genetic_code(spark)
+
+
 def rscu_weights(records: DataFrame, spark: SparkSession, genes: tuple[str, ...] | None = None) -> DataFrame:
     """(aa, codon, n, weight): count over the largest count among synonyms; 1 / synonyms for amino acids never seen."""
     code = genetic_code(spark).where("aa <> '*'")
@@ -48,9 +75,9 @@ def rscu_weights(records: DataFrame, spark: SparkSession, genes: tuple[str, ...]
     return joined.select("aa", "codon", "n", F.when(most > 0, F.col("n") / most).otherwise(1 / F.count("*").over(w)).alias("weight"))
 
 
-def standard_remap(records: DataFrame) -> DataFrame:
-    """(aa, codon) by the standard code, with isoleucine moved off ATA to its first other codon."""
-    top = top_codon(codon_counts(records, table=1))
+def standard_remap(records: DataFrame, spark: SparkSession) -> DataFrame:
+    """(aa, codon) of all 20 residues by the standard code, with isoleucine moved off ATA to its first other codon."""
+    top = complete(top_codon(codon_counts(records, table=1)), spark)
     other = F.when((F.col("aa") == "I") & (F.col("codon") == "ATA"), F.lit("ATC")).otherwise(F.col("codon"))
     return top.withColumn("codon", other)
 
@@ -94,18 +121,17 @@ def transition_divergence(counts_p: DataFrame, counts_q: DataFrame, spark: Spark
     return rows.agg(F.coalesce(F.sum(F.col("w") * F.col("p") * F.ln(F.col("p") / F.col("q"))), F.lit(0.0)).alias("kl"))
 
 
-def transition_chi2(counts_a: DataFrame, counts_b: DataFrame, least_row: int = 20, least_expected: float = 5.0) -> DataFrame:
-    """One row: chi2, dof, n and Cohen's w of b's transitions against a's row shares.
+def transition_chi2(counts_reference: DataFrame, counts_observed: DataFrame, spark: SparkSession, least_row: int = 5, least_expected: float = 1e-6) -> DataFrame:
+    """One row: chi2, dof, n and Cohen's w of observed transitions against the reference's smoothed probabilities.
 
-    Rows with fewer than least_row transitions in either are left out, and cells
-    with expected counts below least_expected.
+    Of each codon that is left least_row times or more, all successors with an
+    expected count above least_expected are compared, where there are two or more.
     """
-    a = counts_a.select("from", "to", F.col("n").alias("na"), F.sum("n").over(Window.partitionBy("from")).alias("ra"))
-    b_rows = counts_b.groupBy("from").agg(F.sum("n").alias("rb"))
-    b = counts_b.select("from", "to", F.col("n").alias("nb"))
-    cells = a.join(b_rows, "from").where((F.col("ra") >= least_row) & (F.col("rb") >= least_row)).join(b, ["from", "to"], "left")
-    cells = cells.withColumn("expected", F.col("rb") * F.col("na") / F.col("ra")).where(F.col("expected") >= least_expected)
-    gap = F.coalesce("nb", F.lit(0)) - F.col("expected")
-    rows = cells.groupBy("from").agg(F.sum(gap * gap / F.col("expected")).alias("x"), (F.count("*") - 1).alias("d"), F.sum(F.coalesce("nb", F.lit(0))).alias("n")).where("d > 0")
+    p = transition_probabilities(counts_reference, spark)
+    rows = counts_observed.groupBy("from").agg(F.sum("n").alias("row")).where(F.col("row") >= least_row)
+    cells = p.join(rows, "from").withColumn("expected", F.col("p") * F.col("row")).where(F.col("expected") > least_expected)
+    gap = F.coalesce("n", F.lit(0)) - F.col("expected")
+    rows = cells.join(counts_observed.select("from", "to", "n"), ["from", "to"], "left").groupBy("from")
+    rows = rows.agg(F.sum(gap * gap / F.col("expected")).alias("x"), (F.count("*") - 1).alias("d"), F.first("row").alias("n")).where("d > 0")
     total = rows.agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("chi2"), F.coalesce(F.sum("d"), F.lit(0)).alias("dof"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return total.withColumn("cohens_w", F.when(F.col("n") > 0, F.sqrt(F.col("chi2") / F.col("n"))).otherwise(0.0))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from helixframe.functions import codons as C
 from helixframe.operators import clustering, generation, similarity, statistics, usage
 from helixframe.plans.sql import SQL
+from helixframe.session import materialize
 from helixframe.sources.corpus import derived_records
+from helixframe.sources.sinks import manifest as missing
+from helixframe.sources.sinks import table_rows
 from helixframe.streaming.windows import hourly
 
 SUBJECTS = ("mt_cai_lookup", "most_frequent_codon", "random_synonymous")
@@ -20,8 +23,15 @@ def _r(c, digits: int = 9):
     return F.round(c, digits)
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return derived_records(spark, sf).withColumn("protein", C.strip_stops(F.col("protein_sequence")))
+    """The derived records, written once for each application and folder: every query below reads them again."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _tables:
+        _tables[key] = materialize(derived_records(spark, sf).withColumn("protein", C.strip_stops(F.col("protein_sequence"))), "records")
+    return _tables[key]
 
 
 def _split(spark, sf, name):
@@ -29,7 +39,7 @@ def _split(spark, sf, name):
 
 
 def records(spark, sf):
-    return _records(spark, sf).select("idx", "id", "gene_name", "species", "sequence", "protein_sequence", "split")
+    return derived_records(spark, sf).select("idx", "id", "gene_name", "species", "sequence", "protein_sequence", "split")
 
 
 def sequence_measures(spark, sf):
@@ -60,7 +70,43 @@ def gene_tables(spark, sf):
 
 
 def standard_remap(spark, sf):
-    return usage.standard_remap(_split(spark, sf, "train"))
+    return usage.standard_remap(_split(spark, sf, "train"), spark)
+
+
+def lookup_tables(spark, sf):
+    train = _split(spark, sf, "train")
+    tables = {"mt_cai_lookup": usage.lookup_table(train, spark, C.HIGH_EXPRESSION), "most_frequent_codon": usage.lookup_table(train, spark),
+              "tryptophan_only": usage.complete(usage.top_codon(usage.codon_counts(train.where("protein rlike '^W+$'"))), spark)}
+    return reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("name"), "aa", "codon") for name, t in tables.items()])
+
+
+def constraint_table(spark, sf):
+    return usage.constraint_table(spark)
+
+
+def organism_tables(spark, sf):
+    """The commonest codon at each residue, by species of 200 records or more."""
+    rows = _split(spark, sf, "train")
+    large = rows.groupBy("species").count().where("count >= 200").select("species")
+    return usage.copy_fallback(rows.join(large, "species", "left_semi"), "species")
+
+
+def conditions(spark, sf):
+    g = F.col("gene_name")
+    return _records(spark, sf).groupBy("gene_name").agg(F.count("*").alias("n")).select("gene_name", "n", *[C.condition(g, m).alias(m) for m in ("none", "strand", "gene")])
+
+
+def protein_inputs(spark, sf):
+    """What a user would send, from the texts: normalised, and why it is refused."""
+    p = C.normalised_protein(F.col("text"))
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", p.alias("protein")).select("item_id", F.sha2("protein", 256).alias("protein_sha256"), C.input_error(F.col("protein")).alias("error"))
+
+
+def code_exactness(spark, sf):
+    codons = C.chunked(F.col("sequence"))
+    rows = _split(spark, sf, "test")
+    return rows.select(F.col("gene_name"), C.exact_under(codons, F.col("protein_sequence"), 2).alias("own"), C.exact_under(codons, F.col("protein_sequence"), 1).alias("standard")).groupBy("gene_name").agg(
+        F.count("*").alias("n"), _r(F.avg(F.col("own").cast("double"))).alias("own"), _r(F.avg(F.col("standard").cast("double"))).alias("standard"))
 
 
 def adaptation_index(spark, sf):
@@ -84,7 +130,7 @@ def transition_divergence(spark, sf):
 
 
 def transition_chi2(spark, sf):
-    return usage.transition_chi2(*_transitions(spark, sf)).select(_r("chi2", 6).alias("chi2"), "dof", "n", _r("cohens_w").alias("cohens_w"))
+    return usage.transition_chi2(*_transitions(spark, sf), spark).select(_r("chi2", 6).alias("chi2"), "dof", "n", _r("cohens_w").alias("cohens_w"))
 
 
 def transition_test(spark, sf):
@@ -95,8 +141,11 @@ def generated(spark, sf):
     return generation.generate_all(_split(spark, sf, "test"), _split(spark, sf, "train"), spark)
 
 
+MEASURES = ("cai", "bleu", "diversity", "gc", "gc_delta")
+
+
 def _scores(spark, sf):
-    """One row per test record and method with every measure."""
+    """One row per test record and method with every measure; the natural sequence has no delta of its own."""
     test = _split(spark, sf, "test").select("idx", "gene_name", "species", "sequence")
     rows = usage.with_cai(generated(spark, sf), _weights(spark, sf), "generated").join(test, "idx")
     known = _split(spark, sf, "train").select(C.sequence_hash(F.col("sequence")).alias("h")).distinct()
@@ -105,18 +154,31 @@ def _scores(spark, sf):
     gc, natural = C.gc_content(F.col("generated")), C.gc_content(F.col("sequence"))
     return rows.select(
         "idx", "method", "gene_name", "species", "cai", C.bleu(cut("sequence"), cut("generated")).alias("bleu"), C.diversity(cut("generated")).alias("diversity"),
-        gc.alias("gc"), F.abs(gc - natural).alias("gc_delta"), F.col("seen").isNull().alias("novel"),
+        gc.alias("gc"), F.when(F.col("method") != "natural_reference", F.abs(gc - natural)).alias("gc_delta"), F.col("seen").isNull().alias("novel"),
+        C.complies(C.translated(C.chunked(F.col("generated")))).alias("complies"),
     )
 
 
 def sequence_scores(spark, sf):
-    measures = ("cai", "bleu", "diversity", "gc", "gc_delta")
-    return _scores(spark, sf).select("idx", "method", *[_r(m).alias(m) for m in measures], "novel")
+    return _scores(spark, sf).select("idx", "method", *[_r(m).alias(m) for m in MEASURES], "novel", "complies")
 
 
 def method_summary(spark, sf):
-    mean = [_r(F.avg(m)).alias(m) for m in ("cai", "bleu", "diversity", "gc", "gc_delta")]
-    return _scores(spark, sf).groupBy("method").agg(F.count("*").alias("n"), *mean, _r(F.stddev_pop("gc")).alias("sd_gc"), _r(F.avg(F.col("novel").cast("double"))).alias("novelty"))
+    mean = [_r(F.coalesce(F.avg(m), F.lit(0.0))).alias(m) for m in MEASURES]
+    rate = [_r(F.avg(F.coalesce(F.col(m), F.lit(False)).cast("double"))).alias(name) for m, name in (("novel", "novelty"), ("complies", "compliance"))]
+    return _scores(spark, sf).groupBy("method").agg(F.count("*").alias("n"), *mean, _r(F.stddev_pop("gc")).alias("sd_gc"), *rate)
+
+
+def best_methods(spark, sf):
+    """The methods in order of their mean BLEU."""
+    rows = method_summary(spark, sf).where("method <> 'natural_reference'")
+    # One row a method.
+    return rows.select("method", "bleu", F.row_number().over(Window.orderBy(F.desc("bleu"), "method")).alias("place")).where("place <= 10")
+
+
+def report_lines(spark, sf):
+    names = {"mt_cai_lookup": "Lookup", "most_frequent_codon": "Most frequent"}
+    return table_rows(method_summary(spark, sf), "method", ("bleu", "cai"), names)
 
 
 def novel_sequences(spark, sf):
@@ -168,9 +230,25 @@ def identity_histogram(spark, sf):
     return _best(spark, sf).where("identity between 0.3 and 1.0").groupBy(bin_.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _long(spark, sf):
+    """(idx, method, species, identity, metric, value) of the records that every method has."""
+    wide = _scores(spark, sf).join(_best(spark, sf), "idx")
+    kinds = ", ".join(f"'{m}', {m}" for m in ("bleu", "cai", "gc_delta", "diversity"))
+    long = wide.select("idx", "method", "species", _r("identity").alias("identity"), F.expr(f"stack(4, {kinds}) as (metric, value)")).withColumn("value", _r("value"))
+    return statistics.common_rows(materialize(long, "long"))
+
+
 def stratified_scores(spark, sf):
-    long = _scores(spark, sf).join(_best(spark, sf), "idx").select("method", "identity", F.expr("stack(2, 'bleu', bleu, 'cai', cai) as (metric, value)"))
-    return statistics.stratified(long).withColumn("mean", _r("mean"))
+    return statistics.stratified(_long(spark, sf)).withColumn("mean", _r("mean"))
+
+
+def stratified_intervals(spark, sf):
+    """Means by stratum with their intervals, whole species drawn."""
+    rows = statistics.by_stratum(_long(spark, sf).where("metric in ('bleu', 'cai')"))
+    keep = rows.where("value is not null").groupBy("stratum", "method", "metric").agg(F.count("*").alias("c"), F.countDistinct("species").alias("s")).where("stratum = 'overall' or c >= 2 and s >= 2")
+    rows = rows.join(keep.drop("c", "s"), ["stratum", "method", "metric"], "left_semi")
+    out = statistics.cluster_bootstrap(rows, "species", "value", ["stratum", "method", "metric"])
+    return out.select("stratum", "method", "metric", _r("mean").alias("mean"), "n", "clusters", _r("lo").alias("lo"), _r("hi").alias("hi"))
 
 
 def _differences(spark, sf):
@@ -189,6 +267,15 @@ def signed_rank(spark, sf):
     return out.select("method", "n", _r("statistic", 6).alias("statistic"), _r("effect").alias("effect"), _r("z").alias("z"))
 
 
+def doubly_controlled_intervals(spark, sf):
+    """Paired differences of the records below an identity bound, by 10,000 draws of whole species."""
+    d = _differences(spark, sf).where("method = 'most_frequent_codon'").join(_best(spark, sf), "idx")
+    rows = d.withColumn("bound", F.explode(F.array(*[F.lit(b) for b in (70, 80, 90)]))).where(F.round(F.col("identity"), 9) <= F.col("bound") / 100)
+    large = rows.groupBy("bound").count().where("count >= 5").select("bound")
+    out = statistics.cluster_bootstrap(rows.join(large, "bound", "left_semi"), "species", "d", ["bound"], draws=10_000, seed=20261008)
+    return out.select("bound", _r("mean").alias("mean"), "n", "clusters", _r("lo").alias("lo"), _r("hi").alias("hi"), "significant")
+
+
 def significance(spark, sf):
     tests = signed_rank(spark, sf).withColumn("p", statistics.normal_two_sided("z"))
     return statistics.adjusted(tests.select("method", "p"))
@@ -285,40 +372,137 @@ def protein_clusters(spark, sf):
 
 
 def component_split(spark, sf):
-    comp = clustering.component_groups(_clustered(spark, sf))
-    members = comp.select(F.lit("all").alias("scope"), F.col("component").alias("grp"), "idx")
-    return members.join(clustering.assign_groups(members, {"train": 0.8, "val": 0.1, "test": 0.1}), ["scope", "grp"]).select("idx", "split")
+    return clustering.component_split(_clustered(spark, sf))
 
 
 def controlled_split(spark, sf):
-    parts = clustering.gene_split(_clustered(spark, sf), {"train": 0.8, "val": 0.1, "test": 0.1})
-    return clustering.enforce(parts, 0.7).select("idx", "gene_name", "new_split")
+    return clustering.enforce(clustering.gene_split(_clustered(spark, sf)), 0.7).select("idx", "gene_name", "new_split")
 
 
-def homolog_copies(spark, sf):
+def split_identity(spark, sf):
+    rows = clustering.enforce(clustering.gene_split(_clustered(spark, sf)), 0.7)
+    out = clustering.achieved_identity(materialize(rows, "split"), 0.7)
+    return out.select("split", "n", *[_r(c).alias(c) for c in ("mean", "median", "p95", "max", "above")])
+
+
+def _with_texts(spark, sf, pairs):
     test, train = _split(spark, sf, "test"), _split(spark, sf, "train")
-    top = similarity.top_neighbours(*_sides(spark, sf), k=1).select("q_idx", "t_idx")
-    q = test.select(F.col("idx").alias("q_idx"), F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"), F.col("protein_sequence").endswith("*").alias("q_has_stop"), F.col("sequence").alias("q_sequence"))
+    q = test.select(F.col("idx").alias("q_idx"), F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"), F.col("sequence").alias("q_sequence"))
     t = train.select(F.col("idx").alias("t_idx"), F.col("protein").alias("t_protein"), F.col("sequence").alias("t_sequence"))
-    out = generation.homolog_copy(top.join(q, "q_idx").join(t, "t_idx"), gene_tables(spark, sf))
-    n = F.greatest(F.length("q_protein"), F.lit(1))
-    return out.select(
-        "q_idx", "t_idx", "align_distance", _r(F.col("n_identical") / n).alias("identity_over_query"), _r("copied_fraction").alias("copied_fraction"), "copied_sequence",
+    return pairs.join(q, "q_idx").join(t, "t_idx")
+
+
+def _copy_columns():
+    n, longer = F.greatest(F.length("q_protein"), F.lit(1)), F.greatest(F.length("q_protein"), F.length("t_protein"), F.lit(1))
+    return [
+        "q_idx", "t_idx", _r(F.col("n_identical") / n).alias("identity_over_query"), _r(F.col("n_identical") / longer).alias("identity_over_max"), _r("copied_fraction").alias("copied_fraction"), "copied_sequence",
         _r(C.positional_identity(C.chunked(F.col("q_sequence")), C.chunked(F.col("copied_sequence")))).alias("codon_identity"),
-    )
+    ]
+
+
+def homolog_copies(spark, sf):
+    top = similarity.top_neighbours(*_sides(spark, sf), k=1).select("q_idx", "t_idx")
+    out = generation.homolog_copy(_with_texts(spark, sf, top), usage.copy_fallback(_split(spark, sf, "train")))
+    return out.select(*_copy_columns(), "align_distance")
+
+
+def kmer_copies(spark, sf):
+    """Copies of the candidate that an alignment with affine gaps finds likest."""
+    best = generation.best_aligned(_with_texts(spark, sf, similarity.kmer_candidates(*_sides(spark, sf)).select("q_idx", "t_idx", "rank")))
+    return generation.copied(best, usage.copy_fallback(_split(spark, sf, "train")), spark).select(*_copy_columns(), "align_score")
+
+
+def without_neighbours(spark, sf):
+    """Test records that have no neighbour of 0.3 identity or less, by gene."""
+    q, t = _sides(spark, sf)
+    return similarity.without_neighbours(q, similarity.top_neighbours(q, t, k=1, max_identity=0.3)).groupBy("gene_name").agg(F.count("*").alias("n"))
 
 
 def augmented(spark, sf):
     return generation.augment(_split(spark, sf, "train"), _weights(spark, sf))
 
 
+def originals(spark, sf):
+    """How many rows of the augmented corpus are originals: those below the first variant's number."""
+    rows = _split(spark, sf, "train")
+    n = rows.agg((F.max("idx") + 1).alias("n"))
+    made = generation.augment(rows, _weights(spark, sf)).crossJoin(F.broadcast(n))  # one row
+    return made.groupBy((F.col("idx") < F.col("n")).alias("original")).agg(F.count("*").alias("rows"), F.countDistinct("idx").alias("different"))
+
+
+def sampled_order(spark, sf):
+    """50 test records in a reproducible order, each with its place."""
+    return clustering.hash_sample(_split(spark, sf, "test").select("idx"), 50)
+
+
+def positional_join(spark, sf):
+    """Results listed in the sampled order, joined to their records by place."""
+    order = clustering.hash_sample(_split(spark, sf, "test").select("idx"), 50)
+    listed = order.select("pos", (F.col("pos") * 2).alias("value"))
+    return order.join(listed, "pos").join(_split(spark, sf, "test").select("idx", "id", "gene_name"), "idx").select("pos", "id", "gene_name", "value")
+
+
+def key_join(spark, sf):
+    """Rows that name records by id; ids that are not known are left out."""
+    named = _split(spark, sf, "test").select("id", F.length("sequence").alias("n")).unionByName(spark.range(3).select(F.concat(F.lit("none"), "id").alias("id"), F.lit(0).alias("n")))
+    return named.join(_split(spark, sf, "test").select("id", "idx"), "id").groupBy().agg(F.count("*").alias("rows"), F.sum("n").alias("letters"))
+
+
+def best_epochs(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    rows = orders.groupBy("o_orderpriority", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("epoch")).agg(F.round(F.avg("o_totalprice"), 6).alias("loss"))
+    return statistics.best_epochs(rows, ["o_orderpriority"], "epoch", "loss", 8)
+
+
+def split_manifest(spark, sf):
+    """Which genes have records in every split."""
+    expected = spark.createDataFrame([(f"{g}/{s}",) for g in C.GENES for s in ("train", "val", "test", "calibration")], "path string")
+    return missing(expected, _records(spark, sf).select(F.concat_ws("/", "gene_name", "split").alias("path")))
+
+
+def golden_checks(spark, sf):
+    """Claimed numbers against those computed, within a tolerance."""
+    rows = _records(spark, sf)
+    actual = rows.agg(F.count("*").cast("double").alias("records"), F.countDistinct("species").cast("double").alias("species"), F.avg(C.gc_content(F.col("sequence"))).alias("gc"))
+    long = actual.select(F.expr("stack(3, 'records', records, 'species', species, 'gc', gc) as (label, actual)"))
+    claims = spark.createDataFrame([("records", 46264.0, 0.5), ("species", 12.0, 100.0), ("gc", 0.5, 0.1), ("absent", 1.0, 1.0)], "label string, claimed double, tol double")
+    return statistics.checks(claims.join(long, "label", "left")).select("label", "claimed", _r("actual").alias("actual"), "tol", "passed")
+
+
+def species_equality(spark, sf):
+    return statistics.same_sets(_split(spark, sf, "test").select("species"), _split(spark, sf, "train").select("species"))
+
+
+def padded_proteins(spark, sf):
+    """Residue numbers padded with zeros to a fixed width."""
+    rows = _split(spark, sf, "val")
+    numbers = F.transform(F.filter(F.split("protein", ""), lambda a: a != ""), lambda a: F.instr(F.lit("ACDEFGHIKLMNPQRSTVWY"), a))
+    return rows.select("idx", F.array_join(C.padded(numbers, 128), ",").alias("tokens"))
+
+
+def survey_categories(spark, sf):
+    """The benchmark items' words as a literature table: which keyword groups each names."""
+    words = F.split(F.lower("text"), r"\W+")
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.array_join(C.categories(words, F.col("item_id") % 2 == 0), ",").alias("groups"))
+
+
+def merged_metrics(spark, sf):
+    """Two maps of measures by method, of which the later wins."""
+    rows = method_summary(spark, sf)
+    first = F.map_from_arrays(F.array(F.lit("cai"), F.lit("bleu")), F.array("cai", "bleu"))
+    later = F.map_from_arrays(F.array(F.lit("bleu"), F.lit("gc")), F.array(F.lit(-1.0), F.col("gc")))
+    return rows.select("method", F.explode(C.merged_map(first, later)).alias("metric", "value"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        records, sequence_measures, codon_usage, codon_counts, rscu_weights, gene_tables, standard_remap, adaptation_index, transition_counts, transition_probabilities,
-        transition_divergence, transition_chi2, transition_test, generated, sequence_scores, method_summary, novel_sequences, top_neighbours, capped_neighbours, max_identity,
-        nearest_identity, threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, bootstrap_interval, signed_rank, significance,
-        rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, doubly_controlled, merged_tokens, holdout, split_sizes, seed_summary, paired_seeds,
-        running_best, event_windows, protein_clusters, component_split, controlled_split, homolog_copies, augmented,
+        records, sequence_measures, codon_usage, codon_counts, rscu_weights, gene_tables, standard_remap, lookup_tables, constraint_table, organism_tables, conditions,
+        protein_inputs, code_exactness, adaptation_index, transition_counts, transition_probabilities, transition_divergence, transition_chi2, transition_test, generated,
+        sequence_scores, method_summary, best_methods, report_lines, novel_sequences, top_neighbours, capped_neighbours, without_neighbours, max_identity, nearest_identity,
+        threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, stratified_intervals, bootstrap_interval, doubly_controlled_intervals,
+        signed_rank, significance, rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, species_equality, doubly_controlled, merged_tokens, holdout,
+        sampled_order, positional_join, key_join, split_sizes, split_manifest, seed_summary, paired_seeds, running_best, best_epochs, event_windows, protein_clusters,
+        component_split, controlled_split, split_identity, homolog_copies, kmer_copies, augmented, originals, golden_checks, padded_proteins, survey_categories, merged_metrics,
     )}
 
 

@@ -1,6 +1,6 @@
 """SQL of the registered queries, for a database that has the same tables."""
 
-from helixframe.functions.codons import BASES, GENES, HIGH_EXPRESSION, STOPS, TABLES
+from helixframe.functions.codons import BASES, GENES, GROUPS, HIGH_EXPRESSION, STOPS, TABLES
 from helixframe.operators.generation import METHODS  # noqa: F401
 
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -13,10 +13,11 @@ def _aa(codon: str, table: int = 2) -> str:
 
 RECORDS = f"""
 WITH letters AS (SELECT doc_id, lang, source, regexp_replace(lower(text), '[^a-z]', '', 'g') AS l FROM documents),
-raw AS (SELECT *, substr(translate(l, 'abcdefghijklmnopqrstuvwxyz', '{("ACGT" * 7)[:26]}'), 1, 3 * (least(length(l), 300) // 3)) AS raw FROM letters WHERE length(l) >= 30),
+pieces AS (SELECT doc_id, lang, source, piece, substr(l, piece * 300 + 1, 300) AS l FROM (SELECT *, unnest(range(0, (length(l) - 3) // 300 + 1)) AS piece FROM letters WHERE length(l) >= 3)),
+raw AS (SELECT *, substr(translate(l, 'abcdefghijklmnopqrstuvwxyz', '{("ACGT" * 7)[:26]}'), 1, 3 * (length(l) // 3)) AS raw FROM pieces),
 body AS (SELECT *, list_transform(range(0, length(raw) // 3), lambda i: CASE WHEN substr(raw, 3 * i + 1, 3) IN ({_IN(STOPS)}) THEN 'TTA' ELSE substr(raw, 3 * i + 1, 3) END) AS body FROM raw),
-rec AS (SELECT doc_id AS idx, 'REC' || doc_id AS id,
-  list_extract([{_IN(GENES)}], ((ascii(substr(l, 1, 1)) - 97 + 3 * (ascii(substr(l, 3, 1)) - 97) + 7 * (ascii(substr(l, 6, 1)) - 97)) % 13 + 1)) AS gene_name,
+rec AS (SELECT doc_id * 10000000 + piece AS idx, 'REC' || doc_id || '_' || piece AS id,
+  list_extract([{_IN(GENES)}], ((greatest(ascii(substr(l, 1, 1)) - 97, 0) + 3 * greatest(ascii(substr(l, 3, 1)) - 97, 0) + 7 * greatest(ascii(substr(l, 6, 1)) - 97, 0)) % 13 + 1)) AS gene_name,
   lang || '_' || source AS species, array_to_string(body, '') || 'TAA' AS sequence,
   array_to_string(list_transform(body, lambda c: {_aa("c")}), '') AS protein, list_append(body, 'TAA') AS codons,
   CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM body),
@@ -32,9 +33,9 @@ test AS (SELECT * FROM rec WHERE split = 'test'), train AS (SELECT * FROM rec WH
 """
 
 _TOP = "SELECT aa, codon FROM {t} QUALIFY row_number() OVER (PARTITION BY aa ORDER BY n DESC, codon) = 1"
-_REMAP = f"""SELECT aa, CASE WHEN aa = 'I' AND codon = 'ATA' THEN 'ATC' ELSE codon END AS codon FROM (
-  SELECT {_aa("codon", 1)} AS aa, codon, count(*) AS n FROM cod WHERE split = 'train' AND codon NOT IN ({_IN(STOPS)}) GROUP BY ALL HAVING {_aa("codon", 1)} NOT IN ('*', 'X'))
-  QUALIFY row_number() OVER (PARTITION BY aa ORDER BY n DESC, codon) = 1"""
+_FULL = "SELECT f.aa, coalesce(t.codon, f.first) AS codon FROM (SELECT aa, min(codon) AS first FROM code WHERE aa <> '*' GROUP BY aa) f LEFT JOIN ({t}) t ON t.aa = f.aa"
+_STANDARD = f"""(SELECT {_aa("codon", 1)} AS aa, codon, count(*) AS n FROM cod WHERE split = 'train' AND codon NOT IN ({_IN(STOPS)}) GROUP BY ALL HAVING {_aa("codon", 1)} NOT IN ('*', 'X'))"""
+_REMAP = f"SELECT aa, CASE WHEN aa = 'I' AND codon = 'ATA' THEN 'ATC' ELSE codon END AS codon FROM ({_FULL.format(t=_TOP.format(t=_STANDARD))})"
 _LOOKUP = """SELECT t.idx, '{name}' AS method, string_agg(coalesce(m.codon, 'UNK'), '' ORDER BY t.pos) || 'TAA' AS generated
   FROM (SELECT idx, unnest(string_split(protein, '')) AS aa, unnest(range(1, length(protein) + 1)) AS pos FROM test) t LEFT JOIN ({table}) m ON m.aa = t.aa GROUP BY t.idx"""
 _HASH = "('0x' || substr(md5({text}), 1, {n}))::BIGINT"
@@ -43,8 +44,8 @@ _RANDOM = f"""SELECT t.idx, 'random_synonymous' AS method, string_agg(list_extra
   FROM (SELECT idx, unnest(string_split(protein, '')) AS aa, unnest(range(0, length(protein))) AS pos FROM test) t
   JOIN (SELECT aa, list(codon ORDER BY codon) AS codons FROM code WHERE aa <> '*' GROUP BY aa) o ON o.aa = t.aa GROUP BY t.idx"""
 GENERATED = RECORDS + f""",
-gen AS ({_LOOKUP.format(name="mt_cai_lookup", table=_TOP.format(t="high_aa"))}
-  UNION ALL {_LOOKUP.format(name="most_frequent_codon", table=_TOP.format(t="train_aa"))}
+gen AS ({_LOOKUP.format(name="mt_cai_lookup", table=_FULL.format(t=_TOP.format(t="high_aa")))}
+  UNION ALL {_LOOKUP.format(name="most_frequent_codon", table=_FULL.format(t=_TOP.format(t="train_aa")))}
   UNION ALL {_LOOKUP.format(name="codontransformer_remap", table=_REMAP)}
   UNION ALL {_RANDOM}
   UNION ALL SELECT idx, 'natural_reference', sequence FROM test),
@@ -58,11 +59,12 @@ shares AS (SELECT h.idx, h.method, h.n, greatest(sum(least(h.k, coalesce(r.k, 0)
   LEFT JOIN gcount r ON r.idx = h.idx AND r.n = h.n AND r.gram = h.gram AND r.method = 'natural_reference' GROUP BY ALL),
 bleu AS (SELECT idx, method, exp(avg(ln(share))) AS bleu FROM shares GROUP BY ALL),
 div AS (SELECT idx, method, -sum(p * log2(p)) AS diversity FROM (SELECT idx, method, n / sum(n) OVER (PARTITION BY idx, method) AS p FROM (SELECT idx, method, codon, count(*) AS n FROM gc GROUP BY ALL)) GROUP BY ALL),
+comp AS (SELECT c.idx, c.method, NOT bool_or(c.codon IN ('TAA', 'TAG', 'AGA', 'AGG') AND c.pos < length(g.generated) // 3) AS complies FROM gc c JOIN gen g ON g.idx = c.idx AND g.method = c.method GROUP BY ALL),
 met AS (SELECT g.idx, g.method, s.gene_name, s.species, c.cai, b.bleu, d.diversity,
   (length(generated) - length(translate(generated, 'GC', ''))) / length(generated) AS gc,
-  abs((length(generated) - length(translate(generated, 'GC', ''))) / length(generated) - (length(s.sequence) - length(translate(s.sequence, 'GC', ''))) / length(s.sequence)) AS gc_delta,
-  (g.generated NOT IN (SELECT sequence FROM train)) AS novel
-  FROM gen g JOIN test s ON s.idx = g.idx JOIN cai c ON c.idx = g.idx AND c.method = g.method JOIN bleu b ON b.idx = g.idx AND b.method = g.method JOIN div d ON d.idx = g.idx AND d.method = g.method)
+  CASE WHEN g.method <> 'natural_reference' THEN abs((length(generated) - length(translate(generated, 'GC', ''))) / length(generated) - (length(s.sequence) - length(translate(s.sequence, 'GC', ''))) / length(s.sequence)) END AS gc_delta,
+  (g.generated NOT IN (SELECT sequence FROM train)) AS novel, p.complies
+  FROM gen g JOIN test s ON s.idx = g.idx JOIN cai c ON c.idx = g.idx AND c.method = g.method JOIN bleu b ON b.idx = g.idx AND b.method = g.method JOIN div d ON d.idx = g.idx AND d.method = g.method JOIN comp p ON p.idx = g.idx AND p.method = g.method)
 """
 PAIRS = RECORDS + """,
 pairs AS (SELECT q.idx AS q_idx, t.idx AS t_idx, q.gene_name AS gene, t.species AS t_species, levenshtein(q.protein, t.protein) AS edit_distance,
@@ -84,7 +86,60 @@ _STRATUM = "CASE WHEN identity < 0.6 THEN '<60%' WHEN identity < 0.8 THEN '60-80
 _DIFF = """,
 diff AS (SELECT a.idx, a.method, a.species, round(a.bleu - b.bleu, 9) AS d FROM met a JOIN met b ON a.idx = b.idx AND b.method = 'codontransformer_remap' WHERE a.method IN ('mt_cai_lookup', 'most_frequent_codon', 'random_synonymous'))"""
 
+_SUMMARY = """SELECT method, count(*) AS n, round(avg(cai), 9) AS cai, round(avg(bleu), 9) AS bleu, round(avg(diversity), 9) AS diversity, round(avg(gc), 9) AS gc, round(coalesce(avg(gc_delta), 0), 9) AS gc_delta,
+  round(stddev_pop(gc), 9) AS sd_gc, round(avg(novel::DOUBLE), 9) AS novelty, round(avg(complies::DOUBLE), 9) AS compliance FROM met GROUP BY method"""
+_LONG = f""",
+long AS (SELECT idx, method, species, stratum, metric, value FROM (SELECT m.idx, m.method, m.species, {_STRATUM} AS stratum,
+  unnest(['bleu', 'cai', 'gc_delta', 'diversity']) AS metric, unnest([round(bleu, 9), round(cai, 9), round(gc_delta, 9), round(diversity, 9)]) AS value FROM met m JOIN (SELECT idx, round(identity, 9) AS identity FROM best) b ON b.idx = m.idx) WHERE value IS NOT NULL)"""
+
+
+def _bootstrap(rows: str, by: str, value: str, draws: int, seed: int) -> str:
+    """Means and intervals of rows (by..., species, value), whole species drawn."""
+    keys = by.split(", ")
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    return f"""sums AS (SELECT {by}, species, sum({value}) AS s, count({value}) AS c FROM ({rows}) GROUP BY ALL),
+      num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY species) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS k FROM sums),
+      want AS (SELECT {by}, k, pos AS slot, unnest(range(0, {draws})) AS rep FROM num),
+      reps AS (SELECT {", ".join(f"w.{k}" for k in keys)}, w.rep, sum(n.s) / sum(n.c) AS m FROM want w JOIN num n ON {on("n", "w")} AND n.pos = {_HASH.format(text=f"'{seed}:' || w.rep || ':' || w.slot", n=12)} % w.k GROUP BY ALL),
+      mean AS (SELECT {by}, sum(s) / sum(c) AS mean, sum(c)::BIGINT AS n, count(*) AS clusters FROM sums GROUP BY ALL),
+      ci AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM reps GROUP BY ALL)
+      SELECT {", ".join(f"a.{k}" for k in keys)}, round(a.mean, 9) AS mean, a.n, a.clusters, round(r.lo, 9) AS lo, round(r.hi, 9) AS hi, (r.lo > 0 OR r.hi < 0) AS significant FROM mean a JOIN ci r ON {on("a", "r")}"""
+
+
 SQL = {
+    "lookup_tables": RECORDS + f""" SELECT 'mt_cai_lookup' AS name, aa, codon FROM ({_FULL.format(t=_TOP.format(t="high_aa"))}) UNION ALL SELECT 'most_frequent_codon', aa, codon FROM ({_FULL.format(t=_TOP.format(t="train_aa"))})
+      UNION ALL SELECT 'tryptophan_only', aa, codon FROM ({_FULL.format(t=_TOP.format(t="(SELECT aa, codon, count(*) AS n FROM sense WHERE split = 'train' AND idx IN (SELECT idx FROM rec WHERE regexp_matches(protein, '^W+$')) GROUP BY ALL)"))})""",
+    "constraint_table": RECORDS + "SELECT codon, aa FROM code",
+    "organism_tables": RECORDS + """SELECT species, aa, codon FROM (SELECT species, aa, codon, count(*) AS n FROM sense WHERE split = 'train' AND species IN (SELECT species FROM train GROUP BY species HAVING count(*) >= 200) GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY species, aa ORDER BY n DESC, codon) = 1""",
+    "conditions": RECORDS + f"SELECT gene_name, count(*) AS n, 0 AS none, CASE WHEN gene_name = 'ND6' THEN 1 ELSE 0 END AS strand, list_position([{_IN(GENES)}], gene_name) - 1 AS gene FROM rec GROUP BY gene_name",
+    "protein_inputs": """WITH p AS (SELECT item_id, regexp_replace(upper(replace(trim(text), 'ß', 'SS')), '[*]+$', '') AS p FROM benchmark), b AS (SELECT *, list_sort(list_distinct(list_filter(string_split(p, ''), lambda x: instr('ACDEFGHIKLMNPQRSTVWY*', x) = 0))) AS bad FROM p)
+      SELECT item_id, sha256(p) AS protein_sha256, CASE WHEN length(p) = 0 THEN 'empty protein' WHEN length(p) > 700 THEN 'longer than 700' WHEN len(bad) > 0 THEN 'invalid residues: ' || array_to_string(bad, ',') END AS error FROM b""",
+    "code_exactness": RECORDS + f"""SELECT gene_name, count(*) AS n, round(avg((t2 = protein)::INT), 9) AS own, round(avg((t1 = protein)::INT), 9) AS standard FROM (SELECT r.gene_name, r.protein,
+      regexp_replace(string_agg({_aa("codon", 2)}, '' ORDER BY pos), '[*]+$', '') AS t2, regexp_replace(string_agg({_aa("codon", 1)}, '' ORDER BY pos), '[*]+$', '') AS t1
+      FROM test r JOIN cod c ON c.idx = r.idx GROUP BY r.idx, r.gene_name, r.protein) GROUP BY gene_name""",
+    "without_neighbours": PAIRS + "SELECT gene_name, count(*) AS n FROM test WHERE idx NOT IN (SELECT q_idx FROM pairs WHERE identity <= 0.3) GROUP BY gene_name",
+    "stratified_intervals": MEASURED + _LONG + """, rows AS (SELECT 'overall' AS stratum, method, metric, species, value FROM long WHERE metric IN ('bleu', 'cai') UNION ALL SELECT stratum, method, metric, species, value FROM long WHERE metric IN ('bleu', 'cai') AND stratum IS NOT NULL),
+      kept AS (SELECT stratum, method, metric FROM rows GROUP BY ALL HAVING stratum = 'overall' OR (count(*) >= 2 AND count(DISTINCT species) >= 2)), """
+      + _bootstrap("SELECT r.* FROM rows r SEMI JOIN kept k ON r.stratum = k.stratum AND r.method = k.method AND r.metric = k.metric", "stratum, method, metric", "value", 2000, 0).replace(", (r.lo > 0 OR r.hi < 0) AS significant", ""),
+    "doubly_controlled_intervals": MEASURED + _DIFF + """, rows AS (SELECT n.bound, d.species, d.d FROM diff d JOIN (SELECT idx, round(identity, 9) AS identity FROM best) b ON b.idx = d.idx, (SELECT unnest([70, 80, 90]) AS bound) n WHERE d.method = 'most_frequent_codon' AND b.identity <= n.bound / 100), """
+      + _bootstrap("SELECT * FROM rows WHERE bound IN (SELECT bound FROM rows GROUP BY bound HAVING count(*) >= 5)", "bound", "d", 10000, 20261008),
+    "species_equality": RECORDS + """, l AS (SELECT count(*) AS n FROM (SELECT species FROM test EXCEPT SELECT species FROM train)), r AS (SELECT count(*) AS n FROM (SELECT species FROM train EXCEPT SELECT species FROM test))
+      SELECT l.n AS left_only, r.n AS right_only, (l.n = 0 AND r.n = 0) AS same FROM l, r""",
+    "sampled_order": RECORDS + "SELECT row_number() OVER (ORDER BY md5('42:' || idx), idx) - 1 AS pos, idx FROM test QUALIFY pos < 50",
+    "positional_join": RECORDS + "SELECT pos, id, gene_name, pos * 2 AS value FROM (SELECT row_number() OVER (ORDER BY md5('42:' || idx), idx) - 1 AS pos, id, gene_name FROM test) WHERE pos < 50",
+    "key_join": RECORDS + "SELECT count(*) AS rows, sum(length(sequence))::BIGINT AS letters FROM test",
+    "split_manifest": RECORDS + f"""SELECT g || '/' || s AS path, (g || '/' || s) IN (SELECT gene_name || '/' || split FROM rec) AS present FROM (SELECT unnest([{_IN(GENES)}]) AS g), (SELECT unnest(['train', 'val', 'test', 'calibration']) AS s)""",
+    "best_epochs": """WITH e AS (SELECT o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate) AS epoch, round(avg(o_totalprice), 6) AS loss FROM orders GROUP BY ALL),
+      b AS (SELECT o_orderpriority, epoch AS best_epoch, loss AS best_loss FROM e QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY loss, epoch) = 1)
+      SELECT o_orderpriority, s.epochs, b.best_epoch, b.best_loss, s.last - b.best_epoch AS stood, (s.last - b.best_epoch >= 8 AND s.epochs > 8) AS stopped FROM b JOIN (SELECT o_orderpriority, count(*) AS epochs, max(epoch) AS last FROM e GROUP BY 1) s USING (o_orderpriority)""",
+    "originals": RECORDS + "SELECT true AS original, count(*) AS rows, count(*) AS different FROM train UNION ALL SELECT false, 2 * count(*), 2 * count(*) FROM train",
+    "golden_checks": RECORDS + """, a AS (SELECT 'records' AS label, count(*)::DOUBLE AS actual FROM rec UNION ALL SELECT 'species', count(DISTINCT species)::DOUBLE FROM rec UNION ALL SELECT 'gc', avg((length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence)) FROM rec)
+      SELECT c.label, c.claimed, round(a.actual, 9) AS actual, c.tol, coalesce(abs(c.claimed - a.actual) <= c.tol, false) AS passed
+      FROM (VALUES ('records', 46264.0::DOUBLE, 0.5::DOUBLE), ('species', 12.0, 100.0), ('gc', 0.5, 0.1), ('absent', 1.0, 1.0)) c(label, claimed, tol) LEFT JOIN a USING (label)""",
+    "padded_proteins": RECORDS + """SELECT idx, array_to_string(list_slice(list_concat(list_transform(list_filter(string_split(protein, ''), lambda x: x <> ''), lambda x: instr('ACDEFGHIKLMNPQRSTVWY', x)), list_transform(range(0, 128), lambda x: 0)), 1, 128), ',') AS tokens FROM rec WHERE split = 'val'""",
+    "survey_categories": f"""SELECT item_id, concat_ws(',', {", ".join(f"CASE WHEN {' OR '.join(f'instr(t, {k!r}) > 0' for k in keys)} THEN '{group}' END" for group, keys in GROUPS.items())}, CASE WHEN item_id % 2 = 0 THEN 'homology' END) AS groups
+      FROM (SELECT item_id, array_to_string(regexp_split_to_array(lower(text), '\\W+'), ' ; ') AS t FROM benchmark)""",
     "records": RECORDS + "SELECT idx, id, gene_name, species, sequence, protein || '*' AS protein_sequence, split FROM rec",
     "sequence_measures": RECORDS + """SELECT r.idx, round((length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence), 9) AS gc,
       round(coalesce((length(replace(sequence, 'C', '')) - length(replace(sequence, 'G', ''))) / nullif(length(sequence) - length(translate(sequence, 'GC', '')), 0), 0.0), 9) AS skew,
@@ -100,33 +155,32 @@ SQL = {
     "transition_probabilities": TRANSITIONS + 'SELECT "from", "to", round(p, 9) AS p FROM pa',
     "transition_divergence": TRANSITIONS + """SELECT round(sum(w * a.p * ln(a.p / b.p)), 9) AS kl FROM pa a JOIN pb b USING ("from", "to") JOIN (SELECT "from", sum(n) / sum(sum(n)) OVER () AS w FROM ta GROUP BY "from") s USING ("from")""",
     "transition_chi2": TRANSITIONS + """SELECT round(sum(x), 6) AS chi2, sum(d)::BIGINT AS dof, sum(n)::BIGINT AS n, round(sqrt(sum(x) / sum(n)), 9) AS cohens_w FROM (
-      SELECT "from", sum((nb - e) * (nb - e) / e) AS x, count(*) - 1 AS d, sum(nb) AS n FROM (
-        SELECT a."from", a."to", coalesce(b.n, 0) AS nb, r.rb * a.n / a.ra AS e FROM (SELECT *, sum(n) OVER (PARTITION BY "from") AS ra FROM ta) a
-        JOIN (SELECT "from", sum(n) AS rb FROM tb GROUP BY "from") r USING ("from") LEFT JOIN tb b USING ("from", "to") WHERE a.ra >= 20 AND r.rb >= 20)
-      WHERE e >= 5 GROUP BY "from") WHERE d > 0""",
+      SELECT "from", sum((nb - e) * (nb - e) / e) AS x, count(*) - 1 AS d, max(rb) AS n FROM (
+        SELECT p."from", p."to", coalesce(b.n, 0) AS nb, r.rb, p.p * r.rb AS e FROM pa p
+        JOIN (SELECT "from", sum(n) AS rb FROM tb GROUP BY "from" HAVING sum(n) >= 5) r USING ("from") LEFT JOIN tb b USING ("from", "to"))
+      WHERE e > 1e-6 GROUP BY "from") WHERE d > 0""",
     "generated": GENERATED + "SELECT idx, method, generated FROM gen",
-    "sequence_scores": GENERATED + "SELECT idx, method, round(cai, 9) AS cai, round(bleu, 9) AS bleu, round(diversity, 9) AS diversity, round(gc, 9) AS gc, round(gc_delta, 9) AS gc_delta, novel FROM met",
-    "method_summary": GENERATED + "SELECT method, count(*) AS n, round(avg(cai), 9) AS cai, round(avg(bleu), 9) AS bleu, round(avg(diversity), 9) AS diversity, round(avg(gc), 9) AS gc, round(avg(gc_delta), 9) AS gc_delta, round(stddev_pop(gc), 9) AS sd_gc, round(avg(novel::DOUBLE), 9) AS novelty FROM met GROUP BY method",
+    "sequence_scores": GENERATED + "SELECT idx, method, round(cai, 9) AS cai, round(bleu, 9) AS bleu, round(diversity, 9) AS diversity, round(gc, 9) AS gc, round(gc_delta, 9) AS gc_delta, novel, complies FROM met",
+    "method_summary": GENERATED + _SUMMARY,
+    "best_methods": GENERATED + f"SELECT method, bleu, row_number() OVER (ORDER BY bleu DESC, method) AS place FROM ({_SUMMARY}) WHERE method <> 'natural_reference'",
+    "report_lines": GENERATED + f"""SELECT method, concat_ws(' & ', CASE method WHEN 'mt_cai_lookup' THEN 'Lookup' WHEN 'most_frequent_codon' THEN 'Most frequent' ELSE method END, printf('%+.4f', bleu), printf('%+.4f', cai)) AS line FROM ({_SUMMARY})""",
+    "merged_metrics": GENERATED + f"SELECT method, unnest(['cai', 'bleu', 'gc']) AS metric, unnest([cai, -1.0, gc]) AS value FROM ({_SUMMARY})",
     "novel_sequences": RECORDS + "SELECT idx FROM test WHERE sequence NOT IN (SELECT sequence FROM train)",
     "top_neighbours": PAIRS + "SELECT q_idx, t_idx, t_species, edit_distance, round(identity, 9) AS identity, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY edit_distance, t_idx) - 1 AS rank FROM pairs) WHERE rank < 5",
     "capped_neighbours": PAIRS + "SELECT q_idx, t_idx, edit_distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY edit_distance, t_idx) - 1 AS rank FROM pairs WHERE identity <= 0.9) WHERE rank < 3",
     "max_identity": PAIRS + "SELECT idx, round(identity, 9) AS max_identity FROM best",
     "nearest_identity": PAIRS + "SELECT q_idx, t_idx, round(identity, 9) AS identity FROM pairs QUALIFY row_number() OVER (PARTITION BY q_idx ORDER BY identity DESC, t_idx) = 1",
-    "threshold_pairs": PAIRS + "SELECT q_idx, t_idx, edit_distance FROM pairs WHERE edit_distance <= floor(ql * 0.3 + 1e-9)",
-    "kmer_candidates": RECORDS + """, km AS (SELECT DISTINCT idx, gene_name, split, substr(protein, i::INT, 3) AS kmer FROM (SELECT idx, gene_name, split, protein, unnest(range(1, length(protein) - 1)) AS i FROM rec))
-      SELECT q_idx, t_idx, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY votes DESC, t_idx) - 1 AS rank FROM (
-        SELECT q.idx AS q_idx, t.idx AS t_idx, count(*) AS votes FROM km q JOIN km t USING (gene_name, kmer) WHERE q.split = 'test' AND t.split = 'train' GROUP BY ALL)) WHERE rank < 8""",
+    "threshold_pairs": PAIRS + "SELECT q_idx, t_idx, edit_distance FROM pairs WHERE edit_distance <= trunc(ql * (1.0::DOUBLE - 0.7::DOUBLE))",
+    "kmer_candidates": RECORDS + """, km AS (SELECT DISTINCT idx, gene_name, split, substr(protein, i::INT, 3) AS kmer FROM (SELECT idx, gene_name, split, protein, unnest(range(1, length(protein) - 1)) AS i FROM rec)),
+      v AS (SELECT q_idx, t_idx, votes, row_number() OVER (PARTITION BY q_idx ORDER BY votes DESC, t_idx) - 1 AS rank FROM (
+        SELECT q.idx AS q_idx, t.idx AS t_idx, count(*) AS votes FROM km q JOIN km t USING (gene_name, kmer) WHERE q.split = 'test' AND t.split = 'train' GROUP BY ALL))
+      SELECT q_idx, t_idx, votes, rank FROM v WHERE rank < 8 UNION ALL SELECT q.idx, t.idx, 0, t.r FROM test q JOIN (SELECT idx, gene_name, row_number() OVER (PARTITION BY gene_name ORDER BY idx) - 1 AS r FROM train) t ON t.gene_name = q.gene_name AND t.r < 8 WHERE q.idx NOT IN (SELECT q_idx FROM v)""",
     "identity_spread": PAIRS + """SELECT r.gene_name, count(*) AS n, round(avg(identity), 9) AS mean, round(median(identity), 9) AS median, round(quantile_cont(identity, 0.1), 9) AS p10, round(quantile_cont(identity, 0.9), 9) AS p90,
       round(quantile_cont(identity, 0.95), 9) AS p95, round(min(identity), 9) AS min, round(max(identity), 9) AS max, round(stddev_samp(identity) / sqrt(count(*)), 9) AS sem FROM best b JOIN rec r ON r.idx = b.idx GROUP BY r.gene_name""",
     "identity_histogram": PAIRS + "SELECT least(floor((identity - 0.3) / (0.7 / 49) + 1e-9)::BIGINT + 1, 49) AS bin, count(*) AS n FROM best WHERE identity >= 0.3 AND identity <= 1.0 GROUP BY bin",
-    "stratified_scores": MEASURED + f"""SELECT coalesce(stratum, 'overall') AS stratum, method, metric, count(value) AS n, round(avg(value), 9) AS mean FROM (
-      SELECT {_STRATUM} AS stratum, m.method, unnest(['bleu', 'cai']) AS metric, unnest([m.bleu, m.cai]) AS value FROM met m JOIN best b ON b.idx = m.idx) GROUP BY GROUPING SETS ((method, metric), (stratum, method, metric))""",
-    "bootstrap_interval": GENERATED + _DIFF + f""", sums AS (SELECT method, species, sum(d) AS s, count(d) AS c FROM diff GROUP BY ALL),
-      num AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY species) - 1 AS pos, count(*) OVER (PARTITION BY method) AS k FROM sums),
-      want AS (SELECT method, k, pos AS slot, unnest(range(0, 200)) AS rep FROM num),
-      reps AS (SELECT w.method, w.rep, sum(n.s) / sum(n.c) AS m FROM want w JOIN num n ON n.method = w.method AND n.pos = {_HASH.format(text="'0:' || w.rep || ':' || w.slot", n=12)} % w.k GROUP BY ALL)
-      SELECT s.method, round(s.mean, 9) AS mean, s.n, s.clusters, round(r.lo, 9) AS lo, round(r.hi, 9) AS hi, (r.lo > 0 OR r.hi < 0) AS significant
-      FROM (SELECT method, sum(s) / sum(c) AS mean, sum(c)::BIGINT AS n, count(*) AS clusters FROM sums GROUP BY method) s JOIN (SELECT method, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM reps GROUP BY method) r ON r.method = s.method""",
+    "stratified_scores": MEASURED + _LONG + """SELECT CASE WHEN grouping(stratum) = 1 THEN 'overall' ELSE stratum END AS stratum, method, metric, count(value) AS n, count(DISTINCT species) AS species, round(avg(value), 9) AS mean FROM long
+      GROUP BY GROUPING SETS ((method, metric), (stratum, method, metric)) HAVING grouping(stratum) = 1 OR (stratum IS NOT NULL AND count(value) >= 2 AND count(DISTINCT species) >= 2)""",
+    "bootstrap_interval": GENERATED + _DIFF + ", " + _bootstrap("SELECT * FROM diff", "method", "d", 2000, 0),
     "signed_rank": GENERATED + _DIFF + """, k AS (SELECT *, abs(d) AS a FROM diff WHERE d <> 0),
       r AS (SELECT *, count(*) OVER (PARTITION BY method, a) AS t, rank() OVER (PARTITION BY method ORDER BY a) + (count(*) OVER (PARTITION BY method, a) - 1) / 2 AS r, row_number() OVER (PARTITION BY method ORDER BY a, idx) AS o FROM k),
       s AS (SELECT method, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm, sum(CASE WHEN d > 0 THEN o ELSE 0 END) AS op, sum(CASE WHEN d < 0 THEN o ELSE 0 END) AS om, sum(t * t - 1) AS ties FROM r GROUP BY method)

@@ -51,6 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it is read from fewer files than there are cores; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 #: Folders written and not yet discarded, with their sessions; what is left is deleted when the driver's Python ends.
 _written: dict[str, SparkSession] = {}
 

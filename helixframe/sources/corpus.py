@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import codons as C
+from helixframe.session import spread
 
 RECORD = (
     "id string, gene_name string, species string, sequence string, protein_sequence string, "
@@ -32,10 +33,13 @@ def split_json(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def organism_csv(spark: SparkSession, path: str, organisms: list[str]) -> DataFrame:
-    """organism, protein and dna of wanted organisms, where the DNA has a codon for each residue and a stop."""
-    rows = spark.read.csv(path, header=True, schema="organism string, protein string, dna string", maxCharsPerColumn=-1)
-    p = C.strip_stops(F.col("protein"), "_")
-    return rows.where(F.col("organism").isin(organisms)).withColumn("protein", p).where(F.length("dna") == 3 * (F.length("protein") + 1))
+    """organism, protein and dna of wanted organisms, where the DNA has a codon for each residue and a stop.
+
+    Columns are found by the header's names, in whatever order they stand.
+    """
+    rows = spark.read.csv(path, header=True, inferSchema=False, maxCharsPerColumn=-1).select("organism", "protein", F.upper("dna").alias("dna"))
+    rows = rows.where(F.col("organism").isin(organisms)).withColumn("protein", C.strip_stops(F.col("protein"), "_"))
+    return rows.where((F.length("protein") > 0) & (F.length("dna") == 3 * (F.length("protein") + 1)))
 
 
 def keyed_report(spark: SparkSession, path: str, field: str, value: str) -> DataFrame:
@@ -49,11 +53,17 @@ def retrieval_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"per_sequence array<struct<{fields},neighbors:array<{NEIGHBOUR}>>>").json(path, multiLine=True).selectExpr("inline(per_sequence)")
 
 
+MEASURES = ("mt_cai", "codon_diversity", "bleu", "mfe", "gc_content", "is_novel", "mfe_delta_from_natural", "gc_delta_from_natural")
+
+
 def raw_results(spark: SparkSession, path: str) -> DataFrame:
-    """(method, pos, metric, value) of a report with lists of metrics by method; NaN is null."""
-    doc = spark.read.schema("raw_results map<string,array<map<string,double>>>").json(path, multiLine=True)
+    """(method, pos, metric, value) of a report with lists of measures by method; NaN is null, code_compliant 1 or 0."""
+    row = ", ".join([*(f"{m}: double" for m in MEASURES), "code_compliant: boolean"])
+    doc = spark.read.schema(f"raw_results map<string, array<struct<{row}>>>").json(path, multiLine=True)
     rows = doc.select(F.explode("raw_results").alias("method", "rows")).select("method", F.posexplode("rows").alias("pos", "m"))
-    return rows.select("method", "pos", F.explode("m").alias("metric", "value")).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    values = {m: F.nanvl(f"m.{m}", F.lit(None).cast("double")) for m in MEASURES} | {"code_compliant": F.col("m.code_compliant").cast("int").cast("double")}
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])
+    return rows.select("method", "pos", F.inline(pairs)).where("value is not null")
 
 
 def runs(spark: SparkSession, glob: str) -> DataFrame:
@@ -85,22 +95,70 @@ def optional(read, path: str) -> DataFrame | None:
         raise
 
 
+def preferred(standalone: DataFrame | None, embedded: DataFrame | None) -> DataFrame | None:
+    """The standalone source where there is one, else the embedded one."""
+    return standalone if standalone is not None else embedded
+
+
+def run_status(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each run folder below folder: epochs, best epoch, status and the last line of its log.
+
+    A run is complete once it has its configured epochs, or once the best loss
+    has stood for more than the configured patience.
+    """
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:logs/)?[^/]+$", 1)
+    epoch = "epoch int, val_loss double"
+    history = optional(lambda p: spark.read.schema(epoch).json(p, multiLine=True).select(name.alias("run"), "epoch", "val_loss"), f"{folder}/*/metrics.json")
+    config = optional(lambda p: spark.read.schema("training struct<epochs: int, early_stopping_patience: int>").json(p, multiLine=True).select(name.alias("run"), "training.*"), f"{folder}/*/config.json")
+    logs = optional(lambda p: spark.read.text(p, wholetext=True).select(name.alias("run"), "value"), f"{folder}/*/logs/train.log")
+    history = history if history is not None else spark.createDataFrame([], f"run string, {epoch}")
+    config = config if config is not None else spark.createDataFrame([], "run string, epochs int, early_stopping_patience int")
+    logs = logs if logs is not None else spark.createDataFrame([], "run string, value string")
+    best = F.min(F.struct("val_loss", "epoch"))
+    seen = history.groupBy("run").agg(F.count("*").alias("epochs_completed"), best.alias("best"), F.max("epoch").alias("last"))
+    lines = logs.select("run", F.trim(F.element_at(F.split(F.rtrim("value"), "\n"), -1)).alias("latest_log_line"))
+    out = seen.join(config, "run", "full").join(lines, "run", "full").withColumn("epochs_completed", F.coalesce("epochs_completed", F.lit(0)))
+    stood = F.col("last") - F.col("best.epoch")
+    patience = F.col("early_stopping_patience")
+    done = F.coalesce(F.col("epochs_completed") >= F.col("epochs"), F.lit(False)) | F.coalesce((patience > 0) & (F.col("epochs_completed") > patience) & (stood >= patience), F.lit(False))
+    status = F.when(done & F.col("epochs").isNotNull(), "complete").when(F.col("epochs_completed") > 0, "training").otherwise("starting")
+    return out.select("run", "epochs_completed", F.col("epochs").alias("configured_epochs"), status.alias("status"), F.col("best.val_loss").alias("best_val_loss"), F.col("best.epoch").alias("best_epoch"), "latest_log_line")
+
+
+def pending_files(spark: SparkSession, glob: str, idle_seconds: int) -> DataFrame:
+    """(path, idle) of files that nobody has changed for so many seconds."""
+    files = spark.read.format("binaryFile").load(glob).select("path", (F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("modificationTime")).alias("idle"))
+    return files.where(F.col("idle") >= idle_seconds)
+
+
+#: Letters of a derived record.
+PIECE = 300
+
+
 def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in records from the documents table: letters mapped to bases, no biological meaning."""
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", letters.alias("l")).where(F.length("l") >= 30)
-    size = (F.least(F.length("l"), F.lit(300)) / 3).cast("int") * 3
+    """Stand-in records from the documents table: letters mapped to bases, no biological meaning.
+
+    The letters of a text are cut into pieces of 300, each of which is a record;
+    together they hold all codons of the text. One or two letters at the end that
+    make no codon are left; texts of fewer than three letters have no record.
+    """
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
+    docs = docs.select("doc_id", "lang", "source", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("l")).where(F.length("l") >= 3)
+    pieces = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.length("l") - 3) / PIECE).cast("int"))).alias("piece"))
+    pieces = pieces.select("doc_id", "lang", "source", "piece", F.substr("l", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("l"))
+    size = (F.length("l") / 3).cast("int") * 3
     raw = F.substr(F.translate("l", ALPHABET, ("ACGT" * 7)[:26]), F.lit(1), size)
-    coding = docs.withColumn("raw", raw).withColumn("body", F.transform(C.chunked(F.col("raw")), lambda c: F.when(c.isin(*C.STOPS), "TTA").otherwise(c)))
-    at = [F.ascii(F.substr("l", F.lit(i), F.lit(1))) - 97 for i in (1, 3, 6)]
+    # Stop codons give way to TTA: each match begins where the last one ended, so it keeps to whole codons.
+    coding = pieces.withColumn("body", F.regexp_replace(raw, rf"\G((?:...)*?)(?:{'|'.join(C.STOPS)})", "$1TTA"))
+    at = [F.greatest(F.ascii(F.substr("l", F.lit(i), F.lit(1))) - 97, F.lit(0)) for i in (1, 3, 6)]
     gene = F.element_at(F.array(*[F.lit(g) for g in C.GENES]), ((at[0] + 3 * at[1] + 7 * at[2]) % 13 + 1).cast("int"))
+    coding = coding.withColumn("codons", C.chunked(F.col("body")))
     return coding.select(
-        F.col("doc_id").alias("idx"),
-        F.concat(F.lit("REC"), F.col("doc_id")).alias("id"),
+        (F.col("doc_id") * 10_000_000 + F.col("piece")).alias("idx"),
+        F.concat(F.lit("REC"), F.col("doc_id"), F.lit("_"), F.col("piece")).alias("id"),
         gene.alias("gene_name"),
         F.concat_ws("_", "lang", "source").alias("species"),
-        F.concat(F.array_join("body", ""), F.lit("TAA")).alias("sequence"),
-        F.concat(C.translated(F.col("body")), F.lit("*")).alias("protein_sequence"),
+        F.concat(F.col("body"), F.lit("TAA")).alias("sequence"),
+        F.concat(C.translated(F.col("codons")), F.lit("*")).alias("protein_sequence"),
         F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "val").otherwise("train").alias("split"),
-        F.concat("body", F.array(F.lit("TAA"))).alias("codons"),
     )
