@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.session import materialize
+from helixframe.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,12 +38,13 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     e = materialize(e, "components")
     before = None
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)), "components")
         # The edge set is a fixed point once every node hangs below its root.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        before = now
+        before, last = now, e
+        e = materialize(_small_star(_large_star(e)), "components")
+        discard(last)
     raise RuntimeError("connected components did not settle")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import time
 import uuid
 from pathlib import Path
 
@@ -57,6 +58,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+#: Seconds between two collections of the driver's garbage: short stages leave little to clean.
+COLLECT_AFTER = 2.0
+_collected: dict[str, float] = {}
 #: Folders written and not yet discarded, with their sessions; what is left is deleted when the driver's Python ends.
 _written: dict[str, SparkSession] = {}
 
@@ -87,8 +91,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     # Lets Spark's cleaner drop the shuffle files of what is now written, which it does once the
     # driver has collected its garbage; until then they would fill the executors' disks.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected.get("at", -9.0) > COLLECT_AFTER:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected["at"] = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
