@@ -43,7 +43,7 @@ from helixframe.session import discard, materialize
 LENGTH = 100
 GRAM = 24
 #: Different runs of one anchor in a shard; more are dealt to several.
-RUNS = 4096
+RUNS = 1024
 #: Bytes of a shard's suffix array; whole anchors are added until it is reached.
 SHARD_BYTES = 1 << 20
 #: Positions that one lane of Kasai's loop goes through.
