@@ -1,21 +1,23 @@
 """Benchmark items inside documents: MinHash containment search by item size.
 
 An item of q distinct five-word shingles is contained in a document that holds
-at least ``threshold`` of them. Items are partitioned by size; each partition
-has the number of MinHash values (the smallest shingle hashes of the item) that
-makes the search exact at its size: of any q - ceil(threshold * q) + 1 shingles
-of a contained item the document holds one. A long document is probed with all
-its shingles, so that its length does not dilute the likeness. Candidates are
-then verified by exact containment of shingle strings.
+at least ``threshold`` of them. Items are partitioned by size, each size class
+from 2**c to 2**(c+1) - 1 shingles; each has the number of MinHash values (the
+smallest shingle hashes of the item) that makes the search exact at its size: of
+any q - ceil(threshold * q) + 1 shingles of a contained item the document holds
+one. A document searches only the classes that it is large enough to hold. A long
+document is probed with all its shingles, so that its length does not dilute the
+likeness. Candidates are then verified by exact containment of shingle strings.
 
 Only DataFrame functions are used. The items' side is broadcast after its rows
-have been counted and found few; else the hashes are shuffled, documents' texts
-never are.
+and bytes have been counted and found few; else the hashes are shuffled,
+documents' texts never are.
 
 Defined results: words are lower-cased runs of letters and digits; a text of
 fewer than five words has one shingle, all its words; null and empty texts, and
-items without words, match nothing; rows without an id are ignored; of repeated
-ids the best row counts; other columns are ignored.
+items without words, match nothing; `contained` ignores rows without an id and
+takes the best row of repeated ids; `clean` judges every row by its own text;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.fingerprints import SHINGLE, let, shingle_hashes, words_of
+from helixframe.session import materialize
 
 THRESHOLD = 0.8
 TOKEN = r"[\p{L}\p{N}]+"
-#: Rows of (hash, item) that may be broadcast: 16 bytes each before overhead.
+#: Rows that may be broadcast, and bytes of their strings.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _words(text: Column) -> Column:
@@ -64,35 +68,58 @@ def item_signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return hashed.select("item_id", size_class.alias("size_class"), F.explode(F.slice("h", 1, F.greatest(values, own))).alias("hash"))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """The frame, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _sized(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame, to be broadcast if it has few rows and few bytes in strings."""
+    texts = [F.octet_length(F.col(f.name)) for f in df.schema if f.dataType.simpleString() == "string"]
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
-def candidates(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id) pairs that share a MinHash value; a superset of the contained ones."""
-    signatures = item_signatures(items, threshold).select("hash", "item_id")
-    probes = documents.where("doc_id is not null").select("doc_id", F.explode(shingle_hashes(_words(F.col("text")))).alias("hash"))
-    return probes.join(_sized(signatures, broadcast_rows), "hash").select("doc_id", "item_id").distinct()
+def _row_hash(lane: int) -> Column:
+    return F.xxhash64(F.lit(lane), F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
 
 
-def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, item_id, containment, n_matched and n_shingles of every contained item."""
-    found = candidates(documents, items, threshold, broadcast_rows)
-    texts = documents.where("doc_id is not null").select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = texts.select("doc_id", F.xxhash64("text").alias("row"), F.explode(_shingles(_words(F.col("text")))).alias("shingle"))
+def _rows(documents: DataFrame) -> DataFrame:
+    """(doc_id, h, g, text): rows are told apart by 128 bits of id and text."""
+    return documents.select("doc_id", _row_hash(0).alias("h"), _row_hash(1).alias("g"), "text")
+
+
+def candidates(rows: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(h, g, item_id) of rows and items that share a MinHash value; a superset of the contained ones."""
+    signatures = item_signatures(items, threshold)
+    hashed = rows.select("h", "g", shingle_hashes(_words(F.col("text"))).alias("s"))
+    # Repeats in a document only make its count larger, and so the classes that it searches.
+    largest = F.floor(F.log2(F.greatest(F.size("s"), F.lit(1)) / F.lit(threshold)) + 1e-9)
+    probes = hashed.select("h", "g", largest.alias("largest"), F.explode("s").alias("hash"))
+    return probes.join(_sized(signatures, broadcast_rows), "hash").where("size_class <= largest").select("h", "g", "item_id").distinct()
+
+
+def _matches(documents: DataFrame, items: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
+    """(doc_id, h, g, item_id, n_shingles, count) of every row that contains an item."""
+    rows = _rows(documents)
+    found = candidates(rows, items, threshold, broadcast_rows).select("h", "g").distinct()
+    held = rows.join(found, ["h", "g"], "left_semi").dropDuplicates(["h", "g"]).select("doc_id", "h", "g", F.explode(_shingles(_words(F.col("text")))).alias("shingle"))
     wanted = items.where("item_id is not null").select("item_id", _shingles(_words(F.col("text"))).alias("s")).where(F.size("s") > 0)
     wanted = wanted.select("item_id", F.size("s").alias("n_shingles"), F.explode("s").alias("shingle"))
     # Shingles of a row are distinct, so counts of matches are counts of shingles.
-    matched = held.join(_sized(wanted, broadcast_rows), "shingle").groupBy("doc_id", "row", "item_id", "n_shingles").count()
+    matched = held.join(_sized(wanted, broadcast_rows), "shingle").groupBy("doc_id", "h", "g", "item_id", "n_shingles").count()
+    return matched.where(F.col("count") >= F.lit(threshold) * F.col("n_shingles") - 1e-9)
+
+
+def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, item_id, containment, n_matched and n_shingles of every contained item."""
     return (
-        matched.where(F.col("count") >= F.lit(threshold) * F.col("n_shingles") - 1e-9)
+        _matches(documents.where("doc_id is not null"), items, threshold, broadcast_rows)
         .groupBy("doc_id", "item_id")
         .agg(F.max("count").alias("n_matched"), F.max("n_shingles").cast("long").alias("n_shingles"))
         .withColumn("containment", F.col("n_matched") / F.col("n_shingles"))
     )
 
 
-def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, that contain no item."""
-    return documents.join(contained(documents, items, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents, all columns, whose text contains no item."""
+    columns = ["`" + c.replace("`", "``") + "`" for c in documents.columns]
+    rows = documents.select(F.struct(*columns).alias("all"), *(F.col("`doc_id`"), F.col("`text`")))
+    keyed = rows.select("all", _row_hash(0).alias("h"), _row_hash(1).alias("g"))
+    gone = _sized(materialize(_matches(rows, items, threshold, broadcast_rows).select("h", "g").distinct(), "contained"), broadcast_rows)
+    return keyed.join(gone, ["h", "g"], "left_anti").select("all.*")
