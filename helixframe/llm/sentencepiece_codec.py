@@ -36,6 +36,8 @@ UNIGRAM, BPE = 1, 2
 CALL = 1 << 17
 #: Threads of the library in each task.
 THREADS = "2"
+#: Words of a sequence that goes to the library; several go at once.
+WORDS = 512
 #: Cuts whose ids a worker remembers before it forgets all: some 60 MB for words.
 REMEMBERED = 300_000
 
@@ -184,11 +186,12 @@ class Codec:
 
     def _ids(self, cuts: list[str]) -> dict[str, bytes]:
         """The ids of different cuts, as the bytes of an int32 array. Those of one marker and a word go as
-        one sequence of words: a piece that begins with the marker begins a cut."""
+        sequences of words, which the library's threads share: a piece that begins with the marker begins a cut."""
         words = [c for c in cuts if len(c) > 1 and c[0] == MARK and c[1] != MARK]
         out = {}
         if words:
-            ids = np.array(self.pieces.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+            sequences = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.pieces.encode_batch_fast(sequences, is_pretokenized=True, add_special_tokens=False)])
             at = np.flatnonzero(self.marked[ids]).tolist()
             if len(at) == len(words) and at[0] == 0:
                 raw, ends = ids.tobytes(), [*at[1:], len(ids)]
