@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.llm.textnum import BASES, prefix, windows, word_hashes, word_spans
 
@@ -220,7 +221,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **opt
         .groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # One text for each id, however often the id repeats.
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
     rows = texts.select("label", "text").mapInArrow(_with_statistics, "label double, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(NAMES))
     y = (rows["label"].to_numpy(dtype=float) >= 0.5).astype(float)
@@ -241,9 +244,9 @@ def _scorer(trees: Trees):
 
 
 def score(documents: DataFrame, trees: Trees) -> DataFrame:
-    """The documents, all columns, with __score."""
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(_scorer(trees), f"{schema}, __score double")
+    """The documents, all columns, with __score, which takes the place of a column of that name."""
+    documents = documents.drop("__score")
+    return documents.mapInArrow(_scorer(trees), T.StructType([*documents.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
