@@ -1,20 +1,25 @@
-"""Near copies by exact likeness: sets of five-word shingles with Jaccard 0.8 or more.
+"""Near copies: SimHash tiles first, then whatever they cannot reach, all by exact likeness.
 
 Shingles: A-Z lower-cased, words without ASCII white space, 64-bit hashes of
-five words; fewer words are one shingle. Equal sets collapse to one node first.
-
-Candidates come from prefix filtering, which loses no pair: under one order of
-all shingles, two sets of likeness 0.8 share one of the first n - ceil(0.8 n) + 1
+five words; fewer words are one shingle. Two documents are near copies if the
+Jaccard likeness of their shingle sets is 0.8 or more. Equal sets collapse to
+one node first.
+
+Round one links SimHash fingerprints of the shingles at 3 or fewer bits, in the
+tiles of `simhash`, and keeps the links whose sets are alike. At likeness 0.8 two
+fingerprints differ in some ten of 64 bits, and a radius that reached them would
+compare all with all, so 3 bits find the closest copies only. Rounds two and three
+find the others by prefix filtering, which loses no pair: under one order of all
+shingles, two sets of likeness 0.8 share one of the first n - ceil(0.8 n) + 1
 shingles of each. Any order does, so shingles that a sample shows to be common
 come last. Lengths and the places of the shared shingle bound what two sets can
-share before they become a candidate. Parities of 1,024 buckets of shingles
-bound the difference of two sets from below, which drops most candidates and no
-alike pair; the others are verified by their sets.
+share before they become a candidate. Parities of 1,024 buckets of shingles bound
+the difference of two sets from below, which drops most candidates and no alike
+pair; the others are verified by their sets.
 
-Two rounds keep large groups linear: first each set meets the smallest of those
-under a shared shingle (a star), then all pairs that the verified stars have not
-connected are formed, in blocks of bounded size. Components are those of the
-graph of all verified pairs.
+Round two has each set meet the smallest of those under a shared shingle (a star);
+round three forms all pairs that are not connected by then, in blocks of bounded
+size. Components are those of the graph of all verified pairs.
 
 Defined results: null, empty and blank texts have no shingle and are copies of
 one another; one row of each component stays, of the smallest id (rows without
@@ -31,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm import simhash
 from helixframe.llm.decontaminate import BROADCAST_ROWS, _sized
 from helixframe.llm.textnum import BASES, chunks, prefix, runs, windows, word_hashes, word_spans
 from helixframe.operators.graph import connected_components
@@ -47,8 +53,8 @@ BUCKETS = 1024
 BLOCK = 2048
 
 
-def _shingle_sets(texts) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def _shingles(texts) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text, repeats included."""
     for _, _, data, starts, ends in chunks(texts, lower=True):
         s, e = word_spans(data)
         sums = prefix(word_hashes(data, s, e), BASES[1])
@@ -56,11 +62,24 @@ def _shingle_sets(texts) -> Iterator[np.ndarray]:
         first, last = np.searchsorted(s, starts), np.searchsorted(s, ends)
         for a, z in zip(first.tolist(), last.tolist()):
             if z - a >= SHINGLE:
-                yield np.unique(grams[a : z - SHINGLE + 1])
+                yield grams[a : z - SHINGLE + 1]
             else:
                 yield runs(sums, np.array([a]), np.array([z]), BASES[1]) if z > a else grams[:0]
 
 
+def _shingle_sets(texts) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return map(np.unique, _shingles(texts))
+
+
+def _fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in more than half of the hashes, as eight bytes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little")
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), pa.array(values))
@@ -73,16 +92,18 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(common: np.ndarray):
-    """(row, sig, n, prefix, parities) of each text; common is ordered, the most common last."""
+    """(row, sig, n, fp, head, parity) of each text; common is ordered, the most common last."""
     by_hash = np.argsort(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common[by_hash]
         for b in batches:
-            sigs, sizes, heads, parity = [], [], [], []
-            for x in _shingle_sets(b.column("text")):
+            sigs, sizes, prints, heads, parity = [], [], [], [], []
+            for every in _shingles(b.column("text")):
+                x = np.unique(every)
                 sigs.append(xxhash.xxh64_intdigest(x.tobytes()))
                 sizes.append(len(x))
+                prints.append(_fingerprint(every))
                 counts = np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
                 parity.append(np.packbits((counts & 1).astype(np.uint8)).tobytes())
                 if len(known) and len(x):
@@ -91,7 +112,9 @@ def _signed(common: np.ndarray):
                     x = x[np.argsort(late, kind="stable")]
                 heads.append(x[: len(x) - (NUM * len(x) + DEN - 1) // DEN + 1])
             sig = pa.array(np.array(sigs, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("__row"), sig, pa.array(sizes, pa.int32()), _lists(heads), pa.array(parity, pa.binary())], ["__row", "sig", "n", "head", "parity"])
+            fp = pa.array(np.concatenate([np.zeros(0, np.uint8), *prints]).view(np.int64))
+            columns = [b.column("file"), b.column("at"), sig, pa.array(sizes, pa.int32()), fp, _lists(heads), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "at", "sig", "n", "fp", "head", "parity"])
 
     return run
 
@@ -191,39 +214,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = materialize(bounded.mapInArrow(_close, "u long, v long"), "near")
     used = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
     # Where few rows are wanted the texts stay where they are; else they are shuffled.
-    rows = _sized(nodes.select("sig", "__row").join(used, "sig", "left_semi"), BROADCAST_ROWS)
-    sets = materialize(docs.select("__row", "text").join(rows, "__row").select("sig", "text").mapInArrow(_sets, "sig long, shingles array<long>"), "near")
+    rows = _sized(materialize(nodes.join(used, "sig", "left_semi").select("sig", "row.*"), "near"), BROADCAST_ROWS)
+    sets = materialize(docs.select("file", "at", "text").join(rows, ["file", "at"]).select("sig", "text").mapInArrow(_sets, "sig long, shingles array<long>"), "near")
     a, b = (sets.select(F.col("sig").alias(c), F.col("shingles").alias(c + "s")) for c in "uv")
     shared, total = F.size(F.array_intersect("us", "vs")), F.size("us") + F.size("vs")
     out = materialize(pairs.join(a, "u").join(b, "v").where((NUM + DEN) * shared >= NUM * total).select("u", "v"), "near")
-    discard(sets)
-    discard(pairs)
+    discard(sets, pairs)
     return out
 
 
+def _close_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that SimHash tiles link: of each fingerprint, and of each two that are linked, the smallest nodes."""
+    low = materialize(nodes.groupBy("fp").agg(F.min("sig").alias("low")), "near")
+    links = simhash.links(low.select("fp")).join(low.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(low.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v")
+    same = nodes.select("sig", "fp").join(low, "fp").where("sig <> low").select(F.col("sig").alias("u"), F.col("low").alias("v"))
+    return same.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct()
+
+
+def located(documents: DataFrame) -> DataFrame:
+    """The documents with (file, at), which tell rows apart: where a row stands in the Parquet files that are read.
+
+    What is not read from files as it is, is written first.
+    """
+    if documents._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        documents = materialize(documents, "near")
+    columns = ["`" + c.replace("`", "``") + "`" for c in documents.columns]
+    return documents.select(F.struct(*columns).alias("all"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def components(docs: DataFrame) -> DataFrame:
-    """(__row, component) of rows (__row, text); rows must be written and __row unique."""
+    """(file, at, component) of rows (file, at, text)."""
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_hashes, "hash long")
     top = sample.groupBy("hash").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "hash").limit(MOST).collect()
     common = np.array([r["hash"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
-    kind = docs.schema["__row"].dataType.simpleString()
-    signed = materialize(docs.select("__row", "text").mapInArrow(_signed(common), f"__row {kind}, sig long, n int, head array<long>, parity binary"), "near")
-    nodes = signed.groupBy("sig").agg(F.min("__row").alias("__row"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("parity").alias("parity"))
-    nodes = materialize(nodes, "near")
-    stars = _verified(_pairs(nodes.withColumn("component", F.col("sig")), True), docs, nodes)
-    named = connected_components(stars).withColumnRenamed("node", "sig")
-    rest = _verified(_pairs(nodes.join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig")), False), docs, nodes)
-    named = connected_components(stars.unionByName(rest)).withColumnRenamed("node", "sig")
-    return signed.select("__row", "sig").join(named, "sig", "left").select("__row", F.coalesce("component", "sig").alias("component"))
+    schema = "file long, at long, sig long, n int, fp long, head array<long>, parity binary"
+    full = materialize(docs.select("file", "at", "text").mapInArrow(_signed(common), schema), "near")
+    row = F.min(F.struct("file", "at")).alias("row")
+    nodes = materialize(full.groupBy("sig").agg(row, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head"), F.first("parity").alias("parity")), "near")
+    signed = materialize(full.select("file", "at", "sig"), "near")
+    discard(full)
+    found = _verified(_close_prints(nodes), docs, nodes)
+    for stars in (True, False):
+        named = connected_components(found).withColumnRenamed("node", "sig")
+        open_ = nodes.select("sig", "n", "head").join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        found = found.unionByName(_verified(_pairs(open_, stars), docs, nodes))
+    discard(nodes)
+    named = connected_components(found).withColumnRenamed("node", "sig")
+    return signed.join(named, "sig", "left").select("file", "at", F.coalesce("component", "sig").alias("component"))
 
 
 def drop(documents: DataFrame) -> DataFrame:
     """The documents, all columns, with one row of each component."""
-    # Written first, so that a row keeps its number.
-    docs = materialize(documents.withColumn("__row", F.monotonically_increasing_id()), "near")
-    keys = docs.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__row").alias("row")).alias("key"))
-    of = materialize(components(docs).join(keys, "__row"), "near")
+    docs = located(documents).select("all", "all.doc_id", "all.text", "file", "at")
+    keys = docs.select("file", "at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "file", "at").alias("key"))
+    of = materialize(components(docs).join(keys, ["file", "at"]), "near")
     low = of.groupBy("component").agg(F.min("key").alias("first"))
-    gone = materialize(of.join(low, "component").where("__row <> first.row").select("__row"), "near")
-    discard(of)
-    return docs.join(_sized(gone, BROADCAST_ROWS), "__row", "left_anti").select(documents.columns)
+    several = of.groupBy("component").count().where("count > 1").select("component")
+    low = materialize(low.join(several, "component"), "near")
+    gone = materialize(of.join(low, "component").where("key <> first").select("file", "at"), "near")
+    discard(of, low)
+    return docs.join(_sized(gone, BROADCAST_ROWS), ["file", "at"], "left_anti").select("all.*")
