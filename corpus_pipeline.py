@@ -1,8 +1,8 @@
 """Five stages from raw documents to token ids.
 
-Near copies are decided by row; rows without an id pass the later stages that
-decide by id. The last stage returns token ids; all others the columns of
-documents.
+Each stage decides by row: rows that repeat an id, or have none, are judged by
+their own texts. Extra columns, whatever their names, go through all stages but
+the last, which returns token ids.
 """
 
 from __future__ import annotations
@@ -11,16 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, near_copies, quality, sentencepiece_codec, substring_dedup
-from helixframe.session import materialize
+from helixframe.session import discard, materialize
 
 #: SQL cannot express the classifier, the fingerprints or the tokenizer.
 ORACLE_SQL = None
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with all columns in one: no operator's column can clash with theirs."""
+    columns = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    return docs.select("doc_id", "text", F.struct(*columns).alias("row"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, trees).where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    return quality.score(_wrapped(docs), trees).where(F.col("__score") >= quality.THRESHOLD).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +36,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of earlier documents; texts of which nothing is left go."""
-    out = substring_dedup.remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
-    out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    out = substring_dedup.remove_repeats(_wrapped(docs)).where("n_words = 0 or n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select("row.*", *[c.alias(f"__{name}") for name, c in new.items()]).select(*[F.col(f"__{c}").alias(c) if c in new else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    return decontaminate.clean(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +64,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline")
+        if written is not None:
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
