@@ -1,5 +1,23 @@
 """Notices of public licences, by SPDX identifier and form."""
 
+_SOFTWARE = "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_USEFUL = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_NAME = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+#: Identifiers looked for in SPDX lines.
+IDENTIFIERS = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "Unlicense", "MPL-2.0", "EPL-2.0", "CC0-1.0",
+    *(f"{k}-{v}-{s}" for k, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for s in ("only", "or-later")),
+    *(f"CC-{k}-4.0" for k in _CREATIVE),
+)
+
 TEMPLATES = {
     ("MIT", "notice"): "Released under the MIT License.",
     ("MIT", "grant"): (
@@ -23,29 +41,41 @@ TEMPLATES = {
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
         "governing permissions and limitations under the License."
     ),
+    ("GPL-2.0", "notice"): "This work is licensed under the GNU General Public License, version 2.",
     ("GPL-3.0", "notice"): "This work is licensed under the GNU General Public License, version 3.",
-    ("GPL-3.0-or-later", "header"): (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
-    ("BSD-3-Clause", "grant"): (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
-        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ("GPL-2.0-only", "header"): "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    **{
+        (f"{kind}-{spdx}-or-later", "header"): (_SOFTWARE if kind != "LGPL" else _SOFTWARE.replace("program", "library")).format(name=_GNU[kind], version=version)
+        + " " + _USEFUL.format(what="library" if kind == "LGPL" else "program", name=_GNU[kind])
+        for kind, spdx, version in (("GPL", "2.0", "2"), ("GPL", "3.0", "3"), ("LGPL", "2.1", "2.1"), ("LGPL", "3.0", "3"), ("AGPL", "3.0", "3"))
+    },
+    ("BSD-2-Clause", "grant"): _BSD,
+    ("BSD-3-Clause", "grant"): _BSD + _NAME,
+    ("BSD", "warranty"): (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
     ("ISC", "grant"): (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    ("0BSD", "grant"): "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ("Zlib", "grant"): (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    ("BSL-1.0", "header"): "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt",
     ("MPL-2.0", "header"): (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
-    ("CC-BY-NC-4.0", "notice"): "Licensed under CC BY-NC 4.0.",
-    ("CC-BY-4.0", "notice"): "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ("CC-BY-SA-4.0", "notice"): "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ("Unlicense", "grant"): "This is free and unencumbered software released into the public domain.",
+    **{(f"CC-{k}-4.0", "short"): f"Licensed under CC {k} 4.0." for k in _CREATIVE},
+    **{(f"CC-{k}-4.0", "notice"): f"This work is licensed under a Creative Commons {name} 4.0 International License." for k, name in _CREATIVE.items()},
+    **{(k, "spdx"): f"SPDX-License-Identifier: {k}" for k in IDENTIFIERS},
 }

@@ -1,26 +1,35 @@
-"""Licence notices in texts: winnowed fingerprints, then banded alignment.
+"""Licence notices in texts: winnowed fingerprints, banded alignment, chains.
 
 Fingerprints are hashes of three-word runs; of each three neighbouring runs of
 a template the smallest is kept in an inverted index, so that any five words
 which a text shares with a template, in order, hit the index. Hits on one
 diagonal (text position minus template position, within the band) give a
-candidate; a banded alignment of the whole template against that place reports
-how many of its words match, the covered share and the span.
+candidate; a banded local alignment of the template against that place gives the
+segments that both share. Segments that follow one another in text and template,
+with at most GAP other words between them, are chained: words put into a notice
+do not hide it. A chain's matched words, covered share of the template and span
+are reported where the share reaches ``coverage``, or, as part of a notice, where
+PART_WORDS words and PART of the template match.
+
+Licences that share most of their words are told apart by those they do not
+share: of overlapping finds the one stays whose template has most matched less
+unmatched words (ties: larger share, the earlier, then by name).
 
 Templates are a fixed parameter, not data: the index travels with the task.
 Defined results: null, empty and notice-free texts give no row; a notice that
-occurs twice gives two rows; of overlapping matches the one with more matched
-words stays (ties: the earlier, then by name).
+occurs twice gives two rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from helixframe.llm.license_templates import TEMPLATES
 from helixframe.llm.textnum import BASES, chunks, prefix, windows, word_hashes
@@ -29,6 +38,11 @@ GRAM = 3
 WINDOW = 3
 BAND = 8
 COVERAGE = 0.8
+#: Least words of a segment, most words between two segments of one notice, least words and share of a part.
+SEGMENT = 3
+GAP = 64
+PART_WORDS = 12
+PART = 0.3
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -75,46 +89,80 @@ class Index:
         return np.flatnonzero(self.prints[at] == grams)
 
 
-def align(template: np.ndarray, text: np.ndarray, first: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, start, end) of the template in the text near position first.
+def align(template: np.ndarray, text: np.ndarray, first: int, band: int = BAND) -> tuple[int, int, int, int, int]:
+    """(matched words, template start, end, text start, end) of the best local alignment near a diagonal.
 
-    Words that match count 1, others and gaps -1; the text may go on at either
-    end at no cost. Only cells within the band around the diagonal are filled.
+    Words that match count 1, others and gaps -1. Only cells within the band
+    around the diagonal that starts at text position first are filled.
     """
     m, low = len(template), first - band
     width = 2 * band + 1
     ramp = np.arange(width)
-    far = -(10**6)
     score = np.zeros((m + 1, width), dtype=np.int64)
-    # Column c of row i stands for text position low + i + c.
-    score[0] = np.where((low + ramp >= 0) & (low + ramp <= len(text)), 0, far)
+    # Column c of row i stands for text position low + i + c: the words up to there.
+    at = low + np.arange(m + 1)[:, None] + ramp
+    inside = (at >= 1) & (at <= len(text))
+    padded = np.concatenate([text, np.zeros(1, text.dtype)])
+    same = inside[1:] & (padded[np.where(inside[1:], at[1:] - 1, len(text))] == template[:, None])
     for i in range(1, m + 1):
-        at = low + i + ramp
-        valid = (at >= 0) & (at <= len(text))
-        word = np.where((at >= 1) & (at <= len(text)), text[np.clip(at - 1, 0, max(len(text) - 1, 0))] if len(text) else 0, 0)
-        same = (word == template[i - 1]) & (at >= 1) & (at <= len(text))
-        best = score[i - 1] + np.where(same, 1, -1)
+        best = score[i - 1] + np.where(same[i - 1], 1, -1)
         best[:-1] = np.maximum(best[:-1], score[i - 1][1:] - 1)
-        best = np.where(valid, best, far)
-        score[i] = np.where(valid, np.maximum.accumulate(best + ramp) - ramp, far)
-    c = int(np.argmax(score[m]))
-    i, matched, end, start = m, 0, 0, 0
-    if score[m, c] <= far // 2:  # the band lies outside the text
-        return 0, 0, 0
-    while i > 0:
-        at = low + i + c
-        same = 1 <= at <= len(text) and text[at - 1] == template[i - 1]
-        if score[i, c] == score[i - 1, c] + (1 if same else -1):
-            if same:
+        best = np.where(inside[i], np.maximum(best, 0), 0)
+        score[i] = np.where(inside[i], np.maximum.accumulate(best + ramp) - ramp, 0)
+    i, c = np.unravel_index(int(np.argmax(score)), score.shape)
+    i, c = int(i), int(c)
+    matched, ends, start = 0, (i, low + i + c), (i, low + i + c)
+    while i > 0 and score[i, c] > 0:
+        if score[i, c] == score[i - 1, c] + (1 if same[i - 1, c] else -1):
+            if same[i - 1, c]:
                 matched += 1
-                start = at - 1
-                end = end or at
+                start = (i - 1, low + i + c - 1)
             i -= 1
         elif c + 1 < width and score[i, c] == score[i - 1, c + 1] - 1:
             i, c = i - 1, c + 1
         else:
             c -= 1
-    return matched, start, end
+    return matched, start[0], ends[0], start[1], ends[1]
+
+
+def _segments(template: np.ndarray, words: np.ndarray, firsts: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """All segments near the diagonals, the longest first; what is found is blanked, so that what lies behind it shows."""
+    left, out = words.copy(), []
+    heap = [(-x[0], x, first) for first in firsts if (x := align(template, left, first))[0] >= SEGMENT]
+    heapq.heapify(heap)
+    while heap:
+        _, x, first = heapq.heappop(heap)
+        if not (left[x[3] : x[4]] == 0).any():
+            out.append(x)
+            left[x[3] : x[4]] = 0
+        # Blanked words only shorten a segment, so the longest on the heap stays the longest there is.
+        x = align(template, left, first)
+        if x[0] >= SEGMENT:
+            heapq.heappush(heap, (-x[0], x, first))
+    return sorted(out, key=lambda x: (x[3], x[1]))
+
+
+def _chains(segments: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(matched, start, end) of chains of segments, best first; a segment is in one chain only."""
+    out, left = [], segments
+    while left:
+        best = [x[0] for x in left]
+        last = [-1] * len(left)
+        for i, x in enumerate(left):
+            for j in range(i - 1, -1, -1):
+                y = left[j]
+                if y[4] <= x[3] <= y[4] + GAP and y[2] <= x[1] and best[j] + x[0] > best[i]:
+                    best[i], last[i] = best[j] + x[0], j
+                elif x[3] - y[3] > 4 * GAP + len(left):
+                    break
+        i = max(range(len(left)), key=lambda k: (best[k], -k))
+        matched, end, used = best[i], left[i][4], set()
+        while i >= 0:
+            used.add(i)
+            start, i = left[i][3], last[i]
+        out.append((matched, start, end))
+        left = [x for k, x in enumerate(left) if k not in used]
+    return out
 
 
 def matches(index: Index, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
@@ -129,22 +177,14 @@ def matches(index: Index, words: np.ndarray, hits: np.ndarray, grams: np.ndarray
         for first in sorted(firsts):
             if not starts or first - starts[-1] > BAND // 2:
                 starts.append(first)
-        # Another copy within the band hides behind the best one: blank what is found and look again.
-        left = words
-        while starts:
-            round_ = [(first, *align(index.words[t], left, first)) for first in starts]
-            round_ = [x for x in round_ if x[1] >= coverage * len(index.words[t])]
-            left = left.copy() if left is words else left
-            blank = np.zeros(len(words) + 1, dtype=bool)
-            for _, matched, start, end in sorted(round_, key=lambda x: (-x[1], x[2], x[3])):
-                if not blank[start:end].any():
-                    blank[start:end] = True
-                    found.append((t, matched, start, end))
-            left[blank[:-1]] = 0
-            starts = [x[0] for x in round_]
+        size = len(index.words[t])
+        for matched, start, end in _chains(_segments(index.words[t], words, starts)):
+            if matched >= coverage * size or (matched >= PART_WORDS and matched >= PART * size):
+                found.append((t, matched, start, end))
     kept: list[tuple[int, int, int, int]] = []
     taken = np.zeros(len(words) + 1, dtype=bool)
-    for x in sorted(set(found), key=lambda x: (-x[1], x[2], index.names[x[0]])):
+    size = [len(w) for w in index.words]
+    for x in sorted(set(found), key=lambda x: (size[x[0]] - 2 * x[1], -x[1] / size[x[0]], x[2], index.names[x[0]])):
         if not taken[x[2] : x[3]].any():
             taken[x[2] : x[3]] = True
             kept.append(x)
@@ -184,6 +224,6 @@ NAMES = ["doc_id", "license", "form", "n_matched", "coverage", "word_start", "wo
 
 def scan(documents: DataFrame, templates: dict[tuple[str, str], str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """One row for each notice found: licence, form, matched words, coverage and spans."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, license string, form string, n_matched long, coverage double, word_start long, word_end long, char_start long, char_end long"
+    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T.StructType.fromDDL(
+        "license string, form string, n_matched long, coverage double, word_start long, word_end long, char_start long, char_end long")])
     return documents.select("doc_id", "text").mapInArrow(_scanner(dict(templates), coverage), schema)
