@@ -13,9 +13,10 @@ find the others by prefix filtering, which loses no pair: under one order of all
 shingles, two sets of likeness 0.8 share one of the first n - ceil(0.8 n) + 1
 shingles of each. Any order does, so shingles that a sample shows to be common
 come last. Lengths and the places of the shared shingle bound what two sets can
-share before they become a candidate. Parities of 1,024 buckets of shingles bound
-the difference of two sets from below, which drops most candidates and no alike
-pair; the others are verified by their sets.
+share before they become a candidate. Parities of buckets of shingles bound the
+difference of two sets from below, which drops most candidates and no alike pair:
+first those of 1,024 buckets, then those of four times as many as a set has
+shingles. The others are verified by their sets.
 
 Round two has each set meet the smallest of those under a shared shingle (a star);
 round three forms all pairs that are not connected by then, in blocks of bounded
@@ -47,8 +48,9 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: One text of SAMPLE shows which shingles are common: COMMON times or more in the sample, the first MOST of them.
 SAMPLE, COMMON, MOST = 16, 8, 20_000
-#: Buckets whose parities are kept of each set.
+#: Buckets whose parities are kept of each set: so many at least, and in a second row LOAD for each shingle.
 BUCKETS = 1024
+LOAD = 4
 #: Sets under one shingle compared with one another at once.
 BLOCK = 2048
 
@@ -92,20 +94,22 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(common: np.ndarray):
-    """(row, sig, n, fp, head, parity) of each text; common is ordered, the most common last."""
+    """(row, sig, n, fp, head, parity, wide) of each text; common is ordered, the most common last."""
     by_hash = np.argsort(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common[by_hash]
         for b in batches:
-            sigs, sizes, prints, heads, parity = [], [], [], [], []
+            sigs, sizes, prints, heads, parity, wide = [], [], [], [], [], []
             for every in _shingles(b.column("text")):
                 x = np.unique(every)
                 sigs.append(xxhash.xxh64_intdigest(x.tobytes()))
                 sizes.append(len(x))
                 prints.append(_fingerprint(every))
-                counts = np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                parity.append(np.packbits((counts & 1).astype(np.uint8)).tobytes())
+                buckets = max(BUCKETS, 1 << (LOAD * len(x) - 1).bit_length()) if len(x) else BUCKETS
+                odd = (np.bincount((x & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).astype(np.uint8)
+                wide.append(np.packbits(odd).tobytes())
+                parity.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, BUCKETS), axis=0)).tobytes())
                 if len(known) and len(x):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     late = np.where(known[at] == x, by_hash[at] + 1, 0)
@@ -113,8 +117,8 @@ def _signed(common: np.ndarray):
                 heads.append(x[: len(x) - (NUM * len(x) + DEN - 1) // DEN + 1])
             sig = pa.array(np.array(sigs, dtype=np.uint64).view(np.int64))
             fp = pa.array(np.concatenate([np.zeros(0, np.uint8), *prints]).view(np.int64))
-            columns = [b.column("file"), b.column("at"), sig, pa.array(sizes, pa.int32()), fp, _lists(heads), pa.array(parity, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "at", "sig", "n", "fp", "head", "parity"])
+            columns = [b.column("file"), b.column("at"), sig, pa.array(sizes, pa.int32()), fp, _lists(heads), pa.array(parity, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "at", "sig", "n", "fp", "head", "parity", "wide"])
 
     return run
 
@@ -199,19 +203,37 @@ def _pairs(nodes: DataFrame, stars: bool) -> DataFrame:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose parities do not differ by more than alike sets can."""
+    """Pairs whose parities do not differ by more than alike sets can.
+
+    Buckets are low bits of hashes, so that longer parities fold into shorter ones.
+    """
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BUCKETS // 64) for c in ("up", "vp"))
-        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        if not b.num_rows:
+            continue
+        p, q = b.column("up").to_pylist(), b.column("vp").to_pylist()
+        sizes = np.array([[len(x) for x in p], [len(y) for y in q]])
+        apart = np.zeros(b.num_rows, dtype=np.int64)
+        for m, n in np.unique(sizes, axis=1).T.tolist():
+            at = np.flatnonzero((sizes[0] == m) & (sizes[1] == n))
+            for lo in range(0, len(at), 4096):
+                some = at[lo : lo + 4096]
+                x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(side[i] for i in some.tolist()), np.uint64).reshape(len(some), -1, min(m, n) // 8), axis=1) for side in (p, q))
+                apart[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
         keep = pa.array((NUM + DEN) * apart <= (DEN - NUM) * b.column("total").to_numpy())
         yield b.select(["u", "v"]).filter(keep)
 
 
+def _bounded(pairs: DataFrame, nodes: DataFrame, parity: str) -> DataFrame:
+    a, b = (nodes.select(F.col("sig").alias(c), F.col("n").alias(c + "n"), F.col(parity).alias(c + "p")) for c in "uv")
+    rows = pairs.join(a, "u").join(b, "v").select("u", "v", "up", "vp", (F.col("un") + F.col("vn")).cast("long").alias("total"))
+    return materialize(rows.mapInArrow(_close, "u long, v long"), "near")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are alike."""
-    a, b = (nodes.select(F.col("sig").alias(c), F.col("n").alias(c + "n"), F.col("parity").alias(c + "p")) for c in "uv")
-    bounded = pairs.join(a, "u").join(b, "v").select("u", "v", "up", "vp", (F.col("un") + F.col("vn")).cast("long").alias("total"))
-    pairs = materialize(bounded.mapInArrow(_close, "u long, v long"), "near")
+    rough = _bounded(pairs, nodes, "parity")
+    pairs = _bounded(rough, nodes, "wide")
+    discard(rough)
     used = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
     # Where few rows are wanted the texts stay where they are; else they are shuffled.
     rows = _sized(materialize(nodes.join(used, "sig", "left_semi").select("sig", "row.*"), "near"), BROADCAST_ROWS)
@@ -247,10 +269,10 @@ def components(docs: DataFrame) -> DataFrame:
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_hashes, "hash long")
     top = sample.groupBy("hash").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "hash").limit(MOST).collect()
     common = np.array([r["hash"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
-    schema = "file long, at long, sig long, n int, fp long, head array<long>, parity binary"
+    schema = "file long, at long, sig long, n int, fp long, head array<long>, parity binary, wide binary"
     full = materialize(docs.select("file", "at", "text").mapInArrow(_signed(common), schema), "near")
     row = F.min(F.struct("file", "at")).alias("row")
-    nodes = materialize(full.groupBy("sig").agg(row, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head"), F.first("parity").alias("parity")), "near")
+    nodes = materialize(full.groupBy("sig").agg(row, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("head").alias("head"), F.first("parity").alias("parity"), F.first("wide").alias("wide")), "near")
     signed = materialize(full.select("file", "at", "sig"), "near")
     discard(full)
     found = _verified(_close_prints(nodes), docs, nodes)
