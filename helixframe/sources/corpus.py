@@ -116,13 +116,13 @@ def run_status(spark: SparkSession, folder: str) -> DataFrame:
     logs = logs if logs is not None else spark.createDataFrame([], "run string, value string")
     best = F.min(F.struct("val_loss", "epoch"))
     seen = history.groupBy("run").agg(F.count("*").alias("epochs_completed"), best.alias("best"), F.max("epoch").alias("last"))
-    lines = logs.select("run", F.trim(F.element_at(F.split(F.rtrim("value"), "\n"), -1)).alias("latest_log_line"))
+    lines = logs.select("run", F.trim(F.element_at(F.split(F.regexp_replace("value", r"\s+$", ""), "\n"), -1)).alias("latest_log_line"))
     out = seen.join(config, "run", "full").join(lines, "run", "full").withColumn("epochs_completed", F.coalesce("epochs_completed", F.lit(0)))
     stood = F.col("last") - F.col("best.epoch")
     patience = F.col("early_stopping_patience")
     done = F.coalesce(F.col("epochs_completed") >= F.col("epochs"), F.lit(False)) | F.coalesce((patience > 0) & (F.col("epochs_completed") > patience) & (stood >= patience), F.lit(False))
     status = F.when(done & F.col("epochs").isNotNull(), "complete").when(F.col("epochs_completed") > 0, "training").otherwise("starting")
-    return out.select("run", "epochs_completed", F.col("epochs").alias("configured_epochs"), status.alias("status"), F.col("best.val_loss").alias("best_val_loss"), F.col("best.epoch").alias("best_epoch"), "latest_log_line")
+    return out.select("run", "epochs_completed", F.col("epochs").alias("configured_epochs"), status.alias("status"), F.col("best.val_loss").alias("best_val_loss"), F.col("best.epoch").alias("best_epoch"), F.coalesce("latest_log_line", F.lit("")).alias("latest_log_line"))
 
 
 def pending_files(spark: SparkSession, glob: str, idle_seconds: int) -> DataFrame:

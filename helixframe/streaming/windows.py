@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def hourly(events: DataFrame) -> DataFrame:
     """Count and sum by hour and type; on a stream, late rows beyond a day are dropped with their state."""
-    rows = events.withWatermark("ts", "1 day") if events.isStreaming else events
+    # Watermarks are of instants; times without a zone are taken as the session's.
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day") if events.isStreaming else events
     out = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
