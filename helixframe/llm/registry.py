@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import decontaminate, fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup
+from helixframe.llm.sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
