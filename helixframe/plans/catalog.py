@@ -23,17 +23,21 @@ def _r(c, digits: int = 9):
     return F.round(c, digits)
 
 
-_tables: dict[tuple[str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    """The derived records, written once for each application and folder: every query below reads them again."""
-    key = (spark.sparkContext.applicationId, sf)
+def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table that several queries read, written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _tables:
-        _tables[key] = materialize(derived_records(spark, sf).withColumn("protein", C.strip_stops(F.col("protein_sequence"))), "records")
+        _tables[key] = materialize(build(), name)
     return _tables[key]
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return _once(spark, sf, "records", lambda: derived_records(spark, sf).withColumn("protein", C.strip_stops(F.col("protein_sequence"))))
+
+
 def _split(spark, sf, name):
     return _records(spark, sf).where(F.col("split") == name)
 
@@ -145,6 +149,10 @@ MEASURES = ("cai", "bleu", "diversity", "gc", "gc_delta")
 
 
 def _scores(spark, sf):
+    return _once(spark, sf, "scores", lambda: _score(spark, sf))
+
+
+def _score(spark, sf):
     """One row per test record and method with every measure; the natural sequence has no delta of its own."""
     test = _split(spark, sf, "test").select("idx", "gene_name", "species", "sequence")
     rows = usage.with_cai(generated(spark, sf), _weights(spark, sf), "generated").join(test, "idx")
@@ -216,7 +224,7 @@ def kmer_candidates(spark, sf):
 
 
 def _best(spark, sf):
-    return similarity.max_identity(*_sides(spark, sf)).withColumnRenamed("max_identity", "identity")
+    return _once(spark, sf, "identity", lambda: similarity.max_identity(*_sides(spark, sf)).withColumnRenamed("max_identity", "identity"))
 
 
 def identity_spread(spark, sf):
@@ -235,7 +243,7 @@ def _long(spark, sf):
     wide = _scores(spark, sf).join(_best(spark, sf), "idx")
     kinds = ", ".join(f"'{m}', {m}" for m in ("bleu", "cai", "gc_delta", "diversity"))
     long = wide.select("idx", "method", "species", _r("identity").alias("identity"), F.expr(f"stack(4, {kinds}) as (metric, value)")).withColumn("value", _r("value"))
-    return statistics.common_rows(materialize(long, "long"))
+    return statistics.common_rows(_once(spark, sf, "long", lambda: long))
 
 
 def stratified_scores(spark, sf):
@@ -364,7 +372,11 @@ def event_windows(spark, sf):
 
 
 def _clustered(spark, sf):
-    return clustering.cluster(_records(spark, sf).select("idx", "gene_name", "species", "protein"), 0.7)
+    return _once(spark, sf, "clustered", lambda: clustering.cluster(_records(spark, sf).select("idx", "gene_name", "species", "protein"), 0.7))
+
+
+def _controlled(spark, sf):
+    return _once(spark, sf, "controlled", lambda: clustering.enforce(clustering.gene_split(_clustered(spark, sf)), 0.7))
 
 
 def protein_clusters(spark, sf):
@@ -376,12 +388,11 @@ def component_split(spark, sf):
 
 
 def controlled_split(spark, sf):
-    return clustering.enforce(clustering.gene_split(_clustered(spark, sf)), 0.7).select("idx", "gene_name", "new_split")
+    return _controlled(spark, sf).select("idx", "gene_name", "new_split")
 
 
 def split_identity(spark, sf):
-    rows = clustering.enforce(clustering.gene_split(_clustered(spark, sf)), 0.7)
-    out = clustering.achieved_identity(materialize(rows, "split"), 0.7)
+    out = clustering.achieved_identity(_controlled(spark, sf), 0.7)
     return out.select("split", "n", *[_r(c).alias(c) for c in ("mean", "median", "p95", "max", "above")])
 
 
