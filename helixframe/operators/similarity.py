@@ -1,24 +1,31 @@
 """Joins of proteins by likeness within a gene.
 
-There are 13 genes, so a join on the gene alone would make 13 tasks. The pool of
-a gene is dealt to salts, as many as its size asks for; each query meets every
-salt of its gene. Equal proteins are compared once: queries collapse to their
-different proteins, and of equal pool rows only as many stay as a result can
-hold. One salt is compared first; what it finds bounds the distances in all
-others, where the banded distance gives up beyond the bound.
+There are 13 genes, so a join on the gene alone would make 13 tasks. A gene's
+queries and pool rows are dealt to the rows and columns of a grid, as many as
+its size asks for; a cell of the grid holds a bounded number of both, computes
+the distances of all its pairs at once (`editing`) and keeps what a result can
+hold: the nearest few of each query, or the pairs within a threshold. Equal
+proteins are compared once: queries collapse to their different proteins, and of
+equal pool rows only as many stay as a result can hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions import codons as C
+from helixframe.operators.editing import distances
 from helixframe.session import materialize
 
-#: Different pool proteins of a gene that one salt holds on average.
-SALT_ROWS = 2_000
-LEAST_SALTS = 8
+#: Different proteins of a gene, on average, that a cell has from the pool and from the queries.
+SALT_ROWS = 1_000
+QUERY_ROWS = 250
 
 
 def _tasks(df: DataFrame) -> int:
@@ -26,62 +33,74 @@ def _tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """By gene and salt, to a number of tasks that adaptive execution keeps: rows are few where work is much."""
-    return df.repartition(_tasks(df), "gene", "salt")
-
-
 def _proteins(df: DataFrame, *more: Column | str) -> DataFrame:
     return df.select("idx", F.col("gene_name").alias("gene"), "protein", *more)
 
 
-def _salted(pool: DataFrame) -> tuple[DataFrame, int]:
-    """The pool's rows (gene, t_protein, ...) with a salt by protein, and the number of salts."""
-    largest = pool.groupBy("gene").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    salts = max(LEAST_SALTS, -(-largest // SALT_ROWS))
-    return pool.withColumn("salt", F.pmod(F.xxhash64("t_protein"), F.lit(salts)).cast("int")), salts
+def _parts(df: DataFrame, rows: int) -> int:
+    largest = df.groupBy("gene").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-largest // rows))
+
+
+def _range(n: int) -> tuple[Column, Column]:
+    return F.lit(0).cast("long"), F.lit(n - 1).cast("long")
+
+
+def _cells(queries: DataFrame, pool: DataFrame, pick: Callable, columns: list[str], ids: str = "q_protein") -> DataFrame:
+    """The pairs that pick chooses in every cell of the grid, with these columns of queries and pool and edit_distance.
+
+    pick gets the distances, both sides' lengths and both tables, the pool
+    ordered by t_idx, and returns the places of its pairs.
+    """
+    across, down = _parts(pool, SALT_ROWS), _parts(queries, QUERY_ROWS)
+    q = queries.withColumn("row", F.pmod(F.xxhash64(ids), F.lit(down))).withColumn("column", F.explode(F.sequence(*_range(across))))
+    t = pool.withColumn("column", F.pmod(F.xxhash64("t_protein", "t_idx"), F.lit(across))).withColumn("row", F.explode(F.sequence(*_range(down))))
+    keys, n = ["gene", "row", "column"], _tasks(queries)
+    fields = {f.name: f for f in [*q.schema.fields, *t.schema.fields]} | {"edit_distance": T.StructField("edit_distance", T.IntegerType())}
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("t_idx")
+        a, b = left["q_protein"].to_pylist(), right["t_protein"].to_pylist()
+        d = distances(a, b)
+        i, j = pick(d, np.array([len(x) for x in a]), np.array([len(x) for x in b]), left, right) if d.size else (np.zeros(0, int),) * 2
+        data = {c: (left if c in left.column_names else right)[c].take(pa.array(i if c in left.column_names else j)) for c in columns}
+        return pa.table({**data, "edit_distance": pa.array(d[i, j].astype(np.int32))})
 
-def _all_salts(queries: DataFrame, salts: int, first: int = 0) -> DataFrame:
-    return queries.withColumn("salt", F.explode(F.sequence(F.lit(first), F.lit(salts - 1))))
+    # The number of tasks is fixed here: rows are few where work is much, and adaptive execution would join them.
+    sides = [x.repartition(n, *keys).groupBy(*keys) for x in (q, t)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, T.StructType([fields[c] for c in [*columns, "edit_distance"]]))
 
 
 def _longer() -> Column:
     return F.greatest(F.length("q_protein"), F.length("t_protein"), F.lit(1))
 
 
-def _gap() -> Column:
-    return F.abs(F.length("q_protein") - F.length("t_protein"))
+def _identities(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 1 - d / np.maximum(np.maximum(a[:, None], b[None, :]), 1)
+
+
+def _first(order: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the first k places of the order that are valid."""
+    j = order[:, :k]
+    i = np.repeat(np.arange(len(order)), j.shape[1]).reshape(j.shape)
+    keep = valid[i, j]
+    return i[keep], j[keep]
 
 
 def _nearest(queries: DataFrame, pool: DataFrame, k: int, cap: float | None) -> DataFrame:
-    """(gene, q_protein, edit_distance, t_idx, ...): at least the k nearest pool rows of every different query protein.
+    """(gene, q_protein, t_idx, ..., edit_distance, identity): at least the k nearest pool rows of every different query protein.
 
     Distances are ordered by (edit_distance, t_idx). Only pool rows of identity
     cap or less count where a cap is given.
     """
-    columns = ["gene", "q_protein", "edit_distance", "identity", *[c for c in pool.columns if c not in ("gene", "t_protein")]]
-    pool, salts = _salted(pool)
-    pool = materialize(pool, "pool")
-    order = ["edit_distance", "t_idx"]
-
-    def best(pairs: DataFrame, distance: Column) -> DataFrame:
-        rows = pairs.withColumn("edit_distance", distance).where("edit_distance >= 0").withColumn("identity", 1 - F.col("edit_distance") / _longer())
-        rows = rows.where(F.col("identity") <= cap) if cap is not None else rows
-        # Salt by salt first, then over the salts: no group is larger than a salt's.
-        part = rows.select(*columns, "salt").withColumn("r", F.row_number().over(Window.partitionBy("gene", "salt", "q_protein").orderBy(*order))).where(F.col("r") <= k)
-        return part.drop("r", "salt")
+
+    def pick(d, a, b, left, right):
+        valid = np.ones(d.shape, bool) if cap is None else _identities(d, a, b) <= cap
+        return _first(np.argsort(np.where(valid, d, np.iinfo(d.dtype).max), axis=1, kind="stable"), valid, k)
 
     different = queries.select("gene", F.col("protein").alias("q_protein")).distinct()
-    head = best(_spread(different.withColumn("salt", F.lit(0))).join(_spread(pool.where("salt = 0")), ["gene", "salt"]), F.levenshtein("q_protein", "t_protein"))
-    head = materialize(head, "nearest")
-    full = head.groupBy("gene", "q_protein").agg(F.count("*").alias("n"), F.max("edit_distance").alias("d"))
-    # Nothing farther than the k-th of the first salt is wanted.
-    bounded = different.join(full, ["gene", "q_protein"], "left").select("gene", "q_protein", F.when(F.col("n") >= k, F.col("d")).alias("bound"))
-    limit = F.coalesce("bound", F.greatest(F.length("q_protein"), F.length("t_protein")))
-    pairs = _spread(_all_salts(bounded, salts, 1)).join(_spread(pool.where("salt > 0")), ["gene", "salt"]).where(_gap() <= limit)
-    tail = best(pairs, F.call_function("levenshtein", "q_protein", "t_protein", limit))
-    return head.unionByName(tail)
+    found = _cells(different, pool, pick, ["gene", "q_protein", "t_protein", *[c for c in pool.columns if c not in ("gene", "t_protein")]])
+    return found.withColumn("identity", 1 - F.col("edit_distance") / _longer()).drop("t_protein")
 
 
 def _few(pool: DataFrame, k: int, *more: str) -> DataFrame:
@@ -115,33 +134,24 @@ def without_neighbours(queries: DataFrame, neighbours: DataFrame) -> DataFrame:
 def _likest(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """(idx, gene, t_idx, identity): the likest pool row of the gene, ties to the smaller idx; null where there is none.
 
-    Identity is at most shorter / longer length, and a pair is likelier than the
-    bound only within (1 - bound) * longer edits. A query may be in the pool: it
-    does not count for itself, so the two smallest idx of equal proteins stay.
+    A query may be in the pool: it does not count for itself, so the two smallest
+    idx of equal proteins stay.
     """
     q = _proteins(queries)
-    pool, salts = _salted(_few(pool, 2))
-    pool = materialize(pool, "pool")
+    pool = materialize(_few(pool, 2), "pool")
     # A query whose protein another pool row has is done.
     own = materialize(pool.groupBy("gene", "t_protein").agg(F.collect_set("t_idx").alias("of")).select("gene", F.col("t_protein").alias("protein"), "of"), "pool")
     other = q.join(own, ["gene", "protein"], "left").select("idx", "gene", "protein", F.array_min(F.array_remove("of", F.col("idx"))).alias("twin"))
     twins = other.where("twin is not null").select("idx", "gene", F.col("twin").alias("t_idx"), F.lit(1.0).alias("identity"))
     rest = materialize(other.where("twin is null").select("idx", "gene", F.col("protein").alias("q_protein")), "queries")
-    different = rest.select("gene", "q_protein").distinct()
-
-    def best(pairs: DataFrame, distance: Column) -> DataFrame:
-        # Equal proteins have been dealt with: what is left is the query itself.
-        rows = pairs.where("q_protein <> t_protein").withColumn("d", distance).where("d >= 0").withColumn("m", F.col("d") / _longer() - 1)
-        return rows.groupBy("gene", "q_protein").agg(F.min(F.struct("m", "t_idx")).alias("b"))
-
-    head = best(_spread(different.withColumn("salt", F.lit(0))).join(_spread(pool.where("salt = 0")), ["gene", "salt"]), F.levenshtein("q_protein", "t_protein"))
-    head = materialize(head, "nearest")
-    bounded = different.join(head.select("gene", "q_protein", (-F.col("b.m")).alias("bound")), ["gene", "q_protein"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-    shorter = F.least(F.length("q_protein"), F.length("t_protein"))
-    pairs = _spread(_all_salts(bounded, salts, 1)).join(_spread(pool.where("salt > 0")), ["gene", "salt"]).where(shorter / _longer() >= F.col("bound") - 1e-12)
-    limit = F.floor((1 - F.col("bound")) * _longer() + 1e-6).cast("int")
-    found = head.unionByName(best(pairs, F.call_function("levenshtein", "q_protein", "t_protein", limit))).groupBy("gene", "q_protein").agg(F.min("b").alias("b"))
-    rest = rest.join(found, ["gene", "q_protein"], "left").select("idx", "gene", F.col("b.t_idx").alias("t_idx"), (-F.col("b.m")).alias("identity"))
+
+    def pick(d, a, b, left, right):
+        # Equal proteins have been dealt with: what is left of them is the query itself.
+        return _first(np.argsort(np.where(d > 0, -_identities(d, a, b), np.inf), axis=1, kind="stable"), d > 0, 1)
+
+    found = _cells(rest.select("gene", "q_protein").distinct(), pool, pick, ["gene", "q_protein", "t_protein", "t_idx"])
+    best = found.groupBy("gene", "q_protein").agg(F.min(F.struct((F.col("edit_distance") / _longer() - 1).alias("m"), "t_idx")).alias("b"))
+    rest = rest.join(materialize(best, "nearest"), ["gene", "q_protein"], "left").select("idx", "gene", F.col("b.t_idx").alias("t_idx"), (-F.col("b.m")).alias("identity"))
     return twins.unionByName(rest)
 
 
@@ -156,13 +166,15 @@ def nearest_by_length_bound(queries: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def threshold_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs within int(len * (1 - threshold)) edits of the left protein: length filter, then banded distance."""
-    pool = right.select(F.col("gene_name").alias("gene"), F.col("protein").alias("t_protein"), F.col("idx").alias("t_idx"))
-    pool, salts = _salted(pool)
+    """(q_idx, t_idx, edit_distance) of pairs within int(len * (1 - threshold)) edits of the left protein."""
+
+    def pick(d, a, b, left, right):
+        bound = (a * (1.0 - threshold)).astype(np.int64)
+        return np.nonzero((d <= bound[:, None]) & (left["q_idx"].to_numpy()[:, None] != right["t_idx"].to_numpy()[None, :]))
+
     q = left.select(F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"), F.col("idx").alias("q_idx"))
-    k = (F.length("q_protein") * F.lit(1.0 - threshold)).cast("int")
-    pairs = _spread(_all_salts(q, salts)).join(_spread(pool), ["gene", "salt"]).where((F.col("q_idx") != F.col("t_idx")) & (_gap() <= k))
-    return pairs.withColumn("d", F.call_function("levenshtein", "q_protein", "t_protein", k)).where("d >= 0").select("q_idx", "t_idx", F.col("d").alias("edit_distance"))
+    t = right.select(F.col("gene_name").alias("gene"), F.col("protein").alias("t_protein"), F.col("idx").alias("t_idx"))
+    return _cells(q, t, pick, ["q_idx", "t_idx"], "q_idx")
 
 
 def kmer_candidates(queries: DataFrame, pool: DataFrame, k: int = 3, top: int = 8) -> DataFrame:

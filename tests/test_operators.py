@@ -60,6 +60,7 @@ def ranked(query, pool, cap=None):
 @pytest.mark.parametrize("cap", [None, 0.5])
 def test_top_neighbours(both, cap, monkeypatch):
     monkeypatch.setattr(similarity, "SALT_ROWS", 5)
+    monkeypatch.setattr(similarity, "QUERY_ROWS", 4)
     queries, pool, q, p = both
     got = {(r.q_idx, r.rank): (r.edit_distance, r.t_idx) for r in similarity.top_neighbours(q, p, k=3, max_identity=cap).collect()}
     assert got == {(x[0], k): y[:2] for x in queries for k, y in enumerate(ranked(x, pool, cap)[:3])}
@@ -67,6 +68,7 @@ def test_top_neighbours(both, cap, monkeypatch):
 
 def test_max_and_nearest_identity(both, monkeypatch):
     monkeypatch.setattr(similarity, "SALT_ROWS", 5)
+    monkeypatch.setattr(similarity, "QUERY_ROWS", 4)
     queries, pool, q, p = both
     want = {x[0]: min(((-i, t) for _, t, i in ranked(x, pool)), default=(0.0, None)) for x in queries}
     assert {r.idx: r.max_identity for r in similarity.max_identity(q, p).collect()} == pytest.approx({k: -m for k, (m, _) in want.items()})
