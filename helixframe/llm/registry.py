@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import decontaminate, fingerprints, html_text, licenses, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup
+from helixframe.llm import decontaminate, fingerprints, html_text, licenses, prefix_trie, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup
 from helixframe.llm.sql import SQL
 
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -73,6 +77,7 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": pipeline,
     }
 

@@ -28,4 +28,22 @@ SQL = {
       kept AS (SELECT doc_id, string_agg(substr(x, 2 * edge.s + 1, 2 * (coalesce(edge.e, n) - edge.s)), '' ORDER BY edge.s) AS x FROM d JOIN edge USING (doc_id) GROUP BY doc_id)
       SELECT d.doc_id, d.n AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.k, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
       FROM d LEFT JOIN (SELECT doc_id, sum(e - s) AS n, count(*) AS k FROM span GROUP BY doc_id) g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op13_prefix_trie": rf"""WITH RECURSIVE bits AS (SELECT n, list_reduce([n::BIGINT] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(n)),
+      tab AS (SELECT list(v ORDER BY n) AS tab FROM bits),
+      t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) - 1 AS i
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+      c AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+      h AS (SELECT conv_id, conv_id - conv_id % 20 AS base, (4294967295 - list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]))) % 4 AS h FROM c, tab),
+      l AS (SELECT h.*, least(h, coalesce(c.n, 0)) AS lead FROM h LEFT JOIN c ON c.conv_id = h.base),
+      r AS (SELECT l.conv_id, i, role, text FROM l JOIN t ON t.conv_id = l.base AND i < lead UNION ALL SELECT l.conv_id, i - h + lead, role, text FROM l JOIN t ON t.conv_id = l.conv_id AND i >= h),
+      p AS (SELECT conv_id, 0::BIGINT AS depth, '' AS key, '' AS above, 0::BIGINT AS words FROM c UNION ALL
+        SELECT p.conv_id, depth + 1, sha256(key || length(role)::VARCHAR || ':' || role || text), key, len(regexp_extract_all(text, '{_WORDS}')) FROM p JOIN r ON r.conv_id = p.conv_id AND r.i = p.depth),
+      m AS (SELECT conv_id, max(depth) AS n FROM p GROUP BY 1),
+      e AS (SELECT depth, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN m USING (conv_id) WHERE depth = n GROUP BY ALL),
+      g AS (SELECT depth, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM p GROUP BY depth, key),
+      k AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n FROM g WHERE depth > 0 GROUP BY ALL),
+      x AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k USING (depth, key)),
+      s AS (SELECT a.depth, a.key, count(*) FILTER (x.n_children = 0) AS n_leaves, sum(x.saved) AS saved_tokens FROM p a JOIN x ON x.conv_id = a.conv_id AND x.depth >= a.depth GROUP BY ALL)
+      SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+      FROM x JOIN s USING (depth, key) LEFT JOIN e USING (depth, key) LEFT JOIN g up ON up.depth = x.depth - 1 AND up.key = x.above""",
 }
