@@ -65,7 +65,16 @@ _collected: dict[str, float] = {}
 _written: dict[str, SparkSession] = {}
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; what is written there is deleted when the driver's Python ends, if not before."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, and what has been registered for it."""
+    _written.pop(folder, None)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -74,7 +83,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def _clear() -> None:
     for folder, spark in list(_written.items()):
         try:
-            _delete(spark, folder)
+            delete(spark, folder)
         except Exception:  # noqa: BLE001  the session has ended before: its folder is the cluster's to clear
             pass
 
@@ -86,8 +95,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     that a frame used several times is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     # Lets Spark's cleaner drop the shuffle files of what is now written, which it does once the
     # driver has collected its garbage; until then they would fill the executors' disks.
@@ -103,5 +111,5 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialized frames; call it once all that reads them is itself written."""
     for df in frames:
-        if _written.pop(df._folder, None):
-            _delete(df.sparkSession, df._folder)
+        if df._folder in _written:
+            delete(df.sparkSession, df._folder)
