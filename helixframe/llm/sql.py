@@ -28,6 +28,10 @@ SQL = {
       kept AS (SELECT doc_id, string_agg(substr(x, 2 * edge.s + 1, 2 * (coalesce(edge.e, n) - edge.s)), '' ORDER BY edge.s) AS x FROM d JOIN edge USING (doc_id) GROUP BY doc_id)
       SELECT d.doc_id, d.n AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.k, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
       FROM d LEFT JOIN (SELECT doc_id, sum(e - s) AS n, count(*) AS k FROM span GROUP BY doc_id) g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op12_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS x FROM pages),
+      d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest FROM p),
+      f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY 1)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d JOIN f USING (payload_digest)""",
     "op13_prefix_trie": rf"""WITH RECURSIVE bits AS (SELECT n, list_reduce([n::BIGINT] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(n)),
       tab AS (SELECT list(v ORDER BY n) AS tab FROM bits),
       t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) - 1 AS i
