@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import decontaminate, fingerprints, html_text, licenses, prefix_trie, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, web_archives
+from helixframe.llm import decontaminate, fingerprints, html_text, licenses, prefix_trie, quality, sentencepiece_codec, sharding, simhash, substring_dedup, suffix_dedup, token_alignment, web_archives
 from helixframe.llm.sql import SQL
 
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_archives.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -81,6 +85,7 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_licenses": op9_licenses,
         "op10_simhash": op10_simhash,
+        "op11_token_alignment": op11_token_alignment,
         "op12_warc": op12_warc,
         "op13_prefix_trie": op13_prefix_trie,
         "pipeline": pipeline,
