@@ -12,7 +12,7 @@ A legacy record has one header line, whose fields depend on the version that the
 archive's first record states. The converter gives each record what WARC asks
 for beyond it: an identifier made from its place and contents, an ISO time, a
 record type, digests of block and payload. Where several records have one
-payload, the first (smallest page_id, numbers before none) is kept in full and
+payload, the first (smallest page_id, numbers before none, then the earliest) is kept in full and
 the others refer to it.
 
 Defined results: a null or empty body is an empty payload, which counts as any
@@ -284,7 +284,7 @@ def convert(spark: SparkSession, arcs: str, warcs: str, min_bytes: int = 0) -> N
     are shuffled only if the revisits are too many for Spark to broadcast.
     """
     light = materialize(read_arc(spark, arcs, bodies=False).where("not about").drop("body"), "archive")
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").cast("long").alias("n"), "page_id", "record_id", "file", "place", "date")
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").cast("long").alias("n"), "page_id", "date", "record_id", "file", "place")
     first = light.where(F.col("n_payload") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"))
     revisits = light.where(F.col("n_payload") >= min_bytes).join(first, "digest").where("file <> first.file or place <> first.place")
     revisits = materialize(revisits.select("file", "place", F.col("first.record_id").alias("refers_id"), F.col("first.date").alias("refers_date")), "archive")
