@@ -72,11 +72,11 @@ def texts():
     return out + out[7:40]
 
 
-@pytest.mark.parametrize("dictionary", [token_alignment.DICTIONARY, 40, 0])
-def test_same_as_token_by_token(spark, texts, dictionary):
+@pytest.mark.parametrize("dictionary, pairs", [(token_alignment.DICTIONARY, token_alignment.PAIRS), (40, 40), (0, 0)])
+def test_same_as_token_by_token(spark, texts, dictionary, pairs):
     rows = [(i if i % 5 else None, t, "clash", i) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, segment string, key long").repartition(3)
-    got = Counter((r.doc_id, *(r[c] for c in COLUMNS)) for r in token_alignment.align(docs, dictionary=dictionary).collect())
+    got = Counter((r.doc_id, *(r[c] for c in COLUMNS)) for r in token_alignment.align(docs, dictionary=dictionary, pairs_known=pairs).collect())
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute(texts)))
 
 
