@@ -45,8 +45,10 @@ _SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Of white space what is no line feed, and what is neither that nor a space.
 _NO_LINE = _SPACE.replace(r"\t-\r", r"\t\x0b-\r")
 _OTHER = _NO_LINE.replace(r"\x1c-\x20", r"\x1c-\x1f")
-#: Segments that every worker knows, and the longest of these in characters: some 20 MB. Pairs of tokens that it knows: 6 MB.
-DICTIONARY, LONGEST, PAIRS = 1 << 18, 32, 1 << 18
+#: Segments that every worker knows, and the longest of these in characters: some 40 MB. Pairs of tokens that it knows: 6 MB.
+DICTIONARY, LONGEST, PAIRS = 1 << 19, 32, 1 << 18
+#: Segments that are encoded at once.
+TOGETHER = 512
 #: Segments of documents that are put together at once.
 AT_ONCE = 1 << 19
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "bad"]
@@ -91,13 +93,18 @@ def segments(text: Column, cuts: Cuts) -> Column:
     cut = r"(?: |\n++ ?)" if cuts.lines else " "
     pattern = f"[{_SPACE}]*+{word}++(?:(?!{cut}{word})[{_SPACE}]++(?:{word}++|\\z))*+|[{_SPACE}]++\\z"
     careful = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), bare)
+    # White space that may be odd: few texts have any, and looking for it takes a tenth of the time that a pattern takes.
+    some = text.rlike(r"[\t\x0b-\r\x1c-\x1f\x85\xa0]") | F.contains(text.cast("binary"), F.lit(b"\xe2\x80"))
+    for x in ("  ", " \n", "\n\n" if cuts.lines else "\n", "\u1680", "\u205f", "\u3000"):
+        some |= F.contains(text, F.lit(x))
+    some |= F.startswith(text, F.lit(" ")) | F.startswith(text, F.lit("\n")) | F.endswith(text, F.lit(" "))
     if cuts.lines:
         # Behind a line feed that ends the text, or has another and no third behind it, each is a token of its own for both.
         odd = f"^[{_SPACE}]|[{_SPACE}](?:(?<=[{_NO_LINE}])(?:[{_SPACE}]|\\z)|(?<=\\n)(?:[{_OTHER}]|\\n(?:[{_SPACE}]|\\z)))"
         split = F.split(F.replace(text, F.lit("\n"), F.lit(" \n")), " ")
     else:
         odd, split = f"^[{_SPACE}]|[{_SPACE}](?:[{_SPACE}]|\\z)", F.split(text, " ")
-    return F.when(head & text.rlike(odd), careful).when(head, split)
+    return F.when(head & some & text.rlike(odd), careful).when(head, split)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -117,14 +124,37 @@ class Pair:
         self.bytes_a = {i: bytes(alphabet[c] for c in entry) for entry, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in entry)}
         self.codec, self.cut = Codec(parse(proto)), cuts.words
         kinds = {UNKNOWN: lambda p: b"\xff", CONTROL: lambda p: b"\xff", BYTE: lambda p: bytes([int(p[3:5], 16)])}
+        self.size_a = np.zeros(self.a.get_vocab_size(), np.int64)
+        self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
         self.bytes_b = [kinds.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in self.codec.model.pieces]
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for texts that begin with the space that the second adds by itself."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the first and the second for texts that begin with the space that the second adds by itself; none if they do not spell the text."""
         a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         if self.cut:
-            return a, [e.ids for e in self.codec.pieces.encode_batch_fast([t.replace(" ", MARK) for t in texts], add_special_tokens=False)]
-        return a, [x.tolist() for x in self.codec.encode([t[1:] for t in texts])]
+            b = [e.ids for e in self.codec.pieces.encode_batch_fast([t.replace(" ", MARK) for t in texts], add_special_tokens=False)]
+        else:
+            b = self.codec.encode([t[1:] for t in texts])
+        good = [b"".join(map(self.bytes_a.__getitem__, x)) == t.encode() == b"".join(map(self.bytes_b.__getitem__, y)) for t, x, y in zip(texts, a, b)]
+        none = np.zeros(0, np.int32)
+        return [(np.array(x, np.int32), np.array(y, np.int32)) if g else (none, none) for x, y, g in zip(a, b, good)]
+
+    def encode_joined(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for segments between any two of which there is a cut, several hundred a call."""
+        whole = "".join(texts)
+        raw, ends = whole.encode(), np.cumsum([len(t.encode()) for t in texts])
+        a = self.a.encode(whole, add_special_tokens=False).ids
+        b = self.codec.pieces.encode([t.replace(" ", MARK) for t in texts], is_pretokenized=True, add_special_tokens=False).ids
+        parts = []
+        for ids, spell, size in ((a, self.bytes_a, self.size_a), (b, self.bytes_b, self.size_b)):
+            ids = np.array(ids, np.int32)
+            reached = np.cumsum(size[ids])
+            at = np.searchsorted(reached, ends)
+            if b"".join(map(spell.__getitem__, ids.tolist())) != raw or not np.array_equal(reached[at], ends):
+                return self.encode(texts)  # some segment is not spelled: each for itself
+            parts.append(np.split(ids, at[:-1] + 1))
+        return list(zip(*parts))
 
 
 _built: dict[tuple, Pair] = {}
@@ -137,21 +167,23 @@ def _coded(byte_json: bytes, proto: bytes, cuts: Cuts):
         os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         key = (hash(byte_json), hash(proto), cuts)
         pair = _built.get(key) or _built.setdefault(key, Pair(byte_json, proto, cuts))
-        spell_a, spell_b = pair.bytes_a.__getitem__, pair.bytes_b.__getitem__
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, len(batch), TOGETHER):
+                part = batch.slice(lo, TOGETHER)
                 texts = [x if x[:1].isspace() else " " + x for x in part.column("segment").to_pylist()]
-                ids, sizes, n_a, n_bytes = [], [], [], []
-                for text, a, b in zip(texts, *pair.encode(texts)):
-                    raw, in_a, in_b = text.encode(), list(map(spell_a, a)), list(map(spell_b, b))
-                    good = b"".join(in_a) == raw == b"".join(in_b)
-                    ids.append(a + b if good else [])
-                    sizes.append([*map(len, in_a), *map(len, in_b)] if good else [])
-                    n_a.append(len(a) if good else 0)
-                    n_bytes.append(len(raw))
-                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, sizes)]
-                yield pa.RecordBatch.from_arrays([part.column("segment"), part.column("n"), pa.array(n_bytes, pa.int64()), pa.array(n_a, pa.int32()), *lists], ["segment", "n", "n_bytes", "n_a", "ids", "sizes"])
+                # Between two that begin with a space or a line feed, and end with none, there is a cut.
+                plain = [cuts.words and len(t) < 100 and not t[-1].isspace() and (t[0] == "\n" or t[0] == " " and not t[1].isspace()) for t in texts]
+                done = dict(zip((i for i, x in enumerate(plain) if x), pair.encode_joined([t for t, x in zip(texts, plain) if x]) if any(plain) else []))
+                done |= zip((i for i, x in enumerate(plain) if not x), pair.encode([t for t, x in zip(texts, plain) if not x]))
+                both = [x for i in range(len(texts)) for x in done[i]]
+                n = np.array([len(x) for x in both], np.int64)
+                ids = np.concatenate(both)
+                offsets = np.concatenate([[0], np.cumsum(n[0::2] + n[1::2])]).astype(np.int32)
+                first = np.repeat(np.arange(len(both)) % 2 == 0, n)
+                sizes = np.where(first, pair.size_a[np.where(first, ids, 0)], pair.size_b[np.where(first, 0, ids)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (ids, sizes)]
+                n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("segment"), part.column("n"), n_bytes, pa.array(n[0::2].astype(np.int32)), *lists], ["segment", "n", "n_bytes", "n_a", "ids", "sizes"])
 
     return run
 
@@ -249,6 +281,17 @@ def _summed(known: pa.Table):
     return run
 
 
+def _pack(places: np.ndarray) -> bytes:
+    """Compressed, the bytes of one weight after the other: places of frequent segments are small numbers."""
+    planes = np.ascontiguousarray(places, "<i4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _in_dictionary(known: pa.Table):
     """Segments as places in the dictionary, -1 for those that are not there and follow as strings."""
     data = _sent(known)
@@ -262,9 +305,11 @@ def _in_dictionary(known: pa.Table):
             missing = np.asarray(codes) < 0
             offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
             rare = np.concatenate([[0], np.cumsum(missing)])[offsets]
+            places = codes.cast(pa.int32()).to_numpy(zero_copy_only=False)
+            packed = [_pack(places[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), codes.cast(pa.int32())),
-                 pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), flat.filter(pa.array(missing)))], ["row", "doc_id", "codes", "rare"])
+                [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(packed, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), flat.filter(pa.array(missing)))], ["row", "doc_id", "n", "codes", "rare"])
 
     return run
 
@@ -274,8 +319,8 @@ def _assembled(known: pa.Table):
     data = _sent(known)
 
     def part(rows: pa.RecordBatch, strings: pa.Array, numbers: np.ndarray) -> pa.RecordBatch:
-        codes = rows.column("codes").flatten().to_numpy(zero_copy_only=False)
-        lengths = rows.column("codes").value_lengths().to_numpy(zero_copy_only=False)
+        lengths = rows.column("n").to_numpy()
+        codes = np.concatenate([_unpack(x, n) for x, n in zip(rows.column("codes").to_pylist(), lengths.tolist())])
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         missing = codes < 0
         place = np.where(missing, len(strings) + np.cumsum(missing) - 1, codes)
@@ -294,7 +339,7 @@ def _assembled(known: pa.Table):
         # A first entry for documents all of whose segments are elsewhere, if the dictionary is empty.
         numbers = [np.append(table.column(c).to_numpy(), 0) for c in _NUMBERS]
         for batch in batches:
-            size = np.cumsum(pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False))
+            size = np.cumsum(batch.column("n").to_numpy())
             lo = 0
             while lo < len(batch):
                 before = size[lo - 1] if lo else 0
@@ -316,7 +361,7 @@ def _frequent(rows: DataFrame, count: str, size: int, *columns: str) -> pa.Table
         if total > size:
             break
         least = k
-    return rows.where(power >= least).select(*columns).toArrow()
+    return rows.where(power >= least).select(*columns, F.col(count).alias("__n")).toArrow().sort_by([("__n", "descending")]).drop(["__n"])
 
 
 def _without_bad_texts(texts: DataFrame, coded: DataFrame, cuts: Cuts) -> DataFrame:
@@ -372,9 +417,11 @@ def align(documents: DataFrame, byte_path: str = BYTE_PATH, piece_path: str = MO
     known = _frequent(words.where(F.length("segment") <= LONGEST), "n", dictionary, "segment", "groups", *_NUMBERS)
     kind = documents.schema["doc_id"].dataType.simpleString()
     listed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", segments(F.col("text"), cuts).alias("segments"))
-    listed = materialize(listed.mapInArrow(_in_dictionary(known.select(["segment"])), f"row long, doc_id {kind}, codes array<int>, rare array<string>"), "alignment")
+    listed = materialize(listed.mapInArrow(_in_dictionary(known.select(["segment"])), f"row long, doc_id {kind}, n long, codes binary, rare array<string>"), "alignment")
     rare = listed.select("row", F.posexplode("rare").alias("pos", "segment")).join(words.drop("n"), "segment")
     found = F.sort_array(F.collect_list(F.struct("pos", "groups")))
     rare = rare.groupBy("row").agg(F.transform(found, lambda x: x["groups"]).alias("rare_groups"), *[F.sum(c).alias(c) for c in _NUMBERS])
-    out = listed.select("row", "doc_id", "codes").join(materialize(rare, "alignment"), "row", "left")
+    rare = materialize(rare, "alignment")
+    discard(words)
+    out = listed.select("row", "doc_id", "n", "codes").join(rare, "row", "left")
     return out.mapInArrow(_assembled(known.drop(["segment"])), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _NUMBERS[:-1]) + ", groups_sha256 string")
