@@ -3,7 +3,10 @@
 Spark's own levenshtein compares a pair letter by letter, which takes some tens
 of microseconds for two proteins of a hundred residues. Here a column of the
 distance table is a few 64-bit words, and numpy moves all pairs of a block on by
-one letter at once (Myers' recursion with carries between words).
+one letter at once (Myers' recursion with carries between words). Most pairs
+need no table: one edit changes at most g of the g-letter pieces of a string, so
+what two strings have in common bounds their distance from below, and a product
+of two matrices counts it for all pairs of a block.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ import numpy as np
 
 #: Words that one step works on: small enough for a core's cache.
 CELLS = 1 << 16
+#: Different pieces that one product of matrices counts.
+PIECES = 4096
+#: Share of a block's pairs from which on all are compared together: a pair on its own takes somewhat longer.
+DENSE = 0.6
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 
@@ -69,3 +76,168 @@ def distances(queries: list[str], pool: list[str]) -> np.ndarray:
     if empty.any():
         out[:, empty] = np.array([len(x) for x in q])[:, None]
     return out
+
+
+def pair_distances(queries: list[str], pool: list[str], i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Edit distances of queries[i] and pool[j]; those above the bound of their pair are some number above it.
+
+    A letter changes a column's last value by one at most, so a pair is left as
+    soon as the letters that remain cannot bring it back to its bound.
+    """
+    q, t = _codes(queries), _codes(pool)
+    out = np.zeros(len(i), dtype=np.int64)
+    if not len(i):
+        return out
+    n, m = np.array([len(x) for x in q])[i], np.array([len(x) for x in t])[j]
+    letters = np.unique(np.concatenate([*q, *t, np.zeros(1, np.uint32)]))
+    text = np.full((len(q), max(1, int(n.max()))), len(letters))
+    for r, x in enumerate(q):
+        text[r, : min(len(x), text.shape[1])] = np.searchsorted(letters, x[: text.shape[1]])
+    out[:] = np.where(n == 0, m, np.where(m == 0, n, 0))
+    # Pairs of like sizes go together: those of a step have as many words as the longest.
+    order = np.lexsort((n, (m + 63) // 64))
+    order = order[(n[order] > 0) & (m[order] > 0)]
+    lo = 0
+    while lo < len(order):
+        words = int((m[order[min(len(order), lo + CELLS) - 1]] + 63) // 64)
+        some = order[lo : lo + max(1, CELLS // words)]
+        lo += len(some)
+        words = int((m[some].max() + 63) // 64)
+        bits = {}
+        strings = np.unique(j[some])
+        place = np.searchsorted(strings, j[some])
+        bits = np.zeros((len(letters) + 1, len(strings), words), dtype=np.uint64)
+        for k, c in enumerate(strings.tolist()):
+            at = np.arange(len(t[c]))
+            np.bitwise_or.at(bits, (np.searchsorted(letters, t[c]), k, at // 64), _ONE << (at % 64).astype(np.uint64))
+        plus, minus = [np.full(len(some), ~np.uint64(0)) for _ in range(words)], [np.zeros(len(some), np.uint64) for _ in range(words)]
+        score, last_word, last_bit = m[some].astype(np.int64), (m[some] - 1) // 64, ((m[some] - 1) % 64).astype(np.uint64)
+        row, most, length = i[some], bound[some], n[some]
+        for step in range(int(length.max())):
+            up, down = np.ones(len(some), np.uint64), np.zeros(len(some), np.uint64)
+            code = text[row, step]
+            for w in range(words):
+                p, g = plus[w], minus[w]
+                eq = bits[code, place, w]
+                xv = eq | g
+                eq = eq | down
+                xh = (((eq & p) + p) ^ p) | eq
+                ph, mh = g | ~(xh | p), p & xh
+                here = last_word == w
+                score += np.where(here, ((ph >> last_bit) & _ONE).astype(np.int64) - ((mh >> last_bit) & _ONE).astype(np.int64), 0)
+                up_out, down_out = ph >> _TOP, mh >> _TOP
+                ph, mh = (ph << _ONE) | up, (mh << _ONE) | down
+                plus[w], minus[w] = mh | ~(xv | ph), ph & xv
+                up, down = up_out, down_out
+            done = length == step + 1
+            if done.any() or step % 8 == 7:
+                out[some[done]] = score[done]
+                lost = ~done & (score - (length - step - 1) > most)
+                out[some[lost]] = most[lost] + 1
+                keep = ~(done | lost)
+                if not keep.all():
+                    some, row, most, length, place, score, last_word, last_bit = (x[keep] for x in (some, row, most, length, place, score, last_word, last_bit))
+                    plus, minus = [x[keep] for x in plus], [x[keep] for x in minus]
+                    if not len(some):
+                        break
+    return out
+
+
+def _pieces(strings: list[np.ndarray], size: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, piece, how many equal ones of its owner stand before it) of all pieces of a size."""
+    owner = np.repeat(np.arange(len(strings)), [max(0, len(x) - size + 1) for x in strings])
+    piece = [sum(x[k : len(x) - size + 1 + k].astype(np.int64) * base**k for k in range(size)) for x in strings if len(x) >= size]
+    piece = np.concatenate(piece) if piece else np.zeros(0, np.int64)
+    order = np.lexsort((piece, owner))
+    owner, piece = owner[order], piece[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])
+    at = np.arange(len(owner))
+    return owner, piece, at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+def common_pieces(queries: list[str], pool: list[str], size: int, distinct: bool = False) -> np.ndarray:
+    """How many pieces of ``size`` letters each query has in common with each string of the pool, equal ones as often as both have them, or once if distinct."""
+    q, t = _codes(queries), _codes(pool)
+    letters = np.unique(np.concatenate([*q, *t, np.zeros(1, np.uint32)]))
+    sides = [_pieces([np.searchsorted(letters, x) for x in side], size, len(letters)) for side in (q, t)]
+    if distinct:
+        sides = [tuple(x[nth == 0] for x in (owner, piece, nth)) for owner, piece, nth in sides]
+    # The k-th of equal pieces meets the k-th of the other side.
+    most = 1 + max((int(s[2].max()) for s in sides if len(s[2])), default=0)
+    keys = [piece * most + nth for _, piece, nth in sides]
+    both = np.intersect1d(*keys)
+    out = np.zeros((len(q), len(t)), dtype=np.float32)
+    for lo in range(0, len(both), PIECES):
+        part = both[lo : lo + PIECES]
+        tables = []
+        for (owner, _, _), key, count in zip(sides, keys, out.shape):
+            at = np.minimum(np.searchsorted(part, key), len(part) - 1)
+            hit = part[at] == key
+            table = np.zeros((count, len(part)), dtype=np.float32)
+            table[owner[hit], at[hit]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def least_distances(queries: list[str], pool: list[str]) -> np.ndarray:
+    """A lower bound of every edit distance: from the lengths, the common letters and the common pairs of letters."""
+    n, m = (np.array([len(x) for x in side], dtype=np.int64) for side in (queries, pool))
+    longer = np.maximum(n[:, None], m[None, :])
+    low = np.maximum(np.abs(n[:, None] - m[None, :]), longer - common_pieces(queries, pool, 1))
+    return np.maximum(low, -((common_pieces(queries, pool, 2) - longer + 1) // 2))
+
+
+def nearest(queries: list[str], pool: list[str], k: int, start: np.ndarray, relative: bool, valid) -> tuple[np.ndarray, int]:
+    """(distances, pairs compared): all pairs that can be among the k best of their query; the others have -1.
+
+    Best is least distance, or least distance over the longer length if
+    relative; only pairs for which valid(distances, rows, columns) holds count.
+    start is what the k-th best of each query is known not to exceed. Pairs are
+    compared in the order of their lower bounds, more at a time as it goes on,
+    until no bound is as low as the k-th best found.
+    """
+    shape = (len(queries), len(pool))
+    out = np.full(shape, -1, dtype=np.int64)
+    low = least_distances(queries, pool)
+    size = np.maximum(np.maximum(np.array([len(x) for x in queries])[:, None], np.array([len(x) for x in pool])[None, :]), 1)
+    cost = low / size if relative else low.astype(float)
+    kth = np.minimum(start.astype(float), np.inf)
+    if (cost <= kth[:, None]).mean() > DENSE and shape[1] > 4 * k and _hopeless(queries, pool, k, low, cost, relative, valid):
+        return distances(queries, pool), out.size
+    order = np.argsort(cost, axis=1, kind="stable")
+    found = np.full(shape, np.inf)
+    at, width, compared = 0, max(8, 2 * k), 0
+    while at < shape[1]:
+        columns = order[:, at : at + width]
+        wanted = np.take_along_axis(cost, columns, 1) <= kth[:, None]
+        if not wanted.any():
+            break
+        i = np.nonzero(wanted)[0]
+        j = columns[wanted]
+        bound = np.minimum(np.floor(np.where(np.isinf(kth[i]), 0, kth[i]) * (size[i, j] if relative else 1) + 1e-9), 1 << 40).astype(np.int64)
+        bound = np.where(np.isinf(kth[i]), 1 << 40, bound)
+        d = pair_distances(queries, pool, i, j, bound)
+        compared += len(i)
+        good = d <= bound
+        i, j, d = i[good], j[good], d[good]
+        out[i, j] = d
+        ok = valid(d, i, j)
+        found[i[ok], j[ok]] = d[ok] / size[i[ok], j[ok]] if relative else d[ok]
+        if shape[1] >= k:
+            kth = np.minimum(kth, np.partition(found, k - 1, axis=1)[:, k - 1])
+        at += width
+        width *= 2
+    return out, compared
+
+
+def _hopeless(queries: list[str], pool: list[str], k: int, low: np.ndarray, cost: np.ndarray, relative: bool, valid) -> bool:
+    """Whether the bounds leave most pairs even once the k best by bound of some queries are known: then all are compared at once, which is cheaper a pair."""
+    some = np.linspace(0, len(queries) - 1, min(len(queries), 8)).astype(int)
+    first = np.argsort(cost[some], axis=1, kind="stable")[:, : 4 * k]
+    i, j = np.repeat(some, first.shape[1]), first.ravel()
+    d = pair_distances(queries, pool, i, j, np.full(len(i), 1 << 40))
+    best = np.where(valid(d, i, j), d / np.maximum(np.maximum([len(queries[a]) for a in i], [len(pool[b]) for b in j]), 1) if relative else d, np.inf).reshape(first.shape)
+    kth = np.partition(best, k - 1, axis=1)[:, k - 1]
+    return bool((cost[some] <= kth[:, None]).mean() > DENSE)

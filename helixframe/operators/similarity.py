@@ -1,17 +1,22 @@
 """Joins of proteins by likeness within a gene.
 
-There are 13 genes, so a join on the gene alone would make 13 tasks. A gene's
-queries and pool rows are dealt to the rows and columns of a grid, as many as
-its size asks for; a cell of the grid holds a bounded number of both, computes
-the distances of all its pairs at once (`editing`) and keeps what a result can
-hold: the nearest few of each query, or the pairs within a threshold. Equal
-proteins are compared once: queries collapse to their different proteins, and of
-equal pool rows only as many stay as a result can hold.
+A join on the gene alone would make a task of each gene, and one on gene and
+k-mer would be as skewed as k-mers are: those of a conserved gene stand in nearly
+all its proteins. Here a gene's pool is dealt by length to bands, and a band to
+columns of bounded size; its queries are dealt to rows. A query visits only the
+bands that can hold an answer, as a range join on length: those within its
+threshold, or, where its nearest are sought, those whose length leaves room for
+something nearer than the best of the first cell it was shown. In a cell, what
+two proteins have in common bounds their distance from below (`editing`), so that
+few pairs are compared letter by letter. Equal proteins are compared once:
+queries collapse to their different proteins, and of equal pool rows only as
+many stay as a result can hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.functions import codons as C
-from helixframe.operators.editing import distances
+from helixframe.operators.editing import DENSE, common_pieces, distances, least_distances, nearest, pair_distances
 from helixframe.session import materialize
 
-#: Different proteins of a gene, on average, that a cell has from the pool and from the queries.
+#: Different proteins of a gene and band, on average, that a cell has from the pool and from the queries.
 SALT_ROWS = 1_000
 QUERY_ROWS = 250
 
@@ -37,54 +42,125 @@ def _proteins(df: DataFrame, *more: Column | str) -> DataFrame:
     return df.select("idx", F.col("gene_name").alias("gene"), "protein", *more)
 
 
-def _parts(df: DataFrame, rows: int) -> int:
-    largest = df.groupBy("gene").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(1, -(-largest // rows))
-
-
-def _range(n: int) -> tuple[Column, Column]:
-    return F.lit(0).cast("long"), F.lit(n - 1).cast("long")
-
-
-def _cells(queries: DataFrame, pool: DataFrame, pick: Callable, columns: list[str], ids: str = "q_protein") -> DataFrame:
-    """The pairs that pick chooses in every cell of the grid, with these columns of queries and pool and edit_distance.
-
-    pick gets the distances, both sides' lengths and both tables, the pool
-    ordered by t_idx, and returns the places of its pairs.
-    """
-    across, down = _parts(pool, SALT_ROWS), _parts(queries, QUERY_ROWS)
-    q = queries.withColumn("row", F.pmod(F.xxhash64(ids), F.lit(down))).withColumn("column", F.explode(F.sequence(*_range(across))))
-    t = pool.withColumn("column", F.pmod(F.xxhash64("t_protein", "t_idx"), F.lit(across))).withColumn("row", F.explode(F.sequence(*_range(down))))
-    keys, n = ["gene", "row", "column"], _tasks(queries)
-    fields = {f.name: f for f in [*q.schema.fields, *t.schema.fields]} | {"edit_distance": T.StructField("edit_distance", T.IntegerType())}
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("t_idx")
-        a, b = left["q_protein"].to_pylist(), right["t_protein"].to_pylist()
-        d = distances(a, b)
-        i, j = pick(d, np.array([len(x) for x in a]), np.array([len(x) for x in b]), left, right) if d.size else (np.zeros(0, int),) * 2
-        data = {c: (left if c in left.column_names else right)[c].take(pa.array(i if c in left.column_names else j)) for c in columns}
-        return pa.table({**data, "edit_distance": pa.array(d[i, j].astype(np.int32))})
-
-    # The number of tasks is fixed here: rows are few where work is much, and adaptive execution would join them.
-    sides = [x.repartition(n, *keys).groupBy(*keys) for x in (q, t)]
-    return sides[0].cogroup(sides[1]).applyInArrow(run, T.StructType([fields[c] for c in [*columns, "edit_distance"]]))
+#: Lengths of a band differ by less than this factor.
+BAND = 1.1
+
+
+def _band(length: Column) -> Column:
+    return F.floor(F.log(length + 1.0) / F.log(F.lit(BAND))).cast("int")
+
+
+@dataclass
+class Grid:
+    """A pool dealt to bands of length and columns, queries dealt to rows, and the bands of each gene: written, so that Spark broadcasts
+    them if they are few, which they are for any pool of a few genes."""
+
+    queries: DataFrame
+    pool: DataFrame
+    bands: DataFrame
+
+    @classmethod
+    def of(cls, queries: DataFrame, pool: DataFrame, ids: str = "q_protein") -> Grid:
+        pool = pool.withColumns({"t_length": F.length("t_protein"), "band": _band(F.length("t_protein"))})
+        bands = pool.groupBy("gene", "band").agg(F.count("*").alias("n"), F.min("t_length").alias("least"), F.max("t_length").alias("most"))
+        bands = materialize(bands.select("gene", "band", "least", "most", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("columns")), "bands")
+        rows = queries.groupBy("gene").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("rows"))
+        rows = materialize(rows, "bands")  # one row a gene
+        queries = queries.join(rows, "gene").withColumn("row", F.pmod(F.xxhash64(ids), F.col("rows")).cast("int")).drop("rows")
+        pool = pool.join(bands.select("gene", "band", "columns"), ["gene", "band"]).withColumn("column", F.pmod(F.xxhash64("t_protein", "t_idx"), F.col("columns")).cast("int"))
+        pool = pool.join(rows, "gene").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).drop("rows", "columns", "t_length")
+        return cls(queries, pool, bands)
+
+    def visits(self, queries: DataFrame, within: Column) -> DataFrame:
+        """queries in every cell of the bands for which the condition on least and most holds."""
+        met = queries.withColumn("length", F.length("q_protein")).join(self.bands, "gene").where(within)
+        return met.withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).drop("columns", "least", "most", "length")
+
+    def first_visits(self, queries: DataFrame) -> DataFrame:
+        """queries in one cell of the band that is nearest in length."""
+        met = queries.join(self.bands, "gene").withColumn("away", F.abs(F.col("band") - _band(F.length("q_protein"))))
+        one = F.min_by(F.struct("band", "columns"), F.struct("away", "band")).alias("b")
+        met = met.groupBy(*queries.columns).agg(one).select(*queries.columns, "b.*")
+        return met.withColumn("column", F.pmod(F.xxhash64("q_protein", F.lit(1)), F.col("columns")).cast("int")).drop("columns")
+
+    def pairs(self, visits: DataFrame, pick: Callable, columns: list[str]) -> DataFrame:
+        """The pairs that pick chooses in every cell, with these columns of queries and pool and edit_distance; also
+        a row with ``compared`` alone for each cell: how many pairs were compared letter by letter.
+
+        pick gets both tables, the pool ordered by t_idx, and returns rows, columns, distances and that count.
+        """
+        keys, n = ["gene", "band", "row", "column"], _tasks(visits)
+        fields = {f.name: f for f in [*visits.schema.fields, *self.pool.schema.fields]}
+        fields |= {c: T.StructField(c, T.LongType()) for c in ("edit_distance", "compared")}
+        schema = T.StructType([T.StructField(fields[c].name, fields[c].dataType) for c in [*columns, "edit_distance", "compared"]])
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            i, j, d, count = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 0
+            if len(left) and len(right):
+                right = right.sort_by("t_idx")
+                i, j, d, count = pick(left, right)
+            data = {c: (left if c in left.column_names else right)[c].take(pa.array(i if c in left.column_names else j)) for c in columns}
+            out = pa.table({**data, "edit_distance": pa.array(d.astype(np.int64)), "compared": pa.nulls(len(i), pa.int64())})
+            note = pa.table({f.name: pa.array([count], f.type) if f.name == "compared" else pa.nulls(1, f.type) for f in out.schema})
+            return pa.concat_tables([out, note])
+
+        # The number of tasks is fixed here: rows are few where work is much, and adaptive execution would join them.
+        sides = [x.repartition(n, *keys).groupBy(*keys) for x in (visits, self.pool)]
+        return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
 
 
 def _longer() -> Column:
     return F.greatest(F.length("q_protein"), F.length("t_protein"), F.lit(1))
 
 
-def _identities(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 1 - d / np.maximum(np.maximum(a[:, None], b[None, :]), 1)
+def _lengths(side: pa.Table, name: str) -> np.ndarray:
+    return np.array([len(x) for x in side[name].to_pylist()])
+
 
+def _best(queries: DataFrame, pool: DataFrame, k: int, relative: bool, accepted: Callable) -> DataFrame:
+    """(gene, q_protein, t_protein, t_idx, ..., edit_distance, compared): at least the k best pool rows of each query protein, and the rows of ``Grid.pairs`` that count.
 
-def _first(order: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the first k places of the order that are valid."""
-    j = order[:, :k]
-    i = np.repeat(np.arange(len(order)), j.shape[1]).reshape(j.shape)
-    keep = valid[i, j]
-    return i[keep], j[keep]
+    Best is least (edit_distance, t_idx), or least edit_distance over the longer
+    length if relative. accepted(distances, lengths, lengths) says which pairs count.
+    """
+    grid = Grid.of(queries, pool)
+
+    def block(left: pa.Table, right: pa.Table, k: int, start: np.ndarray):
+        a, b = left["q_protein"].to_pylist(), right["t_protein"].to_pylist()
+        n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        out, count = nearest(a, b, k, start, relative, lambda d, i, j: accepted(d, n[i], m[j]))
+        valid = (out >= 0) & accepted(out, n[:, None], m[None, :])
+        size = np.maximum(np.maximum(n[:, None], m[None, :]), 1)
+        cost = np.where(valid, out / size if relative else out, np.inf)
+        order = np.argsort(cost, axis=1, kind="stable")[:, :k]
+        return out, cost, order, count
+
+    def seed(left: pa.Table, right: pa.Table):
+        out, cost, order, count = block(left, right, k, np.full(len(left), np.inf))
+        last = order[:, -1]
+        i = np.flatnonzero(np.isfinite(cost[np.arange(len(left)), last])) if len(right) >= k else np.zeros(0, int)
+        return i, last[i], out[i, last[i]], count
+
+    def pick(left: pa.Table, right: pa.Table):
+        start = left["bound"].to_numpy()
+        out, cost, order, count = block(left, right, k, np.where(np.isnan(start), np.inf, start))
+        i = np.repeat(np.arange(len(left)), order.shape[1]).reshape(order.shape)
+        keep = np.isfinite(cost[i, order])
+        i, j = i[keep], order[keep]
+        return i, j, out[i, j], count
+
+    first = grid.pairs(grid.first_visits(grid.queries), seed, ["gene", "q_protein", "t_protein"])
+    first = materialize(first.withColumn("bound", F.col("edit_distance") / (_longer() if relative else F.lit(1))), "first")
+    seeded = grid.queries.join(first.where("compared is null").select("gene", "q_protein", "bound"), ["gene", "q_protein"], "left")
+    seeded = seeded.withColumn("bound", F.coalesce("bound", F.lit(float("nan"))))
+    n, c = F.col("length"), F.col("bound")
+    if relative:  # the distance over the longer length is at least 1 - shorter / longer
+        near = (F.col("most") >= n * (1 - c) - 1e-6) & (F.col("least") * (1 - c) <= n + 1e-6)
+    else:
+        near = (F.col("most") >= n - c) & (F.col("least") <= n + c)
+    columns = ["gene", "q_protein", "t_protein", *[x for x in pool.columns if x not in ("gene", "t_protein")]]
+    found = grid.pairs(grid.visits(seeded, F.isnan(c) | near), pick, columns)
+    return found.unionByName(first.where("compared is not null").drop("bound"), allowMissingColumns=True)
 
 
 def _nearest(queries: DataFrame, pool: DataFrame, k: int, cap: float | None) -> DataFrame:
@@ -93,14 +169,10 @@ def _nearest(queries: DataFrame, pool: DataFrame, k: int, cap: float | None) ->
     Distances are ordered by (edit_distance, t_idx). Only pool rows of identity
     cap or less count where a cap is given.
     """
-
-    def pick(d, a, b, left, right):
-        valid = np.ones(d.shape, bool) if cap is None else _identities(d, a, b) <= cap
-        return _first(np.argsort(np.where(valid, d, np.iinfo(d.dtype).max), axis=1, kind="stable"), valid, k)
-
     different = queries.select("gene", F.col("protein").alias("q_protein")).distinct()
-    found = _cells(different, pool, pick, ["gene", "q_protein", "t_protein", *[c for c in pool.columns if c not in ("gene", "t_protein")]])
-    return found.withColumn("identity", 1 - F.col("edit_distance") / _longer()).drop("t_protein")
+    capped = lambda d, n, m: (1 - d / np.maximum(np.maximum(n, m), 1) <= cap) if cap is not None else np.ones(np.shape(d), bool)
+    found = _best(different, pool, k, False, capped).where("compared is null").drop("compared")
+    return found.withColumn("identity", 1 - F.col("edit_distance") / _longer()).withColumn("edit_distance", F.col("edit_distance").cast("int")).drop("t_protein")
 
 
 def _few(pool: DataFrame, k: int, *more: str) -> DataFrame:
@@ -145,11 +217,8 @@ def _likest(queries: DataFrame, pool: DataFrame) -> DataFrame:
     twins = other.where("twin is not null").select("idx", "gene", F.col("twin").alias("t_idx"), F.lit(1.0).alias("identity"))
     rest = materialize(other.where("twin is null").select("idx", "gene", F.col("protein").alias("q_protein")), "queries")
 
-    def pick(d, a, b, left, right):
-        # Equal proteins have been dealt with: what is left of them is the query itself.
-        return _first(np.argsort(np.where(d > 0, -_identities(d, a, b), np.inf), axis=1, kind="stable"), d > 0, 1)
-
-    found = _cells(rest.select("gene", "q_protein").distinct(), pool, pick, ["gene", "q_protein", "t_protein", "t_idx"])
+    # Equal proteins have been dealt with: what is left of them is the query itself.
+    found = _best(rest.select("gene", "q_protein").distinct(), pool, 1, True, lambda d, n, m: d > 0).where("compared is null")
     best = found.groupBy("gene", "q_protein").agg(F.min(F.struct((F.col("edit_distance") / _longer() - 1).alias("m"), "t_idx")).alias("b"))
     rest = rest.join(materialize(best, "nearest"), ["gene", "q_protein"], "left").select("idx", "gene", F.col("b.t_idx").alias("t_idx"), (-F.col("b.m")).alias("identity"))
     return twins.unionByName(rest)
@@ -165,25 +234,69 @@ def nearest_by_length_bound(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return _likest(queries, pool).where("t_idx is not null").select(F.col("idx").alias("q_idx"), "t_idx", "identity")
 
 
+def pairs_compared(queries: DataFrame, pool: DataFrame) -> int:
+    """How many pairs the search for the likest compares letter by letter, for tests and tuning."""
+    different = queries.select(F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein")).distinct()
+    return _best(different, _few(pool, 2), 1, True, lambda d, n, m: d > 0).agg(F.sum("compared")).first()[0] or 0
+
+
 def threshold_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(q_idx, t_idx, edit_distance) of pairs within int(len * (1 - threshold)) edits of the left protein."""
+    """(q_idx, t_idx, edit_distance) of pairs within int(len * (1 - threshold)) edits of the left protein.
+
+    Pairs are formed within that window of lengths only, and compared only if
+    they have enough pieces of two letters in common. Segments of which one must
+    be whole would be three letters long at 0.7, and stand in most proteins.
+    """
+    return threshold_grid(left, right, threshold).where("compared is null").select("q_idx", "t_idx", F.col("edit_distance").cast("int").alias("edit_distance"))
+
+
+def threshold_grid(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of `threshold_pairs`, and how many were compared in each cell."""
 
-    def pick(d, a, b, left, right):
-        bound = (a * (1.0 - threshold)).astype(np.int64)
-        return np.nonzero((d <= bound[:, None]) & (left["q_idx"].to_numpy()[:, None] != right["t_idx"].to_numpy()[None, :]))
+    def pick(left: pa.Table, right: pa.Table):
+        a, b = left["q_protein"].to_pylist(), right["t_protein"].to_pylist()
+        n, m = _lengths(left, "q_protein"), _lengths(right, "t_protein")
+        bound = (n * (1.0 - threshold)).astype(np.int64)
+        i, j = np.nonzero((least_distances(a, b) <= bound[:, None]) & (left["q_idx"].to_numpy()[:, None] != right["t_idx"].to_numpy()[None, :]))
+        if len(i) > DENSE * len(a) * len(b):
+            d = distances(a, b)[i, j]
+        else:
+            d = pair_distances(a, b, i, j, bound[i])
+        keep = d <= bound[i]
+        return i[keep], j[keep], d[keep], len(i)
 
     q = left.select(F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"), F.col("idx").alias("q_idx"))
     t = right.select(F.col("gene_name").alias("gene"), F.col("protein").alias("t_protein"), F.col("idx").alias("t_idx"))
-    return _cells(q, t, pick, ["q_idx", "t_idx"], "q_idx")
+    grid = Grid.of(q, t, "q_idx")
+    room = (F.col("length") * F.lit(1.0 - threshold)).cast("long")
+    visits = grid.visits(grid.queries, (F.col("most") >= F.col("length") - room) & (F.col("least") <= F.col("length") + room))
+    return grid.pairs(visits, pick, ["q_idx", "t_idx"])
 
 
 def kmer_candidates(queries: DataFrame, pool: DataFrame, k: int = 3, top: int = 8) -> DataFrame:
     """(q_idx, t_idx, votes, rank): pool rows of the gene with the most common distinct k-mers; ties: smaller idx.
 
     A query that shares no k-mer gets the first rows of its gene, with no votes.
+    Votes of a cell are a product of its matrices of k-mers, whatever the k-mers'
+    frequencies: lists of the proteins of a common k-mer are not joined.
     """
-    grams = lambda df, name: df.select(F.col("idx").alias(name), F.col("gene_name").alias("gene"), F.explode(C.kmers(F.col("protein"), k)).alias("kmer"))
-    votes = grams(queries, "q_idx").join(grams(pool, "t_idx"), ["gene", "kmer"]).where("q_idx <> t_idx").groupBy("q_idx", "t_idx").agg(F.count("*").alias("votes"))
+
+    def pick(left: pa.Table, right: pa.Table):
+        a, b = left["q_protein"].to_pylist(), right["t_protein"].to_pylist()
+        votes = common_pieces(a, b, k, distinct=True)
+        order = np.argsort(-votes, axis=1, kind="stable")[:, : top + 1]
+        i = np.repeat(np.arange(len(a)), order.shape[1]).reshape(order.shape)
+        keep = votes[i, order] > 0
+        i, j = i[keep], order[keep]
+        return i, j, votes[i, j], 0
+
+    q = queries.select(F.col("idx").alias("q_idx"), F.col("gene_name").alias("gene"), F.col("protein").alias("q_protein"))
+    # One more than top, since a query may be in the pool itself.
+    grid = Grid.of(q.select("gene", "q_protein").distinct(), _few(pool, top + 1))
+    found = grid.pairs(grid.visits(grid.queries, F.lit(True)), pick, ["gene", "q_protein", "t_idx"]).where("compared is null")
+    few = Window.partitionBy("gene", "q_protein").orderBy(F.desc("votes"), "t_idx")
+    found = found.select("gene", "q_protein", "t_idx", F.col("edit_distance").alias("votes")).withColumn("r", F.row_number().over(few)).where(F.col("r") <= top + 1)
+    votes = q.join(materialize(found.drop("r"), "votes"), ["gene", "q_protein"]).where("q_idx <> t_idx").select("q_idx", "t_idx", "votes")
     w = Window.partitionBy("q_idx").orderBy(F.desc("votes"), "t_idx")
     found = materialize(votes.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top), "votes")
     # One row more than top, since a query may be in the pool itself.
