@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from helixframe.functions import codons as C
 from helixframe.operators import clustering, generation, similarity, statistics, usage
 from helixframe.plans.sql import SQL
-from helixframe.session import materialize
+from helixframe.session import new_folder
 from helixframe.sources.corpus import derived_records
 from helixframe.sources.sinks import manifest as missing
 from helixframe.sources.sinks import table_rows
+from helixframe.sources.stages import Store
 from helixframe.streaming.windows import hourly
 
 SUBJECTS = ("mt_cai_lookup", "most_frequent_codon", "random_synonymous")
@@ -23,15 +24,13 @@ def _r(c, digits: int = 9):
     return F.round(c, digits)
 
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_stores: dict[str, Store] = {}
 
 
 def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """A table that several queries read, written once for each application and folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _tables:
-        _tables[key] = materialize(build(), name)
-    return _tables[key]
+    """A table that several queries read, written once for each application and state of the documents."""
+    store = _stores.setdefault(spark.sparkContext.applicationId, Store(spark, new_folder(spark, "tables")))
+    return store.stage(name, [f"{sf}/documents.parquet"], build)
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
