@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,6 +100,10 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, by: list[str], dr
     return mean.join(ci, by).withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
+#: Differences up to which p is exact; the counts of subsets are 64-bit numbers up to here.
+EXACT = 50
+
+
 def signed_rank(pairs: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
     """Wilcoxon's W with tie-averaged ranks, matched rank-biserial with ordinal ranks, and the numbers for p.
 
@@ -112,7 +118,7 @@ def signed_rank(pairs: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
         F.count("*").alias("n"), part(up, "r").alias("w_plus"), part(down, "r").alias("w_minus"), part(up, "o").alias("o_plus"), part(down, "o").alias("o_minus"),
         F.sum(F.col("r_ties") * F.col("r_ties") - 1).cast("double").alias("ties"),
     )
-    all_ = rows.groupBy(*by).agg(F.bool_and(F.abs(diff) <= 1e-8).alias("identical"))
+    all_ = rows.groupBy(*by).agg(F.bool_and(F.abs(diff) <= 1e-8).alias("identical"), F.count_if(F.col(diff) == 0).alias("zeros"))
     out = all_.join(stats, by, "left")
     effect = (F.col("o_plus") - F.col("o_minus")) / (F.col("o_plus") + F.col("o_minus"))
     n = F.col("n").cast("double")
@@ -121,7 +127,37 @@ def signed_rank(pairs: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
     statistic = F.least("w_plus", "w_minus")
     z = F.when(var > 0, (statistic - mean) / F.sqrt(var))
     return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "identical", F.when(F.col("identical"), 0.0).otherwise(statistic).alias("statistic"),
-                      F.when(F.col("identical"), 0.0).otherwise(effect).alias("effect"), F.when(F.col("identical"), F.lit(None)).otherwise(z).alias("z"))
+                      F.when(F.col("identical"), 0.0).otherwise(effect).alias("effect"), F.when(F.col("identical"), F.lit(None)).otherwise(z).alias("z"),
+                      (~F.col("identical") & (F.col("zeros") == 0) & (F.col("ties") == 0) & (F.col("n") <= EXACT)).alias("exact"))
+
+
+def signed_rank_p(tests: DataFrame) -> DataFrame:
+    """The tests of `signed_rank` with a two-sided p: 1 for identical vectors; by the exact null distribution for groups of
+    EXACT differences or fewer without ties and zeros; otherwise by the normal distribution, with the variance less for ties."""
+    p = F.when(F.col("identical"), F.lit(1.0)).when(F.col("exact"), exact_two_sided("n", "statistic")).otherwise(normal_two_sided("z"))
+    return tests.withColumn("p", p)
+
+
+@functools.cache
+def subset_counts(n: int) -> np.ndarray:
+    """How many of the subsets of the ranks 1 to n have each sum: the coefficients of the product of 1 + x**rank."""
+    counts = np.zeros(n * (n + 1) // 2 + 1, dtype=np.int64)
+    counts[0] = 1
+    for rank in range(1, n + 1):
+        counts[rank:] += counts[:-rank].copy()
+    return counts
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_two_sided(n: pd.Series, statistic: pd.Series) -> pd.Series:
+    """Twice the chance that the smaller rank sum of n differences is no larger, all signs being as likely; null for more than EXACT."""
+
+    def tail(n: float, w: float) -> float | None:
+        if pd.isna(n) or pd.isna(w) or n > EXACT:
+            return None
+        return min(1.0, 2 * int(subset_counts(int(n))[: int(w) + 1].sum()) / 2 ** int(n))
+
+    return pd.Series([tail(*x) for x in zip(n, statistic)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())

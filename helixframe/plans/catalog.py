@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import codons as C
-from helixframe.operators import clustering, generation, similarity, statistics, usage
+from helixframe.operators import clustering, folding, generation, similarity, statistics, usage
 from helixframe.plans.sql import SQL
 from helixframe.session import new_folder
 from helixframe.sources.corpus import derived_records
@@ -284,10 +284,36 @@ def doubly_controlled_intervals(spark, sf):
 
 
 def significance(spark, sf):
-    tests = signed_rank(spark, sf).withColumn("p", statistics.normal_two_sided("z"))
+    tests = statistics.signed_rank_p(statistics.signed_rank(_differences(spark, sf), ["method"]))
     return statistics.adjusted(tests.select("method", "p"))
 
 
+def gene_signed_rank(spark, sf):
+    """Methods compared by their genes' mean differences: few enough for exact probabilities, where none are equal."""
+    genes = _differences(spark, sf).groupBy("method", "gene_name").agg(_r(F.avg("d")).alias("d")).withColumnRenamed("gene_name", "idx")
+    out = statistics.signed_rank_p(statistics.signed_rank(genes, ["method"]))
+    return out.select("method", "n", "statistic", "exact", F.when(F.col("exact"), _r("p", 12)).alias("p"))
+
+
+def _folded(spark, sf):
+    """Test records by method with their least folding energies."""
+    rows = generated(spark, sf)
+    return _once(spark, sf, "folded", lambda: folding.with_energy(rows, "generated").select("idx", "method", "mfe"))
+
+
+def folding_energies(spark, sf):
+    rows = _folded(spark, sf)
+    natural = rows.where("method = 'natural_reference'").select("idx", F.col("mfe").alias("natural"))
+    delta = F.when(F.col("method") != "natural_reference", F.abs(F.col("mfe") - F.col("natural")))
+    return rows.join(natural, "idx", "left").select("idx", "method", _r("mfe").alias("mfe"), _r(delta).alias("mfe_delta"))
+
+
+def folding_summary(spark, sf):
+    """What the method summary says of folding: means, their spread and the mean distance to the natural sequence."""
+    means = [F.count("mfe").alias("n"), _r(F.avg("mfe")).alias("mfe"), _r(F.stddev_pop("mfe")).alias("sd_mfe"), _r(F.coalesce(F.avg("mfe_delta"), F.lit(0.0))).alias("mfe_delta")]
+    return folding_energies(spark, sf).groupBy("method").agg(*means)
+
+
 def rank_correlation(spark, sf):
     rows = _scores(spark, sf).where("method <> 'natural_reference'").join(_best(spark, sf), "idx")
     rows = rows.select("method", _r("identity").alias("identity"), _r("bleu").alias("bleu"))
@@ -510,7 +536,7 @@ def queries() -> dict:
         protein_inputs, code_exactness, adaptation_index, transition_counts, transition_probabilities, transition_divergence, transition_chi2, transition_test, generated,
         sequence_scores, method_summary, best_methods, report_lines, novel_sequences, top_neighbours, capped_neighbours, without_neighbours, max_identity, nearest_identity,
         threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, stratified_intervals, bootstrap_interval, doubly_controlled_intervals,
-        signed_rank, significance, rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, species_equality, doubly_controlled, merged_tokens, holdout,
+        signed_rank, significance, gene_signed_rank, folding_energies, folding_summary, rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, species_equality, doubly_controlled, merged_tokens, holdout,
         sampled_order, positional_join, key_join, split_sizes, split_manifest, seed_summary, paired_seeds, running_best, best_epochs, event_windows, protein_clusters,
         component_split, controlled_split, split_identity, homolog_copies, kmer_copies, augmented, originals, golden_checks, padded_proteins, survey_categories, merged_metrics,
     )}

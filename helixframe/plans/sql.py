@@ -187,6 +187,13 @@ SQL = {
       SELECT method, n, round(least(wp, wm), 6) AS statistic, round((op - om) / (op + om), 9) AS effect, round((least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 9) AS z FROM s""",
     "rank_correlation": MEASURED + """SELECT method, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM (SELECT m.method, rank() OVER (PARTITION BY m.method ORDER BY round(b.identity, 9)) + (count(*) OVER (PARTITION BY m.method, round(b.identity, 9)) - 1) / 2 AS rx,
       rank() OVER (PARTITION BY m.method ORDER BY round(m.bleu, 9)) + (count(*) OVER (PARTITION BY m.method, round(m.bleu, 9)) - 1) / 2 AS ry FROM met m JOIN best b ON b.idx = m.idx WHERE m.method <> 'natural_reference') GROUP BY method""",
+    "gene_signed_rank": GENERATED.replace("WITH ", "WITH RECURSIVE ", 1) + _DIFF + """, gd AS (SELECT f.method, r.gene_name, round(avg(f.d), 9) AS d FROM diff f JOIN rec r ON r.idx = f.idx GROUP BY ALL),
+      gr AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY method, abs(d)) AS t FROM gd WHERE d <> 0),
+      gs AS (SELECT method, count(*) AS n, least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS w, max(t) AS t, coalesce(sum(r) FILTER (d > 0), 0) AS up, coalesce(sum(r) FILTER (d < 0), 0) AS down FROM gr GROUP BY method),
+      gz AS (SELECT method, count(*) FILTER (d = 0) AS zeros, bool_and(abs(d) <= 1e-8) AS identical FROM gd GROUP BY method),
+      subsets(k, s) AS (SELECT 0, 0 UNION ALL SELECT k + 1, s + x * (k + 1) FROM subsets, (VALUES (0), (1)) v(x) WHERE k < 13),
+      gt AS (SELECT gz.method, coalesce(gs.n, 0) AS n, CASE WHEN identical THEN 0.0 ELSE least(up, down) END AS statistic, NOT identical AND zeros = 0 AND t = 1 AND gs.n <= 50 AS exact FROM gz LEFT JOIN gs USING (method))
+      SELECT method, n, statistic, exact, CASE WHEN exact THEN round(least(1.0, 2.0 * (SELECT count(*) FROM subsets WHERE k = gt.n AND s <= gt.statistic) / (1 << gt.n::INT)), 12) END AS p FROM gt""",
     "gene_rollup": GENERATED + _DIFF + """, g AS (SELECT r.gene_name, f.d FROM diff f JOIN rec r ON r.idx = f.idx WHERE method = 'most_frequent_codon')
       SELECT coalesce(gene_name, 'pooled') AS gene_name, count(*) AS n, round(avg(d), 9) AS mean, round(avg((d > 0)::INT), 9) AS wins FROM g GROUP BY ROLLUP (gene_name)
       UNION ALL SELECT 'pooled without ND6', count(*), round(avg(d), 9), round(avg((d > 0)::INT), 9) FROM g WHERE gene_name <> 'ND6'""",

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from helixframe.functions import codons as C
-from helixframe.operators import clustering, generation, graph, ranking, similarity, statistics, usage
+from helixframe.operators import clustering, editing, generation, graph, ranking, similarity, statistics, usage
 from pyspark.sql import functions as F
 
 ACIDS = "ACDEFGHIKLMNPQRSTVWY"
@@ -82,6 +82,92 @@ def test_threshold_pairs(both, threshold):
     assert got == {(x[0], t[0]) for x in queries for t in pool if x[1] == t[1] and x[0] != t[0] and distance(x[3], t[3]) <= int(len(x[3]) * (1.0 - threshold))}
 
 
+def mixed_lengths(n, seed):
+    """Families of proteins from 20 to 900 residues, in each of which some are near one another."""
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        base = "".join(rng.choices(ACIDS, k=int(20 * 45 ** rng.random())))
+        for _ in range(6):
+            p = list(base)
+            for _ in range(rng.randint(1, max(1, len(p) // 8))):
+                p[rng.randrange(len(p))] = rng.choice(ACIDS)
+            out.append((len(out), "ND1", "s", "".join(p)))
+    rng.shuffle(out)
+    return out
+
+
+def test_few_pairs_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SALT_ROWS", 60)
+    monkeypatch.setattr(similarity, "QUERY_ROWS", 30)
+    rows = mixed_lengths(360, 9)
+    queries, pool = rows[:60], rows[60:]
+    q, p = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(pool, SCHEMA)
+    every = editing.distances([x[3] for x in queries], [x[3] for x in pool])
+    size = np.maximum(np.array([len(x[3]) for x in queries])[:, None], np.array([len(x[3]) for x in pool])[None, :])
+    want = {x[0]: max((round(1 - d / s, 12), -t[0]) for t, d, s in zip(pool, every[i], size[i])) for i, x in enumerate(queries)}
+    assert {r.q_idx: (round(r.identity, 12), -r.t_idx) for r in similarity.nearest_by_length_bound(q, p).collect()} == want
+    assert 0 < similarity.pairs_compared(q, p) < every.size / 10
+    found = similarity.threshold_grid(q, p, 0.7).collect()
+    bound = [int(len(x[3]) * (1.0 - 0.7)) for x in queries]
+    assert {(r.q_idx, r.t_idx, r.edit_distance) for r in found if r.compared is None} == {(x[0], t[0], every[i, j]) for i, x in enumerate(queries) for j, t in enumerate(pool) if every[i, j] <= bound[i]}
+    window = sum(abs(len(x[3]) - len(t[3])) <= b for x, b in zip(queries, bound) for t in pool)
+    assert sum(r.compared or 0 for r in found) < window / 3
+
+
+@pytest.mark.parametrize("relative", [False, True])
+def test_blocks_and_their_bounds(relative):
+    rows = [r[3] for r in mixed_lengths(150, 3)] + ["", "A", "AC"]
+    queries, pool = rows[:50], rows[40:]
+    full = editing.distances(queries, pool)
+    assert (editing.least_distances(queries, pool) <= full).all()
+    i, j = np.nonzero(np.ones(full.shape))
+    for bound in (0, 7, 1 << 40):
+        d = editing.pair_distances(queries, pool, i, j, np.full(len(i), bound)).reshape(full.shape)
+        assert np.where(full <= bound, d == full, d > bound).all()
+    size = np.maximum(np.maximum(np.array([len(x) for x in queries])[:, None], np.array([len(x) for x in pool])[None, :]), 1)
+    cost = np.where(full > 0, full / size if relative else full, np.inf)
+    for k in (1, 3):
+        kth = np.sort(cost, axis=1)[:, k - 1]
+        out, compared = editing.nearest(queries, pool, k, kth, relative, lambda d, i, j: d > 0)
+        needed = np.isfinite(cost) & (cost <= kth[:, None])
+        assert (out[needed] == full[needed]).all() and compared < full.size / 3
+
+
+@pytest.mark.parametrize("top", [1, 8])
+def test_kmer_candidates_of_common_kmers(spark, monkeypatch, top):
+    monkeypatch.setattr(similarity, "SALT_ROWS", 7)
+    monkeypatch.setattr(similarity, "QUERY_ROWS", 5)
+    rows = [(i, g, s, p + "AAAA" * (i % 3) + "CCC") for i, g, s, p in proteins(80, 6)]  # k-mers that stand in all
+    queries, pool = rows[:25], rows[15:]
+    grams = lambda p: {p[i : i + 3] for i in range(len(p) - 2)}
+    want = {}
+    for x in queries:
+        votes = sorted((-len(grams(x[3]) & grams(t[3])), t[0]) for t in pool if t[1] == x[1] and t[0] != x[0])
+        want |= {(x[0], k): (t, -v) for k, (v, t) in enumerate(v for v in votes[:top] if v[0] < 0)}
+    got = {(r.q_idx, r.rank): (r.t_idx, r.votes) for r in similarity.kmer_candidates(spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(pool, SCHEMA), top=top).collect()}
+    assert got == want
+
+
+def test_exact_signed_rank(spark):
+    rng = random.Random(3)
+    for n in range(1, 13):
+        sums = [sum(r for r in range(1, n + 1) if bits >> (r - 1) & 1) for bits in range(1 << n)]
+        assert statistics.subset_counts(n).tolist() == [sums.count(s) for s in range(n * (n + 1) // 2 + 1)]
+    groups = {f"g{n}": [rng.choice([-1, 1]) * (k + 0.5) for k in range(n)] for n in (1, 2, 5, 12, 50, 51)} | {"tied": [1.0, 1.0, -2.0], "zero": [0.0, 1.0, 2.0], "same": [0.0, 0.0]}
+    rows = [(g, i, d) for g, v in groups.items() for i, d in enumerate(v)]
+    frame = spark.createDataFrame(rows, "g string, idx long, d double")
+    got = {r.g: r for r in statistics.signed_rank_p(statistics.signed_rank(frame, ["g"])).collect()}
+    for g, values in groups.items():
+        assert got[g].exact == (g in ("g1", "g2", "g5", "g12", "g50"))
+        if g in ("g1", "g2", "g5", "g12"):
+            n = len(values)
+            all_ = [sum(r for r in range(1, n + 1) if bits >> (r - 1) & 1) for bits in range(1 << n)]
+            assert got[g].p == pytest.approx(min(1.0, 2 * sum(s <= got[g].statistic for s in all_) / 2**n))
+    normal = math.erfc(abs(got["g51"].z) / math.sqrt(2))
+    assert got["g51"].p == pytest.approx(normal) and got["same"].p == 1.0
+    assert got["g50"].p == pytest.approx(math.erfc(abs(got["g50"].z) / math.sqrt(2)), rel=0.05)
+
+
 def test_kmer_candidates_fall_back_to_the_first_of_the_gene(spark):
     pool = spark.createDataFrame([(i, "ND1", "s", "ACDEF"[: 3 + i % 3]) for i in range(12)], SCHEMA)
     queries = spark.createDataFrame([(100, "ND1", "s", "WWWWW"), (101, "ND1", "s", "CDE"), (102, "COX1", "s", "ACD")], SCHEMA)
