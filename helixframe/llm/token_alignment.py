@@ -45,12 +45,12 @@ _SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: Of white space what is no line feed, and what is neither that nor a space.
 _NO_LINE = _SPACE.replace(r"\t-\r", r"\t\x0b-\r")
 _OTHER = _NO_LINE.replace(r"\x1c-\x20", r"\x1c-\x1f")
-#: Segments that every worker knows, and the longest of these in characters: some 40 MB. Pairs of tokens that it knows: 6 MB.
-DICTIONARY, LONGEST, PAIRS = 1 << 19, 32, 1 << 18
+#: Segments that every worker knows, and the longest of these in characters: some 20 MB. Pairs of tokens that it knows: 6 MB.
+DICTIONARY, LONGEST, PAIRS = 1 << 18, 32, 1 << 18
 #: Segments that are encoded at once.
 TOGETHER = 512
 #: Segments of documents that are put together at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "bad"]
 
 
@@ -251,8 +251,9 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sent(table: pa.Table) -> bytes:
+    """A table as compressed bytes: each executor keeps what it is sent on its disk."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
