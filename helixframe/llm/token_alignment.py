@@ -51,6 +51,7 @@ DICTIONARY, LONGEST, PAIRS = 1 << 18, 32, 1 << 18
 TOGETHER = 512
 #: Segments of documents that are put together at once.
 AT_ONCE = 1 << 17
+_TWO = [("n_a", "n_b"), ("n_groups", "n_links"), ("bad", "n_best")]
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "bad"]
 
 
@@ -419,10 +420,12 @@ def align(documents: DataFrame, byte_path: str = BYTE_PATH, piece_path: str = MO
     kind = documents.schema["doc_id"].dataType.simpleString()
     listed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", segments(F.col("text"), cuts).alias("segments"))
     listed = materialize(listed.mapInArrow(_in_dictionary(known.select(["segment"])), f"row long, doc_id {kind}, n long, codes binary, rare array<string>"), "alignment")
-    rare = listed.select("row", F.posexplode("rare").alias("pos", "segment")).join(words.drop("n"), "segment")
+    # Two counts of a segment, or of a text, go in one number, which halves what is shuffled; no text has 2**31 tokens.
+    two = [(F.shiftleft(x, 32) + F.col(y)).alias(f"{x}_{y}") for x, y in _TWO]
+    packed = [f"{x}_{y}" for x, y in _TWO]
+    rare = listed.select("row", F.posexplode("rare").alias("pos", "segment")).join(words.select("segment", "groups", "count_sum", *two), "segment")
     found = F.sort_array(F.collect_list(F.struct("pos", "groups")))
-    rare = rare.groupBy("row").agg(F.transform(found, lambda x: x["groups"]).alias("rare_groups"), *[F.sum(c).alias(c) for c in _NUMBERS])
-    rare = materialize(rare, "alignment")
-    discard(words)
-    out = listed.select("row", "doc_id", "n", "codes").join(rare, "row", "left")
+    rare = rare.groupBy("row").agg(F.transform(found, lambda x: x["groups"]).alias("rare_groups"), F.sum("count_sum").alias("count_sum"), *[F.sum(c).alias(c) for c in packed])
+    apart = [c for x, y in _TWO for c in (F.shiftright(f"{x}_{y}", 32).alias(x), F.col(f"{x}_{y}").bitwiseAND(0xFFFFFFFF).alias(y))]
+    out = listed.select("row", "doc_id", "n", "codes").join(rare, "row", "left").select("doc_id", "n", "codes", "rare_groups", "count_sum", *apart)
     return out.mapInArrow(_assembled(known.drop(["segment"])), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _NUMBERS[:-1]) + ", groups_sha256 string")
