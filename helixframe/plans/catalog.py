@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import codons as C
-from helixframe.operators import clustering, folding, generation, similarity, statistics, usage
+from helixframe.operators import batching, clustering, decoding, folding, generation, similarity, statistics, usage
+from helixframe.operators.ranking import positions
 from helixframe.plans.sql import SQL
 from helixframe.session import new_folder
 from helixframe.sources.corpus import derived_records
@@ -84,7 +85,13 @@ def lookup_tables(spark, sf):
 
 
 def constraint_table(spark, sf):
-    return usage.constraint_table(spark)
+    """How many residues of the test records allow each codon, and how many have it."""
+    rows = _split(spark, sf, "test").select(F.posexplode(C.chunked(F.col("sequence"))).alias("pos", "codon"), "protein_sequence")
+    rows = rows.select("codon", F.substr("protein_sequence", F.col("pos") + 1, F.lit(1)).alias("aa"))
+    seen = rows.groupBy("aa", "codon").agg(F.count("*").alias("used"))
+    allowed = usage.constraint_table(spark)  # 64 rows
+    total = seen.groupBy("aa").agg(F.sum("used").alias("residues"))
+    return allowed.join(total, "aa").join(seen, ["aa", "codon"], "left").select("codon", "aa", "residues", F.coalesce("used", F.lit(0)).alias("used"))
 
 
 def organism_tables(spark, sf):
@@ -314,6 +321,35 @@ def folding_summary(spark, sf):
     return folding_energies(spark, sf).groupBy("method").agg(*means)
 
 
+def _markov(spark, sf):
+    train = _split(spark, sf, "train")
+    return decoding.tables(usage.transition_probabilities(usage.transition_counts(train), spark), usage.codon_counts(train).select("codon", "n"))
+
+
+def guided_sequences(spark, sf):
+    """Test proteins written codon by codon, greedily and with the share of G and C led to the training mean."""
+    scorer, rows = decoding.markov(*_markov(spark, sf)), _split(spark, sf, "test").select("idx", "protein")
+    target = _split(spark, sf, "train").agg(_r(F.avg(C.gc_content(F.col("sequence"))), 6)).first()[0] or 0.0
+    greedy = decoding.with_decoded(rows, scorer, out="greedy")
+    return greedy.join(decoding.with_decoded(rows, scorer, out="guided", beta=200.0, target_gc=target), "idx")
+
+
+def refined_sequences(spark, sf):
+    """Test proteins by ten rounds of masking and predicting."""
+    return decoding.with_refined(_split(spark, sf, "test").select("idx", "protein"), decoding.neighbours(*_markov(spark, sf)))
+
+
+def training_masks(spark, sf):
+    return decoding.training_masks(_split(spark, sf, "train")).select("idx", F.array_join("masked", ",").alias("masked"))
+
+
+def training_batches(spark, sf):
+    """Training records in batches of at most 8,192 padded codons: how many rows and codons each has, and its padded size."""
+    rows = _split(spark, sf, "train").select("idx", (F.length("sequence") / 3).cast("int").alias("codons"))
+    made = batching.padded_batches(rows, "codons", 8192, ["idx"])
+    return made.groupBy("batch").agg(F.count("*").alias("rows"), F.sum("codons").alias("codons"), (F.count("*") * F.max("codons")).alias("padded"), F.min("idx").alias("first"))
+
+
 def rank_correlation(spark, sf):
     rows = _scores(spark, sf).where("method <> 'natural_reference'").join(_best(spark, sf), "idx")
     rows = rows.select("method", _r("identity").alias("identity"), _r("bleu").alias("bleu"))
@@ -449,9 +485,10 @@ def kmer_copies(spark, sf):
 
 
 def without_neighbours(spark, sf):
-    """Test records that have no neighbour of 0.3 identity or less, by gene."""
-    q, t = _sides(spark, sf)
-    return similarity.without_neighbours(q, similarity.top_neighbours(q, t, k=1, max_identity=0.3)).groupBy("gene_name").agg(F.count("*").alias("n"))
+    """Test records that have no neighbour of 0.1 identity or less among the validation records, by gene."""
+    q, _ = _sides(spark, sf)
+    near = similarity.top_neighbours(q, _split(spark, sf, "val").select("idx", "gene_name", "species", "protein"), k=1, max_identity=0.1)
+    return similarity.without_neighbours(q, near).groupBy("gene_name").agg(F.count("*").alias("n")).join(q.groupBy("gene_name").agg(F.count("*").alias("of")), "gene_name")
 
 
 def augmented(spark, sf):
@@ -472,16 +509,18 @@ def sampled_order(spark, sf):
 
 
 def positional_join(spark, sf):
-    """Results listed in the sampled order, joined to their records by place."""
+    """Benchmark items listed by number, taken as results for the sampled records in their order, joined by place."""
     order = clustering.hash_sample(_split(spark, sf, "test").select("idx"), 50)
-    listed = order.select("pos", (F.col("pos") * 2).alias("value"))
-    return order.join(listed, "pos").join(_split(spark, sf, "test").select("idx", "id", "gene_name"), "idx").select("pos", "id", "gene_name", "value")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.length("text").cast("long").alias("value")).withColumn("g", F.lit(0))
+    listed = positions(items, ["g"], ["item_id"], "pos").select("pos", "item_id", "value")
+    return order.join(listed, "pos").join(_split(spark, sf, "test").select("idx", "id", "gene_name"), "idx").select("pos", "id", "gene_name", "item_id", "value")
 
 
 def key_join(spark, sf):
-    """Rows that name records by id; ids that are not known are left out."""
-    named = _split(spark, sf, "test").select("id", F.length("sequence").alias("n")).unionByName(spark.range(3).select(F.concat(F.lit("none"), "id").alias("id"), F.lit(0).alias("n")))
-    return named.join(_split(spark, sf, "test").select("id", "idx"), "id").groupBy().agg(F.count("*").alias("rows"), F.sum("n").alias("letters"))
+    """Documents that labels name, joined to their first records by id; names without a record are left out."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.concat(F.lit("REC"), "doc_id", F.lit("_0")).alias("id"), "quality")
+    found = labels.join(_records(spark, sf).select("id", "gene_name", F.length("sequence").alias("letters")), "id")
+    return found.groupBy("gene_name").agg(F.count("*").alias("rows"), F.sum("letters").alias("letters"), F.sum("quality").cast("long").alias("good"))
 
 
 def best_epochs(spark, sf):
@@ -536,7 +575,7 @@ def queries() -> dict:
         protein_inputs, code_exactness, adaptation_index, transition_counts, transition_probabilities, transition_divergence, transition_chi2, transition_test, generated,
         sequence_scores, method_summary, best_methods, report_lines, novel_sequences, top_neighbours, capped_neighbours, without_neighbours, max_identity, nearest_identity,
         threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, stratified_intervals, bootstrap_interval, doubly_controlled_intervals,
-        signed_rank, significance, gene_signed_rank, folding_energies, folding_summary, rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, species_equality, doubly_controlled, merged_tokens, holdout,
+        signed_rank, significance, gene_signed_rank, folding_energies, folding_summary, guided_sequences, refined_sequences, training_masks, training_batches, rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, species_equality, doubly_controlled, merged_tokens, holdout,
         sampled_order, positional_join, key_join, split_sizes, split_manifest, seed_summary, paired_seeds, running_best, best_epochs, event_windows, protein_clusters,
         component_split, controlled_split, split_identity, homolog_copies, kmer_copies, augmented, originals, golden_checks, padded_proteins, survey_categories, merged_metrics,
     )}

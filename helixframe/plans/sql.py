@@ -109,7 +109,28 @@ def _bootstrap(rows: str, by: str, value: str, draws: int, seed: int) -> str:
 SQL = {
     "lookup_tables": RECORDS + f""" SELECT 'mt_cai_lookup' AS name, aa, codon FROM ({_FULL.format(t=_TOP.format(t="high_aa"))}) UNION ALL SELECT 'most_frequent_codon', aa, codon FROM ({_FULL.format(t=_TOP.format(t="train_aa"))})
       UNION ALL SELECT 'tryptophan_only', aa, codon FROM ({_FULL.format(t=_TOP.format(t="(SELECT aa, codon, count(*) AS n FROM sense WHERE split = 'train' AND idx IN (SELECT idx FROM rec WHERE regexp_matches(protein, '^W+$')) GROUP BY ALL)"))})""",
-    "constraint_table": RECORDS + "SELECT codon, aa FROM code",
+    "constraint_table": RECORDS + f"""SELECT c.codon, c.aa, t.n AS residues, coalesce(u.n, 0) AS used FROM code c JOIN (SELECT {_aa("codon")} AS aa, count(*) AS n FROM cod WHERE split = 'test' GROUP BY 1) t ON t.aa = c.aa
+      LEFT JOIN (SELECT codon, count(*) AS n FROM cod WHERE split = 'test' GROUP BY 1) u ON u.codon = c.codon""",
+    "training_masks": RECORDS + """, d AS (SELECT idx, length(protein) AS n, unnest(range(0, length(protein))) AS i, ('0x' || substr(md5('42:' || idx || ':ratio'), 1, 8))::BIGINT AS u FROM train WHERE length(protein) > 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY md5('42:' || idx || ':' || i), i) AS r FROM d)
+      SELECT idx, string_agg(i::VARCHAR, ',' ORDER BY i) AS masked FROM r WHERE r <= greatest(1, ceil((u + 1) / 4294967296.0::DOUBLE * n)) GROUP BY idx""",
+    "training_batches": RECORDS.replace("WITH ", "WITH RECURSIVE ", 1) + """, lens AS MATERIALIZED (SELECT n, count(*) AS c, row_number() OVER (ORDER BY n) AS k FROM (SELECT (length(sequence) // 3)::BIGINT AS n FROM train) GROUP BY n),
+      steps AS (SELECT 0::BIGINT AS k, 0::BIGINT AS n, 0::BIGINT AS b, 0::BIGINT AS room, 1::BIGINT AS size, 0::BIGINT AS nb, 0::BIGINT AS held UNION ALL
+        SELECT k, n, b, room, size, CASE WHEN c <= room THEN b ELSE b + (c - room + size - 1) // size END, CASE WHEN c <= room THEN held + c ELSE (c - room - 1) % size + 1 END
+        FROM (SELECT l.k, l.n, l.c, s.nb AS b, s.held, greatest(1, 8192 // greatest(l.n, 1)) AS size, CASE WHEN s.held > 0 THEN greatest(0, greatest(1, 8192 // greatest(l.n, 1)) - s.held) ELSE greatest(1, 8192 // greatest(l.n, 1)) END AS room FROM steps s JOIN lens l ON l.k = s.k + 1)),
+      placed AS (SELECT idx, (length(sequence) // 3)::BIGINT AS n, row_number() OVER (PARTITION BY length(sequence) // 3 ORDER BY idx) - 1 AS i FROM train)
+      SELECT CASE WHEN i < room THEN b ELSE b + 1 + (i - room) // size END AS batch, count(*) AS rows, sum(p.n)::BIGINT AS codons, count(*) * max(p.n) AS padded, min(idx) AS first FROM placed p JOIN steps s ON s.n = p.n AND s.k > 0 GROUP BY 1""",
+    "guided_sequences": TRANSITIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, usage AS (SELECT c.codon, c.aa, coalesce(t.n, 0) + 1e-3 AS m FROM code c LEFT JOIN (SELECT codon, count(*) AS n FROM cod WHERE split = 'train' AND codon NOT IN ('TAA', 'TAG', 'AGA', 'AGG') GROUP BY 1) t ON t.codon = c.codon),
+      score AS (SELECT '' AS prev, codon, aa, m / sum(m) OVER () AS p FROM usage UNION ALL SELECT a."from", a."to", c.aa, a.p FROM pa a JOIN code c ON c.codon = a."to"),
+      choice AS MATERIALIZED (SELECT prev, aa, codon, ln(p / sum(p) OVER (PARTITION BY prev, aa)) AS v, length(regexp_replace(codon, '[AT]', '', 'g')) AS g FROM score),
+      target AS MATERIALIZED (SELECT round(avg(length(regexp_replace(sequence, '[^GC]', '', 'g')) / length(sequence)), 6) AS t FROM train),
+      tests AS MATERIALIZED (SELECT idx, protein FROM test),
+      walk AS (SELECT idx, protein || '*' AS p, beta, 0::BIGINT AS pos, '' AS prev, 0::BIGINT AS gc, '' AS seq FROM tests, (VALUES (0.0::DOUBLE), (200.0::DOUBLE)) b(beta) UNION ALL
+        SELECT idx, p, beta, pos, codon, gc, seq FROM (SELECT w.idx, w.p, w.beta, w.pos + 1 AS pos, c.codon, w.gc + c.g AS gc, w.seq || c.codon AS seq,
+          row_number() OVER (PARTITION BY w.idx, w.beta ORDER BY c.v - w.beta * pow((w.gc + c.g) / (3.0::DOUBLE * (w.pos + 1)) - t, 2) DESC, c.codon) AS r
+          FROM walk w JOIN choice c ON c.prev = w.prev AND c.aa = substr(w.p, w.pos + 1, 1), target WHERE w.pos < length(w.p)) WHERE r = 1),
+      done AS (SELECT idx, beta, seq FROM walk WHERE pos = length(p))
+      SELECT a.idx, a.seq AS greedy, b.seq AS guided FROM done a JOIN done b ON b.idx = a.idx AND a.beta = 0 AND b.beta > 0""",
     "organism_tables": RECORDS + """SELECT species, aa, codon FROM (SELECT species, aa, codon, count(*) AS n FROM sense WHERE split = 'train' AND species IN (SELECT species FROM train GROUP BY species HAVING count(*) >= 200) GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY species, aa ORDER BY n DESC, codon) = 1""",
     "conditions": RECORDS + f"SELECT gene_name, count(*) AS n, 0 AS none, CASE WHEN gene_name = 'ND6' THEN 1 ELSE 0 END AS strand, list_position([{_IN(GENES)}], gene_name) - 1 AS gene FROM rec GROUP BY gene_name",
@@ -118,7 +139,9 @@ SQL = {
     "code_exactness": RECORDS + f"""SELECT gene_name, count(*) AS n, round(avg((t2 = protein)::INT), 9) AS own, round(avg((t1 = protein)::INT), 9) AS standard FROM (SELECT r.gene_name, r.protein,
       regexp_replace(string_agg({_aa("codon", 2)}, '' ORDER BY pos), '[*]+$', '') AS t2, regexp_replace(string_agg({_aa("codon", 1)}, '' ORDER BY pos), '[*]+$', '') AS t1
       FROM test r JOIN cod c ON c.idx = r.idx GROUP BY r.idx, r.gene_name, r.protein) GROUP BY gene_name""",
-    "without_neighbours": PAIRS + "SELECT gene_name, count(*) AS n FROM test WHERE idx NOT IN (SELECT q_idx FROM pairs WHERE identity <= 0.3) GROUP BY gene_name",
+    "without_neighbours": RECORDS + """, near AS (SELECT DISTINCT q.idx FROM test q JOIN rec v ON v.split = 'val' AND v.gene_name = q.gene_name
+      WHERE 1 - levenshtein(q.protein, v.protein) / greatest(length(q.protein), length(v.protein), 1) <= 0.1)
+      SELECT gene_name, count(*) FILTER (idx NOT IN (SELECT idx FROM near)) AS n, count(*) AS "of" FROM test GROUP BY gene_name HAVING count(*) FILTER (idx NOT IN (SELECT idx FROM near)) > 0""",
     "stratified_intervals": MEASURED + _LONG + """, rows AS (SELECT 'overall' AS stratum, method, metric, species, value FROM long WHERE metric IN ('bleu', 'cai') UNION ALL SELECT stratum, method, metric, species, value FROM long WHERE metric IN ('bleu', 'cai') AND stratum IS NOT NULL),
       kept AS (SELECT stratum, method, metric FROM rows GROUP BY ALL HAVING stratum = 'overall' OR (count(*) >= 2 AND count(DISTINCT species) >= 2)), """
       + _bootstrap("SELECT r.* FROM rows r SEMI JOIN kept k ON r.stratum = k.stratum AND r.method = k.method AND r.metric = k.metric", "stratum, method, metric", "value", 2000, 0).replace(", (r.lo > 0 OR r.hi < 0) AS significant", ""),
@@ -127,8 +150,9 @@ SQL = {
     "species_equality": RECORDS + """, l AS (SELECT count(*) AS n FROM (SELECT species FROM test EXCEPT SELECT species FROM train)), r AS (SELECT count(*) AS n FROM (SELECT species FROM train EXCEPT SELECT species FROM test))
       SELECT l.n AS left_only, r.n AS right_only, (l.n = 0 AND r.n = 0) AS same FROM l, r""",
     "sampled_order": RECORDS + "SELECT row_number() OVER (ORDER BY md5('42:' || idx), idx) - 1 AS pos, idx FROM test QUALIFY pos < 50",
-    "positional_join": RECORDS + "SELECT pos, id, gene_name, pos * 2 AS value FROM (SELECT row_number() OVER (ORDER BY md5('42:' || idx), idx) - 1 AS pos, id, gene_name FROM test) WHERE pos < 50",
-    "key_join": RECORDS + "SELECT count(*) AS rows, sum(length(sequence))::BIGINT AS letters FROM test",
+    "positional_join": RECORDS + """SELECT o.pos, o.id, o.gene_name, b.item_id, b.value FROM (SELECT row_number() OVER (ORDER BY md5('42:' || idx), idx) - 1 AS pos, id, gene_name FROM test) o
+      JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, length(text) AS value FROM benchmark) b ON b.pos = o.pos WHERE o.pos < 50""",
+    "key_join": RECORDS + "SELECT gene_name, count(*) AS rows, sum(length(sequence))::BIGINT AS letters, sum(quality)::BIGINT AS good FROM labels l JOIN rec r ON r.id = 'REC' || l.doc_id || '_0' GROUP BY gene_name",
     "split_manifest": RECORDS + f"""SELECT g || '/' || s AS path, (g || '/' || s) IN (SELECT gene_name || '/' || split FROM rec) AS present FROM (SELECT unnest([{_IN(GENES)}]) AS g), (SELECT unnest(['train', 'val', 'test', 'calibration']) AS s)""",
     "best_epochs": """WITH e AS (SELECT o_orderpriority, year(o_orderdate) * 12 + month(o_orderdate) AS epoch, round(avg(o_totalprice), 6) AS loss FROM orders GROUP BY ALL),
       b AS (SELECT o_orderpriority, epoch AS best_epoch, loss AS best_loss FROM e QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY loss, epoch) = 1)
