@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 import pytest
-from helixframe.llm import licenses, quality
+from helixframe.llm import html_text, licenses, quality
 from helixframe.llm.html_text import render
 from helixframe.llm.license_templates import TEMPLATES
 from helixframe.llm.textnum import BASES, prefix, windows
@@ -69,12 +69,34 @@ def test_pages(page, text):
 
 
 def test_long_pages_take_time_in_proportion():
-    for page in ("<style>" + "a" * 300_000 + "</style>x", "<style>" + "/*" * 100_000 + "</style>x", "<p " + "a='" * 100_000 + ">x", "<p>" + "word " * 200_000, "<i>" * 50_000 + "x"):
+    for page in ("<style>" + "a" * 300_000 + "</style>x", "<style>" + "/*" * 100_000 + "</style>x", "<p " + "a='" * 100_000 + ">x", "<p>" + "word " * 200_000, "<i>" * 50_000 + "x",
+                 "<table><tr><td colspan=1000 rowspan=65534>a" + "<tr><td>b" * 400, "<table>" + "<tr><td colspan=1000 rowspan=65534>a" * 3000, "<table><tr>" + "<td rowspan=65534>a" * 3000 + "<tr><td>b" * 3000,
+                 "<table><tr>" + "".join(f"<td rowspan={65000 - k}>a" for k in range(3000)) + "<tr><td>b" * 3000):
         began = time.time()
-        render(page)
-        assert time.time() - began < 15
+        text = render(page)
+        assert time.time() - began < 15 and len(text) < 40 * len(page)
 
 
+def test_tables_with_spans_against_a_full_grid():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        rows = [[(f"{r}.{k}", int(rng.integers(1, 4)), int(rng.integers(1, 4))) for k in range(rng.integers(0, 4))] for r in range(rng.integers(1, 7))]
+        taken, want = set(), []
+        for r, row in enumerate(rows):
+            line, column = [], 0
+            for text, columns, deep in row:
+                while (r, column) in taken:
+                    column += 1
+                line.append((column, text))
+                taken |= {(r + d, column + c) for d in range(1, deep) for c in range(columns)}
+                column += columns
+            want.append(line)
+        assert html_text._grid(rows) == want
+        used = sorted({c for row in want for c, _ in row})
+        width = {c: max(len(t) for row in want for x, t in row if x == c) for c in used}
+        lines = ["  ".join(dict(row).get(c, "").ljust(width[c]) for c in used).rstrip() for row in want if row]
+        assert html_text._aligned(want) == lines
+
 def test_trees_against_a_walk_by_hand():
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(400, 5)), 2)
