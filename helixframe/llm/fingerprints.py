@@ -89,8 +89,12 @@ def merge_sketches(df: DataFrame, key: str, column: str, k: int = K) -> DataFram
     return salted.groupBy(key).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k).alias(column))
 
 
+#: What tells documents apart and orders them: number, whether it stands for none, hash of the text.
+KEY = ["k", "none", "th"]
+
+
 def neighbours(ids: DataFrame, buckets: int = 512) -> DataFrame:
-    """ids with next_k and next_th: what follows each (k, th) in ascending order, the first after the last.
+    """ids with next_k, next_none and next_th: what follows each key in ascending order, the first after the last.
 
     Keys are cut into ranges at approximate quantiles (``buckets`` numbers), a
     window looks ahead within each range, and a table of one row a range joins
@@ -100,13 +104,13 @@ def neighbours(ids: DataFrame, buckets: int = 512) -> DataFrame:
     below = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda c: c <= F.col("k")))
     # One row of at most ``buckets`` numbers is joined to every row.
     spread = ids.crossJoin(F.broadcast(cuts)).withColumn("range", below).drop("cuts")
-    me = F.struct("k", "th")
-    ahead = spread.withColumn("then", F.lead(me).over(Window.partitionBy("range").orderBy("k", "th")))
+    me = F.struct(*KEY)
+    ahead = spread.withColumn("then", F.lead(me).over(Window.partitionBy("range").orderBy(*KEY)))
     firsts = spread.groupBy("range").agg(F.min(me).alias("first"))
     w = Window.orderBy("range")
     ends = firsts.select("range", F.coalesce(F.lead("first").over(w), F.min("first").over(Window.partitionBy())).alias("after"))
     then = F.coalesce("then", "after")
-    return ahead.join(F.broadcast(ends), "range").select(*ids.columns, then["k"].alias("next_k"), then["th"].alias("next_th"))
+    return ahead.join(F.broadcast(ends), "range").select(*ids.columns, *[then[c].alias(f"next_{c}") for c in KEY])
 
 
 def edited_fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
@@ -117,22 +121,22 @@ def edited_fingerprints(documents: DataFrame, k: int = K) -> DataFrame:
     ids follow one another by the texts' hashes; rows that repeat id and text
     are one document in this order and each get its result.
     """
-    # The id travels as k alone, the largest number for none: both uses of the texts' shuffle then read the same columns, and it is made once.
-    none = F.lit((1 << 63) - 1)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    ids = docs.groupBy("k", "th").agg(F.max(F.floor(F.length("text") / 2).cast("int")).alias("half"))
+    # No key is null, as joins ask for: rows without an id have the largest number, and a mark. Both uses of the texts' shuffle read the same columns, so it is made once.
+    number = F.col("doc_id").cast("long")
+    docs = documents.select(F.coalesce(number, F.lit((1 << 63) - 1)).alias("k"), number.isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    ids = docs.groupBy(*KEY).agg(F.max(F.floor(F.length("text") / 2).cast("int")).alias("half"))
     # What the document before needs of each text, to be sent to it with the sketch.
-    wanted = neighbours(ids).select(F.col("next_k").alias("k"), F.col("next_th").alias("th"), F.col("k").alias("prev_k"), F.col("th").alias("prev_th"), "half")
+    wanted = neighbours(ids).select(*[F.col(f"next_{c}").alias(c) for c in KEY], *[F.col(c).alias(f"prev_{c}") for c in KEY], "half")
     # Sketches are made after the texts' shuffle, on either side: they would be half as large again as the texts.
-    base = docs.join(wanted, ["k", "th"]).withColumn("copy", F.row_number().over(Window.partitionBy("k", "th").orderBy("k")))
+    base = docs.join(wanted, KEY).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("k")))
     base = base.withColumn("sketch", sketch(F.col("text"), k))
     heads = base.where("copy = 1").select(
-        F.col("prev_k").alias("k"), F.col("prev_th").alias("th"), F.expr("substring(text, 1, half)").alias("head"), F.col("sketch").alias("next_sketch")
+        *[F.col(f"prev_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, half)").alias("head"), F.col("sketch").alias("next_sketch")
     )
-    both = base.select("k", "th", "text", "sketch").join(heads, ["k", "th"])
+    both = base.select(*KEY, "text", "sketch").join(heads, KEY)
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.col("head"))
     out = both.withColumn("edited", edited).select(
-        F.nullif("k", none).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        F.when(~F.col("none"), F.col("k")).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         "sketch", "next_sketch", sketch(F.col("edited"), k).alias("edited_sketch"),
     )
     return out.select(

@@ -101,6 +101,15 @@ def test_fingerprints(docs, rows):
     assert got[18].fingerprint == got[21].fingerprint and got[18].near_next == 1.0
 
 
+def test_fingerprints_of_the_largest_and_of_no_number(spark):
+    largest = (1 << 63) - 1
+    rows = [(largest, "a b c d e f"), (None, "g h i"), (1, "k"), (None, "l m"), (largest, None), (-largest - 1, "n o")]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_chars) for r in got) == sorted(((k is None, k or 0), len(t or "")) for k, t in rows)
+    after = {r.n_chars: r.edited_sha256 for r in got if r.doc_id is not None}
+    assert after[1] == hashlib.sha256(b"k").hexdigest() and after[3] == hashlib.sha256(b"n k").hexdigest()
+
+
 def test_merged_sketches(spark):
     parts = spark.createDataFrame([("a", [3, 5, 9]), ("a", [1, 5]), ("b", [2])], "key string, s array<bigint>")
     assert {r.key: r.s for r in fingerprints.merge_sketches(parts, "key", "s", k=3).collect()} == {"a": [1, 3, 5], "b": [2]}
