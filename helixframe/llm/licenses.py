@@ -142,26 +142,55 @@ def _segments(template: np.ndarray, words: np.ndarray, firsts: list[int]) -> lis
     return sorted(out, key=lambda x: (x[3], x[1]))
 
 
+def _follows(y: tuple[int, int, int, int, int], x: tuple[int, int, int, int, int]) -> bool:
+    """Whether segment x may come behind y in a chain: in text, within the gap, and in template."""
+    return y[4] <= x[3] <= y[4] + GAP and y[2] <= x[1]
+
+
 def _chains(segments: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """(matched, start, end) of chains of segments, best first; a segment is in one chain only."""
-    out, left = [], segments
-    while left:
-        best = [x[0] for x in left]
-        last = [-1] * len(left)
-        for i, x in enumerate(left):
-            for j in range(i - 1, -1, -1):
-                y = left[j]
-                if y[4] <= x[3] <= y[4] + GAP and y[2] <= x[1] and best[j] + x[0] > best[i]:
-                    best[i], last[i] = best[j] + x[0], j
-                elif x[3] - y[3] > 4 * GAP + len(left):
-                    break
-        i = max(range(len(left)), key=lambda k: (best[k], -k))
-        matched, end, used = best[i], left[i][4], set()
-        while i >= 0:
-            used.add(i)
-            start, i = left[i][3], last[i]
-        out.append((matched, start, end))
-        left = [x for k, x in enumerate(left) if k not in used]
+    """(matched, start, end) of chains of segments, best first among those that share segments; a segment is in one chain only.
+
+    Segments that no chain can join are apart, so that notices which repeat in a
+    text are chained each for itself.
+    """
+    longest = max((x[4] - x[3] for x in segments), default=0)
+    before: list[list[int]] = []
+    part = list(range(len(segments)))
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            part[i] = part[part[i]]
+            i = part[i]
+        return i
+
+    for i, x in enumerate(segments):
+        before.append([])
+        j = i - 1
+        while j >= 0 and x[3] - segments[j][3] <= GAP + longest:
+            if _follows(segments[j], x):
+                before[i].append(j)
+                part[root(i)] = root(j)
+            j -= 1
+    groups: dict[int, list[int]] = defaultdict(list)
+    for i in range(len(segments)):
+        groups[root(i)].append(i)
+    out = []
+    for group in groups.values():
+        left = dict.fromkeys(group)
+        while left:
+            best, last = {}, {}
+            for i in left:
+                best[i], last[i] = segments[i][0], -1
+                for j in before[i]:
+                    if j in left and best[j] + segments[i][0] > best[i]:
+                        best[i], last[i] = best[j] + segments[i][0], j
+            i = max(left, key=lambda k: (best[k], -k))
+            matched, end = best[i], segments[i][4]
+            while i >= 0:
+                start = segments[i][3]
+                del left[i]
+                i = last[i]
+            out.append((matched, start, end))
     return out
 
 

@@ -111,7 +111,8 @@ def shard(documents: DataFrame, shards: int = 16, seed: int = 20240101, buckets:
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.xxhash64("text"))), F.lit(buckets)).alias("__bucket"),
+        # By id and text: rows that repeat an id, or have none, are dealt to all buckets by their texts.
+        F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(buckets)).alias("__bucket"),
     )
     place = permuted(F.col("row_number"), F.col("total"), seed)
     return (
