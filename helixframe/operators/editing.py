@@ -241,3 +241,100 @@ def _hopeless(queries: list[str], pool: list[str], k: int, low: np.ndarray, cost
     best = np.where(valid(d, i, j), d / np.maximum(np.maximum([len(queries[a]) for a in i], [len(pool[b]) for b in j]), 1) if relative else d, np.inf).reshape(first.shape)
     kth = np.partition(best, k - 1, axis=1)[:, k - 1]
     return bool((cost[some] <= kth[:, None]).mean() > DENSE)
+
+
+#: Kinds of runs of an alignment: pairs that are equal and that differ, residues of the query alone and of the target alone.
+EQUAL, OTHER, QUERY, TARGET = "=", "X", "I", "D"
+#: Bytes of kept columns up to which pairs are aligned together.
+KEPT = 1 << 26
+
+
+def alignments(queries: list[str], targets: list[str]) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
+    """(edit distances, runs) of global alignments of each query with the target of its place.
+
+    Runs are (kind, length) from the beginning on. Pairs are preferred over
+    gaps, then gaps in the target. The columns' differences, up and sideways,
+    are kept as bits, from which the ways back of all pairs are read together,
+    one step at a time.
+    """
+    distance, runs = np.zeros(len(queries), np.int64), [None] * len(queries)
+    n, m = (np.array([len(x) for x in side], dtype=np.int64) for side in (queries, targets))
+    order = np.lexsort((n, (m + 63) // 64))
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        size = lambda k: 32 * max(1, -(-int(m[order[lo:k]].max()) // 64)) * max(1, int(n[order[lo:k]].max())) * (k - lo)  # noqa: E731, B023
+        while hi < len(order) and hi - lo < 4096 and size(min(len(order), hi + 64)) <= KEPT:
+            hi = min(len(order), hi + 64)
+        some = order[lo:hi]
+        d, r = _aligned_block([queries[i] for i in some], [targets[i] for i in some])
+        distance[some] = d
+        for i, x in zip(some.tolist(), r):
+            runs[i] = x
+        lo = hi
+    return distance, runs
+
+
+def _aligned_block(queries: list[str], targets: list[str]) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
+    q, t = _codes(queries), _codes(targets)
+    n, m = (np.array([len(x) for x in side], dtype=np.int64) for side in (q, t))
+    count, steps, words = len(q), int(n.max(initial=0)), max(1, -(-int(m.max(initial=0)) // 64))
+    pairs = np.arange(count)
+    a, b = np.zeros((count, steps + 1), np.uint32), np.zeros((count, int(m.max(initial=0)) + 1), np.uint32)
+    for r, (x, y) in enumerate(zip(q, t)):
+        a[r, : len(x)], b[r, : len(y)] = x, y
+    letters = np.unique(np.concatenate([*q, *t, np.zeros(1, np.uint32)]))
+    code = np.searchsorted(letters, a)
+    bits = np.zeros((len(letters), count, words), dtype=np.uint64)
+    for r, y in enumerate(t):
+        at = np.arange(len(y))
+        np.bitwise_or.at(bits, (np.searchsorted(letters, y), r, at // 64), _ONE << (at % 64).astype(np.uint64))
+    # kept[step]: up-and-down differences of the column before, and sideways differences into this one, each as plus and minus.
+    kept = np.zeros((steps, 4, words, count), dtype=np.uint64)
+    plus, minus = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), np.uint64)
+    for step in range(steps):
+        up, down = np.ones(count, np.uint64), np.zeros(count, np.uint64)
+        kept[step, 0], kept[step, 1] = plus, minus
+        for w in range(words):
+            p, g = plus[w], minus[w]
+            eq = bits[code[:, step], pairs, w]
+            xv = eq | g
+            eq = eq | down
+            xh = (((eq & p) + p) ^ p) | eq
+            ph, mh = g | ~(xh | p), p & xh
+            kept[step, 2, w], kept[step, 3, w] = ph, mh
+            up_out, down_out = ph >> _TOP, mh >> _TOP
+            ph, mh = (ph << _ONE) | up, (mh << _ONE) | down
+            plus[w], minus[w] = mh | ~(xv | ph), ph & xv
+            up, down = up_out, down_out
+
+    def change(which: int, step: np.ndarray, row: np.ndarray, who: np.ndarray) -> np.ndarray:
+        w, bit = (row - 1) // 64, ((row - 1) % 64).astype(np.uint64)
+        return ((kept[step, which, w, who] >> bit) & _ONE).astype(np.int64) - ((kept[step, which + 1, w, who] >> bit) & _ONE).astype(np.int64)
+
+    i, j, distance = n.copy(), m.copy(), np.zeros(count, np.int64)
+    back: list[list[list]] = [[] for _ in range(count)]
+    kinds = np.array([EQUAL, OTHER, QUERY, TARGET])
+    while True:
+        live = np.flatnonzero((i > 0) | (j > 0))
+        if not len(live):
+            break
+        x, y = i[live], j[live]
+        inner = (x > 0) & (y > 0)
+        step, row = np.maximum(x - 1, 0), np.maximum(y, 1)
+        side = np.where(inner, change(2, step, row, live), 1)
+        corner = side + np.where(inner, change(0, step, row, live), 0)
+        same = inner & (a[live, step] == b[live, row - 1])
+        pair = inner & (corner == np.where(same, 0, 1))
+        gap = ~pair & (x > 0) & ((y == 0) | (side == 1))
+        kind = np.where(pair, np.where(same, 0, 1), np.where(gap, 2, 3))
+        distance[live] += kind > 0
+        i[live] -= pair | gap
+        j[live] -= pair | ~gap
+        for r, k in zip(live.tolist(), kinds[kind].tolist()):
+            runs = back[r]
+            if runs and runs[-1][0] == k:
+                runs[-1][1] += 1
+            else:
+                runs.append([k, 1])
+    return distance, [[(k, c) for k, c in reversed(runs)] for runs in back]

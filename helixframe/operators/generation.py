@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from helixframe.functions import codons as C
 from helixframe.operators import usage
+from helixframe.operators.editing import EQUAL, OTHER, QUERY, alignments
 from helixframe.session import materialize
 
 METHODS = ("mt_cai_lookup", "random_synonymous", "most_frequent_codon", "codontransformer_remap")
@@ -82,12 +83,13 @@ def augment(records: DataFrame, weights: DataFrame, variants: int = 2, seed: int
     table = cumulative.agg(F.map_from_entries(F.collect_list(F.struct("aa", "o"))).alias("__t"))
     n = records.agg((F.max("idx") + 1).alias("__n"))
     rows = records.crossJoin(F.broadcast(table)).crossJoin(F.broadcast(n)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
+    rows = rows.withColumn("__i", F.col("idx"))  # a name that the new idx cannot be taken for
     codons = C.chunked(F.col("sequence"))
 
     def draw(codon, i):
         options = F.try_element_at("__t", C.amino_acid(codon))
         total = F.aggregate(options, F.lit(0.0), lambda a, x: a + x["weight"])
-        u = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), "idx", "v", i)), F.lit(1), F.lit(8)), 16, 10).cast("double") / 2**32 * total
+        u = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), "__i", "v", i)), F.lit(1), F.lit(8)), 16, 10).cast("double") / 2**32 * total
         start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("string").alias("c"))
         chosen = F.aggregate(options, start, lambda a, x: F.struct((a["s"] + x["weight"]).alias("s"), F.coalesce(a["c"], F.when(a["s"] + x["weight"] > u, x["codon"])).alias("c")))
         return F.when((i == 0) | codon.isin(*C.STOPS), codon).otherwise(F.coalesce(chosen["c"], codon))
@@ -99,34 +101,6 @@ def augment(records: DataFrame, weights: DataFrame, variants: int = 2, seed: int
     return records.select("idx", "id", "gene_name", "species", "sequence", "protein_sequence").unionByName(made, allowMissingColumns=True)
 
 
-def align_map(query: str, target: str) -> tuple[int, list[int], int]:
-    """(identical residues, target position of each query residue or -1, edit distance) of a global alignment.
-
-    Unit costs; matches and substitutions are preferred over gaps, then gaps in the target.
-    """
-    n, m = len(query), len(target)
-    q, t = np.frombuffer(query.encode("utf-32-le"), np.uint32), np.frombuffer(target.encode("utf-32-le"), np.uint32)
-    d = np.zeros((n + 1, m + 1), dtype=np.int32)
-    d[0] = np.arange(m + 1)
-    ramp = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, dtype=np.int32)
-        row[0] = i
-        row[1:] = np.minimum(d[i - 1, :-1] + (t != q[i - 1]), d[i - 1, 1:] + 1)
-        d[i] = np.minimum.accumulate(row - ramp) + ramp
-    i, j, same, places = n, m, 0, [-1] * n
-    while i > 0:
-        if j > 0 and d[i, j] == d[i - 1, j - 1] + (q[i - 1] != t[j - 1]):
-            i, j = i - 1, j - 1
-            places[i] = j
-            same += q[i] == t[j]
-        elif d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return int(same), places, int(d[n, m])
-
-
 def affine_map(query: str, target: str, match: float = 2, mismatch: float = -1, opening: float = -4, extending: float = -0.5) -> tuple[int, list[int], float]:
     """(identical residues, target position of each query residue or -1, score) of a global alignment with affine gaps.
 
@@ -165,18 +139,57 @@ def affine_map(query: str, target: str, match: float = 2, mismatch: float = -1,
     return same, places, float(best[n, m])
 
 
+RUN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("n", T.IntegerType())])
+
+
+def run_length(runs: Column) -> Column:
+    """The runs of an alignment as one string, such as 12=1X3I."""
+    return F.array_join(F.transform(runs, lambda x: F.concat(x["n"].cast("string"), x["kind"])), "")
+
+
+def identical(runs: Column) -> Column:
+    """How many residues are paired with an equal one."""
+    return F.aggregate(runs, F.lit(0), lambda a, x: a + F.when(x["kind"] == EQUAL, x["n"]).otherwise(0))
+
+
+def target_places(runs: Column) -> Column:
+    """The target's place of each residue of the query, -1 for those that are paired with none."""
+    n = lambda x: x["n"]
+    pair = lambda x: x["kind"].isin(EQUAL, OTHER)
+    none = F.array().cast("array<int>")
+
+    def step(a, x):
+        places = F.when(pair(x), F.sequence(a["at"], a["at"] + n(x) - 1)).when(x["kind"] == QUERY, F.array_repeat(F.lit(-1), n(x))).otherwise(none)
+        return F.struct(F.concat(a["places"], places).alias("places"), (a["at"] + F.when(x["kind"] == QUERY, 0).otherwise(n(x))).alias("at"))
+
+    return F.aggregate(runs, F.struct(none.alias("places"), F.lit(0).alias("at")), step, lambda a: a["places"])
+
+
+def with_runs(pairs: DataFrame) -> DataFrame:
+    """Adds align_distance and runs, (kind, n) of a unit-cost alignment of q_protein and t_protein; many pairs are aligned at once."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("align_distance", T.IntegerType()), T.StructField("runs", T.ArrayType(RUN))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            distance, runs = alignments(pdf["q_protein"].tolist(), pdf["t_protein"].tolist())
+            yield pdf.assign(align_distance=distance.astype(np.int32), runs=[[{"kind": k, "n": n} for k, n in x] for x in runs])
+
+    # Alignments are much work for few rows: dealt to all cores.
+    return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
+
+
 def with_alignment(pairs: DataFrame, affine: bool = False) -> DataFrame:
     """Adds n_identical, pos_map and, for unit costs, align_distance or, for affine gaps, align_score."""
-    last = T.StructField("align_score", T.DoubleType()) if affine else T.StructField("align_distance", T.IntegerType())
-    schema = T.StructType([*pairs.schema.fields, T.StructField("n_identical", T.IntegerType()), T.StructField("pos_map", T.ArrayType(T.IntegerType())), last])
-    align = affine_map if affine else align_map
+    if not affine:
+        rows = with_runs(pairs)
+        return rows.select(*pairs.columns, identical(F.col("runs")).alias("n_identical"), target_places(F.col("runs")).alias("pos_map"), "align_distance")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("n_identical", T.IntegerType()), T.StructField("pos_map", T.ArrayType(T.IntegerType())), T.StructField("align_score", T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [align(a, b) for a, b in zip(pdf["q_protein"], pdf["t_protein"])]
-            yield pdf.assign(n_identical=[x[0] for x in out], pos_map=[x[1] for x in out], **{last.name: [x[2] for x in out]})
+            out = [affine_map(a, b) for a, b in zip(pdf["q_protein"], pdf["t_protein"])]
+            yield pdf.assign(n_identical=[x[0] for x in out], pos_map=[x[1] for x in out], align_score=[x[2] for x in out])
 
-    # Alignments are much work for few rows: dealt to all cores.
     return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 

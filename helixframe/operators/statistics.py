@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.operators.ranking import positions, tied_ranks
+from helixframe.session import materialize
 
 STRATA = ((0.0, 0.6, "<60%"), (0.6, 0.8, "60-80%"), (0.8, 0.9, "80-90%"), (0.9, 0.95, "90-95%"), (0.95, 1.01, ">=95%"))
 
@@ -100,6 +102,64 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, by: list[str], dr
     return mean.join(ci, by).withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
+#: Clusters that one task draws from.
+PART = 4096
+
+
+def _drawn(keys: int, draws: int, seed: int):
+    """Draws of one part of a group's clusters: how many fall to it, by halves, and which of its clusters they are."""
+
+    def run(key: tuple, clusters: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        group, part = zlib.crc32(repr(key[:keys]).encode()), int(key[keys])
+        path = path.sort_values("level")
+        n = np.full(draws, int(path["of"].iloc[0]) if len(path) else len(clusters))
+        for level, prefix, of, left in zip(path["level"], path["prefix"], path["of"], path["left"]):
+            # Both halves draw the same numbers, for they are those of the node above them.
+            low = np.random.default_rng([seed, group, int(level), int(prefix)]).binomial(n, left / of)
+            n = n - low if part >> (int(path["depth"].iloc[0]) - int(level) - 1) & 1 else low
+        rows = clusters.sort_values("__cluster")
+        s, c, rng = rows["s"].to_numpy(float), rows["c"].to_numpy(float), np.random.default_rng([seed, group, part, 1 << 30])
+        sums, counts, step = np.zeros(draws), np.zeros(draws), max(1, (1 << 22) // len(rows))
+        for lo in range(0, draws, step):
+            w = rng.multinomial(n[lo : lo + step], np.full(len(rows), 1 / len(rows)))
+            sums[lo : lo + step], counts[lo : lo + step] = w @ s, w @ c
+        out = {f"k{i}": [k] * draws for i, k in enumerate(key[:keys])}
+        return pd.DataFrame(out | {"rep": np.arange(draws), "s": sums, "c": counts})
+
+    return run
+
+
+def split_bootstrap(df: DataFrame, cluster: str, value: str, by: list[str], draws: int = 2000, seed: int = 0, level: float = 0.95, part: int = PART) -> DataFrame:
+    """What `cluster_bootstrap` gives, for groups of very many clusters: no row is made for a draw.
+
+    Clusters are dealt to parts. How many of a replicate's draws fall to a part
+    follows from binomial draws down a tree of halves, the same wherever they are
+    made; a part then draws the weights of its clusters and returns two sums a
+    replicate. Work grows with clusters times draws, in parts; what is shuffled
+    with parts times draws.
+    """
+    sums = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    sums = materialize(sums.withColumnRenamed(cluster, "__cluster"), "bootstrap")
+    mean = sums.groupBy(*by).agg((F.sum("s") / F.sum("c")).alias("mean"), F.sum("c").alias("n"), F.count("*").alias("clusters"))
+    depth = mean.select(*by, F.greatest(F.lit(0), F.ceil(F.log2(F.col("clusters") / part))).cast("int").alias("depth"))
+    dealt = sums.join(depth, by).withColumn("part", F.pmod(F.xxhash64("__cluster"), F.expr("shiftleft(1L, depth)"))).drop("depth")
+    sizes = materialize(dealt.groupBy(*by, "part").agg(F.count("*").alias("size")).join(depth, by), "bootstrap")
+    # The nodes above each part, with how many clusters are below them and below their first halves.
+    above = sizes.where("depth > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)))
+    above = above.withColumn("prefix", F.expr("shiftright(part, depth - level)"))
+    first = F.expr("shiftright(part, depth - level - 1) % 2 = 0")
+    nodes = above.groupBy(*by, "level", "prefix").agg(F.sum("size").alias("of"), F.sum(F.when(first, F.col("size")).otherwise(0)).alias("left"))
+    path = above.select(*by, "part", "depth", "level", "prefix").join(nodes, [*by, "level", "prefix"])
+    kinds = [T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(by)]
+    schema = T.StructType([*kinds, *T.StructType.fromDDL("rep long, s double, c double")])
+    keys = [*by, "part"]
+    reps = dealt.groupBy(*keys).cogroup(path.groupBy(*keys)).applyInPandas(_drawn(len(by), draws, seed), schema)
+    reps = reps.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(by)], "rep", "s", "c").groupBy(*by, "rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    tail = (1 - level) / 2
+    ci = reps.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"), F.avg("m").alias("mean_of_draws"), F.stddev_samp("m").alias("sd"))
+    return mean.join(ci, by).withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+
 #: Differences up to which p is exact; the counts of subsets are 64-bit numbers up to here.
 EXACT = 50
 

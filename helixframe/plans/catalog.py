@@ -11,7 +11,7 @@ from helixframe.functions import codons as C
 from helixframe.operators import batching, clustering, decoding, folding, generation, similarity, statistics, usage
 from helixframe.operators.ranking import positions
 from helixframe.plans.sql import SQL
-from helixframe.session import new_folder
+from helixframe.session import delete, new_folder
 from helixframe.sources.corpus import derived_records
 from helixframe.sources.sinks import manifest as missing
 from helixframe.sources.sinks import table_rows
@@ -34,6 +34,13 @@ def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return store.stage(name, [f"{sf}/documents.parquet"], build)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that queries share: the next query writes what it needs anew."""
+    store = _stores.pop(spark.sparkContext.applicationId, None)
+    if store:
+        delete(spark, store.folder)
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "records", lambda: derived_records(spark, sf).withColumn("protein", C.strip_stops(F.col("protein_sequence"))))
 
@@ -478,6 +485,13 @@ def homolog_copies(spark, sf):
     return out.select(*_copy_columns(), "align_distance")
 
 
+def alignment_runs(spark, sf):
+    """The nearest training record of each test record, and their alignment as runs."""
+    top = similarity.top_neighbours(*_sides(spark, sf), k=1).select("q_idx", "t_idx", "edit_distance")
+    rows = generation.with_runs(_with_texts(spark, sf, top))
+    return rows.select("q_idx", "t_idx", "edit_distance", "align_distance", generation.run_length(F.col("runs")).alias("runs"))
+
+
 def kmer_copies(spark, sf):
     """Copies of the candidate that an alignment with affine gaps finds likest."""
     best = generation.best_aligned(_with_texts(spark, sf, similarity.kmer_candidates(*_sides(spark, sf)).select("q_idx", "t_idx", "rank")))
@@ -492,7 +506,7 @@ def without_neighbours(spark, sf):
 
 
 def augmented(spark, sf):
-    return generation.augment(_split(spark, sf, "train"), _weights(spark, sf))
+    return generation.augment(_split(spark, sf, "train"), _weights(spark, sf)).withColumn("is_augmented", F.coalesce("is_augmented", F.lit(False)))
 
 
 def originals(spark, sf):
@@ -577,7 +591,7 @@ def queries() -> dict:
         threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, stratified_intervals, bootstrap_interval, doubly_controlled_intervals,
         signed_rank, significance, gene_signed_rank, folding_energies, folding_summary, guided_sequences, refined_sequences, training_masks, training_batches, rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, species_equality, doubly_controlled, merged_tokens, holdout,
         sampled_order, positional_join, key_join, split_sizes, split_manifest, seed_summary, paired_seeds, running_best, best_epochs, event_windows, protein_clusters,
-        component_split, controlled_split, split_identity, homolog_copies, kmer_copies, augmented, originals, golden_checks, padded_proteins, survey_categories, merged_metrics,
+        component_split, controlled_split, split_identity, homolog_copies, alignment_runs, kmer_copies, augmented, originals, golden_checks, padded_proteins, survey_categories, merged_metrics,
     )}
 
 

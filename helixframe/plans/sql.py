@@ -120,6 +120,12 @@ SQL = {
         FROM (SELECT l.k, l.n, l.c, s.nb AS b, s.held, greatest(1, 8192 // greatest(l.n, 1)) AS size, CASE WHEN s.held > 0 THEN greatest(0, greatest(1, 8192 // greatest(l.n, 1)) - s.held) ELSE greatest(1, 8192 // greatest(l.n, 1)) END AS room FROM steps s JOIN lens l ON l.k = s.k + 1)),
       placed AS (SELECT idx, (length(sequence) // 3)::BIGINT AS n, row_number() OVER (PARTITION BY length(sequence) // 3 ORDER BY idx) - 1 AS i FROM train)
       SELECT CASE WHEN i < room THEN b ELSE b + 1 + (i - room) // size END AS batch, count(*) AS rows, sum(p.n)::BIGINT AS codons, count(*) * max(p.n) AS padded, min(idx) AS first FROM placed p JOIN steps s ON s.n = p.n AND s.k > 0 GROUP BY 1""",
+    "augmented": RECORDS + f""", o AS MATERIALIZED (SELECT aa, codon, sum(weight) OVER (PARTITION BY aa ORDER BY codon) AS cum, sum(weight) OVER (PARTITION BY aa) AS total FROM weights WHERE weight > 0),
+      d AS (SELECT t.idx, v, pos - 1 AS i, codon, {_aa("codon")} AS aa, ('0x' || substr(md5('42:' || t.idx || ':' || v || ':' || (pos - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM cod t, (SELECT unnest([0, 1]) AS v) WHERE t.split = 'train'),
+      drawn AS (SELECT d.idx, d.v, d.i, min(o.codon) FILTER (o.cum > d.u * o.total) AS pick FROM d JOIN o ON o.aa = d.aa GROUP BY ALL),
+      made AS (SELECT d.idx, d.v, string_agg(CASE WHEN d.i = 0 OR d.codon IN ({_IN(STOPS)}) THEN d.codon ELSE coalesce(p.pick, d.codon) END, '' ORDER BY d.i) AS sequence FROM d LEFT JOIN drawn p ON p.idx = d.idx AND p.v = d.v AND p.i = d.i GROUP BY ALL)
+      SELECT idx, id, gene_name, species, sequence, protein || '*' AS protein_sequence, false AS is_augmented, NULL::VARCHAR AS source_id FROM train
+      UNION ALL SELECT (SELECT max(idx) + 1 FROM train) + m.idx * 2 + m.v, t.id || '_v' || m.v, t.gene_name, t.species, m.sequence, t.protein || '*', true, t.id FROM made m JOIN train t ON t.idx = m.idx""",
     "guided_sequences": TRANSITIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, usage AS (SELECT c.codon, c.aa, coalesce(t.n, 0) + 1e-3 AS m FROM code c LEFT JOIN (SELECT codon, count(*) AS n FROM cod WHERE split = 'train' AND codon NOT IN ('TAA', 'TAG', 'AGA', 'AGG') GROUP BY 1) t ON t.codon = c.codon),
       score AS (SELECT '' AS prev, codon, aa, m / sum(m) OVER () AS p FROM usage UNION ALL SELECT a."from", a."to", c.aa, a.p FROM pa a JOIN code c ON c.codon = a."to"),
       choice AS MATERIALIZED (SELECT prev, aa, codon, ln(p / sum(p) OVER (PARTITION BY prev, aa)) AS v, length(regexp_replace(codon, '[AT]', '', 'g')) AS g FROM score),

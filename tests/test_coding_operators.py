@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -341,11 +342,39 @@ def brute_affine(a, b):
     return max(m[len(a), len(b)], x[len(a), len(b)], y[len(a), len(b)])
 
 
+def align_map(query: str, target: str) -> tuple[int, list[int], int]:
+    """(identical residues, target position of each query residue or -1, edit distance) of a global alignment.
+
+    Unit costs; matches and substitutions are preferred over gaps, then gaps in the target.
+    """
+    n, m = len(query), len(target)
+    q, t = np.frombuffer(query.encode("utf-32-le"), np.uint32), np.frombuffer(target.encode("utf-32-le"), np.uint32)
+    d = np.zeros((n + 1, m + 1), dtype=np.int32)
+    d[0] = np.arange(m + 1)
+    ramp = np.arange(m + 1)
+    for i in range(1, n + 1):
+        row = np.empty(m + 1, dtype=np.int32)
+        row[0] = i
+        row[1:] = np.minimum(d[i - 1, :-1] + (t != q[i - 1]), d[i - 1, 1:] + 1)
+        d[i] = np.minimum.accumulate(row - ramp) + ramp
+    i, j, same, places = n, m, 0, [-1] * n
+    while i > 0:
+        if j > 0 and d[i, j] == d[i - 1, j - 1] + (q[i - 1] != t[j - 1]):
+            i, j = i - 1, j - 1
+            places[i] = j
+            same += q[i] == t[j]
+        elif d[i, j] == d[i - 1, j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return int(same), places, int(d[n, m])
+
+
 def test_alignments():
     rng = random.Random(6)
     for _ in range(150):
         a, b = ("".join(rng.choices("ACD", k=rng.randint(0, 9))) for _ in range(2))
-        same, places, d = generation.align_map(a, b)
+        same, places, d = align_map(a, b)
         hit = [(i, j) for i, j in enumerate(places) if j >= 0]
         assert d == distance(a, b) == sum(a[i] != b[j] for i, j in hit) + len(a) + len(b) - 2 * len(hit)
         assert same == sum(a[i] == b[j] for i, j in hit) and [j for _, j in hit] == sorted({j for _, j in hit})
@@ -355,6 +384,28 @@ def test_alignments():
         assert [j for _, j in hit] == sorted({j for _, j in hit})
 
 
+def test_alignments_of_many_pairs_at_once(spark, monkeypatch):
+    monkeypatch.setattr(editing, "KEPT", 1 << 18)  # several blocks
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        a = "".join(rng.choices(ACIDS[:5], k=rng.choice([0, 1, 3, 20, 63, 64, 65, 130])))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3 + 1)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choices(ACIDS[:5], k=rng.randint(0, 2))
+        rows.append((i, a, "".join(b) if i % 5 else "".join(rng.choices(ACIDS[:5], k=rng.randint(0, 90)))))
+    frame = spark.createDataFrame(rows, "i int, q_protein string, t_protein string")
+    got = {r.i: r for r in generation.with_alignment(frame).collect()}
+    text = {r.i: r for r in generation.with_runs(frame).withColumn("line", generation.run_length(F.col("runs"))).collect()}
+    for i, a, b in rows:
+        same, places, d = align_map(a, b)
+        assert (got[i].n_identical, got[i].pos_map, got[i].align_distance) == (same, places, d) and d == distance(a, b)
+        runs = [(int(n), k) for n, k in re.findall(r"(\d+)([=XID])", text[i].line)]
+        assert sum(n for n, k in runs if k != "D") == len(a) and sum(n for n, k in runs if k != "I") == len(b)
+        assert sum(n for n, k in runs if k != "=") == d and all(x[1] != y[1] for x, y in zip(runs, runs[1:]))
+
+
 def test_copies(spark):
     rows = spark.createDataFrame([
         (1, 10, "ND1", "MKW", "ATGAAATGATAG", "MKL", "ATGAAGTTATAA"),  # equal residues are copied, then the gene's, then its own codon; the neighbour's stop
