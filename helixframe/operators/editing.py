@@ -189,26 +189,48 @@ def least_distances(queries: list[str], pool: list[str]) -> np.ndarray:
     return np.maximum(low, -((common_pieces(queries, pool, 2) - longer + 1) // 2))
 
 
+def first_bounds(queries: list[str], pool: list[str], k: int, low: np.ndarray, cost: np.ndarray, relative: bool, valid) -> tuple[np.ndarray, np.ndarray, int]:
+    """(k-th best cost of each query among its few likeliest pairs by lower bound, inf for fewer than k; the last of these pairs; pairs compared)."""
+    few = min(cost.shape[1], 4 * k)
+    columns = np.argpartition(cost, few - 1, axis=1)[:, :few] if few < cost.shape[1] else np.broadcast_to(np.arange(few), (len(cost), few))
+    i, j = np.repeat(np.arange(len(queries)), few), columns.ravel()
+    d = pair_distances(queries, pool, i, j, np.full(len(i), 1 << 40))
+    size = np.maximum(np.maximum([len(queries[x]) for x in i], [len(pool[x]) for x in j]), 1)
+    found = np.where(valid(d, i, j), d / size if relative else d, np.inf).reshape(columns.shape)
+    if few < k:
+        return np.full(len(queries), np.inf), columns[:, 0], len(i)
+    at = np.argpartition(found, k - 1, axis=1)[:, k - 1]
+    rows = np.arange(len(queries))
+    return found[rows, at], columns[rows, at], len(i)
+
+
 def nearest(queries: list[str], pool: list[str], k: int, start: np.ndarray, relative: bool, valid) -> tuple[np.ndarray, int]:
     """(distances, pairs compared): all pairs that can be among the k best of their query; the others have -1.
 
     Best is least distance, or least distance over the longer length if
     relative; only pairs for which valid(distances, rows, columns) holds count.
-    start is what the k-th best of each query is known not to exceed. Pairs are
-    compared in the order of their lower bounds, more at a time as it goes on,
-    until no bound is as low as the k-th best found.
+    start is what the k-th best of each query is known not to exceed, inf if
+    nothing is. The likeliest pairs are compared first. If these leave most
+    pairs open, all are compared at once; else the others follow in the order of
+    their lower bounds, more at a time as it goes on, until no bound is as low
+    as the k-th best found.
     """
     shape = (len(queries), len(pool))
+    if shape[1] <= 4 * k:
+        return distances(queries, pool), shape[0] * shape[1]
     out = np.full(shape, -1, dtype=np.int64)
     low = least_distances(queries, pool)
     size = np.maximum(np.maximum(np.array([len(x) for x in queries])[:, None], np.array([len(x) for x in pool])[None, :]), 1)
     cost = low / size if relative else low.astype(float)
-    kth = np.minimum(start.astype(float), np.inf)
-    if (cost <= kth[:, None]).mean() > DENSE and shape[1] > 4 * k and _hopeless(queries, pool, k, low, cost, relative, valid):
+    kth, compared = start.astype(float), 0
+    if np.isinf(kth).any():
+        bound, _, compared = first_bounds(queries, pool, k, low, cost, relative, valid)
+        kth = np.minimum(kth, bound)
+    if (cost <= kth[:, None]).mean() > DENSE:
         return distances(queries, pool), out.size
     order = np.argsort(cost, axis=1, kind="stable")
     found = np.full(shape, np.inf)
-    at, width, compared = 0, max(8, 2 * k), 0
+    at, width = 0, 4 * k
     while at < shape[1]:
         columns = order[:, at : at + width]
         wanted = np.take_along_axis(cost, columns, 1) <= kth[:, None]
@@ -216,8 +238,7 @@ def nearest(queries: list[str], pool: list[str], k: int, start: np.ndarray, rela
             break
         i = np.nonzero(wanted)[0]
         j = columns[wanted]
-        bound = np.minimum(np.floor(np.where(np.isinf(kth[i]), 0, kth[i]) * (size[i, j] if relative else 1) + 1e-9), 1 << 40).astype(np.int64)
-        bound = np.where(np.isinf(kth[i]), 1 << 40, bound)
+        bound = np.where(np.isinf(kth[i]), float(1 << 40), kth[i] * (size[i, j] if relative else 1) + 1e-9).astype(np.int64)
         d = pair_distances(queries, pool, i, j, bound)
         compared += len(i)
         good = d <= bound
@@ -225,24 +246,12 @@ def nearest(queries: list[str], pool: list[str], k: int, start: np.ndarray, rela
         out[i, j] = d
         ok = valid(d, i, j)
         found[i[ok], j[ok]] = d[ok] / size[i[ok], j[ok]] if relative else d[ok]
-        if shape[1] >= k:
-            kth = np.minimum(kth, np.partition(found, k - 1, axis=1)[:, k - 1])
+        kth = np.minimum(kth, np.partition(found, k - 1, axis=1)[:, k - 1])
         at += width
         width *= 2
     return out, compared
 
 
-def _hopeless(queries: list[str], pool: list[str], k: int, low: np.ndarray, cost: np.ndarray, relative: bool, valid) -> bool:
-    """Whether the bounds leave most pairs even once the k best by bound of some queries are known: then all are compared at once, which is cheaper a pair."""
-    some = np.linspace(0, len(queries) - 1, min(len(queries), 8)).astype(int)
-    first = np.argsort(cost[some], axis=1, kind="stable")[:, : 4 * k]
-    i, j = np.repeat(some, first.shape[1]), first.ravel()
-    d = pair_distances(queries, pool, i, j, np.full(len(i), 1 << 40))
-    best = np.where(valid(d, i, j), d / np.maximum(np.maximum([len(queries[a]) for a in i], [len(pool[b]) for b in j]), 1) if relative else d, np.inf).reshape(first.shape)
-    kth = np.partition(best, k - 1, axis=1)[:, k - 1]
-    return bool((cost[some] <= kth[:, None]).mean() > DENSE)
-
-
 #: Kinds of runs of an alignment: pairs that are equal and that differ, residues of the query alone and of the target alone.
 EQUAL, OTHER, QUERY, TARGET = "=", "X", "I", "D"
 #: Bytes of kept columns up to which pairs are aligned together.

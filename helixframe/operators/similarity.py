@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.functions import codons as C
-from helixframe.operators.editing import DENSE, common_pieces, distances, least_distances, nearest, pair_distances
+from helixframe.operators.editing import DENSE, common_pieces, distances, first_bounds, least_distances, nearest, pair_distances
 from helixframe.session import materialize
 
 #: Different proteins of a gene and band, on average, that a cell has from the pool and from the queries.
@@ -43,7 +43,7 @@ def _proteins(df: DataFrame, *more: Column | str) -> DataFrame:
 
 
 #: Lengths of a band differ by less than this factor.
-BAND = 1.1
+BAND = 1.2
 
 
 def _band(length: Column) -> Column:
@@ -136,10 +136,13 @@ def _best(queries: DataFrame, pool: DataFrame, k: int, relative: bool, accepted:
         return out, cost, order, count
 
     def seed(left: pa.Table, right: pa.Table):
-        out, cost, order, count = block(left, right, k, np.full(len(left), np.inf))
-        last = order[:, -1]
-        i = np.flatnonzero(np.isfinite(cost[np.arange(len(left)), last])) if len(right) >= k else np.zeros(0, int)
-        return i, last[i], out[i, last[i]], count
+        a, b = left["q_protein"].to_pylist(), right["t_protein"].to_pylist()
+        n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        low = least_distances(a, b)
+        size = np.maximum(np.maximum(n[:, None], m[None, :]), 1)
+        bound, j, count = first_bounds(a, b, k, low, low / size if relative else low, relative, lambda d, i, j: accepted(d, n[i], m[j]))
+        i = np.flatnonzero(np.isfinite(bound))
+        return i, j[i], np.rint(bound[i] * (size[i, j[i]] if relative else 1)).astype(np.int64), count
 
     def pick(left: pa.Table, right: pa.Table):
         start = left["bound"].to_numpy()

@@ -283,6 +283,12 @@ def bootstrap_interval(spark, sf):
     return out.select("method", _r("mean").alias("mean"), "n", "clusters", _r("lo").alias("lo"), _r("hi").alias("hi"), "significant")
 
 
+def record_intervals(spark, sf):
+    """Mean differences and their intervals with records drawn, of which there are too many for a row a draw."""
+    out = statistics.split_bootstrap(_differences(spark, sf), "idx", "d", ["method"])
+    return out.select("method", _r("mean").alias("mean"), "n", "clusters", _r("lo").alias("lo"), _r("hi").alias("hi"), "significant")
+
+
 def signed_rank(spark, sf):
     out = statistics.signed_rank(_differences(spark, sf), ["method"])
     return out.select("method", "n", _r("statistic", 6).alias("statistic"), _r("effect").alias("effect"), _r("z").alias("z"))
@@ -588,7 +594,7 @@ def queries() -> dict:
         records, sequence_measures, codon_usage, codon_counts, rscu_weights, gene_tables, standard_remap, lookup_tables, constraint_table, organism_tables, conditions,
         protein_inputs, code_exactness, adaptation_index, transition_counts, transition_probabilities, transition_divergence, transition_chi2, transition_test, generated,
         sequence_scores, method_summary, best_methods, report_lines, novel_sequences, top_neighbours, capped_neighbours, without_neighbours, max_identity, nearest_identity,
-        threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, stratified_intervals, bootstrap_interval, doubly_controlled_intervals,
+        threshold_pairs, kmer_candidates, identity_spread, identity_histogram, stratified_scores, stratified_intervals, bootstrap_interval, record_intervals, doubly_controlled_intervals,
         signed_rank, significance, gene_signed_rank, folding_energies, folding_summary, guided_sequences, refined_sequences, training_masks, training_batches, rank_correlation, gene_rollup, gene_skew, skew_pivot, species_overlap, species_equality, doubly_controlled, merged_tokens, holdout,
         sampled_order, positional_join, key_join, split_sizes, split_manifest, seed_summary, paired_seeds, running_best, best_epochs, event_windows, protein_clusters,
         component_split, controlled_split, split_identity, homolog_copies, alignment_runs, kmer_copies, augmented, originals, golden_checks, padded_proteins, survey_categories, merged_metrics,
