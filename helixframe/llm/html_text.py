@@ -332,37 +332,56 @@ def _span(value: str, most: int) -> int:
     return max(1, min(int(value), most)) if value.isascii() and value.isdigit() and len(value) < 10 else 1
 
 
-def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, str]]]:
-    """Cells (text, columns, rows) as (column, text), to the right of those that cells above cover.
+class _Covered:
+    """The row at which each column is free again, as a tree of halves: a span and a search take steps in proportion to its depth."""
+
+    def __init__(self, columns: int):
+        self.size = 1 << columns.bit_length()
+        #: What covers a node whole, and the least row at which a column below it is free.
+        self.whole: dict[int, int] = {}
+        self.least: dict[int, int] = {}
+
+    def cover(self, first: int, last: int, end: int) -> None:
+        """Columns from first to before last, up to before row end."""
+        lo, hi = first + self.size, last + self.size
+        while lo < hi:
+            for node, taken in ((lo, lo & 1), (hi - 1, hi & 1)):
+                if taken:
+                    self.whole[node] = max(self.whole.get(node, 0), end)
+                    self.least[node] = max(self.least.get(node, 0), end)
+            lo, hi = (lo + 1) >> 1, hi >> 1
+        for node in (first + self.size, last - 1 + self.size):
+            while node := node >> 1:
+                self.least[node] = max(self.whole.get(node, 0), min(self.least.get(2 * node, 0), self.least.get(2 * node + 1, 0)))
+
+    def free(self, column: int, row: int) -> int:
+        """The first column from this one on that nothing covers in the row."""
+        todo = [(1, 0, self.size)]
+        while True:
+            node, lo, width = todo.pop()
+            if lo + width <= column or self.least.get(node, 0) > row:
+                continue
+            if width == 1:
+                return lo
+            half = width // 2
+            todo += [(2 * node + 1, lo + half, half), (2 * node, lo, half)]
 
-    Spans are kept as intervals with the row at which they end, neighbours with
-    one end as one. Where these are so many that looking at them in each row
-    would take more than in proportion, all cells stand as if without spans.
-    """
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, str]]]:
+    """Cells (text, columns, rows) as (column, text), to the right of those that cells above cover."""
     out: list[list[tuple[int, str]]] = []
-    covered: list[tuple[int, int, int]] = []
-    steps, most = 0, SPARSE * sum(map(len, rows)) + 1000
+    covered = None
     for r, row in enumerate(rows):
-        covered = [c for c in covered if c[2] > r]
-        steps += len(covered)
-        if steps > most:
-            return [[(k, text) for k, (text, _, _) in enumerate(line)] for line in rows]
-        line, fresh, column, i = [], [], 0, 0
+        line, column = [], 0
         for text, columns, deep in row:
-            while i < len(covered) and covered[i][0] <= column:
-                column = max(column, covered[i][1])
-                i += 1
+            if covered:
+                column = covered.free(column, r)
             line.append((column, text))
             if deep > 1:
-                fresh.append((column, column + columns, r + deep))
+                # No cell is farther to the right than all cells are wide together.
+                covered = covered or _Covered(sum(c for some in rows for _, c, _ in some))
+                covered.cover(column, column + columns, r + deep)
             column += columns
-        if fresh:
-            merged: list[tuple[int, int, int]] = []
-            for c in sorted(covered + fresh):
-                if merged and merged[-1][1] == c[0] and merged[-1][2] == c[2]:
-                    c = (merged.pop()[0], c[1], c[2])
-                merged.append(c)
-            covered = merged
         out.append(line)
     return out
 

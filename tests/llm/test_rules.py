@@ -126,3 +126,16 @@ def test_first_split_is_the_best_of_all():
     best = max(gain(x[:, f] <= c) for f in range(3) for c in np.unique(x[:, f])[:-1])
     k = tree.roots[0]
     assert gain(x[:, tree.feature[k]] <= tree.threshold[k]) == pytest.approx(best)
+
+
+def test_many_spans_stand_as_few_do():
+    """Ends that differ from column to column, in so many rows that a look at each of them in each row would be out of proportion."""
+    for n in (20, 3000):
+        rows = [[("a", 1, 65000 - k) for k in range(n)]] + [[("b", 1, 1)]] * n
+        assert html_text._grid(rows) == [[(k, "a") for k in range(n)]] + [[(n, "b")]] * n
+    comb = [[("a", 1 + k % 3, 1 + (k % 2) * 100) for k in range(2000)]] + [[("b", 1, 1)] * 5] * 50
+    column, free = 0, []
+    for _, columns, deep in comb[0]:
+        free += range(column, column + columns) if deep == 1 else []
+        column += columns
+    assert [c for c, _ in html_text._grid(comb)[50]] == free[:5]
