@@ -50,3 +50,21 @@ def test_a_long_text_takes_time_in_proportion(spark, tmp_path):
 def test_transitions_of_overlapping_and_unknown_codons(spark):
     df = spark.createDataFrame([("ACGACGACGAA",), ("acgNNNacg",), ("ACG",), ("",), (None,)], "sequence string")
     assert [tuple(x) for x in usage.transition_counts(df).collect()] == [("ACG", "ACG", 2)]
+
+
+def test_letters_beside_each_other(spark, tmp_path):
+    texts = ["Abİ", "Kab", "kıſΩÅ abc", "日本aKb\U0001f600C", "K" * 200 + "İ" * 150, "Ééİ"]
+    write(tmp_path, texts)
+    out = derived_records(spark, str(tmp_path))
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.select("idx", "gene_name", "sequence", "protein_sequence").collect()
+    assert sorted(map(tuple, got)) == [x for k, t in enumerate(texts) for x in expected(k, t)]
+
+
+def test_codons_are_counted_before_they_are_shuffled(spark):
+    rows = [("x", "ACGACGTTTAC"), ("x", "acgacg"), ("y", "NNNACGé\nb"), (None, "ACG"), ("y", ""), ("y", None), ("x", "ß")]
+    df = spark.createDataFrame(rows, "gene_name string, sequence string")
+    got = sorted(map(tuple, usage.gene_counts(df).collect()), key=str)
+    assert got == sorted([("x", "ACG", 4), ("x", "TTT", 1), ("y", "NNN", 1), ("y", "ACG", 1), ("y", "É\nB", 1), (None, "ACG", 1)], key=str)
+    assert "Generate" not in usage.gene_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, usage.transition_counts(df).collect())) == [("ACG", "ACG", 2), ("ACG", "TTT", 1)]
