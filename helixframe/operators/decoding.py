@@ -67,6 +67,25 @@ def _log_softmax(scores: np.ndarray, allowed: np.ndarray) -> np.ndarray:
         return masked - top - np.log(np.exp(masked - top).sum(axis=1, keepdims=True))
 
 
+#: The codons of each residue in alphabetical order, by letter's code, filled up with 64; row 128 has the stops.
+_MOST = int(max(_ALLOWED.sum(axis=1).max(), _STOP.sum()))
+_CHOICES = np.full((129, _MOST), UNKNOWN)
+for _a in range(129):
+    _k = np.flatnonzero(_ALLOWED[_a] if _a < 128 else _STOP)
+    _CHOICES[_a, : len(_k)] = _k
+#: Letters that have codons, the stop after them and one for all others, in order; and the place of each letter there.
+_RESIDUES = np.array([*np.flatnonzero(_ALLOWED.any(axis=1)), 128, 0])
+_PLACE = np.full(129, len(_RESIDUES) - 1)
+_PLACE[_RESIDUES[:-1]] = np.arange(len(_RESIDUES) - 1)
+
+
+def _values(table: np.ndarray, residue: int) -> np.ndarray:
+    """Log probabilities of a residue's codons for each row of a table of log scores; those that are filled up have none."""
+    allowed = np.broadcast_to(_STOP if residue == 128 else _ALLOWED[residue], table.shape)
+    value = np.where(allowed, _log_softmax(table, allowed), -np.inf)
+    return np.hstack([value, np.full((len(value), 1), -np.inf)])[:, _CHOICES[residue]]
+
+
 def decode(proteins: list[str], ids: np.ndarray, scorer: Scorer, strategy: str = "greedy", temperature: float = 1.0, seed: int = 0, target_gc: float = 0.44, beta: float = 0.0) -> list[str]:
     """A sequence for each protein; of equal scores the first codon in alphabetical order wins.
 
@@ -76,12 +95,26 @@ def decode(proteins: list[str], ids: np.ndarray, scorer: Scorer, strategy: str =
         raise ValueError(f"unknown strategy {strategy}")
     code, lengths = letters(proteins)
     rows = np.arange(len(proteins))
+    values = getattr(scorer, "values", None) if strategy == "greedy" else None
     before, gc = np.full(len(proteins), -1), np.zeros(len(proteins), dtype=np.int64)
     written = np.full((len(proteins), code.shape[1] + 1), UNKNOWN)
     for position in range(code.shape[1] + 1):
         live = rows[lengths >= position]
         ends = lengths[live] == position
         here = code[live, np.minimum(position, code.shape[1] - 1)] if code.shape[1] else np.zeros(len(live), np.int64)
+        if values is not None:
+            # A score by the codon before alone: the residue's few codons are looked up.
+            residue = np.where(ends, 128, here)
+            value = values[_PLACE[residue], before[live]]
+            if beta:
+                choice = _CHOICES[residue]
+                running = (gc[live, None] + _GC[choice]) / (3.0 * (position + 1))
+                value = value - beta * (running - target_gc) ** 2
+            pick = _CHOICES[residue, np.argmax(value, axis=1)]
+            written[live, position] = pick
+            gc[live] += _GC[pick]
+            before[live] = pick
+            continue
         allowed = np.where(ends[:, None], _STOP[None, :], _ALLOWED[here])
         scores = np.asarray(scorer(code[live], position, before[live]), dtype=float)
         if strategy == "sample":
@@ -106,7 +139,12 @@ def markov(transitions: np.ndarray, first: np.ndarray) -> Scorer:
     """A scorer by the codon before: a 64 x 64 table of probabilities, and those at the beginning and behind unknown residues."""
     with np.errstate(divide="ignore"):
         table = np.log(np.vstack([transitions, first, first]))  # rows 64 and -1
-    return lambda _, __, before: table[before]
+
+    def score(_, __, before: np.ndarray) -> np.ndarray:
+        return table[before]
+
+    score.values = np.stack([_values(table, a) for a in _RESIDUES])
+    return score
 
 
 def tables(transitions: DataFrame, counts: DataFrame, smoothing: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -154,14 +192,18 @@ def mask_predict(proteins: list[str], scorer: PlaceScorer, rounds: int = 10, tra
     count = maskable.sum(axis=1)
     codons = np.where(maskable, MASK, UNKNOWN)
     certain = np.ones(code.shape)
+    best = getattr(scorer, "best", None)
     for t in range(rounds):
-        shape = (-1, 64)
-        value = _log_softmax(np.asarray(scorer(code, codons), dtype=float).reshape(shape), allowed.reshape(shape)).reshape(allowed.shape)
-        value = np.where(allowed, value, -np.inf)
-        open_ = codons == MASK
-        codons = np.where(open_, value.argmax(axis=2), codons)
-        certain = np.where(open_, np.exp(value.max(axis=2, initial=-np.inf)), certain)
         n = count * (rounds - 1 - t) // rounds
+        if best is not None:
+            # A score by the neighbours alone: open places look up their codon and its probability.
+            at = np.nonzero(codons == MASK)
+            around = np.pad(codons, ((0, 0), (1, 1)), constant_values=UNKNOWN)
+            found = (_PLACE[code[at]], around[at[0], at[1]], around[at[0], at[1] + 2])
+            codons, certain = codons.copy(), certain.copy()
+            codons[at], certain[at] = best[0][found], best[1][found]
+        else:
+            codons, certain = _predicted(scorer, code, codons, certain, allowed)
         if t == rounds - 1 or not n.any():
             break
         masked = least_certain(certain, maskable, n)
@@ -171,6 +213,15 @@ def mask_predict(proteins: list[str], scorer: PlaceScorer, rounds: int = 10, tra
     return ["".join(CODONS[k] for k in c[:n] if k < 64) for c, n in zip(codons, lengths)]
 
 
+def _predicted(scorer: PlaceScorer, code: np.ndarray, codons: np.ndarray, certain: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest codons of all masked places and their probabilities; what is not masked stays."""
+    shape = (-1, 64)
+    value = _log_softmax(np.asarray(scorer(code, codons), dtype=float).reshape(shape), allowed.reshape(shape)).reshape(allowed.shape)
+    value = np.where(allowed, value, -np.inf)
+    open_ = codons == MASK
+    return np.where(open_, value.argmax(axis=2), codons), np.where(open_, np.exp(value.max(axis=2, initial=-np.inf)), certain)
+
+
 def neighbours(transitions: np.ndarray, first: np.ndarray) -> PlaceScorer:
     """A scorer of places by both neighbouring codons, so far as they are known."""
     with np.errstate(divide="ignore"):
@@ -183,6 +234,14 @@ def neighbours(transitions: np.ndarray, first: np.ndarray) -> PlaceScorer:
         after = np.concatenate([codons[:, 1:], np.full((len(codons), 1), UNKNOWN)], axis=1)
         return start + left[before] + right[after]
 
+    # By residue, codon before and codon after, 65 where masked: the likeliest codon and its probability.
+    codon, share = (np.zeros((len(_RESIDUES), MASK + 1, MASK + 1), kind) for kind in (np.int64, float))
+    around = (start + left[:, None] + right[None, :]).reshape(-1, 64)
+    for place, residue in enumerate(_RESIDUES[:-2]):
+        value = _values(around, residue)
+        codon[place] = _CHOICES[residue][value.argmax(axis=1)].reshape(codon[place].shape)
+        share[place] = np.exp(value.max(axis=1)).reshape(share[place].shape)
+    score.best = codon, share
     return score
 
 

@@ -139,3 +139,17 @@ def test_batches_are_those_of_a_walk(spark, budget):
     got = {r.idx: r.batch for r in batching.padded_batches(frame, "n", budget, ["idx"]).collect()}
     assert got == want
     assert all(len(v) * max(v) <= budget or len(v) == 1 for v in cost.values())
+
+
+def test_scores_by_neighbours_are_looked_up():
+    rng = np.random.default_rng(3)
+    p, first = rng.random((64, 64)) ** 4 + 1e-6, rng.random(64)
+    proteins = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWYX*"), k)) for k in (0, 1, 40, 77, 12)]
+    ids = np.arange(5)
+    chain, around = decoding.markov(p, first), decoding.neighbours(p, first)
+    # The same scorers without their tables.
+    slow = {f: (lambda *a, f=f: f(*a)) for f in (chain, around)}
+    assert hasattr(chain, "values") and hasattr(around, "best")
+    for choice in ({}, {"beta": 200.0, "target_gc": 0.4}):
+        assert decoding.decode(proteins, ids, chain, **choice) == decoding.decode(proteins, ids, slow[chain], **choice)
+    assert decoding.mask_predict(proteins, around) == decoding.mask_predict(proteins, slow[around])
