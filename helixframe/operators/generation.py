@@ -51,16 +51,17 @@ def random_synonymous(records: DataFrame, spark: SparkSession, seed: int = 0, ou
     return joined.withColumn(out, F.concat(F.array_join(F.transform(residues, choose), ""), stop)).drop("__t")
 
 
-def generate_all(test: DataFrame, train: DataFrame, spark: SparkSession) -> DataFrame:
-    """(idx, method, generated): the four baselines and the natural sequence."""
+def generate_all(test: DataFrame, train: DataFrame, spark: SparkSession, keep: tuple[str, ...] = ("idx",), methods: tuple[str, ...] = (*METHODS, "natural_reference")) -> DataFrame:
+    """(keep..., method, generated): the four baselines and the natural sequence, or some of them."""
     # One pass over the training records for all three tables: a count for each gene and codon.
     seen = materialize(usage.gene_counts(train), "counts")
     high = seen.where(F.col("gene_name").isin(*C.HIGH_EXPRESSION))
     table = lambda rows, code=2: usage.complete(usage.top_codon(usage.sense_counts(usage.pooled(rows), code)), spark)
     lookups = {"mt_cai_lookup": table(high), "most_frequent_codon": table(seen), "codontransformer_remap": usage.off_ata(table(seen, 1))}
-    frames = [by_lookup(test, t).select("idx", F.lit(name).alias("method"), "generated") for name, t in lookups.items()]
-    frames.append(random_synonymous(test, spark).select("idx", F.lit("random_synonymous").alias("method"), "generated"))
-    frames.append(test.select("idx", F.lit("natural_reference").alias("method"), F.col("sequence").alias("generated")))
+    made = {name: by_lookup(test, t) for name, t in lookups.items()}
+    made["random_synonymous"] = random_synonymous(test, spark)
+    made["natural_reference"] = test.withColumn("generated", F.col("sequence"))
+    frames = [rows.select(*keep, F.lit(name).alias("method"), "generated") for name, rows in made.items() if name in methods]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
