@@ -182,7 +182,7 @@ def with_cai(records: DataFrame, weights: DataFrame, seq: str = "sequence", out:
         odd, owner, number = _runs(texts, 1, without=3)
         value = logs[number]
         some = ~np.isnan(value)
-        total, n = np.bincount(owner[some], value[some], len(texts)), np.bincount(owner[some], minlength=len(texts))
+        total, n = (np.bincount(owner[some], w[some], len(texts)).astype(float) for w in (value, np.ones(len(value))))
         for r in np.flatnonzero(odd).tolist():
             text = texts[r].as_py().upper()
             found = [table[c] for i in range(0, len(text) - 5, 3) if (c := text[i : i + 3]) in table]
