@@ -139,3 +139,10 @@ def test_many_spans_stand_as_few_do():
         free += range(column, column + columns) if deep == 1 else []
         column += columns
     assert [c for c, _ in html_text._grid(comb)[50]] == free[:5]
+
+
+def test_cuts_by_splitting_are_those_of_the_pattern():
+    from helixframe.llm import sentencepiece_codec as codec
+
+    for text in ("", "▁", "▁a", "▁a▁b", "a▁b", "▁a▁▁b", "▁▁a", "▁a▁", "▁a\n▁b c", "▁é▁日本"):
+        assert codec._cuts(text) == codec.CUT.findall(text)
