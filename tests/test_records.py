@@ -84,3 +84,34 @@ def test_skew_needs_no_join_of_sequences(spark, sf):
 
     plan = catalog.skew_pivot(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (idx" not in plan and "codontransformer_remap" not in plan
+
+
+def test_tasks_grow_with_few_files(spark, tmp_path, monkeypatch):
+    from helixframe import session
+
+    write(tmp_path, ["abc def " * 40 + str(k) for k in range(500)])
+    monkeypatch.setattr(session, "DEALT", (tmp_path / "documents.parquet").stat().st_size // 20)
+    rows = derived_records(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 20
+    assert rows.count() == 500
+
+
+def test_only_what_is_asked_for_is_made(spark, tmp_path):
+    texts = [None, "", "ab", "zqx" * 250 + "a", "ÄbcßK dé" * 90, *(f"some text {k}" * 50 for k in "abcdefghijklmnopq")]
+    write(tmp_path, texts)
+    whole = derived_records(spark, str(tmp_path))
+    for columns in (("idx", "species"), ("gene_name", "split"), ("split",), ("species",), ("protein_sequence",), ("sequence", "id")):
+        for split in (None, "train", "val", "test"):
+            want = (whole.where(F.col("split") == split) if split else whole).select(*columns)
+            got = derived_records(spark, str(tmp_path), columns, split)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "protein_sequence" not in derived_records(spark, str(tmp_path), ("gene_name", "split"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_pass_writes_no_records(spark, sf):
+    from helixframe.plans import catalog
+
+    catalog.forget(spark)
+    for query in (catalog.split_manifest, catalog.transition_counts, catalog.lookup_tables, catalog.holdout, catalog.generated):
+        query(spark, sf).count()
+    assert spark.sparkContext.applicationId not in catalog._stores
