@@ -19,9 +19,9 @@ from helixframe.session import discard, materialize
 ORACLE_SQL = None
 
 
-def _wrapped(docs: DataFrame) -> DataFrame:
+def _wrapped(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and text, with all columns in one: no operator's column can clash with theirs."""
-    columns = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    columns = ["`" + c.replace("`", "``") + "`" for c in docs.columns if c not in without]
     return docs.select("doc_id", "text", F.struct(*columns).alias("row"))
 
 
@@ -42,9 +42,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words stay as they are. Of rows with one id none is earlier;
     rows without an id come after all others, and none of them before another.
     """
-    out = substring_dedup.remove_repeats(_wrapped(docs)).where("n_words = 0 or n_removed < n_words")
+    # What is kept of a text that nothing is cut from is the text, so that it need not travel twice.
+    out = substring_dedup.remove_repeats(_wrapped(docs, ("text",))).where("n_words = 0 or n_removed < n_words")
     cut = F.col("n_removed") > 0
-    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("row.text"))}
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(cut, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

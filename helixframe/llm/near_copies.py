@@ -51,8 +51,8 @@ SAMPLE, COMMON, MOST = 16, 8, 20_000
 #: Buckets whose parities are kept of each set: so many at least, and in a second row LOAD for each shingle.
 BUCKETS = 1024
 LOAD = 4
-#: Sets under one shingle compared with one another at once.
-BLOCK = 2048
+#: Sets under one shingle compared with one another at once; where there are more than LARGE, their parities go with them.
+BLOCK, LARGE = 2048, 64
 
 
 def _shingles(texts) -> Iterator[np.ndarray]:
@@ -134,14 +134,50 @@ def _possible(na, nb, i, j):
     return (NUM + DEN) * shared >= NUM * (na + nb)
 
 
+def _by_group(made):
+    """made(rows of whole groups) of rows that come sorted by hash; a group that the batches cut is carried on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("hash").to_numpy()
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if cut:
+                yield from made(pa.Table.from_batches([*rest, b.slice(0, cut)]).combine_chunks())
+                rest = [b.slice(cut)]
+            elif rest and rest[-1].column("hash")[-1].as_py() != key[0]:
+                yield from made(pa.Table.from_batches(rest).combine_chunks())
+                rest = [b]
+            else:
+                rest.append(b)
+        if rest:
+            yield from made(pa.Table.from_batches(rest).combine_chunks())
+
+    return run
+
+
+def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each group of equal keys begins, how many rows it has)."""
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    return begin, np.diff(np.concatenate([begin, [len(key)]]))
+
+
+def _meeting(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows that are not alone under their shingle, and whether there are more than LARGE."""
+    _, sizes = _sizes(t["hash"].to_numpy())
+    size = np.repeat(sizes, sizes)
+    if (size > 1).any():
+        yield from t.append_column("large", pa.array(size > LARGE)).filter(pa.array(size > 1)).to_batches()
+
+
 def _candidates(stars: bool):
     def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, sig, n, at, comp = (t[c].to_numpy() for c in ("hash", "sig", "n", "at", "component"))
         order = np.lexsort((sig, key))
         key, sig, n, at, comp = key[order], sig[order], n[order].astype(np.int64), at[order].astype(np.int64), comp[order]
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        begin = np.concatenate([[0], cuts])
-        sizes = np.diff(np.concatenate([begin, [len(key)]]))
+        begin, sizes = _sizes(key)
 
         def chosen(x, y):
             keep = (comp[x] != comp[y]) & _possible(n[x], n[y], at[x], at[y])
@@ -150,56 +186,49 @@ def _candidates(stars: bool):
         if stars:
             yield chosen(np.repeat(begin, sizes), np.arange(len(key)))
             return
-        # Small groups at once: each row with the d-th after it, for d = 1, 2, ...
-        small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 32), sizes))
-        d = 1
-        while d < len(small):
-            x, y = small[:-d], small[d:]
-            same = key[x] == key[y]
-            if not same.any():
-                break
-            yield chosen(x[same], y[same])
-            d += 1
-        for k in np.flatnonzero(sizes > 32).tolist():
+        if "parity" not in t.column_names:
+            # Small groups at once: each row with the d-th after it, for d = 1, 2, ...
+            for d in range(1, int(sizes.max())):
+                x = np.flatnonzero(key[:-d] == key[d:])
+                yield chosen(x, x + d)
+            return
+        odd = np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(len(key), -1)[order]
+        for k in range(len(begin)):
             lo, hi = int(begin[k]), int(begin[k] + sizes[k])
+            if (comp[lo:hi] == comp[lo]).all():
+                continue
             for a in range(lo, hi, BLOCK):
                 for b in range(a, hi, BLOCK):
                     x, y = np.arange(a, min(a + BLOCK, hi)), np.arange(b, min(b + BLOCK, hi))
-                    i, j = np.nonzero((comp[x][:, None] != comp[y][None, :]) & _possible(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :]))
-                    keep = x[i] < y[j]
-                    yield sig[x[i[keep]]], sig[y[j[keep]]]
+                    i, j = np.nonzero((comp[x][:, None] != comp[y][None, :]) & _possible(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :]) & (x[:, None] < y[None, :]))
+                    for c in range(0, len(i), 1 << 15):
+                        u, v = x[i[c : c + (1 << 15)]], y[j[c : c + (1 << 15)]]
+                        keep = (NUM + DEN) * np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * (n[u] + n[v])
+                        yield sig[u[keep]], sig[v[keep]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by shingle; a group that the batches cut is carried on.
-        rest: list[pa.RecordBatch] = []
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for u, v in pairs(t):
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            for u, v in pairs(t):
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    return _by_group(out)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column("hash").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], side="left"))
-            if cut:
-                yield from out(pa.Table.from_batches([*rest, b.slice(0, cut)]).combine_chunks())
-                rest = [b.slice(cut)]
-            elif rest and rest[-1].column("hash")[-1].as_py() != key[0]:
-                yield from out(pa.Table.from_batches(rest).combine_chunks())
-                rest = [b]
-            else:
-                rest.append(b)
-        if rest:
-            yield from out(pa.Table.from_batches(rest).combine_chunks())
 
-    return run
+def _places(nodes: DataFrame) -> DataFrame:
+    """(sig, n, at, hash, large) of the first shingles that two sets or more have among theirs."""
+    places = nodes.select("sig", "n", F.posexplode("head").alias("at", "hash"))
+    schema = "sig long, n int, at int, hash long, large boolean"
+    return materialize(places.repartition("hash").sortWithinPartitions("hash").mapInArrow(_by_group(_meeting), schema), "near")
 
 
-def _pairs(nodes: DataFrame, stars: bool) -> DataFrame:
-    places = nodes.select("sig", "n", "component", F.posexplode("head").alias("at", "hash"))
-    return places.repartition("hash").sortWithinPartitions("hash").mapInArrow(_candidates(stars), "u long, v long").distinct()
+def _pairs(places: DataFrame, named: DataFrame, nodes: DataFrame, stars: bool) -> DataFrame:
+    """Pairs of sets under one shingle. Of many under one, only those whose parities let them be alike are made."""
+    rows = places.join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    met = lambda r: r.repartition("hash").sortWithinPartitions("hash").mapInArrow(_candidates(stars), "u long, v long")
+    if stars:
+        return met(rows.drop("large")).distinct()
+    many = rows.where("large").drop("large").join(nodes.select("sig", "parity"), "sig")
+    return met(rows.where("not large").drop("large")).unionByName(met(many)).distinct()
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +305,11 @@ def components(docs: DataFrame) -> DataFrame:
     signed = materialize(full.select("file", "at", "sig"), "near")
     discard(full)
     found = _verified(_close_prints(nodes), docs, nodes)
+    places = _places(nodes)
     for stars in (True, False):
         named = connected_components(found).withColumnRenamed("node", "sig")
-        open_ = nodes.select("sig", "n", "head").join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        found = found.unionByName(_verified(_pairs(open_, stars), docs, nodes))
-    discard(nodes)
+        found = found.unionByName(_verified(_pairs(places, named, nodes, stars), docs, nodes))
+    discard(nodes, places)
     named = connected_components(found).withColumnRenamed("node", "sig")
     return signed.join(named, "sig", "left").select("file", "at", F.coalesce("component", "sig").alias("component"))
 

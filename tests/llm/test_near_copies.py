@@ -97,3 +97,24 @@ def test_rows_are_decided_one_by_one(spark):
 
 def test_no_rows(spark):
     assert kept(spark, []) == []
+
+
+def test_many_under_one_shingle_go_with_their_parities(spark, monkeypatch):
+    rows = made(lambda i: i)
+    for large, block in ((1, 16), (10, 2048)):
+        monkeypatch.setattr(near_copies, "LARGE", large)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        assert sorted((False, r.doc_id) for r in kept(spark, rows)) == sorted(survivors(rows))
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    rng, base, rows, counted = random.Random(5), [f"w{i}" for i in range(200)], [], []
+    for k in range(150):
+        text = list(base)
+        for at in rng.sample(range(10, 190, 6), 5):
+            text[at] = f"new{k}at{at}"
+        rows.append((k, " ".join(text), None, "s", 0))
+    before = near_copies._bounded
+    monkeypatch.setattr(near_copies, "_bounded", lambda pairs, nodes, parity: counted.append(pairs.count()) or before(pairs, nodes, parity))
+    assert sorted((False, r.doc_id) for r in kept(spark, rows)) == sorted(survivors(rows))
+    assert max(counted) < 150 * 149 // 2 // 3
