@@ -15,12 +15,18 @@ shingles of each. Any order does, so shingles that a sample shows to be common
 come last. Lengths and the places of the shared shingle bound what two sets can
 share before they become a candidate. Parities of buckets of shingles bound the
 difference of two sets from below, which drops most candidates and no alike pair:
-first those of 1,024 buckets, then those of four times as many as a set has
-shingles. The others are verified by their sets.
-
-Round two has each set meet the smallest of those under a shared shingle (a star);
-round three forms all pairs that are not connected by then, in blocks of bounded
-size. Components are those of the graph of all verified pairs.
+first those of 1,024 buckets, or more for longer sets, then those of four times as
+many as a set has shingles. The others are verified by their sets.
+
+Round two has each set meet the smallest of those under a shared shingle (a star),
+pair by pair. Round three makes no pairs outside a task: under each shingle, in
+blocks of bounded size, the sets of different components that parities let be alike
+are linked to the smallest that they reach. What these links connect is a cluster;
+any two alike sets that are not connected by then are in one. The sets of a cluster
+meet in tiles of bounded size, where those not yet connected are compared exactly,
+and a tile gives one link for each two components that it joins. So rows stay in
+proportion to the sets, however many are alike or nearly so. Components are those
+of the graph of all verified links.
 
 Defined results: null, empty and blank texts have no shingle and are copies of
 one another; one row of each component stays, of the smallest id (rows without
@@ -29,16 +35,19 @@ an id last), then of the smallest hash of the text; of rows equal in both one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import simhash
 from helixframe.llm.decontaminate import BROADCAST_ROWS, _sized
+from helixframe.llm.simhash import _roots
 from helixframe.llm.textnum import BASES, chunks, prefix, runs, windows, word_hashes, word_spans
 from helixframe.operators.graph import connected_components
 from helixframe.session import discard, materialize
@@ -51,8 +60,12 @@ SAMPLE, COMMON, MOST = 16, 8, 20_000
 #: Buckets whose parities are kept of each set: so many at least, and in a second row LOAD for each shingle.
 BUCKETS = 1024
 LOAD = 4
-#: Sets under one shingle compared with one another at once; where there are more than LARGE, their parities go with them.
+#: Buckets for each shingle in the first row: with fewer than four ninths, sets that share nothing could pass for alike.
+THIN = 5 / 8
+#: Sets under one shingle compared with one another at once; more than LARGE are compared group by group.
 BLOCK, LARGE = 2048, 64
+#: Sets and bytes of sets in a side of a tile; a larger cluster has more tiles.
+TILE, TILE_BYTES = 1024, 16 << 20
 
 
 def _shingles(texts) -> Iterator[np.ndarray]:
@@ -109,7 +122,8 @@ def _signed(common: np.ndarray):
                 buckets = max(BUCKETS, 1 << (LOAD * len(x) - 1).bit_length()) if len(x) else BUCKETS
                 odd = (np.bincount((x & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).astype(np.uint8)
                 wide.append(np.packbits(odd).tobytes())
-                parity.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, BUCKETS), axis=0)).tobytes())
+                thin = max(BUCKETS, 1 << int(THIN * len(x)).bit_length())
+                parity.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, thin), axis=0)).tobytes())
                 if len(known) and len(x):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     late = np.where(known[at] == x, by_hash[at] + 1, 0)
@@ -165,70 +179,173 @@ def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meeting(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The rows that are not alone under their shingle, and whether there are more than LARGE."""
+    """The rows that are not alone under their shingle."""
     _, sizes = _sizes(t["hash"].to_numpy())
-    size = np.repeat(sizes, sizes)
-    if (size > 1).any():
-        yield from t.append_column("large", pa.array(size > LARGE)).filter(pa.array(size > 1)).to_batches()
+    yield from t.filter(pa.array(np.repeat(sizes, sizes) > 1)).to_batches()
 
 
-def _candidates(stars: bool):
-    def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, sig, n, at, comp = (t[c].to_numpy() for c in ("hash", "sig", "n", "at", "component"))
-        order = np.lexsort((sig, key))
-        key, sig, n, at, comp = key[order], sig[order], n[order].astype(np.int64), at[order].astype(np.int64), comp[order]
-        begin, sizes = _sizes(key)
+def _stars(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of each set with the smallest under the same shingle."""
+    key, sig, n, at, comp = _columns(t)
+    begin, sizes = _sizes(key)
+    x, y = np.repeat(begin, sizes), np.arange(len(key))
+    keep = (comp[x] != comp[y]) & _possible(n[x], n[y], at[x], at[y])
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([pa.array(sig[x[keep]]), pa.array(sig[y[keep]])], ["u", "v"])
 
-        def chosen(x, y):
-            keep = (comp[x] != comp[y]) & _possible(n[x], n[y], at[x], at[y])
-            return sig[x[keep]], sig[y[keep]]
 
-        if stars:
-            yield chosen(np.repeat(begin, sizes), np.arange(len(key)))
-            return
-        if "parity" not in t.column_names:
-            # Small groups at once: each row with the d-th after it, for d = 1, 2, ...
-            for d in range(1, int(sizes.max())):
-                x = np.flatnonzero(key[:-d] == key[d:])
-                yield chosen(x, x + d)
+def _columns(t: pa.Table) -> list[np.ndarray]:
+    """hash, sig, n, at and component, ordered by the first two."""
+    key, sig, n, at, comp = (t[c].to_numpy() for c in ("hash", "sig", "n", "at", "component"))
+    order = np.lexsort((sig, key))
+    return [key[order], sig[order], n[order].astype(np.int64), at[order].astype(np.int64), comp[order]]
+
+
+def _small(key: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, few: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that can be alike of the groups in few, whose rows are numbered: each row with the d-th after it, for d = 1, 2, ..."""
+    for d in range(1, LARGE):
+        x = few[:-d][key[few[:-d]] == key[few[d:]]] if d < len(few) else few[:0]
+        if not len(x):
             return
-        odd = np.frombuffer(b"".join(t["parity"].to_pylist()), np.uint64).reshape(len(key), -1)[order]
-        for k in range(len(begin)):
-            lo, hi = int(begin[k]), int(begin[k] + sizes[k])
-            if (comp[lo:hi] == comp[lo]).all():
-                continue
-            for a in range(lo, hi, BLOCK):
-                for b in range(a, hi, BLOCK):
-                    x, y = np.arange(a, min(a + BLOCK, hi)), np.arange(b, min(b + BLOCK, hi))
-                    i, j = np.nonzero((comp[x][:, None] != comp[y][None, :]) & _possible(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :]) & (x[:, None] < y[None, :]))
-                    for c in range(0, len(i), 1 << 15):
-                        u, v = x[i[c : c + (1 << 15)]], y[j[c : c + (1 << 15)]]
-                        keep = (NUM + DEN) * np.bitwise_count(odd[u] ^ odd[v]).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * (n[u] + n[v])
-                        yield sig[u[keep]], sig[v[keep]]
+        x = x[(comp[x] != comp[x + d]) & _possible(n[x], n[x + d], at[x], at[x + d])]
+        yield x, x + d
 
-    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for u, v in pairs(t):
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return _by_group(out)
+def _open(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows under whose shingle there are sets of other components; of few sets, those that can be alike to one of them."""
+    key, sig, n, at, comp = _columns(t)
+    begin, sizes = _sizes(key)
+    size = np.repeat(sizes, sizes)
+    keep = np.repeat(np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin), sizes)
+    few = np.flatnonzero(keep & (size <= LARGE))
+    keep[few] = False
+    for x, y in _small(key, n, at, comp, few):
+        keep[x] = keep[y] = True
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, sig, n, at, comp)], ["hash", "sig", "n", "at", "component"])
+
+
+def _reach(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each set with the smallest that it reaches, under one shingle, by pairs of different components that can be alike."""
+    key, sig, n, at, comp = _columns(t)
+    odd = t["parity"].to_numpy()[np.lexsort((t["sig"].to_numpy(), t["hash"].to_numpy()))]
+    width = np.array([len(x) for x in odd])
+    # By width: the rows in it, their parities, and where each row stands among them.
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    bits = {w: np.frombuffer(b"".join(odd[at_w].tolist()), np.uint64).reshape(len(at_w), -1) for w, at_w in rows.items()}
+    place = np.empty(len(key), np.int64)
+    for at_w in rows.values():
+        place[at_w] = np.arange(len(at_w))
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose parities do not differ by more than alike sets can."""
+        apart = np.zeros(len(x), np.int64)
+        for v, w in itertools.product(rows, rows):
+            of, m = np.flatnonzero((width[x] == v) & (width[y] == w)), min(v, w) // 8
+            for c in range(0, len(of), 1 << 14):
+                part = of[c : c + (1 << 14)]
+                p, q = (_folded(bits[k][place[z[part]]], m) for k, z in ((v, x), (w, y)))
+                apart[part] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+        keep = (NUM + DEN) * apart <= (DEN - NUM) * (n[x] + n[y])
+        return x[keep], y[keep]
+
+    begin, sizes = _sizes(key)
+    found = [near(x, y) for x, y in _small(key, n, at, comp, np.flatnonzero(np.repeat(sizes <= LARGE, sizes)))]
+    for k in np.flatnonzero(sizes > LARGE).tolist():
+        lo, hi = int(begin[k]), int(begin[k] + sizes[k])
+        root = np.arange(hi - lo)
+        for a in range(lo, hi, BLOCK):
+            for b in range(a, hi, BLOCK):
+                x, y = np.arange(a, min(a + BLOCK, hi)), np.arange(b, min(b + BLOCK, hi))
+                i, j = np.nonzero((comp[x][:, None] != comp[y][None, :]) & _possible(n[x][:, None], n[y][None, :], at[x][:, None], at[y][None, :]) & (x[:, None] < y[None, :]))
+                for c in range(0, len(i), 1 << 18):
+                    u, v = x[i[c : c + (1 << 18)]], y[j[c : c + (1 << 18)]]
+                    new = root[u - lo] != root[v - lo]  # what is reached already need not be compared
+                    u, v = near(u[new], v[new])
+                    if len(u):
+                        root = _roots(hi - lo, np.concatenate([np.arange(hi - lo), u - lo]), np.concatenate([root, v - lo]))
+        found.append((lo + root, np.arange(lo, hi)))
+    u, v = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found) if found else ((), ())))
+    root = _roots(len(key), u, v)
+    far = root != np.arange(len(key))
+    if far.any():
+        yield pa.RecordBatch.from_arrays([pa.array(sig[far]), pa.array(sig[root[far]])], ["u", "v"])
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer buckets, which are low bits of hashes."""
+    return bits if bits.shape[1] == words else np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def _links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One link for each two components of a tile that alike sets join, by their whole sets."""
+    begin, sizes = _sizes(t["hash"].to_numpy())
+    for lo, size in zip(begin.tolist(), sizes.tolist()):
+        part = t.slice(lo, size)
+        sig, comp, side, across = (part[c].to_numpy() for c in ("sig", "component", "side", "across"))
+        lists = part["shingles"]
+        flat, n = pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        ends = np.cumsum(n)
+        ids = np.unique(flat, return_inverse=True)[1]
+        mine = np.zeros(len(flat), bool)
+        root = np.unique(comp, return_inverse=True)[1]
+        out = []
+        for u in range(size - 1):
+            v = np.arange(u + 1, size)
+            v = v[(root[v] != root[u]) & (DEN * np.minimum(n[v], n[u]) >= NUM * np.maximum(n[v], n[u])) & ((side[v] != side[u]) | ~across[u])]
+            if not len(v):
+                continue
+            own = ids[ends[u] - n[u] : ends[u]]
+            mine[own] = True
+            before = np.cumsum(n[v]) - n[v]
+            of = np.repeat(ends[v] - n[v] - before, n[v]) + np.arange(int(n[v].sum()))
+            shared = np.add.reduceat(mine[ids[of]], before, dtype=np.int64)
+            mine[own] = False
+            v = v[(NUM + DEN) * shared >= NUM * (n[v] + n[u])]
+            if len(v):
+                joined, first = np.unique(root[v], return_index=True)
+                out.append((np.full(len(first), sig[u]), sig[v[first]]))
+                root[np.isin(root, joined)] = root[u]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["u", "v"])
 
 
 def _places(nodes: DataFrame) -> DataFrame:
-    """(sig, n, at, hash, large) of the first shingles that two sets or more have among theirs."""
+    """(sig, n, at, hash) of the first shingles that two sets or more have among theirs."""
     places = nodes.select("sig", "n", F.posexplode("head").alias("at", "hash"))
-    schema = "sig long, n int, at int, hash long, large boolean"
-    return materialize(places.repartition("hash").sortWithinPartitions("hash").mapInArrow(_by_group(_meeting), schema), "near")
+    return materialize(_grouped(places, "hash", _meeting, "sig long, n int, at int, hash long"), "near")
+
 
+def _grouped(rows: DataFrame, by: str, made, schema: str) -> DataFrame:
+    """made(rows of whole groups), whose key goes by the name of hash."""
+    return rows.withColumnRenamed(by, "hash").repartition("hash").sortWithinPartitions("hash").mapInArrow(_by_group(made), schema)
 
-def _pairs(places: DataFrame, named: DataFrame, nodes: DataFrame, stars: bool) -> DataFrame:
-    """Pairs of sets under one shingle. Of many under one, only those whose parities let them be alike are made."""
-    rows = places.join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    met = lambda r: r.repartition("hash").sortWithinPartitions("hash").mapInArrow(_candidates(stars), "u long, v long")
-    if stars:
-        return met(rows.drop("large")).distinct()
-    many = rows.where("large").drop("large").join(nodes.select("sig", "parity"), "sig")
-    return met(rows.where("not large").drop("large")).unionByName(met(many)).distinct()
+
+def _named(places: DataFrame, named: DataFrame) -> DataFrame:
+    return places.join(named, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+
+def _clusters(places: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): sets that are connected by pairs under one shingle which are not yet connected and can be alike."""
+    rows = _grouped(_named(places, named), "hash", _open, "hash long, sig long, n long, at long, component long")
+    reach = _grouped(rows.join(nodes.select("sig", "parity"), "sig"), "hash", _reach, "u long, v long")
+    # What a set reaches under several shingles is linked to the smallest of it, which many sets have in common.
+    met = reach.groupBy("u").agg(F.min("v").alias("v"), F.collect_set("v").alias("all"))
+    return connected_components(met.select(F.explode(F.array_union("all", F.array("u"))).alias("u"), "v"))
+
+
+def _joined(clusters: DataFrame, named: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): alike sets of a cluster, enough to connect all that are alike."""
+    of = materialize(_named(clusters.select(F.col("node").alias("sig"), F.col("component").alias("cluster")), named).join(nodes.select("sig", "n", "row"), "sig"), "near")
+    sides = of.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES, F.lit(1))).cast("int").alias("sides"))
+    of = materialize(of.join(sides, "cluster").withColumn("side", F.pmod(F.xxhash64("sig"), "sides").cast("int")), "near")
+    rows = _sized(of.select("sig", "row.*"), BROADCAST_ROWS)
+    sets = materialize(docs.select("file", "at", "text").join(rows, ["file", "at"]).select("sig", "text").mapInArrow(_sets, "sig long, shingles array<long>"), "near")
+    tiles = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    tiles = tiles.select("sig", "component", "side", (F.col("side") != F.col("other")).alias("across"), F.xxhash64("cluster", F.least("side", "other"), F.greatest("side", "other")).alias("tile"))
+    out = materialize(_grouped(tiles.join(sets, "sig"), "tile", _links, "u long, v long"), "near")
+    discard(of, sets)
+    return out
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +423,10 @@ def components(docs: DataFrame) -> DataFrame:
     discard(full)
     found = _verified(_close_prints(nodes), docs, nodes)
     places = _places(nodes)
-    for stars in (True, False):
-        named = connected_components(found).withColumnRenamed("node", "sig")
-        found = found.unionByName(_verified(_pairs(places, named, nodes, stars), docs, nodes))
+    stars = _grouped(_named(places, connected_components(found).withColumnRenamed("node", "sig")), "hash", _stars, "u long, v long").distinct()
+    found = found.unionByName(_verified(stars, docs, nodes))
+    named = connected_components(found).withColumnRenamed("node", "sig")
+    found = found.unionByName(_joined(_clusters(places, named, nodes), named, docs, nodes))
     discard(nodes, places)
     named = connected_components(found).withColumnRenamed("node", "sig")
     return signed.join(named, "sig", "left").select("file", "at", F.coalesce("component", "sig").alias("component"))

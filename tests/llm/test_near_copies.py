@@ -118,3 +118,24 @@ def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_bounded", lambda pairs, nodes, parity: counted.append(pairs.count()) or before(pairs, nodes, parity))
     assert sorted((False, r.doc_id) for r in kept(spark, rows)) == sorted(survivors(rows))
     assert max(counted) < 150 * 149 // 2 // 3
+
+
+def test_rows_of_the_third_round_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Alike sets that the stars leave unconnected are linked within tiles: no pairs of theirs are written."""
+    counted = []
+    for size in (30, 60):
+        rng, base, rows = random.Random(7), [f"w{i}" for i in range(200)], []
+        for k in range(size):
+            text = list(base)
+            for at in rng.sample(range(10, 190, 15), 3):
+                text[at] = f"new{k}at{at}"
+            rows.append((k, " ".join(text), None, "s", 0))
+        seen = []
+        before = near_copies._bounded
+        with monkeypatch.context() as m:
+            m.setattr(near_copies, "_bounded", lambda pairs, nodes, parity: seen.append(pairs.count()) or before(pairs, nodes, parity))
+            # No star decides anything, so that all is left to round three.
+            m.setattr(near_copies, "_verified", lambda pairs, docs, nodes, verified=near_copies._verified, calls=[]: verified(pairs if calls.append(1) or len(calls) > 2 else pairs.limit(0), docs, nodes))
+            assert sorted((False, r.doc_id) for r in kept(spark, rows)) == sorted(survivors(rows))
+        counted.append(sum(seen))
+    assert counted[1] <= 2 * counted[0]
