@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,25 +93,41 @@ _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _RUNS = pa.list_(pa.struct([("anchor", pa.int64()), ("shards", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())]))
 
 
+def _structs(kind: pa.DataType, cuts: list[int], columns: list[list]) -> pa.Array:
+    """Lists of structs, cut from columns."""
+    fields = list(kind.value_type)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values, type=kind)
+
+
 def _factors(length: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, found in zip(b.column("text"), b.column("found")):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                found = found.as_py() or ()
-                spans = [(x["start"], x["start"] + x["n"] + length - 1) for x in found if x["dup"]]
-                open_runs = [x for x in found if not x["dup"]]
-                if open_runs:
-                    parts = [{"anchor": x["anchor"], "shards": x["shards"], "start": x["start"], "n": x["n"], "bytes": raw[x["start"] : x["start"] + x["n"] + length - 1]} for x in open_runs]
-                    rows.append((True, len(raw), None, None, raw, [{"s": i, "e": j} for i, j in spans], parts))
-                else:
-                    rows.append((False, *_removed(raw, [i for i, _ in spans], [j for _, j in spans], keep), None, None))
-            for at in range(0, len(rows), 256):
-                part, cols = b.slice(at, 256), list(zip(*rows[at : at + 256]))
-                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), _SPANS, _RUNS]
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                lists = part.column("found")
+                cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).tolist()
+                start, n, dup, anchor, shards = (x.to_pylist() for x in pc.list_flatten(lists).flatten())
+                rows, spans, parts = [], [[], []], [[], [], [], [], []]
+                span_cuts, part_cuts = [0], [0]
+                for i, text in enumerate(part.column("text").cast("binary").to_pylist()):
+                    raw, of = text or b"", range(cuts[i], cuts[i + 1])
+                    gone = [j for j in of if dup[j]]
+                    if len(gone) < len(of):
+                        rows.append((True, len(raw), None, None, raw))
+                        spans[0] += [start[j] for j in gone]
+                        spans[1] += [start[j] + n[j] + length - 1 for j in gone]
+                        for j in of:
+                            if not dup[j]:
+                                for kept, x in zip(parts, (anchor[j], shards[j], start[j], n[j], raw[start[j] : start[j] + n[j] + length - 1])):
+                                    kept.append(x)
+                    else:
+                        rows.append((False, *_removed(raw, [start[j] for j in gone], [start[j] + n[j] + length - 1 for j in gone], keep)))
+                    span_cuts.append(len(spans[0]))
+                    part_cuts.append(len(parts[0]))
+                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("rest", "k", "h", "g")), *(pa.array(c, kind) for c, kind in zip(cols, kinds))],
+                    [*(part.column(c) for c in ("rest", "k", "h", "g")), *(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)), _structs(_SPANS, span_cuts, spans), _structs(_RUNS, part_cuts, parts)],
                     ["rest", "k", "h", "g", "pending", "n_bytes", "n_removed", "n_spans", "kept", "spans", "runs"])
 
     return run
@@ -122,7 +139,13 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     Symbols are non-negative; what lies behind the end is smaller than all of them.
     """
     n = len(symbols)
-    sa = np.argsort(symbols, kind="stable")
+    # As many first symbols as go into a word, a power of two, are sorted at once; zero stands behind the end.
+    bits, h = int(symbols.max() + 1).bit_length() if n else 1, 1
+    first = np.concatenate([symbols + 1, [0]]).astype(np.int64)
+    while 2 * h * bits < 64 and h < depth:
+        first, h = (first << (h * bits)) | first[np.minimum(np.arange(n + 1) + h, n)], 2 * h
+    first = first[:n]
+    sa = np.argsort(first, kind="stable")
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
 
@@ -133,9 +156,8 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         return slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
 
     slots = np.arange(n)
-    group = named(symbols[sa], slots)
+    group = named(first[sa], slots)
     rank[sa] = group
-    h = 1
     while h < depth:
         # Slots of groups with two or more suffixes.
         alone = np.ones(len(slots), dtype=bool)
