@@ -243,7 +243,8 @@ def copied(rows: DataFrame, fallback: DataFrame, spark: SparkSession | None = No
     first = None
     if spark is not None:
         code = usage.genetic_code(spark).where("aa <> '*'").groupBy("aa").agg(F.min("codon").alias("codon"))
-        rows = rows.crossJoin(F.broadcast(_table_column(code).withColumnRenamed("__t", "__s")))  # one row
+        synonyms = code.agg(F.map_from_entries(F.collect_list(F.struct("aa", "codon"))).alias("__s"))  # one row of 20 residues
+        rows = rows.crossJoin(F.broadcast(synonyms))
         first = lambda a: F.try_element_at("__s", a)
 
     def place(i):

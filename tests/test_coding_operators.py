@@ -419,6 +419,13 @@ def test_copies(spark):
     assert {r.q_idx: (r.t_idx, r.copied_fraction) for r in best} == {1: (99, 1.0), 2: (11, 1.0), 3: (12, 1.0)}
 
 
+def test_copies_spell_unknown_residues_by_their_first_synonym(spark):
+    rows = spark.createDataFrame([(1, 10, "ND1", "MLK", "ATGTTGAAGTAA", "MW", "ATGTGATAG", [0, -1, -1])], "q_idx int, t_idx int, gene string, q_protein string, q_sequence string, t_protein string, t_sequence string, pos_map array<int>")
+    fallback = spark.createDataFrame([("ND1", "K", "AAG")], "gene_name string, aa string, codon string")
+    (made,) = generation.copied(rows, fallback, spark).collect()
+    assert made.copied_sequence == "ATGCTAAAGTAG" and made.copied_fraction == pytest.approx(1 / 3) and not [c for c in made.asDict() if c.startswith("__")]
+
+
 def test_variants_keep_protein_start_and_stop(spark):
     records = spark.createDataFrame([(i, f"r{i}", "COX1", "s", "ATGAAACTTTGATAA", "MKLW*") for i in range(20)], "idx long, id string, gene_name string, species string, sequence string, protein_sequence string")
     weights = usage.rscu_weights(records, spark)
