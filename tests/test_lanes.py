@@ -43,6 +43,8 @@ def test_pairs_within_a_bound(monkeypatch, share):
         for found in (lanes.within(queries, lanes.Lanes(strings), strings, most), lanes.close(queries, strings, most)[:3]):
             got = list(zip(*(x.tolist() for x in found)))
             assert set(got) == held(d, most) and len(got) == len(set(got))
+        # The longer side is looked up, the bound stays the query's.
+        assert {tuple(int(v) for v in x) for x in zip(*lanes.close(queries, strings[:6], most)[:3])} == held(d[:, :6], most)
 
 
 def test_votes_of_different_pieces():
